@@ -1,3 +1,4 @@
 """Import every query module so the registry is complete."""
 
 from eventide.plans import q_estimators  # noqa: F401
+from eventide.plans import q_tests  # noqa: F401

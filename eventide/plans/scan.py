@@ -39,13 +39,16 @@ def cumulative(df: DataFrame, order_col: str, partition_by: Sequence[str] = (),
                products: dict[str, str] | None = None,
                descending: bool = False,
                force_two_level: bool | None = None,
-               n_buckets: int | None = None) -> DataFrame:
+               n_buckets: int | None = None,
+               exclusive: bool = False) -> DataFrame:
     """Append inclusive running sums/products of columns ordered by ``order_col``.
 
     ``df`` must have at most one row per (partition_by, order_col) value —
     aggregate to a time table first.  ``sums``/``products`` map output name to
     input column.  ``descending=True`` accumulates from the largest value down
     (the at-risk count is the descending running sum of subjects per time).
+    ``exclusive=True`` leaves the current row out (S(t-) = product before t);
+    an empty sum is 0 and an empty product 1.
     """
     sums = dict(sums or {})
     products = dict(products or {})
@@ -59,16 +62,16 @@ def cumulative(df: DataFrame, order_col: str, partition_by: Sequence[str] = (),
         two_level = force_two_level
         n_buckets = n_buckets or 8
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    end = -1 if exclusive else Window.currentRow
     if not two_level:
-        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding,
-                                                                  Window.currentRow)
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
         out = df
         for name, src in sums.items():
-            out = out.withColumn(name, F.sum(src).over(w))
+            out = out.withColumn(name, F.coalesce(F.sum(src).over(w), F.lit(0)))
         for name, src in products.items():
-            out = out.withColumn(name, F.product(src).over(w))
+            out = out.withColumn(name, F.coalesce(F.product(src).over(w), F.lit(1.0)))
         return out
-    return _two_level(df, order_col, part, sums, products, descending, n_buckets)
+    return _two_level(df, order_col, part, sums, products, descending, n_buckets, end)
 
 
 def _bucketize(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
@@ -82,7 +85,7 @@ def _bucketize(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
     return out.withColumn("_bucket", F.col("_bucket").cast("int"))
 
 
-def _two_level(df, order_col, part, sums, products, descending, n_buckets):
+def _two_level(df, order_col, part, sums, products, descending, n_buckets, end):
     bdf = _bucketize(df, order_col, n_buckets)
     border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
@@ -101,13 +104,12 @@ def _two_level(df, order_col, part, sums, products, descending, n_buckets):
     n_offs = offs.count()
     if n_offs <= BROADCAST_MAX_ROWS:
         offs = F.broadcast(offs)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding,
-                                                             Window.currentRow)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     local = bdf
     for name, src in sums.items():
-        local = local.withColumn(f"_loc_{name}", F.sum(src).over(w))
+        local = local.withColumn(f"_loc_{name}", F.coalesce(F.sum(src).over(w), F.lit(0)))
     for name, src in products.items():
-        local = local.withColumn(f"_loc_{name}", F.product(src).over(w))
+        local = local.withColumn(f"_loc_{name}", F.coalesce(F.product(src).over(w), F.lit(1.0)))
     out = local.join(offs, on=keys, how="inner")
     for name in sums:
         out = out.withColumn(name, F.col(f"_off_{name}") + F.col(f"_loc_{name}"))
