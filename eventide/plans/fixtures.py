@@ -69,10 +69,10 @@ def journey(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     nxt_ts = F.lead("ts").over(w)
     j = ev.withColumn("next_state", F.lead("event_type").over(w)).withColumn("next_ts", nxt_ts)
-    end = F.coalesce(F.col("next_ts"), F.lit(JOURNEY_END).cast("timestamp"))
+    end = F.coalesce(F.col("next_ts").cast("timestamp"), F.lit(JOURNEY_END).cast("timestamp"))
     return j.select(
         F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("state"), "next_state",
-        ((F.unix_micros(end) - F.unix_micros("ts")) / 3.6e9).alias("t"),
+        ((F.unix_micros(end) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9).alias("t"),
         F.col("next_ts").isNotNull().cast("int").alias("e"),
         F.col("value"),
     )
@@ -95,7 +95,7 @@ def first_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_user = ev.groupBy("user_id").agg(
         F.min("ts").alias("t0"),
         F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("tp"))
-    hours = (F.unix_micros("tp") - F.unix_micros("t0")) / 3.6e9
+    hours = (F.unix_micros(F.col("tp").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 3.6e9
     h = per_user.withColumn("h", hours).where(F.col("h") > 0)
     return h.select(
         F.col("user_id").alias("id"),
