@@ -278,11 +278,12 @@ def interaction_features_q(spark, sf_dir):
     return d.select("id", *[r6(F.col(c)).alias(c) for c in d.columns if c.startswith("interaction_")])
 
 
-@register("polynomial_features", R + "SELECT id, round(price * price, 6) AS price_squared, "
+@register("polynomial_features", R + "SELECT id, round(price * price, 2) AS price_squared, "
                                      "round(CAST(cause * cause AS DOUBLE), 6) AS cause_squared FROM reorder")
 def polynomial_features_q(spark, sf_dir):
     d = X.polynomial_features(fx.reorder(spark, sf_dir).select("id", "price", "cause"), exclude=["id"])
-    return d.select("id", *[r6(F.col(c)).alias(c) for c in d.columns if c.endswith("_squared")])
+    # squares reach 1e11: round to 2 decimals so both engines' rounding agree
+    return d.select("id", *[F.round(F.col(c), 2).alias(c) for c in d.columns if c.endswith("_squared")])
 
 
 @register("random_split", R + f"SELECT id, CAST({KEY} / 4294967296.0 < 0.2 AS INTEGER) AS is_test FROM reorder")
