@@ -111,59 +111,81 @@ def _bucket(df: DataFrame, col: str, out: str, splits: list[float]) -> DataFrame
 def concordance(df: DataFrame, time: str = "t", event: str = "e", risk: str = "risk",
                 weight: str | None = None, n_buckets: int | None = None) -> dict:
     """Concordance index with pair counts (higher risk should mean earlier event)."""
+    r = concordance_by(df, [], time, event, risk, weight, n_buckets).first()
+    return r.asDict()
+
+
+def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "e",
+                   risk: str = "risk", weight: str | None = None,
+                   n_buckets: int | None = None) -> DataFrame:
+    """Concordance per group of ``by`` (e.g. bootstrap replicate, cohort period).
+
+    Returns by..., c_index, concordant, discordant, tied_risk, tied_time, comparable.
+    """
+    by = list(by)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    g = (df.groupBy(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"),
+    g = (df.groupBy(*by, F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"),
                     F.col(risk).cast("double").alias("risk"))
          .agg(F.sum(w).alias("w")).where(F.col("w") > 0))
     g = g.persist()
     n = g.count()
+    n_groups = g.select(*by).distinct().count() if by else 1
     if n_buckets is None:
-        n_buckets = int(min(1024, max(1, math.ceil(n / ROWS_PER_GROUP))))
+        n_buckets = int(min(256, max(1, math.ceil(n / n_groups / ROWS_PER_GROUP))))
     ks = _splits(g, "time", n_buckets)
     rs = _splits(g, "risk", n_buckets)
     gb = _bucket(_bucket(g, "time", "kb", ks), "risk", "rb", rs).persist()
-    # 3. cross-bucket pairs from the bucket x bucket matrix (bounded size)
-    cells = gb.groupBy("kb", "rb").agg(F.sum("w").alias("n_all"),
-                                       F.sum(F.when(F.col("event") == 1, F.col("w")).otherwise(0.0))
-                                       .alias("n_ev")).collect()
     nk, nr = len(ks) - 1, len(rs) - 1
-    A = np.zeros((nk, nr))
-    Ev = np.zeros((nk, nr))
-    for r in cells:
-        A[r["kb"], r["rb"]] = r["n_all"]
-        Ev[r["kb"], r["rb"]] = r["n_ev"]
-    # G[k, r] = sum of A over kb' > k ; then prefix over rb
-    G = np.cumsum(A[::-1], axis=0)[::-1]
-    G = np.vstack([G[1:], np.zeros((1, nr))])
-    below = np.cumsum(G, axis=1) - G          # rb' < rb
-    above = G.sum(axis=1, keepdims=True) - np.cumsum(G, axis=1)  # rb' > rb
-    conc = float((Ev * below).sum())
-    disc = float((Ev * above).sum())
-    tied = 0.0
-    schema = "conc double, disc double, tied double"
-    cols = ["time", "event", "risk", "w", "kb"]
-    same_k = gb.select(*cols).groupBy("kb").applyInPandas(
-        lambda p: _group_counts(p, True), schema)
-    same_r = gb.select(*cols, "rb").groupBy("rb").applyInPandas(
-        lambda p: _group_counts(p, False), schema)
-    tot = same_k.unionByName(same_r).agg(F.sum("conc").alias("c"), F.sum("disc").alias("d"),
-                                         F.sum("tied").alias("t")).first()
-    conc += tot["c"] or 0.0
-    disc += tot["d"] or 0.0
-    tied += tot["t"] or 0.0
-    tt = gb.where("event = 1").groupBy("time").agg(F.sum("w").alias("d")) \
-        .agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("tt")).first()["tt"] or 0.0
+    # cross-bucket pairs from the (bucket x bucket) matrix of each group: bounded numbers
+    cells = gb.groupBy(*by, "kb", "rb").agg(
+        F.sum("w").alias("n_all"),
+        F.sum(F.when(F.col("event") == 1, F.col("w")).otherwise(0.0)).alias("n_ev"))
+    mats = {}
+    for r in cells.collect():
+        k = tuple(r[b] for b in by)
+        if k not in mats:
+            mats[k] = (np.zeros((nk, nr)), np.zeros((nk, nr)))
+        mats[k][0][r["kb"], r["rb"]] = r["n_all"]
+        mats[k][1][r["kb"], r["rb"]] = r["n_ev"]
+    cross = {}
+    for k, (A, Ev) in mats.items():
+        G = np.cumsum(A[::-1], axis=0)[::-1]
+        G = np.vstack([G[1:], np.zeros((1, nr))])
+        below = np.cumsum(G, axis=1) - G
+        above = G.sum(axis=1, keepdims=True) - np.cumsum(G, axis=1)
+        cross[k] = (float((Ev * below).sum()), float((Ev * above).sum()))
+    schema_by = ", ".join(f"{b} {g.schema[b].dataType.simpleString()}" for b in by)
+    schema = (schema_by + ", " if by else "") + "conc double, disc double, tied double"
+    cols = [*by, "time", "event", "risk", "w", "kb"]
+
+    def run(p, by_key_rank):
+        out = _group_counts(p, by_key_rank)
+        for b in by:
+            out[b] = p[b].iloc[0] if len(p) else None
+        return out[[*by, "conc", "disc", "tied"]]
+
+    same_k = gb.select(*cols).groupBy(*by, "kb").applyInPandas(lambda p: run(p, True), schema)
+    same_r = gb.select(*cols, "rb").groupBy(*by, "rb").applyInPandas(lambda p: run(p, False), schema)
+    local = same_k.unionByName(same_r).groupBy(*by).agg(
+        F.sum("conc").alias("c"), F.sum("disc").alias("d"), F.sum("tied").alias("t"))
+    ttime = (gb.where("event = 1").groupBy(*by, "time").agg(F.sum("w").alias("d"))
+             .groupBy(*by).agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("tt")))
+    rows = []
+    tmap = {tuple(r[b] for b in by): r["tt"] for r in ttime.collect()}
+    for r in local.collect():
+        k = tuple(r[b] for b in by)
+        c0, d0 = cross.get(k, (0.0, 0.0))
+        conc, disc, tied = c0 + (r["c"] or 0.0), d0 + (r["d"] or 0.0), r["t"] or 0.0
+        comp = conc + disc + tied
+        ci = (conc + 0.5 * tied) / comp if comp > 0 else float("nan")
+        rows.append((*k, ci, conc, disc, tied, float(tmap.get(k) or 0.0), comp))
     g.unpersist()
     gb.unpersist()
-    comparable = conc + disc + tied
-    c_index = (conc + 0.5 * tied) / comparable if comparable > 0 else float("nan")
-    return {"c_index": c_index, "concordant": conc, "discordant": disc, "tied_risk": tied,
-            "tied_time": float(tt), "comparable": comparable}
+    out_schema = (schema_by + ", " if by else "") + ("c_index double, concordant double, discordant double, "
+                                                     "tied_risk double, tied_time double, comparable double")
+    return df.sparkSession.createDataFrame(rows, out_schema)
 
 
 def concordance_table(df: DataFrame, time: str = "t", event: str = "e", risk: str = "risk",
                       **kw) -> DataFrame:
-    r = concordance(df, time, event, risk, **kw)
-    return df.sparkSession.createDataFrame(
-        [(r["c_index"], r["concordant"], r["discordant"], r["tied_risk"], r["comparable"])],
-        "c_index double, concordant double, discordant double, tied_risk double, comparable double")
+    return concordance_by(df, [], time, event, risk, **kw)

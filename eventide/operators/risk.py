@@ -141,3 +141,17 @@ def survival_at(curves: DataFrame, times: Sequence[float], strata=None,
     else:
         pts = spark.range(1).select(grid)
     return step_lookup(curves, pts, s, "time", list(cols))
+
+
+def km_predictions(df: DataFrame, curves: DataFrame, strata: str, horizons: Sequence[float],
+                   prefix: str = "S_") -> DataFrame:
+    """Per-row predicted survival at each horizon from stratified KM curves.
+
+    The (strata x horizons) table is tiny; it is pivoted to one row per
+    stratum and joined to the rows (broadcast: one row per stratum value).
+    """
+    at = survival_at(curves, horizons, strata, cols=["survival"])
+    wide = at.groupBy(strata).agg(*[
+        F.max(F.when(F.col("time") == float(h), F.col("survival"))).alias(f"{prefix}{k}")
+        for k, h in enumerate(horizons)])
+    return df.join(F.broadcast(wide), on=strata, how="left")

@@ -4,3 +4,4 @@ from eventide.plans import q_estimators  # noqa: F401
 from eventide.plans import q_tests  # noqa: F401
 from eventide.plans import q_profile  # noqa: F401
 from eventide.plans import q_data  # noqa: F401
+from eventide.plans import q_metrics  # noqa: F401
