@@ -6,3 +6,4 @@ from eventide.plans import q_profile  # noqa: F401
 from eventide.plans import q_data  # noqa: F401
 from eventide.plans import q_metrics  # noqa: F401
 from eventide.plans import q_report  # noqa: F401
+from eventide.plans import q_models  # noqa: F401
