@@ -224,7 +224,8 @@ def _penalty(beta, lam, alpha, n):
 
 def cox_fit(df: DataFrame, time: str, event: str, features: Sequence[str], penalizer: float = 0.0,
             l1_ratio: float = 0.0, ties: str = "efron", offset: str | None = None,
-            max_iter: int = 25, tol: float = 1e-9, with_concordance: bool = True) -> CoxModel:
+            max_iter: int = 25, tol: float = 1e-9, with_concordance: bool = True,
+            init: Sequence[float] | None = None) -> CoxModel:
     """Fit a Cox model.  Rows with null time/event/features must be removed first."""
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be 'efron' or 'breslow'")
@@ -249,10 +250,14 @@ def cox_fit(df: DataFrame, time: str, event: str, features: Sequence[str], penal
     n_times, max_d = int(tinfo["nt"]), int(tinfo["md"] or 0)
     two_level = n_times > SINGLE_WINDOW_MAX_ROWS
     bc = n_times <= BROADCAST_TIMES
-    beta = np.zeros(p)
     lam_s = penalizer
+    ll_null = None
+    if init is not None:
+        beta = np.asarray(init, float) * scales
+    else:
+        beta = np.zeros(p)
     ll, g, info = _step_stats(X, p, beta, ties, two_level, max_d, bc, bool(offset))
-    ll_null = ll
+    ll_null = ll if init is None else float("nan")
     pen, pg, ph = _penalty(beta, lam_s, l1_ratio, n) if penalizer else (0.0, 0.0, 0.0)
     obj = ll - pen
     it = 0
