@@ -8,3 +8,4 @@ from eventide.plans import q_metrics  # noqa: F401
 from eventide.plans import q_report  # noqa: F401
 from eventide.plans import q_models  # noqa: F401
 from eventide.plans import q_sources  # noqa: F401
+from eventide.plans import q_more  # noqa: F401
