@@ -188,3 +188,20 @@ def expected_observed(df: DataFrame, km_surv_at: dict[float, float], surv_cols:
         obs = 1.0 - km_surv_at[h]
         rows.append((float(h), exp_, obs, exp_ / obs if obs > 0 else float("nan")))
     return df.sparkSession.createDataFrame(rows, "time double, expected double, observed double, ratio double")
+
+
+def brier_long(pred: DataFrame, rows: DataFrame, id_col: str, time: str = "t", event: str = "e",
+               G: DataFrame | None = None) -> DataFrame:
+    """E02 on long predictions (id, time = horizon, survival): one group per horizon."""
+    G = G if G is not None else censoring_km(rows, time, event)
+    horizons = [r["time"] for r in pred.select("time").distinct().collect()]  # the requested grid
+    gh = g_at(G, horizons)
+    ghm = F.create_map(*[x for h, g in zip(horizons, gh) for x in (F.lit(float(h)), F.lit(float(g)))])
+    base = _with_gt(rows.select(id_col, F.col(time).alias("_T"), F.col(event).alias("_E")), G, "_T")
+    j = pred.join(base, id_col, "inner").withColumn("_gh", F.element_at(ghm, F.col("time")))
+    S = F.col("survival")
+    case = F.when((F.col("_T") <= F.col("time")) & (F.col("_E") == 1),
+                  F.coalesce(F.try_divide(S * S, F.col("_G_T")), F.lit(0.0)))
+    ctrl = F.when(F.col("_T") > F.col("time"),
+                  F.coalesce(F.try_divide((1.0 - S) * (1.0 - S), F.col("_gh")), F.lit(0.0)))
+    return j.groupBy("time").agg(F.avg(F.coalesce(case, ctrl, F.lit(0.0))).alias("brier"))

@@ -49,3 +49,19 @@ def stratified_split(df: DataFrame, event: str = "e", id_col: str = "id", test:
 def kfold(df: DataFrame, k: int = 5, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Adds ``fold`` in [0, k) = hash key mod k."""
     return df.withColumn("fold", F.pmod(hash_int(seed, F.col(id_col)), F.lit(k)).cast("int"))
+
+
+def uniform_rank(df: DataFrame, key: str, tie: str, n_buckets: int = RANK_BUCKETS) -> DataFrame:
+    """Row number (1..N) by a uniform integer key in [0, 2^32), ties by ``tie``.
+
+    Two levels so no window holds the whole table: equal-width key buckets are
+    balanced because the key is a hash; rows are numbered inside each bucket
+    and shifted by the counts of earlier buckets (a tiny table).
+    """
+    k = df.withColumn("_b", F.floor(F.col(key) / F.lit(4294967296.0 / n_buckets)).cast("int"))
+    counts = k.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # n_buckets rows
+    offs = counts.select("_b", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_b").orderBy(key, tie)
+    out = k.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offs), "_b")
+    return out.withColumn("rank", F.col("_off") + F.col("_r")).drop("_b", "_r", "_off")

@@ -10,3 +10,4 @@ from eventide.plans import q_models  # noqa: F401
 from eventide.plans import q_sources  # noqa: F401
 from eventide.plans import q_more  # noqa: F401
 from eventide.plans import q_ml  # noqa: F401
+from eventide.plans import q_train  # noqa: F401
