@@ -66,3 +66,26 @@ def neural_parametric_q(spark, sf_dir):
 def neural_discrete_q(spark, sf_dir):
     data, feats = cox_data(spark, sf_dir)
     return discrete_fit(data, "t", "e", feats, time_buckets=10, hidden=(16,), max_iter=100).predict_risk(data, "id")
+
+
+@register("bayes_fit")
+def bayes_fit_q(spark, sf_dir):
+    from eventide.operators.bayes import bayes_fit
+    data, feats = cox_data(spark, sf_dir)
+    return bayes_fit(data, "t", "e", feats, "id", "weibull", draws=500, tune=500).summary_table(spark)
+
+
+@register("bayes_curve")
+def bayes_curve_q(spark, sf_dir):
+    from eventide.operators.bayes import bayes_fit
+    data, feats = cox_data(spark, sf_dir)
+    return bayes_fit(data, "t", "e", feats, "id", "lognormal", draws=500, tune=500,
+                     with_waic=False).curve_bands(spark)
+
+
+@register("bayes_predict")
+def bayes_predict_q(spark, sf_dir):
+    from eventide.operators.bayes import bayes_fit
+    data, feats = cox_data(spark, sf_dir)
+    m = bayes_fit(data, "t", "e", feats, "id", "exponential", draws=500, tune=500, with_waic=False)
+    return m.predict_survival(data, HZ, ["id"], max_draws=100)
