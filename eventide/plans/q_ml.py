@@ -89,3 +89,26 @@ def bayes_predict_q(spark, sf_dir):
     data, feats = cox_data(spark, sf_dir)
     m = bayes_fit(data, "t", "e", feats, "id", "exponential", draws=500, tune=500, with_waic=False)
     return m.predict_survival(data, HZ, ["id"], max_draws=100)
+
+
+@register("rsf_fit")
+def rsf_fit_q(spark, sf_dir):
+    from eventide.operators.forest import rsf_fit
+    data, feats = cox_data(spark, sf_dir)
+    m = rsf_fit(data, "t", "e", feats, "id", n_estimators=20, max_depth=4, min_samples_leaf=5)
+    return m.score(data, ["id"])
+
+
+@register("rsf_importance")
+def rsf_importance_q(spark, sf_dir):
+    from eventide.operators.forest import rsf_fit
+    data, feats = cox_data(spark, sf_dir)
+    return rsf_fit(data, "t", "e", feats, "id", n_estimators=10, max_depth=3).importance(spark)
+
+
+@register("rsf_survival")
+def rsf_survival_q(spark, sf_dir):
+    from eventide.operators.forest import rsf_fit
+    data, feats = cox_data(spark, sf_dir)
+    m = rsf_fit(data, "t", "e", feats, "id", n_estimators=10, max_depth=3)
+    return m.predict_survival(data, HZ, ["id"])
