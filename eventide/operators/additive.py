@@ -32,7 +32,7 @@ class AdditiveModel:
         return ["intercept"] + self.features
 
     def predict_cumulative_hazard(self, df: DataFrame, times: Sequence[float], keep=()) -> DataFrame:
-        aggs = [F.max_by(F.struct(*[F.col(f"B_{n}") for n in self.names()]),
+        aggs = [F.max_by(F.struct(*[F.col(f"`B_{n}`") for n in self.names()]),
                          F.when(F.col("time") <= float(t), F.col("time"))).alias(f"b{i}")
                 for i, t in enumerate(times)]
         row = self.cumulative_coef.agg(*aggs).first()
@@ -53,15 +53,15 @@ class AdditiveModel:
     def importance(self, spark) -> DataFrame:
         """mean |dB| over event times per feature."""
         c = self.cumulative_coef
-        return c.agg(*[F.avg(F.abs(F.col(f"dB_{f}"))).alias(f) for f in self.features]).selectExpr(
-            f"stack({len(self.features)}, " + ", ".join(f"'{f}', `{f}`" for f in self.features)
-            + ") AS (feature, importance)")
+        row = c.agg(*[F.avg(F.abs(F.col(f"`dB_{f}`"))).alias(f"i{j}") for j, f in enumerate(self.features)]).first()
+        return spark.createDataFrame([(f, float(row[f"i{j}"] or 0.0)) for j, f in enumerate(self.features)],
+                                     "feature string, importance double")
 
     def summary(self, spark) -> DataFrame:
         c = self.cumulative_coef
         parts = []
         for n in self.names():
-            parts += [F.avg(f"dB_{n}").alias(f"{n}_mean"), F.stddev_samp(f"dB_{n}").alias(f"{n}_std")]
+            parts += [F.avg(F.col(f"`dB_{n}`")).alias(f"{n}_mean"), F.stddev_samp(F.col(f"`dB_{n}`")).alias(f"{n}_std")]
         return c.agg(*parts)
 
 
@@ -97,10 +97,10 @@ def aalen_additive_fit(df: DataFrame, time: str, event: str, features: Sequence[
                 out[f"dB_{nme}"] = dB[:, j]
             yield pd.DataFrame(out)
 
-    schema = "time double, " + ", ".join(f"dB_{n} double" for n in names)
+    schema = "time double, " + ", ".join(f"`dB_{n}` double" for n in names)
     db = ev.select("time", *[f"M{a}_{b}" for a in range(p) for b in range(a, p)],
                    *[f"v{a}" for a in range(p)]).mapInPandas(solve, schema)
-    cum = cumulative(db, "time", [], sums={f"B_{n}": f"dB_{n}" for n in names})
+    cum = cumulative(db, "time", [], sums={f"B_{n}": f"`dB_{n}`" for n in names})
     cum = cum.persist(StorageLevel.MEMORY_AND_DISK)
     return AdditiveModel(feats, coef_penalizer, cum)
 

@@ -115,7 +115,8 @@ class AFTModel:
         rows = []
         for nme, v, s in zip(names, vals, se):
             z = v / s if s > 0 else float("nan")
-            rows.append((nme, float(v), float(s), z, two_sided_p(z), float(v - Z95 * s), float(v + Z95 * s)))
+            rows.append((nme, float(v), float(s), float(z), float(two_sided_p(z)), float(v - Z95 * s),
+                         float(v + Z95 * s)))
         return spark.createDataFrame(rows, "parameter string, coef double, se double, z double, "
                                            "p_value double, ci_lower double, ci_upper double")
 

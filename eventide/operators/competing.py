@@ -276,3 +276,14 @@ def competing_importance(models: dict, spark) -> DataFrame:
                                        F.avg("hazard_ratio").alias("hazard_ratio"))
     return allc.select("cause", "feature", "coef", "p_value", "hazard_ratio").unionByName(
         mean.select(F.lit(None).cast("int").alias("cause"), "feature", "coef", "p_value", "hazard_ratio"))
+
+
+def competing_summary(cif: DataFrame, key: str, cause: int | None = None) -> DataFrame:
+    """Per row risk = sum of CIFs (or one cause's CIF) at the last requested time; median =
+    first requested time with all-cause S <= 0.5 (or the cause's CIF >= 0.5), +inf if never."""
+    cif_cols = [c for c in cif.columns if c.startswith("cif_")]
+    tot = sum((F.col(c) for c in cif_cols), F.lit(0.0)) if cause is None else F.col(f"cif_{cause}")
+    reach = (F.col("survival") <= 0.5) if cause is None else (F.col(f"cif_{cause}") >= 0.5)
+    return cif.groupBy(key).agg(F.max_by(tot, F.col("time")).alias("risk"),
+                                F.coalesce(F.min(F.when(reach, F.col("time"))), F.lit(float("inf")))
+                                .alias("median_time"))

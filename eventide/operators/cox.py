@@ -92,11 +92,11 @@ class CoxModel:
                 "concordance": self.concordance, "iterations": self.iterations, "ties": self.ties}
 
     # ---- prediction ------------------------------------------------------
-    def linear_predictor(self, df: DataFrame) -> F.Column:
+    def linear_predictor(self, df: DataFrame, include_offset: bool = True) -> F.Column:
         lp = F.lit(0.0)
         for j, f in enumerate(self.features):
             lp = lp + (F.col(f).cast("double") - F.lit(float(self.means[j]))) * F.lit(float(self.coef[j]))
-        if self.offset:
+        if self.offset and include_offset:
             lp = lp + F.col(self.offset)
         return lp
 
@@ -332,3 +332,52 @@ def cox_partial_loglik(df: DataFrame, time: str, event: str, features: Sequence[
                   *[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(feats)])
     md = X.groupBy("t").agg(F.sum("e").alias("d")).agg(F.max("d")).first()[0] or 0
     return _step_stats(X, p, np.asarray(beta, float), ties, False, int(md), True, False)
+
+
+def robust_variance(model: CoxModel, df: DataFrame, time: str, event: str,
+                    cluster: str | None = None) -> np.ndarray:
+    """M04 ``robust``: sandwich variance I^-1 (sum U U') I^-1 from Breslow-form score residuals.
+
+    U_i = E_i (x_i - xbar(T_i)) - w_i (x_i A(T_i) - B(T_i)), A = sum d/S0, B = sum d S1/S0^2,
+    summed per cluster first when ``cluster`` is given.  One time table, one join, one p x p aggregate.
+    """
+    feats = model.features
+    p = len(feats)
+    xs = [(F.col(f).cast("double") - float(model.means[j])).alias(f"x{j}") for j, f in enumerate(feats)]
+    X = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"),
+                  *([F.col(cluster).alias("_cl")] if cluster else []), *xs)
+    eta = F.lit(0.0)
+    for j in range(p):
+        eta = eta + F.col(f"x{j}") * float(model.coef[j])
+    X = X.withColumn("w", F.exp(eta))
+    tt = X.groupBy(F.col("t").alias("time")).agg(F.sum("e").alias("d"), F.sum("w").alias("S0p"),
+                                                 *[F.sum(F.col("w") * F.col(f"x{j}")).alias(f"S1p{j}")
+                                                   for j in range(p)])
+    tt = cumulative(tt, "time", [], sums={"S0": "S0p", **{f"S1{j}": f"S1p{j}" for j in range(p)}},
+                    descending=True)
+    tt = tt.withColumn("a", F.col("d") / F.col("S0"))
+    for j in range(p):
+        tt = tt.withColumn(f"b{j}", F.col("d") * F.col(f"S1{j}") / (F.col("S0") * F.col("S0")))
+        tt = tt.withColumn(f"xb{j}", F.col(f"S1{j}") / F.col("S0"))
+    tt = cumulative(tt, "time", [], sums={"A": "a", **{f"B{j}": f"b{j}" for j in range(p)}})
+    tt = tt.select(F.col("time").alias("_t"), "A", *[f"B{j}" for j in range(p)], *[f"xb{j}" for j in range(p)])
+    j_ = X.join(F.broadcast(tt) if tt.count() <= BROADCAST_TIMES else tt, X["t"] == tt["_t"])
+    U = [(F.col("e") * (F.col(f"x{j}") - F.col(f"xb{j}"))
+          - F.col("w") * (F.col(f"x{j}") * F.col("A") - F.col(f"B{j}"))).alias(f"u{j}") for j in range(p)]
+    u = j_.select(*([F.col("_cl")] if cluster else []), *U)
+    if cluster:
+        u = u.groupBy("_cl").agg(*[F.sum(f"u{j}").alias(f"u{j}") for j in range(p)])
+    row = u.agg(*[F.sum(F.col(f"u{a}") * F.col(f"u{b}")).alias(f"m{a}_{b}")
+                  for a in range(p) for b in range(a, p)]).first()
+    meat = np.zeros((p, p))
+    for a in range(p):
+        for b in range(a, p):
+            meat[a, b] = meat[b, a] = row[f"m{a}_{b}"] or 0.0
+    bread = model.variance
+    return bread @ meat @ bread
+
+
+def calibration_slope(model: CoxModel, df: DataFrame, time: str, event: str) -> float:
+    """Cox coefficient of the model's linear predictor on (new) data; 1 = well calibrated."""
+    lp = df.select(F.col(time).alias("_t"), F.col(event).alias("_e"), model.linear_predictor(df).alias("lp"))
+    return float(cox_fit(lp, "_t", "_e", ["lp"], with_concordance=False).coef[0])

@@ -49,7 +49,8 @@ class FrailtyModel:
         """Partial hazard times the cluster frailty (1 for unseen clusters)."""
         f = self.frailties.select(F.col("cluster").alias(self.cluster), "log_frailty")
         x = df.join(f, self.cluster, "left")
-        return x.withColumn("risk", F.exp(self.cox.linear_predictor(x) + F.coalesce("log_frailty", F.lit(0.0))))
+        lp = self.cox.linear_predictor(x, include_offset=False)
+        return x.withColumn("risk", F.exp(lp + F.coalesce("log_frailty", F.lit(0.0))))
 
 
 def _theta_update(K: int, s_log: float, s_z: float, theta: float) -> float:
