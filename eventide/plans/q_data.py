@@ -255,7 +255,7 @@ def pairwise_features_q(spark, sf_dir):
 
 
 @register("series_features", R + """
-SELECT id, round(s, 6) AS ts_price_sum, round(md, 6) AS ts_price_median, round(mu, 6) AS ts_price_mean,
+SELECT id, round(s, 2) AS ts_price_sum, round(md, 6) AS ts_price_median, round(mu, 6) AS ts_price_mean,
   n AS ts_price_length, round(sd, 6) AS ts_price_std, round(v, 2) AS ts_price_var, round(rms, 6) AS ts_price_rms,
   round(mx, 6) AS ts_price_max, round(amx, 6) AS ts_price_abs_max, round(mn, 6) AS ts_price_min
 FROM reorder, (SELECT sum(price) s, median(price) md, avg(price) mu, count(price) n, stddev_pop(price) sd,
@@ -263,7 +263,7 @@ FROM reorder, (SELECT sum(price) s, median(price) md, avg(price) mu, count(price
 def series_features_q(spark, sf_dir):
     d = X.series_features(fx.reorder(spark, sf_dir).select("id", "price"), ["price"])
     cols = [F.col(c) if c.endswith("length") else
-            F.round(F.col(c), 2).alias(c) if c.endswith("_var") else r6(F.col(c)).alias(c)
+            F.round(F.col(c), 2).alias(c) if c.endswith(("_var", "_sum")) else r6(F.col(c)).alias(c)
             for c in d.columns if c.startswith("ts_")]
     return d.select("id", *cols)
 
