@@ -32,7 +32,9 @@ def fit_impute_numeric(df: DataFrame, method: str = "mean", cols: Sequence[str]
     cols = list(cols) if cols is not None else numeric_columns(df)
     if method == "zero":
         return {c: 0.0 for c in cols}
-    agg = {"mean": F.avg, "median": F.median}[method]
+    from eventide.functions.exprs import exact_ok, median
+    exact = method != "median" or exact_ok(df)
+    agg = {"mean": F.avg, "median": lambda c: median(c, exact)}[method]
     row = df.agg(*[agg(F.col(_q(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"v{i}"] for i, c in enumerate(cols) if row[f"v{i}"] is not None}
 
@@ -136,11 +138,12 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     Codes come from a dense rank over the distinct values (a small table per
     column) joined back, so the level list never has to fit the driver.
     """
+    from eventide.operators.split import sorted_dense_rank
     cols = list(cols) if cols is not None else string_columns(df)
     out = df
     for c in cols:
-        codes = (df.select(F.col(_q(c)).alias("_lv")).where(F.col("_lv").isNotNull()).distinct()
-                 .withColumn("_code", F.dense_rank().over(Window.orderBy("_lv")) - 1))
+        distinct = df.select(F.col(_q(c)).alias("_lv")).where(F.col("_lv").isNotNull()).distinct()
+        codes = sorted_dense_rank(distinct, "_lv").withColumn("_code", F.col("rank") - 1).drop("rank")
         out = (out.join(codes, out[c] == codes["_lv"], "left")
                .withColumn(c, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_lv", "_code"))
     return out
@@ -155,9 +158,22 @@ def fit_cleaner(df: DataFrame, cols: Sequence[str]) -> dict:
     return vals
 
 
-def fit_encoder(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Sorted levels per string covariate (first level is the dropped reference)."""
-    return {c: levels(df, c) for c in cols if not is_numeric_type(df.schema[c].dataType)}
+MAX_ENCODER_LEVELS = 1000
+
+
+def fit_encoder(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_ENCODER_LEVELS) -> dict:
+    """Sorted levels per string covariate (first level is the dropped reference).
+
+    Each level becomes a column, so the level list is bounded (checked)."""
+    out = {}
+    for c in cols:
+        if is_numeric_type(df.schema[c].dataType):
+            continue
+        lv = levels(df, c, max_levels)
+        if lv is None:
+            raise ValueError(f"{c!r} has more than {max_levels} levels; use label_encode instead")
+        out[c] = lv
+    return out
 
 
 def apply_encoder(df: DataFrame, encoder: Mapping[str, list]) -> DataFrame:

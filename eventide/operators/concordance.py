@@ -29,6 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_GROUP = 20_000
+MAX_BUCKETS = 4096
+# (groups x buckets^2) cell matrices up to this size are summed with numpy on the driver;
+# larger ones are prefix-summed in Spark on a dense grid.
+DRIVER_CELLS = 1_000_000
 
 
 def dominance_counts(rank: np.ndarray, risk_rank: np.ndarray, w: np.ndarray,
@@ -131,7 +135,7 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
     n = g.count()
     n_groups = g.select(*by).distinct().count() if by else 1
     if n_buckets is None:
-        n_buckets = int(min(256, max(1, math.ceil(n / n_groups / ROWS_PER_GROUP))))
+        n_buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / n_groups / ROWS_PER_GROUP))))
     ks = _splits(g, "time", n_buckets)
     rs = _splits(g, "risk", n_buckets)
     gb = _bucket(_bucket(g, "time", "kb", ks), "risk", "rb", rs).persist()
@@ -140,20 +144,10 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
     cells = gb.groupBy(*by, "kb", "rb").agg(
         F.sum("w").alias("n_all"),
         F.sum(F.when(F.col("event") == 1, F.col("w")).otherwise(0.0)).alias("n_ev"))
-    mats = {}
-    for r in cells.collect():
-        k = tuple(r[b] for b in by)
-        if k not in mats:
-            mats[k] = (np.zeros((nk, nr)), np.zeros((nk, nr)))
-        mats[k][0][r["kb"], r["rb"]] = r["n_all"]
-        mats[k][1][r["kb"], r["rb"]] = r["n_ev"]
-    cross = {}
-    for k, (A, Ev) in mats.items():
-        G = np.cumsum(A[::-1], axis=0)[::-1]
-        G = np.vstack([G[1:], np.zeros((1, nr))])
-        below = np.cumsum(G, axis=1) - G
-        above = G.sum(axis=1, keepdims=True) - np.cumsum(G, axis=1)
-        cross[k] = (float((Ev * below).sum()), float((Ev * above).sum()))
+    if n_groups * nk * nr <= DRIVER_CELLS:
+        cross = _cross_driver(cells, by, nk, nr)
+    else:
+        cross = _cross_spark(cells, by, nk, nr)
     schema_by = ", ".join(f"{b} {g.schema[b].dataType.simpleString()}" for b in by)
     schema = (schema_by + ", " if by else "") + "conc double, disc double, tied double"
     cols = [*by, "time", "event", "risk", "w", "kb"]
@@ -186,6 +180,43 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
     return df.sparkSession.createDataFrame(rows, out_schema)
 
 
+def _cross_driver(cells: DataFrame, by: list[str], nk: int, nr: int) -> dict:
+    mats = {}
+    for r in cells.collect():  # at most DRIVER_CELLS rows
+        k = tuple(r[b] for b in by)
+        if k not in mats:
+            mats[k] = (np.zeros((nk, nr)), np.zeros((nk, nr)))
+        mats[k][0][r["kb"], r["rb"]] = r["n_all"]
+        mats[k][1][r["kb"], r["rb"]] = r["n_ev"]
+    cross = {}
+    for k, (A, Ev) in mats.items():
+        G = np.cumsum(A[::-1], axis=0)[::-1]
+        G = np.vstack([G[1:], np.zeros((1, nr))])          # rows kb' > kb
+        below = np.cumsum(G, axis=1) - G                      # columns rb' < rb
+        above = G.sum(axis=1, keepdims=True) - np.cumsum(G, axis=1)  # columns rb' > rb
+        cross[k] = (float((Ev * below).sum()), float((Ev * above).sum()))
+    return cross
+
+
+def _cross_spark(cells: DataFrame, by: list[str], nk: int, nr: int) -> dict:
+    """Same sums as ``_cross_driver`` with windows over a dense (group, kb, rb) grid."""
+    from pyspark.sql import Window
+    grid = (cells.select(*by).distinct()
+            .withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(nk - 1))))
+            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))))
+    g = grid.join(cells, [*by, "kb", "rb"], "left").fillna(0.0, ["n_all", "n_ev"])
+    wk = Window.partitionBy(*by, "rb").orderBy(F.col("kb").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_gsum", F.coalesce(F.sum("n_all").over(wk), F.lit(0.0)))
+    wr = Window.partitionBy(*by, "kb").orderBy("rb")
+    g = (g.withColumn("below", F.coalesce(F.sum("_gsum").over(wr.rowsBetween(Window.unboundedPreceding, -1)),
+                                          F.lit(0.0)))
+          .withColumn("above", F.coalesce(F.sum("_gsum").over(wr.rowsBetween(1, Window.unboundedFollowing)),
+                                          F.lit(0.0))))
+    out = g.groupBy(*by).agg(F.sum(F.col("n_ev") * F.col("below")).alias("c"),
+                             F.sum(F.col("n_ev") * F.col("above")).alias("d"))
+    return {tuple(r[b] for b in by): (float(r["c"]), float(r["d"])) for r in out.collect()}
+
+
 def concordance_table(df: DataFrame, time: str = "t", event: str = "e", risk: str = "risk",
                       **kw) -> DataFrame:
     return concordance_by(df, [], time, event, risk, **kw)

@@ -137,7 +137,9 @@ def _efron_terms(tt: DataFrame, p: int, ties: str, max_d: int) -> DataFrame:
     """Per event time: a, c, L = sum log z, q0, q1, q2."""
     S0, D0, d = F.col("S0"), F.col("D0"), F.col("d").cast("double")
     if ties == "breslow":
-        return tt.select("*", (d / S0).alias("a"), F.lit(0.0).alias("c"), (d * F.log(S0)).alias("L"),
+        has = F.col("d") > 0
+        return tt.select("*", (d / S0).alias("a"), F.lit(0.0).alias("c"),
+                         F.when(has, d * F.log(S0)).otherwise(0.0).alias("L"),
                          (d / (S0 * S0)).alias("q0"), F.lit(0.0).alias("q1"), F.lit(0.0).alias("q2"))
 
     def acc_merge(acc, l):
@@ -149,7 +151,8 @@ def _efron_terms(tt: DataFrame, p: int, ties: str, max_d: int) -> DataFrame:
 
     init = F.struct(*[F.lit(0.0).alias(k) for k in ("a", "c", "L", "q0", "q1", "q2")])
     if max_d <= EFRON_CHUNK:
-        s = F.aggregate(F.sequence(F.lit(0), F.col("d").cast("int") - 1), init, acc_merge)
+        s = F.when(F.col("d") > 0, F.aggregate(F.sequence(F.lit(0), F.col("d").cast("int") - 1), init, acc_merge)) \
+            .otherwise(init)
         return tt.withColumn("_ef", s).select("*", *[F.col("_ef")[k].alias(k)
                                                      for k in ("a", "c", "L", "q0", "q1", "q2")]).drop("_ef")
     # very large tie groups: chunk the l-range so no row builds a huge array
@@ -158,8 +161,9 @@ def _efron_terms(tt: DataFrame, p: int, ties: str, max_d: int) -> DataFrame:
           .withColumn("_lo", F.col("_k") * EFRON_CHUNK)
           .withColumn("_hi", F.least(F.col("_lo") + EFRON_CHUNK, F.col("d").cast("int")) - 1))
     ch = ch.withColumn("_ef", F.aggregate(F.sequence(F.col("_lo"), F.col("_hi")), init, acc_merge))
-    sums = ch.groupBy("time").agg(*[F.sum(F.col("_ef")[k]).alias(k) for k in ("a", "c", "L", "q0", "q1", "q2")])
-    return tt.join(sums, "time", "inner")
+    sums = ch.where(F.col("d") > 0).groupBy("time").agg(
+        *[F.sum(F.col("_ef")[k]).alias(k) for k in ("a", "c", "L", "q0", "q1", "q2")])
+    return tt.join(sums, "time", "left").fillna(0.0, ["a", "c", "L", "q0", "q1", "q2"])
 
 
 def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bool, max_d: int,
@@ -179,19 +183,19 @@ def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bo
     tt = X1.groupBy(F.col("t").alias("time")).agg(*aggs)
     tt = cumulative(tt, "time", [], sums={"S0": "S0p", **{f"S1{j}": f"S1p{j}" for j in range(p)}},
                     descending=True, force_two_level=two_level)
-    ev = _efron_terms(tt.where(F.col("d") > 0), p, ties, max_d)
-    # information correction and log-likelihood part from the time table
+    # Efron terms for every time (zero where no event), then A(t) = running sum of a; the time
+    # table is cached once and read by both aggregates of the step
+    ev = _efron_terms(tt, p, ties, max_d)
+    ev = cumulative(ev, "time", [], sums={"A": "a"}, force_two_level=two_level)
+    ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
     taggs = [F.sum("L").alias("L")]
     for j in range(p):
         for k in range(j, p):
             Sj, Sk, Dj, Dk = F.col(f"S1{j}"), F.col(f"S1{k}"), F.col(f"D1{j}"), F.col(f"D1{k}")
             m = Sj * Sk * F.col("q0") - (Sj * Dk + Dj * Sk) * F.col("q1") + Dj * Dk * F.col("q2")
             taggs.append(F.sum(m).alias(f"M{j}_{k}"))
-    ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
     trow = ev.agg(*taggs).first().asDict()
-    at = cumulative(tt.select("time").join(ev.select("time", "a", "c"), "time", "left")
-                    .fillna(0.0, ["a", "c"]), "time", [], sums={"A": "a"}, force_two_level=two_level)
-    at = at.select("time", "A", "c")
+    at = ev.select("time", "A", "c")
     at = F.broadcast(at) if broadcast_times else at
     j = X1.join(at, X1["t"] == at["time"], "inner")
     s = F.col("w") * (F.col("A") - e * F.col("c"))

@@ -45,7 +45,9 @@ def _grouped_stats(X: DataFrame, p: int, betas: dict, ties: str, two_level: bool
     tt = X1.groupBy("g", F.col("t").alias("time")).agg(*aggs)
     tt = cumulative(tt, "time", ["g"], sums={"S0": "S0p", **{f"S1{j}": f"S1p{j}" for j in range(p)}},
                     descending=True, force_two_level=two_level)
-    ev = _efron_terms(tt.where(F.col("d") > 0), p, ties, max_d).persist(StorageLevel.MEMORY_AND_DISK)
+    ev = _efron_terms(tt, p, ties, max_d)
+    ev = cumulative(ev, "time", ["g"], sums={"A": "a"}, force_two_level=two_level)
+    ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
     taggs = [F.sum("L").alias("L")]
     for a in range(p):
         for b in range(a, p):
@@ -53,9 +55,7 @@ def _grouped_stats(X: DataFrame, p: int, betas: dict, ties: str, two_level: bool
             m = Sa * Sb * F.col("q0") - (Sa * Db + Da * Sb) * F.col("q1") + Da * Db * F.col("q2")
             taggs.append(F.sum(m).alias(f"M{a}_{b}"))
     trows = {r["g"]: r.asDict() for r in ev.groupBy("g").agg(*taggs).collect()}
-    at = cumulative(tt.select("g", "time").join(ev.select("g", "time", "a", "c"), ["g", "time"], "left")
-                    .fillna(0.0, ["a", "c"]), "time", ["g"], sums={"A": "a"}, force_two_level=two_level)
-    at = at.select(F.col("g").alias("_g"), F.col("time").alias("_t"), "A", "c")
+    at = ev.select(F.col("g").alias("_g"), F.col("time").alias("_t"), "A", "c")
     at = F.broadcast(at) if bc else at
     j = X1.join(at, (X1["g"] == at["_g"]) & (X1["t"] == at["_t"]), "inner")
     s = F.col("w") * (F.col("A") - e * F.col("c"))

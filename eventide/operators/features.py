@@ -39,14 +39,16 @@ def pairwise_features(df: DataFrame, cols: Sequence[str] | None = None, exclude:
 
 
 def series_features(df: DataFrame, cols: Sequence[str] | None = None, exclude: Sequence[str] = (),
-                    by: str | None = None) -> DataFrame:
+                    by: str | None = None, exact: bool | None = None) -> DataFrame:
     """Per column sum, median, mean, length, std, var, rms, max, abs max, min (population),
     repeated on every row (``by`` gives per-entity summaries through a join)."""
+    from eventide.functions.exprs import exact_ok, median
+    exact = exact_ok(df) if exact is None else exact
     cols = list(cols if cols is not None else numeric_columns(df, exclude))[:MAX_SERIES_COLS]
     aggs = []
     for c in cols:
         x = F.col(_q(c)).cast("double")
-        aggs += [F.sum(x).alias(f"ts_{c}_sum"), F.median(x).alias(f"ts_{c}_median"),
+        aggs += [F.sum(x).alias(f"ts_{c}_sum"), median(x, exact).alias(f"ts_{c}_median"),
                  F.avg(x).alias(f"ts_{c}_mean"), F.count(x).alias(f"ts_{c}_length"),
                  F.stddev_pop(x).alias(f"ts_{c}_std"), F.var_pop(x).alias(f"ts_{c}_var"),
                  F.sqrt(F.avg(x * x)).alias(f"ts_{c}_rms"), F.max(x).alias(f"ts_{c}_max"),

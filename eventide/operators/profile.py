@@ -133,13 +133,16 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
                       F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def shape_stats(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
     """Skewness and kurtosis (population moments) and 1.5 IQR outlier count per column."""
+    from eventide.functions.exprs import exact_ok, quantile
+    exact = exact_ok(df) if exact is None else exact
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(_q(c)).cast("double")
         aggs += [F.skewness(x).alias(f"sk_{i}"), F.kurtosis(x).alias(f"ku_{i}"),
-                 F.percentile(x, 0.25).alias(f"q1_{i}"), F.percentile(x, 0.75).alias(f"q3_{i}")]
+                 quantile(x, 0.25, exact).cast("double").alias(f"q1_{i}"),
+                 quantile(x, 0.75, exact).cast("double").alias(f"q3_{i}")]
     q = df.agg(*aggs).first().asDict()
     out_aggs = []
     for i, c in enumerate(cols):
@@ -209,15 +212,17 @@ def event_distribution(df: DataFrame, event: str = "e") -> DataFrame:
 
 
 def population_summary(df: DataFrame, time: str = "t", event: str = "e",
-                       group: str | None = None, numeric: Sequence[str] = ()) -> DataFrame:
+                       group: str | None = None, numeric: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
     """N, events, median follow-up, group ratio, numeric min/max/median — one aggregate."""
+    from eventide.functions.exprs import exact_ok, median
+    exact = exact_ok(df) if exact is None else exact
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("events"),
-            F.median(F.col(time).cast("double")).alias("median_followup")]
+            median(F.col(time).cast("double"), exact).alias("median_followup")]
     if group:
         aggs.append(F.avg(F.col(group).cast("double")).alias("group_ratio"))
     for c in numeric:
         x = F.col(_q(c)).cast("double")
-        aggs += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.median(x).alias(f"{c}_median")]
+        aggs += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), median(x, exact).alias(f"{c}_median")]
     return df.agg(*aggs)
 
 

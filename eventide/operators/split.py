@@ -65,3 +65,20 @@ def uniform_rank(df: DataFrame, key: str, tie: str, n_buckets: int = RANK_BUCKET
     w = Window.partitionBy("_b").orderBy(key, tie)
     out = k.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offs), "_b")
     return out.withColumn("rank", F.col("_off") + F.col("_r")).drop("_b", "_r", "_off")
+
+
+def sorted_dense_rank(distinct: DataFrame, col: str, n_parts: int | None = None) -> DataFrame:
+    """Rank (1..N) of distinct values in sorted order without a global window.
+
+    ``repartitionByRange`` puts contiguous value ranges in partitions; values are
+    ranked inside each partition and shifted by the sizes of earlier partitions
+    (a table with one row per partition).
+    """
+    n_parts = n_parts or distinct.sparkSession.sparkContext.defaultParallelism
+    r = distinct.repartitionByRange(n_parts, col).withColumn("_pid", F.spark_partition_id())
+    sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = sizes.select("_pid", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(col)
+    out = r.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offs), "_pid")
+    return out.select(col, (F.col("_off") + F.col("_r")).alias("rank"))

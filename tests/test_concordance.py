@@ -57,3 +57,20 @@ def test_grouped_equals_separate(spark):
     by = {r["g"]: r["c_index"] for r in concordance_by(df, ["g"]).collect()}
     for g in range(3):
         assert abs(by[g] - concordance(df.where(F.col("g") == g))["c_index"]) < 1e-12
+
+
+def test_cross_bucket_spark_path_equals_driver(spark):
+    from eventide.operators import concordance as C
+    rng = np.random.default_rng(0)
+    n = 1500
+    df = spark.createDataFrame([(int(g), float(a), int(b), float(c)) for g, a, b, c in
+                                zip(rng.integers(0, 3, n), rng.integers(1, 50, n), rng.integers(0, 2, n),
+                                    rng.normal(size=n))], "g int, t double, e int, risk double")
+    a = {r["g"]: (r["concordant"], r["discordant"]) for r in C.concordance_by(df, ["g"], n_buckets=6).collect()}
+    old = C.DRIVER_CELLS
+    C.DRIVER_CELLS = 0
+    try:
+        b = {r["g"]: (r["concordant"], r["discordant"]) for r in C.concordance_by(df, ["g"], n_buckets=6).collect()}
+    finally:
+        C.DRIVER_CELLS = old
+    assert a == b
