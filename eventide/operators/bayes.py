@@ -251,23 +251,30 @@ def bayes_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
                   *[((F.col(f).cast("double") - float(means[j])) / float(scales[j])).alias(f"x{j}")
                     for j, f in enumerate(feats)])
     args = (p, dist, prior_sigma, S, draws, chains, tune, seed)
-    out = x.groupBy("_shard").applyInPandas(lambda pdf: _shard_sampler(pdf, *args),
-                                            "shard int, chain int, draw int, theta array<double>")
-    rows = out.collect()  # shards x chains x draws parameter vectors (bounded by the sampler settings)
     d = _n_base(dist) + p
-    per = {}
-    for r in rows:
-        per.setdefault(r["shard"], {})[(r["chain"], r["draw"])] = np.array(r["theta"])
-    keys = sorted(next(iter(per.values())).keys())
-    Ws, thetas = [], []
-    for s in sorted(per):
-        A = np.array([per[s][k] for k in keys])
+
+    def shard_task(pdf):
+        # sample, then weight this shard's draws by its own precision inside the task
+        dr = _shard_sampler(pdf, *args)
+        A = np.array(dr["theta"].tolist())
         C = np.cov(A.T) if len(A) > 1 else np.eye(d)
         W = np.linalg.pinv(np.atleast_2d(C))
-        Ws.append(W)
-        thetas.append(A)
-    Wsum_inv = np.linalg.pinv(sum(Ws))
-    comb = np.array([Wsum_inv @ sum(W @ A[g] for W, A in zip(Ws, thetas)) for g in range(len(keys))])
+        WA = A @ W.T
+        g = dr["chain"].to_numpy() * draws + dr["draw"].to_numpy()
+        rows = [(int(gi), wa.tolist(), None) for gi, wa in zip(g, WA)]
+        rows.append((-1, None, W.reshape(-1).tolist()))
+        return pd.DataFrame(rows, columns=["g", "wa", "w"])
+
+    out = x.groupBy("_shard").applyInPandas(shard_task, "g int, wa array<double>, w array<double>")
+    out = out.persist()
+    # precision-weighted consensus: sum over shards per draw index (G rows) and of the precisions
+    Wsum = out.where("g = -1").agg(*[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(d * d)]).first()
+    Wsum = np.array([Wsum[f"w{i}"] for i in range(d * d)]).reshape(d, d)
+    per_g = (out.where("g >= 0").groupBy("g").agg(*[F.sum(F.col("wa")[i]).alias(f"a{i}") for i in range(d)])
+             .orderBy("g").collect())  # chains x draws rows
+    out.unpersist()
+    Winv = np.linalg.pinv(Wsum)
+    comb = np.array([Winv @ np.array([r[f"a{i}"] for i in range(d)]) for r in per_g])
     # back to the original covariate scale
     nb = _n_base(dist)
     orig = comb.copy()
