@@ -76,7 +76,7 @@ def kaplan_meier(df: DataFrame, time: str = "t", event: str = "e", strata=None,
                        force_two_level=force_two_level)
     curve = curve.select(*s, "time", "n_at_risk", "n_event", "n_censored", "survival", "_gw")
     # the at-risk count at the earliest time is the stratum size: no second pass over the input
-    start = (rt.groupBy(*s).agg(F.max("n_at_risk").alias("n_at_risk"))
+    start = (rt.groupBy(*s).agg(F.max("n_at_risk").alias("n_at_risk")).where(F.col("n_at_risk").isNotNull())
              .select(*s, F.lit(0.0).alias("time"), "n_at_risk", F.lit(0).cast("long").alias("n_event"),
                      F.lit(0).cast("long").alias("n_censored"), F.lit(1.0).alias("survival"),
                      F.lit(0.0).alias("_gw")))
