@@ -86,10 +86,10 @@ def cox_fit_grouped(df: DataFrame, group: str, time: str, event: str, features,
     events or a singular fit are skipped (reported as missing)."""
     feats = list(features)
     p = len(feats)
-    st = df.groupBy(group).agg(F.sum(F.col(event).cast("double")).alias("ev")).collect()
-    groups = [r[group] for r in st if (r["ev"] or 0) >= min_events]
-    if len(groups) > MAX_GROUPS:
+    st = df.groupBy(group).agg(F.sum(F.col(event).cast("double")).alias("ev")).limit(MAX_GROUPS + 1).collect()
+    if len(st) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
+    groups = [r[group] for r in st if (r["ev"] or 0) >= min_events]
     stats = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{j}") for j, f in enumerate(feats)],
                    *[F.stddev_pop(F.col(f).cast("double")).alias(f"s{j}") for j, f in enumerate(feats)]).first()
     means = np.array([stats[f"m{j}"] or 0.0 for j in range(p)])

@@ -61,11 +61,28 @@ def column_stats_q(spark, sf_dir):
     return _stats_out(P.column_stats(fx.dirty(spark, sf_dir), exact=True))
 
 
-@register("role_candidates", STATS_SQL + """
-SELECT 'time' AS role, column_name FROM stats WHERE is_time_to_event
-UNION ALL SELECT 'event', column_name FROM stats WHERE is_event_indicator""")
+_ROLE_VIEW = ("SELECT id, price AS order_value, t AS survival_time, e AS event_status, cause AS death_cause, "
+              "seg FROM reorder")
+
+
+def _role_sql():
+    cols = ["id", "order_value", "survival_time", "event_status", "death_cause", "seg"]
+    parts = []
+    for c in cols:
+        num = f"(SELECT typeof({c}) FROM v LIMIT 1) IN ('DOUBLE', 'BIGINT', 'INTEGER')"
+        tw = " OR ".join(f"contains(lower('{c}'), '{w}')" for w in P.TTE_WORDS)
+        ew = " OR ".join(f"contains(lower('{c}'), '{w}')" for w in P.EVENT_WORDS)
+        parts.append(f"SELECT 'time' AS role, '{c}' AS column_name WHERE {num} AND ({tw})")
+        parts.append(f"SELECT 'event' AS role, '{c}' AS column_name WHERE {num} AND ({ew})")
+    return R.rstrip() + f""",
+v AS ({_ROLE_VIEW})
+""" + "\nUNION ALL ".join(parts)
+
+
+@register("role_candidates", _role_sql())
 def role_candidates_q(spark, sf_dir):
-    return P.role_candidates(P.column_stats(fx.dirty(spark, sf_dir), exact=True))
+    fx.reorder(spark, sf_dir).createOrReplaceTempView("reorder")
+    return P.role_candidates(P.column_stats(spark.sql(_ROLE_VIEW), exact=True))
 
 
 @register("dataset_summary", STATS_SQL + """

@@ -83,3 +83,12 @@ def aj_summary_q(spark, sf_dir):
     out = aj.aj_summary(aj.aalen_johansen(fx.reorder(spark, sf_dir), "t", "cause"))
     return out.select("state", r6(F.col("final_probability")).alias("final_probability"),
                       "n_times", "median_stay")
+
+
+@register("logrank_multi")
+def logrank_multi_q(spark, sf_dir):
+    df = fx.reorder(spark, sf_dir)
+    r = logrank.logrank(df, "seg")
+    return df.agg(F.count(F.lit(1)).alias("n")).select(
+        "n", F.lit(float(r["statistic"])).alias("statistic"), F.lit(int(r["df"])).alias("df"),
+        F.lit(float(r["p_value"])).alias("p_value"))
