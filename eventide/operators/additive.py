@@ -105,10 +105,17 @@ def aalen_additive_fit(df: DataFrame, time: str, event: str, features: Sequence[
     return AdditiveModel(feats, coef_penalizer, cum)
 
 
-def additive_risk(model: AdditiveModel, df: DataFrame, keep=()) -> DataFrame:
-    """risk = cumulative hazard at the last time; median = first t with H >= ln 2 (last time if never)."""
-    last = model.cumulative_coef.agg(F.max("time")).first()[0]
-    h = model.predict_cumulative_hazard(df, [last], keep).withColumnRenamed("cumulative_hazard", "risk")
-    return h.select(*keep, "risk")
+def additive_risk(model: AdditiveModel, df: DataFrame, keep=(), median_grid: int = 100) -> DataFrame:
+    """risk = cumulative hazard at the last event time; median = first time on a grid of event-time
+    quantiles with S <= 0.5, else the last time (the additive H need not be monotone in t)."""
+    keep = list(keep)
+    c = model.cumulative_coef
+    last = c.agg(F.max("time")).first()[0]
+    qs = c.approxQuantile("time", [(i + 1) / median_grid for i in range(median_grid)], 0.001)
+    grid = sorted(set([float(v) for v in qs] + [float(last)]))
+    h = model.predict_cumulative_hazard(df, grid, keep)
+    return h.groupBy(*keep).agg(
+        F.max_by("cumulative_hazard", "time").alias("risk"),
+        F.coalesce(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))), F.lit(float(last))).alias("median_time"))
 
 

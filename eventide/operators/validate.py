@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.profile import _q, is_numeric_type
@@ -15,7 +15,7 @@ class SurvivalDataError(ValueError):
 
 
 def validate(df: DataFrame, time: str | None = None, event: str | None = None,
-             outlier_z: float = 3.0) -> DataFrame:
+             outlier_z: float = 3.0, key: str | None = None, sample_size: int = 5) -> DataFrame:
     """One row per issue: (issue_type, column_name, severity, affected_rows, description).
 
     Rules: missing values (warning; error on time/event), non-positive time,
@@ -59,9 +59,33 @@ def validate(df: DataFrame, time: str | None = None, event: str | None = None,
         if o:
             issues.append(("outliers", c, "info", int(o), f"{o} values beyond {outlier_z} sd",
                            "check or winsorize"))
-    return df.sparkSession.createDataFrame(
+    out = df.sparkSession.createDataFrame(
         issues, "issue_type string, column_name string, severity string, affected_rows long, "
                 "description string, suggestion string")
+    if key is None or not issues:
+        return out
+    # capped sample of offending keys per issue: top-k per group by window rank (distributed)
+    conds = []
+    for it, col, *_ in issues:
+        c = F.col(_q(col))
+        if it == "missing_values":
+            cond = c.isNull()
+        elif it == "incorrect_format" and col == time:
+            cond = c <= 0
+        elif it == "incorrect_format":
+            cond = ~c.cast("double").isin(0.0, 1.0)
+        else:
+            i = num.index(col)
+            cond = F.abs((c - row[f"mu_{i}"]) / row[f"sd_{i}"]) > outlier_z
+        conds.append(F.when(cond, F.struct(F.lit(it).alias("issue_type"), F.lit(col).alias("column_name"))))
+    bad = df.select(F.col(_q(key)).alias("_key"), F.explode(F.filter(F.array(*conds), lambda x: x.isNotNull()))
+                    .alias("_i")).select("_key", "_i.issue_type", "_i.column_name")
+    w = Window.partitionBy("issue_type", "column_name").orderBy("_key")
+    sample = (bad.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size)
+              .groupBy("issue_type", "column_name")
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", F.col("_key").cast("string").alias("k")))),
+                               lambda x: x["k"]).alias("sample_keys")))
+    return out.join(sample, ["issue_type", "column_name"], "left")
 
 
 def survival_violations(df: DataFrame, time: str = "t", event: str = "e") -> dict:

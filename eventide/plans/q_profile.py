@@ -223,6 +223,11 @@ UNION ALL SELECT 'incorrect_format', 'cause', 'error', count(*) FROM dirty
 UNION ALL {outl})"""
 
 
+@register("validate_sample_keys")
+def validate_sample_keys_q(spark, sf_dir):
+    return V.validate(fx.dirty(spark, sf_dir), time="t", event="cause", key="id", sample_size=5)
+
+
 @register("validate", _validate_sql())
 def validate_q(spark, sf_dir):
     v = V.validate(fx.dirty(spark, sf_dir), time="t", event="cause")

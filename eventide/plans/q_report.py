@@ -171,3 +171,18 @@ FROM c GROUP BY bin_x, bin_y""")
 def risk_heatmap_q(spark, sf_dir):
     h = T.risk_heatmap(fx.reorder(spark, sf_dir), "price", "t", "e", 5)
     return h.select("bin_x", "bin_y", r6(F.col("mean_risk")).alias("mean_risk"), "n", "band")
+
+
+@register("performance_by_period_metrics")
+def performance_by_period_metrics_q(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"),
+                                              F.year("o_orderdate").cast("int").alias("period"))
+    df = fx.reorder(spark, sf_dir).join(o, "id").withColumn("risk", F.col("price"))
+    curves = risk.kaplan_meier(df, "t", "e", "seg", with_ci=False)
+    pred = risk.km_predictions(df, curves, "seg", [180.0])
+    return T.period_metrics(pred, "period", 180.0, "S_0", "t", "e", "risk")
+
+
+@register("risk_heatmap_quantile")
+def risk_heatmap_quantile_q(spark, sf_dir):
+    return T.risk_heatmap(fx.reorder(spark, sf_dir), "price", "t", "e", 4, binning="quantile")
