@@ -27,6 +27,10 @@ from eventide.operators.logrank import group_values
 from eventide.plans.scan import cumulative
 
 
+# The merged baseline grid is broadcast to the prediction tasks: bound it (checked).
+MAX_CIF_GRID = 2_000_000
+
+
 def cause_specific_fit(df: DataFrame, time: str, cause: str, features: Sequence[str],
                        causes: Sequence[int] | None = None, penalizer: float = 0.0,
                        ties: str = "efron") -> dict[int, CoxModel]:
@@ -128,7 +132,8 @@ def _fg_stats(X: DataFrame, Gt: DataFrame, p: int, beta: np.ndarray):
     trow = tt.agg(*taggs).first().asDict()
     ab = cumulative(tt.select("time", "a", "aG"), "time", [], sums={"A": "a"})
     ab = cumulative(ab, "time", [], sums={"B": "aG"}, descending=True, exclusive=True)
-    ab = F.broadcast(ab.select(F.col("time").alias("_t"), "A", "B"))
+    from eventide.operators.relational import maybe_broadcast
+    ab = maybe_broadcast(ab.select(F.col("time").alias("_t"), "A", "B"))
     j = X1.join(ab, X1["t"] == ab["_t"], "inner")
     s = F.col("w") * (F.col("A") + F.when((F.col("comp") == 1) & (F.col("gm") > 0),
                                           F.col("B") / F.col("gm")).otherwise(0.0))
@@ -226,7 +231,11 @@ def cause_specific_cif(models: dict, df: DataFrame, times: Sequence[float], key:
         b = models[k].baseline.select("time", F.col("baseline_hazard").alias(f"H{k}"))
         base = b if base is None else base.join(b, "time", "full_outer")
     # only steps up to the last requested time matter; one row per distinct event time
-    rows = base.where(F.col("time") <= max(float(t) for t in times)).orderBy("time").collect()
+    rows = (base.where(F.col("time") <= max(float(t) for t in times)).orderBy("time")
+            .limit(MAX_CIF_GRID + 1).collect())
+    if len(rows) > MAX_CIF_GRID:
+        raise ValueError(f"{len(rows)} baseline steps before the last requested time; "
+                         f"round the time column (at most {MAX_CIF_GRID} distinct event times)")
     grid = np.array([r["time"] for r in rows], dtype=float)
     H = np.zeros((len(causes), len(grid)))
     for i, k in enumerate(causes):

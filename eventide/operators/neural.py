@@ -184,7 +184,8 @@ def _epoch_gradient(model: NeuralModel, data: DataFrame, dropout: float, seed: i
     if model.loss == "cox":
         scored = model.score(data.select("_id", "t", "e", *feats), ["_id", "t", "e", *feats])
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-        tt = F.broadcast(_cox_time_table(scored).select(F.col("time").alias("_tt"), "A", "L"))
+        from eventide.operators.relational import maybe_broadcast
+        tt = maybe_broadcast(_cox_time_table(scored).select(F.col("time").alias("_tt"), "A", "L"))
         j = scored.join(tt, scored["t"] == tt["_tt"], "inner")
         # d(-loglik)/df_i = -(E_i - e^{f_i} A(T_i))
         j = j.withColumn("gout", -(F.col("e") - F.exp("f") * F.col("A")))

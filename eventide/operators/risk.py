@@ -155,4 +155,5 @@ def km_predictions(df: DataFrame, curves: DataFrame, strata: str, horizons: Sequ
     wide = at.groupBy(strata).agg(*[
         F.max(F.when(F.col("time") == float(h), F.col("survival"))).alias(f"{prefix}{k}")
         for k, h in enumerate(horizons)])
-    return df.join(F.broadcast(wide), on=strata, how="left")
+    from eventide.operators.relational import maybe_broadcast
+    return df.join(maybe_broadcast(wide), on=strata, how="left")
