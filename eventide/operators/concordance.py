@@ -10,10 +10,13 @@ Plan (all pair counts exact):
    heavy enough to be a cut gets its own bucket);
 3. pairs in different key *and* different risk buckets come from the
    (bucket x bucket) count matrix — bounded by buckets^2 numbers;
-4. pairs in the same key bucket: one group per key bucket;
-5. pairs in the same risk bucket but different key buckets: one group per
+4. pairs in the same key bucket and the same risk bucket: one group per cell;
+5. pairs in the same key bucket but different risk buckets: one group per key
+   bucket over rows pre-aggregated to (key, risk bucket) — a key bucket made of
+   one heavy time value holds only ~2 x buckets rows;
+6. pairs in the same risk bucket but different key buckets: one group per
    risk bucket (the key-bucket index orders the pairs).
-Steps 4 and 5 count 2-D dominance inside a group with a vectorised
+Steps 4-6 count 2-D dominance inside a group with a vectorised
 divide-and-conquer over key ranks (numpy sorts and searchsorted, no Python
 loop per row) in ``applyInPandas``.
 """
@@ -158,9 +161,23 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
             out[b] = p[b].iloc[0] if len(p) else None
         return out[[*by, "conc", "disc", "tied"]]
 
-    same_k = gb.select(*cols).groupBy(*by, "kb").applyInPandas(lambda p: run(p, True), schema)
+    # (c) same time bucket and same risk bucket: exact keys and risks inside one cell
+    same_cell = gb.select(*cols, "rb").groupBy(*by, "kb", "rb").applyInPandas(lambda p: run(p, True), schema)
+    # (d) same time bucket, different risk buckets: pre-aggregate to (key, risk bucket) first, so a
+    #     time bucket holding one heavy time value ships ~2 x buckets rows; risk-bucket ties are
+    #     cell pairs already counted in (c) and are dropped
+    cellagg = (gb.groupBy(*by, "kb", "time", "event", "rb").agg(F.sum("w").alias("w"))
+               .withColumn("risk", F.col("rb").cast("double")))
+
+    def run_d(p):
+        out = run(p, True)
+        out["tied"] = 0.0
+        return out
+
+    same_k = cellagg.select(*cols).groupBy(*by, "kb").applyInPandas(run_d, schema)
+    # (b) same risk bucket, different time buckets: the time-bucket index orders the pairs
     same_r = gb.select(*cols, "rb").groupBy(*by, "rb").applyInPandas(lambda p: run(p, False), schema)
-    local = same_k.unionByName(same_r).groupBy(*by).agg(
+    local = same_cell.unionByName(same_k).unionByName(same_r).groupBy(*by).agg(
         F.sum("conc").alias("c"), F.sum("disc").alias("d"), F.sum("tied").alias("t"))
     ttime = (gb.where("event = 1").groupBy(*by, "time").agg(F.sum("w").alias("d"))
              .groupBy(*by).agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("tt")))

@@ -74,3 +74,17 @@ def test_cross_bucket_spark_path_equals_driver(spark):
     finally:
         C.DRIVER_CELLS = old
     assert a == b
+
+
+def test_heavy_time_value_exact(spark):
+    """A third of the rows share one time (skew): still exact for any bucketing."""
+    rng = np.random.default_rng(9)
+    n = 450
+    t = np.where(rng.random(n) < 1 / 3, 5.0, rng.integers(1, 30, n).astype(float))
+    e = rng.integers(0, 2, n)
+    r = rng.normal(size=n).round(2)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, r)],
+                               "t double, e int, risk double")
+    for nb in (2, 5, 9):
+        res = concordance(df, n_buckets=nb)
+        assert (res["concordant"], res["discordant"], res["tied_risk"]) == brute(t, e, r)
