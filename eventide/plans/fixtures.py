@@ -15,9 +15,10 @@ The SQL strings are the same definitions for the DuckDB oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.plans.scan import split_lead
 from eventide.sources.tables import table
 
 # Fixed values of the fixtures.
@@ -30,11 +31,10 @@ def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate", "o_orderstatus")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
-    j = (j.withColumn("d0", F.to_date("o_orderdate"))
-          .withColumn("d1", F.lead(F.to_date("o_orderdate")).over(w))
-          .withColumn("st", F.lead("o_orderstatus").over(w)))
+    j = o.join(c, o.o_custkey == c.c_custkey, "inner").withColumn("d0", F.to_date("o_orderdate"))
+    # lead over each customer's orders, split so a heavy customer is not one task
+    j = split_lead(j, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["d0", "o_orderstatus"])
+    j = j.withColumnRenamed("d0_next", "d1").withColumnRenamed("o_orderstatus_next", "st")
     return j.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("cluster"),
@@ -66,9 +66,8 @@ reorder AS (
 
 def journey(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    nxt_ts = F.lead("ts").over(w)
-    j = ev.withColumn("next_state", F.lead("event_type").over(w)).withColumn("next_ts", nxt_ts)
+    j = split_lead(ev, ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
+    j = j.withColumnRenamed("event_type_next", "next_state").withColumnRenamed("ts_next", "next_ts")
     end = F.coalesce(F.col("next_ts").cast("timestamp"), F.lit(JOURNEY_END).cast("timestamp"))
     return j.select(
         F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("state"), "next_state",

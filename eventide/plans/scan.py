@@ -117,3 +117,40 @@ def _two_level(df, order_col, part, sums, products, descending, n_buckets, end):
         out = out.withColumn(name, F.col(f"_off_{name}") * F.col(f"_loc_{name}"))
     drop = ["_bucket"] + [f"_{k}_{n}" for k in ("off", "loc") for n in list(sums) + list(products)]
     return out.drop(*drop)
+
+
+def split_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+               suffix: str = "_next", n_parts: int | None = None) -> DataFrame:
+    """``lead(col) over (partition by keys order by order)`` without putting a key in one task.
+
+    Rows are range-partitioned on (keys, order), so a key holding a third of the
+    rows spans many partitions.  The lead is taken inside each (partition, key)
+    and the last row of a partition takes its successor from the first row of
+    the next partition (a table with one row per partition, broadcast).
+    ``order`` must make rows unique within a key.  The partitioned rows are
+    checkpointed to the shared checkpoint folder so both uses agree.
+    """
+    keys, order, cols = list(keys), list(order), list(cols)
+    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from eventide.session import cut_lineage
+    # materialise the partition ids once (reliable checkpoint): the range bounds come from a
+    # sample, and both branches below must see the same assignment
+    r = cut_lineage(df.repartitionByRange(n_parts, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", *keys).orderBy(*order)
+    for c in cols:
+        r = r.withColumn(c + suffix, F.lead(c).over(w))
+    r = r.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    firsts = r.groupBy("_pid").agg(F.min_by(F.struct(*[F.col(k).alias(f"_fk{i}") for i, k in enumerate(keys)],
+                                                     *[F.col(c).alias(f"_fv{i}") for i, c in enumerate(cols)]),
+                                            F.struct(*keys, *order)).alias("_f"))
+    # first row of the next non-empty partition (partitions can be empty): tiny window over partitions
+    firsts = firsts.select(F.lag("_pid").over(Window.orderBy("_pid")).alias("_pid"), "_f") \
+        .where(F.col("_pid").isNotNull())
+    j = r.join(F.broadcast(firsts), "_pid", "left")  # one row per partition
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(f"_f._fk{i}") == F.col(k))
+    for i, c in enumerate(cols):
+        j = j.withColumn(c + suffix, F.when(F.col("_last") & F.coalesce(same, F.lit(False)), F.col(f"_f._fv{i}"))
+                         .otherwise(F.col(c + suffix)))
+    return j.drop("_pid", "_last", "_f")

@@ -64,3 +64,19 @@ def test_step_lookup_buckets(spark):
     lin = {r["pid"]: r["v"] for r in linear_lookup(curve, pts, [], "time", "v", "pid").collect()}
     assert lin[2] == 3.0 and lin[0] == 0.0 and lin[6] == 198.0 and lin[4] == 100.0
     _ = F
+
+
+def test_split_lead_equals_window(spark):
+    from pyspark.sql import Window as W
+
+    from eventide.plans.scan import split_lead
+    rng = np.random.default_rng(2)
+    # key 0 holds a third of the rows (skew); many partitions, some possibly empty
+    keys = np.where(rng.random(3000) < 1 / 3, 0, rng.integers(1, 200, 3000))
+    df = spark.createDataFrame([(int(k), int(i), float(v)) for i, (k, v) in
+                                enumerate(zip(keys, rng.normal(size=3000)))], "k int, o int, v double")
+    for parts in (3, 17, 64):
+        got = {r["o"]: r["v_next"] for r in split_lead(df, ["k"], ["o"], ["v"], n_parts=parts).collect()}
+        ref = {r["o"]: r["vn"] for r in df.withColumn("vn", F.lead("v").over(W.partitionBy("k").orderBy("o")))
+               .collect()}
+        assert got == ref
