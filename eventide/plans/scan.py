@@ -119,8 +119,13 @@ def _two_level(df, order_col, part, sums, products, descending, n_buckets, end):
     return out.drop(*drop)
 
 
+# A key with at most this many rows is led with a plain per-key window (bounded task);
+# any larger key switches the whole lead to the split form below.
+LEAD_WINDOW_MAX_KEY_ROWS = 2_000_000
+
+
 def split_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-               suffix: str = "_next", n_parts: int | None = None) -> DataFrame:
+               suffix: str = "_next", n_parts: int | None = None, force_split: bool | None = None) -> DataFrame:
     """``lead(col) over (partition by keys order by order)`` without putting a key in one task.
 
     Rows are range-partitioned on (keys, order), so a key holding a third of the
@@ -128,14 +133,24 @@ def split_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
     and the last row of a partition takes its successor from the first row of
     the next partition (a table with one row per partition, broadcast).
     ``order`` must make rows unique within a key.  The partitioned rows are
-    checkpointed to the shared checkpoint folder so both uses agree.
+    persisted so both uses read one partitioning.
     """
     keys, order, cols = list(keys), list(order), list(cols)
+    if force_split is None:
+        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        force_split = biggest > LEAD_WINDOW_MAX_KEY_ROWS
+    if not force_split:
+        w0 = Window.partitionBy(*keys).orderBy(*order)
+        out = df
+        for c in cols:
+            out = out.withColumn(c + suffix, F.lead(c).over(w0))
+        return out
     n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from eventide.session import cut_lineage
-    # materialise the partition ids once (reliable checkpoint): the range bounds come from a
-    # sample, and both branches below must see the same assignment
-    r = cut_lineage(df.repartitionByRange(n_parts, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    from pyspark import StorageLevel
+    # one cached plan = one RDD with one range partitioner: both branches below see the same
+    # partition ids, and a lost cached partition is recomputed with the same bounds
+    r = df.repartitionByRange(n_parts, *keys, *order).withColumn("_pid", F.spark_partition_id()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy("_pid", *keys).orderBy(*order)
     for c in cols:
         r = r.withColumn(c + suffix, F.lead(c).over(w))

@@ -76,7 +76,8 @@ def test_split_lead_equals_window(spark):
     df = spark.createDataFrame([(int(k), int(i), float(v)) for i, (k, v) in
                                 enumerate(zip(keys, rng.normal(size=3000)))], "k int, o int, v double")
     for parts in (3, 17, 64):
-        got = {r["o"]: r["v_next"] for r in split_lead(df, ["k"], ["o"], ["v"], n_parts=parts).collect()}
+        got = {r["o"]: r["v_next"] for r in split_lead(df, ["k"], ["o"], ["v"], n_parts=parts,
+                                                       force_split=True).collect()}
         ref = {r["o"]: r["vn"] for r in df.withColumn("vn", F.lead("v").over(W.partitionBy("k").orderBy("o")))
                .collect()}
         assert got == ref
