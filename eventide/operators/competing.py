@@ -125,11 +125,8 @@ def _fg_stats(X: DataFrame, Gt: DataFrame, p: int, beta: np.ndarray):
           .withColumn("L", F.when(d > 0, d * F.log("S0")).otherwise(0.0))
           .withColumn("aG", F.col("a") * F.col("Gm")))
     tt = tt.persist(StorageLevel.MEMORY_AND_DISK)
-    taggs = [F.sum("L").alias("L")]
-    for a in range(p):
-        for b in range(a, p):
-            taggs.append(F.sum(F.col(f"S1{a}") * F.col(f"S1{b}") * F.col("q0")).alias(f"M{a}_{b}"))
-    trow = tt.agg(*taggs).first().asDict()
+    taggs = ["sum(L) AS L"] + [f"sum(S1{a} * S1{b} * q0) AS M{a}_{b}" for a in range(p) for b in range(a, p)]
+    trow = tt.agg(*[F.expr(x) for x in taggs]).first().asDict()
     ab = cumulative(tt.select("time", "a", "aG"), "time", [], sums={"A": "a"})
     ab = cumulative(ab, "time", [], sums={"B": "aG"}, descending=True, exclusive=True)
     from eventide.operators.relational import maybe_broadcast
@@ -137,12 +134,10 @@ def _fg_stats(X: DataFrame, Gt: DataFrame, p: int, beta: np.ndarray):
     j = X1.join(ab, X1["t"] == ab["_t"], "inner")
     s = F.col("w") * (F.col("A") + F.when((F.col("comp") == 1) & (F.col("gm") > 0),
                                           F.col("B") / F.col("gm")).otherwise(0.0))
-    raggs = [F.sum(e * F.col("eta")).alias("ll1")]
-    raggs += [F.sum(xs[a] * (e - s)).alias(f"g{a}") for a in range(p)]
-    for a in range(p):
-        for b in range(a, p):
-            raggs.append(F.sum(s * xs[a] * xs[b]).alias(f"I{a}_{b}"))
-    rrow = j.agg(*raggs).first().asDict()
+    j = j.withColumn("s", s)
+    raggs = ["sum(e * eta) AS ll1"] + [f"sum(x{a} * (e - s)) AS g{a}" for a in range(p)]
+    raggs += [f"sum(s * x{a} * x{b}) AS I{a}_{b}" for a in range(p) for b in range(a, p)]
+    rrow = j.agg(*[F.expr(x) for x in raggs]).first().asDict()
     tt.unpersist()
     ll = (rrow["ll1"] or 0.0) - (trow["L"] or 0.0)
     g = np.array([rrow[f"g{a}"] or 0.0 for a in range(p)])

@@ -108,6 +108,21 @@ def _splits(df: DataFrame, col: str, n: int) -> list[float]:
     return [-math.inf] + sorted(b) + [math.inf]
 
 
+def _splits2(df: DataFrame, cols: list[str], n: int) -> list[list[float]]:
+    """Bucket splits of several columns from one quantile job."""
+    if n <= 1:
+        return [[-math.inf, math.inf] for _ in cols]
+    qs = df.approxQuantile(cols, [i / n for i in range(1, n)], 1.0 / (4 * n))
+    out = []
+    for cuts in qs:
+        b = set()
+        for c in cuts:
+            b.add(float(c))
+            b.add(float(np.nextafter(float(c), math.inf)))  # isolate heavy values in their own bucket
+        out.append([-math.inf] + sorted(b) + [math.inf])
+    return out
+
+
 def _bucket(df: DataFrame, col: str, out: str, splits: list[float]) -> DataFrame:
     if len(splits) <= 2:
         return df.withColumn(out, F.lit(0))
@@ -139,8 +154,7 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
     n_groups = g.select(*by).distinct().count() if by else 1
     if n_buckets is None:
         n_buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / n_groups / ROWS_PER_GROUP))))
-    ks = _splits(g, "time", n_buckets)
-    rs = _splits(g, "risk", n_buckets)
+    ks, rs = _splits2(g, ["time", "risk"], n_buckets)
     gb = _bucket(_bucket(g, "time", "kb", ks), "risk", "rb", rs).persist()
     nk, nr = len(ks) - 1, len(rs) - 1
     # cross-bucket pairs from the (bucket x bucket) matrix of each group: bounded numbers

@@ -168,19 +168,14 @@ def _efron_terms(tt: DataFrame, p: int, ties: str, max_d: int) -> DataFrame:
 
 def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bool, max_d: int,
                 broadcast_times: bool, offset: bool):
-    xs = [F.col(f"x{j}") for j in range(p)]
-    eta = F.lit(0.0)
-    for j in range(p):
-        eta = eta + xs[j] * F.lit(float(beta[j]))
+    # expressions are built as SQL text: one JVM call each instead of one per operator
+    eta = " + ".join([f"x{j} * {float(beta[j])!r}" for j in range(p)] or ["0.0"])
     if offset:
-        eta = eta + F.col("off")
-    X1 = X.withColumn("eta", eta).withColumn("w", F.exp("eta"))
-    e = F.col("e").cast("double")
-    w = F.col("w")
-    aggs = [F.sum(e).alias("d"), F.sum(w).alias("S0p"), F.sum(e * w).alias("D0")]
-    aggs += [F.sum(w * xs[j]).alias(f"S1p{j}") for j in range(p)]
-    aggs += [F.sum(e * w * xs[j]).alias(f"D1{j}") for j in range(p)]
-    tt = X1.groupBy(F.col("t").alias("time")).agg(*aggs)
+        eta += " + off"
+    X1 = X.withColumn("eta", F.expr(eta)).withColumn("w", F.exp("eta"))
+    aggs = ["sum(e) AS d", "sum(w) AS S0p", "sum(e * w) AS D0"]
+    aggs += [f"sum(w * x{j}) AS S1p{j}" for j in range(p)] + [f"sum(e * w * x{j}) AS D1{j}" for j in range(p)]
+    tt = X1.groupBy(F.col("t").alias("time")).agg(*[F.expr(a) for a in aggs])
     tt = cumulative(tt, "time", [], sums={"S0": "S0p", **{f"S1{j}": f"S1p{j}" for j in range(p)}},
                     descending=True, force_two_level=two_level)
     # Efron terms for every time (zero where no event), then A(t) = running sum of a; the time
@@ -188,23 +183,16 @@ def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bo
     ev = _efron_terms(tt, p, ties, max_d)
     ev = cumulative(ev, "time", [], sums={"A": "a"}, force_two_level=two_level)
     ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
-    taggs = [F.sum("L").alias("L")]
-    for j in range(p):
-        for k in range(j, p):
-            Sj, Sk, Dj, Dk = F.col(f"S1{j}"), F.col(f"S1{k}"), F.col(f"D1{j}"), F.col(f"D1{k}")
-            m = Sj * Sk * F.col("q0") - (Sj * Dk + Dj * Sk) * F.col("q1") + Dj * Dk * F.col("q2")
-            taggs.append(F.sum(m).alias(f"M{j}_{k}"))
-    trow = ev.agg(*taggs).first().asDict()
+    taggs = ["sum(L) AS L"] + [
+        f"sum(S1{j} * S1{k} * q0 - (S1{j} * D1{k} + D1{j} * S1{k}) * q1 + D1{j} * D1{k} * q2) AS M{j}_{k}"
+        for j in range(p) for k in range(j, p)]
+    trow = ev.agg(*[F.expr(a) for a in taggs]).first().asDict()
     at = ev.select("time", "A", "c")
     at = F.broadcast(at) if broadcast_times else at
-    j = X1.join(at, X1["t"] == at["time"], "inner")
-    s = F.col("w") * (F.col("A") - e * F.col("c"))
-    raggs = [F.sum(e * F.col("eta")).alias("ll1")]
-    raggs += [F.sum(xs[a] * (e - s)).alias(f"g{a}") for a in range(p)]
-    for a in range(p):
-        for b in range(a, p):
-            raggs.append(F.sum(s * xs[a] * xs[b]).alias(f"I{a}_{b}"))
-    rrow = j.agg(*raggs).first().asDict()
+    j = X1.join(at, X1["t"] == at["time"], "inner").withColumn("s", F.expr("w * (A - e * c)"))
+    raggs = ["sum(e * eta) AS ll1"] + [f"sum(x{a} * (e - s)) AS g{a}" for a in range(p)]
+    raggs += [f"sum(s * x{a} * x{b}) AS I{a}_{b}" for a in range(p) for b in range(a, p)]
+    rrow = j.agg(*[F.expr(a) for a in raggs]).first().asDict()
     ev.unpersist()
     ll = (rrow["ll1"] or 0.0) - (trow["L"] or 0.0)
     g = np.array([rrow[f"g{a}"] or 0.0 for a in range(p)])

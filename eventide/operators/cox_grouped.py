@@ -31,40 +31,29 @@ def _beta_map(betas: dict, p: int):
 
 def _grouped_stats(X: DataFrame, p: int, betas: dict, ties: str, two_level: bool, max_d: int, bc: bool):
     bm = _beta_map(betas, p)
-    bvec = F.element_at(bm, F.col("g"))
-    eta = F.lit(0.0)
-    for j in range(p):
-        eta = eta + F.col(f"x{j}") * bvec[j]
-    X1 = X.withColumn("eta", eta).withColumn("w", F.exp("eta"))
-    e = F.col("e").cast("double")
-    w = F.col("w")
-    xs = [F.col(f"x{j}") for j in range(p)]
-    aggs = [F.sum(e).alias("d"), F.sum(w).alias("S0p"), F.sum(e * w).alias("D0")]
-    aggs += [F.sum(w * xs[j]).alias(f"S1p{j}") for j in range(p)]
-    aggs += [F.sum(e * w * xs[j]).alias(f"D1{j}") for j in range(p)]
-    tt = X1.groupBy("g", F.col("t").alias("time")).agg(*aggs)
+    X1 = X.withColumn("_b", F.element_at(bm, F.col("g")))
+    eta = " + ".join([f"x{j} * _b[{j}]" for j in range(p)] or ["0.0"])
+    X1 = X1.withColumn("eta", F.expr(eta)).withColumn("w", F.exp("eta")).drop("_b")
+    aggs = ["sum(e) AS d", "sum(w) AS S0p", "sum(e * w) AS D0"]
+    aggs += [f"sum(w * x{j}) AS S1p{j}" for j in range(p)] + [f"sum(e * w * x{j}) AS D1{j}" for j in range(p)]
+    tt = X1.groupBy("g", F.col("t").alias("time")).agg(*[F.expr(a) for a in aggs])
     tt = cumulative(tt, "time", ["g"], sums={"S0": "S0p", **{f"S1{j}": f"S1p{j}" for j in range(p)}},
                     descending=True, force_two_level=two_level)
     ev = _efron_terms(tt, p, ties, max_d)
     ev = cumulative(ev, "time", ["g"], sums={"A": "a"}, force_two_level=two_level)
     ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
-    taggs = [F.sum("L").alias("L")]
-    for a in range(p):
-        for b in range(a, p):
-            Sa, Sb, Da, Db = F.col(f"S1{a}"), F.col(f"S1{b}"), F.col(f"D1{a}"), F.col(f"D1{b}")
-            m = Sa * Sb * F.col("q0") - (Sa * Db + Da * Sb) * F.col("q1") + Da * Db * F.col("q2")
-            taggs.append(F.sum(m).alias(f"M{a}_{b}"))
-    trows = {r["g"]: r.asDict() for r in ev.groupBy("g").agg(*taggs).collect()}
+    taggs = ["sum(L) AS L"] + [
+        f"sum(S1{a} * S1{b} * q0 - (S1{a} * D1{b} + D1{a} * S1{b}) * q1 + D1{a} * D1{b} * q2) AS M{a}_{b}"
+        for a in range(p) for b in range(a, p)]
+    trows = {r["g"]: r.asDict() for r in ev.groupBy("g").agg(*[F.expr(x) for x in taggs]).collect()}
     at = ev.select(F.col("g").alias("_g"), F.col("time").alias("_t"), "A", "c")
     at = F.broadcast(at) if bc else at
-    j = X1.join(at, (X1["g"] == at["_g"]) & (X1["t"] == at["_t"]), "inner")
-    s = F.col("w") * (F.col("A") - e * F.col("c"))
-    raggs = [F.sum(e * F.col("eta")).alias("ll1"), F.count(F.lit(1)).alias("n"), F.sum(e).alias("ev")]
-    raggs += [F.sum(xs[a] * (e - s)).alias(f"g{a}") for a in range(p)]
-    for a in range(p):
-        for b in range(a, p):
-            raggs.append(F.sum(s * xs[a] * xs[b]).alias(f"I{a}_{b}"))
-    rrows = {r["g"]: r.asDict() for r in j.groupBy("g").agg(*raggs).collect()}
+    j = X1.join(at, (X1["g"] == at["_g"]) & (X1["t"] == at["_t"]), "inner").withColumn(
+        "s", F.expr("w * (A - e * c)"))
+    raggs = ["sum(e * eta) AS ll1", "count(1) AS n", "sum(e) AS ev"]
+    raggs += [f"sum(x{a} * (e - s)) AS g{a}" for a in range(p)]
+    raggs += [f"sum(s * x{a} * x{b}) AS I{a}_{b}" for a in range(p) for b in range(a, p)]
+    rrows = {r["g"]: r.asDict() for r in j.groupBy("g").agg(*[F.expr(x) for x in raggs]).collect()}
     ev.unpersist()
     out = {}
     for k, rr in rrows.items():

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.exprs import hash_unit
-from eventide.plans.scan import cumulative
+from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative
 
 BROADCAST_TIMES = 1_000_000
 
@@ -26,10 +26,12 @@ def censoring_km(df: DataFrame, time: str = "t", event: str = "e") -> DataFrame:
     e = F.col(event).cast("long")
     tt = df.groupBy(F.col(time).cast("double").alias("time")).agg(
         F.sum(e).alias("d"), F.sum(1 - e).alias("c"), F.count(F.lit(1)).alias("m"))
-    tt = cumulative(tt, "time", [], sums={"n": "m"}, descending=True)
+    tt = tt.persist(StorageLevel.MEMORY_AND_DISK)
+    two = tt.count() > SINGLE_WINDOW_MAX_ROWS
+    tt = cumulative(tt, "time", [], sums={"n": "m"}, descending=True, force_two_level=two)
     f = F.coalesce(1.0 - F.try_divide(F.col("c").cast("double"), (F.col("n") - F.col("d")).cast("double")),
                    F.lit(1.0))
-    g = cumulative(tt.withColumn("_f", f), "time", [], products={"G": "_f"})
+    g = cumulative(tt.withColumn("_f", f), "time", [], products={"G": "_f"}, force_two_level=two)
     return g.select("time", "G").persist(StorageLevel.MEMORY_AND_DISK)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.stats import Z95
-from eventide.plans.scan import cumulative
+from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative
 
 INF = float("inf")
 
@@ -33,6 +33,11 @@ def _strata(strata) -> list[str]:
 
 def risk_table(df: DataFrame, time: str = "t", event: str = "e", strata=None,
                weight: str | None = None, force_two_level: bool | None = None) -> DataFrame:
+    return _risk_table(df, time, event, strata, weight, force_two_level)[0]
+
+
+def _risk_table(df: DataFrame, time: str = "t", event: str = "e", strata=None,
+                weight: str | None = None, force_two_level: bool | None = None):
     """Per (strata, time) the events, censored and number at risk.
 
     Output: ``strata..., time, n_at_risk, n_event, n_censored`` (weighted
@@ -54,9 +59,11 @@ def risk_table(df: DataFrame, time: str = "t", event: str = "e", strata=None,
         grouped = grouped.select(*s, "time", F.col("n_event").cast("long"),
                                  F.col("n_censored").cast("long"), F.col("_leave").cast("long"))
     grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
+    if force_two_level is None:  # decide once for every scan over this time table
+        force_two_level = grouped.count() > SINGLE_WINDOW_MAX_ROWS
     out = cumulative(grouped, "time", s, sums={"n_at_risk": "_leave"}, descending=True,
                      force_two_level=force_two_level)
-    return out.select(*s, "time", "n_at_risk", "n_event", "n_censored")
+    return out.select(*s, "time", "n_at_risk", "n_event", "n_censored"), force_two_level
 
 
 def kaplan_meier(df: DataFrame, time: str = "t", event: str = "e", strata=None,
@@ -68,7 +75,7 @@ def kaplan_meier(df: DataFrame, time: str = "t", event: str = "e", strata=None,
     ci_lower, ci_upper`` including a time-0 row per stratum.
     """
     s = _strata(strata)
-    rt = risk_table(df, time, event, s, force_two_level=force_two_level)
+    rt, force_two_level = _risk_table(df, time, event, s, force_two_level=force_two_level)
     n = F.col("n_at_risk").cast("double")
     d = F.col("n_event").cast("double")
     rt = rt.withColumn("_f", 1.0 - d / n).withColumn("_g", F.try_divide(d, n * (n - d)))
@@ -121,7 +128,7 @@ def nelson_aalen(df: DataFrame, time: str = "t", event: str = "e", strata=None,
                  force_two_level: bool | None = None) -> DataFrame:
     """Cumulative hazard H(t) = sum d/n with variance sum d/n^2."""
     s = _strata(strata)
-    rt = risk_table(df, time, event, s, force_two_level=force_two_level)
+    rt, force_two_level = _risk_table(df, time, event, s, force_two_level=force_two_level)
     n = F.col("n_at_risk").cast("double")
     d = F.col("n_event").cast("double")
     rt = rt.withColumn("_h", d / n).withColumn("_v", d / (n * n))

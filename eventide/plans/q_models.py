@@ -6,6 +6,7 @@ tests (golden), so most entries here carry no SQL oracle (rows-only check).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from eventide.operators import clean as C
@@ -21,7 +22,8 @@ HZ = [90.0, 180.0, 365.0]
 
 def cox_data(spark, sf_dir):
     """Reorder fixture prepared for modelling: price (scaled to thousands) + one-hot prio, seg."""
-    df = fx.reorder(spark, sf_dir).withColumn("price", F.col("price") / 1000.0)
+    # the fixture feeds several fitting aggregates: compute it once
+    df = fx.reorder(spark, sf_dir).withColumn("price", F.col("price") / 1000.0).persist(StorageLevel.MEMORY_AND_DISK)
     data, state = C.prepare(df, "t", "e", COVARIATES, keep=["id", "cause", "cluster"])
     return data, state["features"]
 
