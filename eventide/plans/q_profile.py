@@ -61,8 +61,9 @@ def column_stats_q(spark, sf_dir):
     return _stats_out(P.column_stats(fx.dirty(spark, sf_dir), exact=True))
 
 
-_ROLE_VIEW = ("SELECT id, price AS order_value, t AS survival_time, e AS event_status, cause AS death_cause, "
-              "seg FROM reorder")
+_ROLE_VIEW_COLS = ["id", "price AS order_value", "t AS survival_time", "e AS event_status",
+                   "cause AS death_cause", "seg"]
+_ROLE_VIEW = "SELECT " + ", ".join(_ROLE_VIEW_COLS) + " FROM reorder"
 
 
 def _role_sql():
@@ -81,8 +82,7 @@ v AS ({_ROLE_VIEW})
 
 @register("role_candidates", _role_sql())
 def role_candidates_q(spark, sf_dir):
-    fx.reorder(spark, sf_dir).createOrReplaceTempView("reorder")
-    return P.role_candidates(P.column_stats(spark.sql(_ROLE_VIEW), exact=True))
+    return P.role_candidates(P.column_stats(fx.reorder(spark, sf_dir).selectExpr(*_ROLE_VIEW_COLS), exact=True))
 
 
 @register("dataset_summary", STATS_SQL + """
@@ -107,7 +107,8 @@ def column_groups_q(spark, sf_dir):
     return P.column_groups(P.column_stats(fx.dirty(spark, sf_dir), exact=True))
 
 
-_ROLE_SRC = "SELECT id, price, t AS survival_time, e AS event_status, cause FROM reorder"
+_ROLE_COLS = ["id", "price", "t AS survival_time", "e AS event_status", "cause"]
+_ROLE_SRC = "SELECT " + ", ".join(_ROLE_COLS) + " FROM reorder"
 
 
 @register("detect_survival_columns", R.rstrip() + f""",
@@ -119,8 +120,7 @@ SELECT 'survival_time' AS time_column,
        WHEN count(DISTINCT event_status) BETWEEN 2 AND 3 THEN 'event_status' END AS event_column
 FROM v""")
 def detect_survival_columns_q(spark, sf_dir):
-    fx.reorder(spark, sf_dir).createOrReplaceTempView("reorder")
-    v = spark.sql(_ROLE_SRC)
+    v = fx.reorder(spark, sf_dir).selectExpr(*_ROLE_COLS)
     roles = P.detect_survival_columns(v)
     # one-row result carried by a Spark aggregate over the same table
     return v.agg(F.count(F.lit(1)).alias("_n")).select(

@@ -109,3 +109,22 @@ def test_multi_state(spark):
     assert len(m.models) > 0
     p = m.predict(df, "id")
     assert p.count() == df.count()
+
+
+def test_additive_matches_direct_solve(spark):
+    from eventide.operators.additive import aalen_additive_fit
+    rng = np.random.default_rng(8)
+    n = 120
+    x = rng.normal(size=n)
+    t = rng.integers(1, 25, n).astype(float)
+    e = rng.integers(0, 2, n)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, x)], "t double, e int, x double")
+    m = aalen_additive_fit(df, "t", "e", ["x"], coef_penalizer=0.5)
+    got = {r["time"]: (r["B_intercept"], r["B_x"]) for r in m.cumulative_coef.collect()}
+    B = np.zeros(2)
+    for u in np.unique(t[e == 1]):
+        R = t >= u
+        Xr = np.column_stack([np.ones(R.sum()), x[R]])
+        dN = ((t[R] == u) & (e[R] == 1)).astype(float)
+        B = B + np.linalg.solve(Xr.T @ Xr + 0.5 * np.eye(2), Xr.T @ dN)
+        assert np.allclose(got[u], B, atol=1e-10)
