@@ -36,3 +36,23 @@ def test_versions_latest_and_named(spark):
     assert io.read_version(spark, root, "d").count() == 2
     assert io.read_version(spark, root, "d", "v1").count() == 1
     assert [r["version"] for r in io.list_versions(spark, root, "d").orderBy("rank").collect()] == ["v2", "v1"]
+
+
+def test_generic_model_roundtrip(spark):
+    import numpy as np
+
+    from eventide.operators.aft import aft_fit
+    from eventide.operators.forest import rsf_fit
+    from eventide.plans.q_models import cox_data
+    from eventide.sources.models import load_model, save_model
+    from tests.conftest import SF_SMALL
+    data, feats = cox_data(spark, SF_SMALL)
+    a = aft_fit(data, "t", "e", feats, "loglogistic", with_concordance=False)
+    a2 = load_model(save_model(a, io.scratch_path(spark, "aft"), spark), spark)
+    assert np.allclose(a.coef, a2.coef) and a2.dist == "loglogistic"
+    r = rsf_fit(data, "t", "e", feats, "id", n_estimators=2, max_depth=2)
+    r2 = load_model(save_model(r, io.scratch_path(spark, "rsf"), spark), spark)
+    assert r.splits == r2.splits
+    s1 = sorted((x["id"], round(x["risk"], 9)) for x in r.score(data, ["id"]).collect())
+    s2 = sorted((x["id"], round(x["risk"], 9)) for x in r2.score(data, ["id"]).collect())
+    assert s1 == s2
