@@ -86,8 +86,9 @@ def frailty_fit(df: DataFrame, time: str, event: str, features: Sequence[str], c
     it = 0
     for it in range(1, max_em + 1):
         x = base.join(z, "_cl", "left").fillna(0.0, ["logz"])
+        # ECM: a couple of warm-started Newton steps per M-step; the EM loop does the rest
         model = cox_fit(x, time, event, feats, ties="breslow", offset="logz", with_concordance=False,
-                        init=None if model is None else model.coef)
+                        init=None if model is None else model.coef, max_iter=25 if model is None else 2)
         bl = model.baseline.select(F.col("time").alias(time), F.col("baseline_hazard").alias("_H0"))
         lam = (x.join(bl, time, "left")
                .withColumn("_L", F.coalesce("_H0", F.lit(0.0)) * F.exp(model.linear_predictor(x) - F.col("logz")))
@@ -104,5 +105,9 @@ def frailty_fit(df: DataFrame, time: str, event: str, features: Sequence[str], c
         theta = new_theta
         if done:
             break
+    # final M-step to convergence at the last frailties
+    x = base.join(z, "_cl", "left").fillna(0.0, ["logz"])
+    model = cox_fit(x, time, event, feats, ties="breslow", offset="logz", with_concordance=False,
+                    init=model.coef if model is not None else None)
     fr = z.select(F.col("_cl").alias("cluster"), F.exp("logz").alias("frailty"), F.col("logz").alias("log_frailty"))
     return FrailtyModel(model, theta, it, cluster or "_row", fr)
