@@ -9,7 +9,6 @@ is a running sum of dB.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
