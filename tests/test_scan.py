@@ -81,3 +81,29 @@ def test_split_lead_equals_window(spark):
         ref = {r["o"]: r["vn"] for r in df.withColumn("vn", F.lead("v").over(W.partitionBy("k").orderBy("o")))
                .collect()}
         assert got == ref
+
+
+def test_shuffle_partitions_do_not_matter(spark):
+    df = fx.reorder(spark, SF_MID)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        res = []
+        for n in ("3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            c = risk.kaplan_meier(df, strata="seg", with_ci=False).collect()
+            res.append(sorted((r["seg"], r["time"], r["n_at_risk"], round(r["survival"], 12)) for r in c))
+        assert res[0] == res[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_two_level_plan_has_no_full_table_single_partition_window(spark):
+    """Above the threshold every window over the time table is partitioned by bucket; the only
+    unpartitioned window runs over the per-bucket totals."""
+    df = _table(spark, n=4000)
+    out = cumulative(df, "t", [], {"s": "v"}, force_two_level=True, n_buckets=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert any("], [_bucket" in w for w in windows)  # local windows partitioned by bucket
+    # the unpartitioned window (offsets) sits on top of the totals aggregate, not on the rows
+    assert "_tot_s" in plan
