@@ -16,7 +16,8 @@ def risk_thresholds(df: DataFrame, risk: str, thresholds=(0.25, 0.75), mode: str
     """``score``: the numbers as given; ``quantile``: those percentiles of the risk column."""
     if mode == "score":
         return float(thresholds[0]), float(thresholds[1])
-    q = df.agg(F.percentile(F.col(risk).cast("double"), [float(thresholds[0]), float(thresholds[1])])
+    from eventide.functions.exprs import exact_ok, quantile
+    q = df.agg(quantile(F.col(risk).cast("double"), [float(thresholds[0]), float(thresholds[1])], exact_ok(df))
                .alias("q")).first()["q"]
     return float(q[0]), float(q[1])
 
@@ -58,12 +59,14 @@ def group_hazard_ratios(df: DataFrame, group: str, reference: str, time: str = "
                     "hr_upper", "p_value")
 
 
-def group_profile(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+def group_profile(df: DataFrame, group: str, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
     """Per group mean and median of each numeric column."""
+    from eventide.functions.exprs import exact_ok, median
+    exact = exact_ok(df) if exact is None else exact
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"{c}_mean"), F.median(x).alias(f"{c}_median")]
+        aggs += [F.avg(x).alias(f"{c}_mean"), median(x, exact).alias(f"{c}_median")]
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 
