@@ -43,13 +43,37 @@ class MultiStateModel:
         """Mean |coef| over transitions."""
         return self.coefficients(spark).groupBy("feature").agg(F.avg(F.abs("coef")).alias("importance"))
 
-    def summary(self) -> dict:
+    def concordance(self, df: DataFrame, state: str = "state", next_state: str = "next_state",
+                    time: str = "t") -> DataFrame:
+        """c-index per transition (rows in the origin state, event = took this transition),
+        all transitions in one grouped concordance job."""
+        from eventide.operators.concordance import concordance_by
+        spark = df.sparkSession
+        p = len(self.features)
+        betas = {k: m.coef for k, m in self.models.items()}
+        means = {k: m.means for k, m in self.models.items()}
+        bvec = F.element_at(_beta_map(betas, p), F.col("tr"))
+        mvec = F.element_at(_beta_map(means, p), F.col("tr"))
+        lp = F.lit(0.0)
+        for j, f in enumerate(self.features):
+            lp = lp + (F.col(f).cast("double") - mvec[j]) * bvec[j]
+        x = (df.select(F.col(state).alias("state"), F.col(next_state).alias("_n"), time, *self.features)
+             .join(F.broadcast(self._edges(spark)), "state", "inner")  # one row per transition
+             .withColumn("risk", lp).withColumn("_ev", F.coalesce(F.col("_n") == F.col("to_state"), F.lit(False))
+                                                .cast("int")))
+        return concordance_by(x, ["tr"], time, "_ev", "risk").select(F.col("tr").alias("transition"), "c_index")
+
+    def summary(self, df: DataFrame | None = None) -> dict:
         ll = sum(m.loglik for m in self.models.values())
         k = sum(len(m.features) for m in self.models.values())
-        return {"states": len(self.states), "transitions": len(self.models),
-                "n": sum(m.n for m in self.models.values()),
-                "events": sum(m.events for m in self.models.values()),
-                "log_likelihood": ll, "aic": -2 * ll + 2 * k}
+        out = {"states": len(self.states), "transitions": len(self.models),
+               "n": sum(m.n for m in self.models.values()),
+               "events": sum(m.events for m in self.models.values()),
+               "log_likelihood": ll, "aic": -2 * ll + 2 * k}
+        if df is not None:
+            cs = [r["c_index"] for r in self.concordance(df).collect() if r["c_index"] == r["c_index"]]
+            out["c_index"] = sum(cs) / len(cs) if cs else float("nan")
+        return out
 
     def _edges(self, spark) -> DataFrame:
         rows = [(a, b, f"{a}{SEP}{b}") for a, b in self.transitions()]

@@ -115,7 +115,8 @@ def multi_state_predict_q(spark, sf_dir):
 
 @register("multi_state_summary")
 def multi_state_summary_q(spark, sf_dir):
-    s = multi_state_fit(_journey(spark, sf_dir), ["value"]).summary()
+    df = _journey(spark, sf_dir)
+    s = multi_state_fit(df, ["value"]).summary(df)
     return spark.createDataFrame([(s["states"], s["transitions"], s["n"], s["events"], s["log_likelihood"],
-                                   s["aic"])], "states int, transitions int, n long, events double, "
-                                              "log_likelihood double, aic double")
+                                   s["aic"], s["c_index"])], "states int, transitions int, n long, events double, "
+                                                             "log_likelihood double, aic double, c_index double")
