@@ -68,7 +68,7 @@ def _risk_table(df: DataFrame, time: str = "t", event: str = "e", strata=None,
 
 def kaplan_meier(df: DataFrame, time: str = "t", event: str = "e", strata=None,
                  with_ci: bool = True, z: float = Z95,
-                 force_two_level: bool | None = None) -> DataFrame:
+                 force_two_level: bool | None = None, keep_greenwood: bool = False) -> DataFrame:
     """Kaplan-Meier curves, one per stratum, log-log Greenwood CI.
 
     Output: ``strata..., time, n_at_risk, n_event, n_censored, survival,
@@ -88,6 +88,8 @@ def kaplan_meier(df: DataFrame, time: str = "t", event: str = "e", strata=None,
                      F.lit(0).cast("long").alias("n_censored"), F.lit(1.0).alias("survival"),
                      F.lit(0.0).alias("_gw")))
     curve = curve.unionByName(start)
+    if keep_greenwood:
+        curve = curve.withColumnRenamed("_gw", "greenwood_variance")
     if not with_ci:
         return curve.drop("_gw")
     return add_loglog_ci(curve, "survival", "_gw", z).drop("_gw")

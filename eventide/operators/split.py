@@ -6,12 +6,22 @@ across runs, partitionings and engines and never depend on row order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.exprs import hash_int, hash_unit
 
 RANK_BUCKETS = 64
+# rows per window task in the two-level ranks: buckets grow with the table
+ROWS_PER_RANK_BUCKET = 1_000_000
+
+
+def _rank_buckets(df: DataFrame, n_buckets: int | None) -> int:
+    if n_buckets:
+        return n_buckets
+    return max(RANK_BUCKETS, math.ceil(df.count() / ROWS_PER_RANK_BUCKET))
 
 
 def random_split(df: DataFrame, id_col: str = "id", test: float = 0.2,
@@ -22,7 +32,7 @@ def random_split(df: DataFrame, id_col: str = "id", test: float = 0.2,
 
 
 def stratified_split(df: DataFrame, event: str = "e", id_col: str = "id", test: float = 0.25,
-                     seed: int = 42, n_buckets: int = RANK_BUCKETS) -> tuple[DataFrame, DataFrame]:
+                     seed: int = 42, n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """In each event class, the floor(test * n + 0.5) rows with the smallest keys go to test.
 
     The per-class rank is computed in two levels so no window holds a whole
@@ -30,9 +40,10 @@ def stratified_split(df: DataFrame, event: str = "e", id_col: str = "id", test:
     are ranked inside (class, bucket) and shifted by the counts of earlier
     buckets (a tiny table).
     """
+    n_buckets = _rank_buckets(df, n_buckets)
     k = df.withColumn("_key", hash_int(seed, F.col(id_col))).withColumn(
         "_b", F.floor(F.col("_key") / F.lit(4294967296.0 / n_buckets)).cast("int"))
-    counts = k.groupBy(event, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = k.groupBy(event, "_b").agg(F.count(F.lit(1)).alias("_c"))  # classes x buckets rows
     wb = Window.partitionBy(event).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(event)
     offs = counts.select(event, "_b", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"),
@@ -51,13 +62,14 @@ def kfold(df: DataFrame, k: int = 5, id_col: str = "id", seed: int = 42) -> Data
     return df.withColumn("fold", F.pmod(hash_int(seed, F.col(id_col)), F.lit(k)).cast("int"))
 
 
-def uniform_rank(df: DataFrame, key: str, tie: str, n_buckets: int = RANK_BUCKETS) -> DataFrame:
+def uniform_rank(df: DataFrame, key: str, tie: str, n_buckets: int | None = None) -> DataFrame:
     """Row number (1..N) by a uniform integer key in [0, 2^32), ties by ``tie``.
 
     Two levels so no window holds the whole table: equal-width key buckets are
     balanced because the key is a hash; rows are numbered inside each bucket
     and shifted by the counts of earlier buckets (a tiny table).
     """
+    n_buckets = _rank_buckets(df, n_buckets)
     k = df.withColumn("_b", F.floor(F.col(key) / F.lit(4294967296.0 / n_buckets)).cast("int"))
     counts = k.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # n_buckets rows

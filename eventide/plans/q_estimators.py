@@ -90,3 +90,16 @@ def survival_at_q(spark, sf_dir):
     return out.select("seg", "time", r6(F.col("survival")).alias("survival"),
                       r6(F.col("ci_lower")).alias("ci_lower"), r6(F.col("ci_upper")).alias("ci_upper"),
                       "n_at_risk")
+
+
+@register("km_ci", R.rstrip() + "," + km_sql("reorder", []) + """
+SELECT time, round(survival, 6) AS survival, round(gw, 9) AS greenwood_variance,
+       round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper FROM km""")
+def km_ci_q(spark, sf_dir):
+    """K04 on its own: the Greenwood sum and the log-log interval of the overall curve."""
+    df = fx.reorder(spark, sf_dir)
+    curve = risk.kaplan_meier(df, "t", "e", with_ci=False, keep_greenwood=True)
+    out = risk.add_loglog_ci(curve, "survival", "greenwood_variance")
+    return out.select("time", r6(F.col("survival")).alias("survival"),
+                      F.round("greenwood_variance", 9).alias("greenwood_variance"),
+                      r6(F.col("ci_lower")).alias("ci_lower"), r6(F.col("ci_upper")).alias("ci_upper"))
