@@ -44,22 +44,29 @@ def step_lookup(curves: DataFrame, points: DataFrame, keys: Sequence[str], time:
     and ``time`` (other columns are kept).  Before the first curve time the
     value is ``defaults[col]`` (None unless given); after the last it is the
     last value.
+
+    Only the distinct (keys, time) of the points are looked up — a heavy point
+    value collapses to one row — with buckets cut on the union of curve and point
+    times, so every window task holds a bounded number of rows.  The answers are
+    joined back to the points (broadcast when their count allows).
     """
+    from eventide.operators.relational import maybe_broadcast
     keys = list(keys)
     vals = list(value_cols)
     defaults = defaults or {}
+    pd_ = points.select(*keys, time).distinct()
     if n_buckets is None:
-        n_buckets = max(1, math.ceil(curves.count() / CURVE_ROWS_PER_BUCKET))
-    splits = _buckets(curves, time, n_buckets)
+        n_rows = curves.count() + pd_.count()
+        n_buckets = max(1, math.ceil(n_rows / CURVE_ROWS_PER_BUCKET))
+    both = curves.select(F.col(time).cast("double").alias("_q")).unionByName(
+        pd_.select(F.col(time).cast("double").alias("_q")))
+    splits = _buckets(both, "_q", n_buckets)
     cu = _with_bucket(curves.select(*keys, time, *vals), time, splits)
-    pt = _with_bucket(points, time, splits)
-    pcols = [c for c in points.columns if c not in keys and c != time]
+    pt = _with_bucket(pd_, time, splits)
     cur_struct = F.struct(*[F.col(v).alias(v) for v in vals])
-    cu_rows = cu.select(*keys, "_bucket", time, F.lit(0).alias("_tag"),
-                        cur_struct.alias("_cv"),
-                        *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in pcols])
+    cu_rows = cu.select(*keys, "_bucket", time, F.lit(0).alias("_tag"), cur_struct.alias("_cv"))
     pt_rows = pt.select(*keys, "_bucket", time, F.lit(1).alias("_tag"),
-                        F.lit(None).cast(cu_rows.schema["_cv"].dataType).alias("_cv"), *pcols)
+                        F.lit(None).cast(cu_rows.schema["_cv"].dataType).alias("_cv"))
     w = (Window.partitionBy(*keys, "_bucket").orderBy(F.col(time), F.col("_tag"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = cu_rows.unionByName(pt_rows).withColumn("_loc", F.last("_cv", ignorenulls=True).over(w))
@@ -78,10 +85,10 @@ def step_lookup(curves: DataFrame, points: DataFrame, keys: Sequence[str], time:
         val = F.coalesce(F.col("_loc"), F.col("_carry"))
     else:
         val = F.col("_loc")
-    out = hit.select(*keys, time, *pcols, val.alias("_v"))
-    cols = [F.coalesce(F.col("_v")[v], F.lit(defaults.get(v))).alias(v) if v in defaults
-            else F.col("_v")[v].alias(v) for v in vals]
-    return out.select(*keys, time, *pcols, *cols)
+    cols = [F.coalesce(val[v], F.lit(defaults.get(v))).alias(v) if v in defaults else val[v].alias(v)
+            for v in vals]
+    answers = hit.select(*keys, time, *cols)
+    return points.join(maybe_broadcast(answers), on=[*keys, time], how="left")
 
 
 def linear_lookup(curves: DataFrame, points: DataFrame, keys: Sequence[str], time: str,
