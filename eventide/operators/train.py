@@ -28,6 +28,14 @@ from eventide.operators.split import kfold, stratified_split, uniform_rank
 POOL = 4
 
 
+def _tag_job(spark, name: str) -> None:
+    """Concurrent folds/trials each get their own scheduler pool (used when
+    spark.scheduler.mode=FAIR) and a readable job description."""
+    sc = spark.sparkContext
+    sc.setLocalProperty("spark.scheduler.pool", name)
+    sc.setJobDescription(name)
+
+
 def evaluate(est, test: DataFrame, time: str, event: str, id_col: str, grid_points: int = 20) -> dict:
     """c-index and integrated Brier score of a fitted estimator on a table."""
     r = est.predict_risk(test, [id_col, time, event])
@@ -46,6 +54,7 @@ def cross_validate(df: DataFrame, kind: str, params: Mapping, time: str, event:
     data = kfold(df, k, id_col, seed).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(i):
+        _tag_job(spark, f"cv-fold-{i}")
         tr, te = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
         est = make_model(kind, **params).fit(tr, time, event, features, id_col)
         m = evaluate(est, te, time, event, id_col, grid_points)
@@ -99,6 +108,7 @@ def tune(df: DataFrame, kind: str, space: Mapping[str, tuple], time: str, event:
     cfgs = sample_space(space, n_trials, seed)
 
     def run(t):
+        _tag_job(spark, f"trial-{t}")
         cfg = {**(base_params or {}), **cfgs[t]}
         try:
             est = make_model(kind, **cfg).fit(tr, time, event, features, id_col)
@@ -127,6 +137,7 @@ def fit_many(df: DataFrame, configs: Sequence[Mapping], time: str, event: str, f
     te = te.persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(i):
+        _tag_job(spark, f"fit-{i}")
         cfg = dict(configs[i])
         name = cfg.pop("name", f"model_{i}")
         kind = cfg.pop("kind")
