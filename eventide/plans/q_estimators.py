@@ -103,3 +103,12 @@ def km_ci_q(spark, sf_dir):
     return out.select("time", r6(F.col("survival")).alias("survival"),
                       F.round("greenwood_variance", 9).alias("greenwood_variance"),
                       r6(F.col("ci_lower")).alias("ci_lower"), r6(F.col("ci_upper")).alias("ci_upper"))
+
+
+FP = fx.with_ctes(fx.FIRST_PURCHASE_SQL)
+
+
+@register("km_first_purchase", FP.rstrip() + "," + km_sql("first_purchase", []) + f"\nSELECT {KM_COLS_SQL} FROM km")
+def km_first_purchase(spark, sf_dir):
+    """Time from a user's first event to the first purchase, censored at 24 h (heavy censoring)."""
+    return risk.kaplan_meier(fx.first_purchase(spark, sf_dir), "t", "e").select(*_curve_cols([]))
