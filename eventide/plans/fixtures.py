@@ -15,7 +15,6 @@ The SQL strings are the same definitions for the DuckDB oracle.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +27,6 @@ JOURNEY_END = "2024-01-31 00:00:00"
 PURCHASE_HORIZON_H = 24.0
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """Fixtures feed several aggregates of one query (time tables, censoring KM, rows):
-    persist so the scan + join + lead run once (spills to disk when large)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate", "o_orderstatus")
@@ -42,7 +35,7 @@ def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     # lead over each customer's orders, split so a heavy customer is not one task
     j = split_lead(j, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["d0", "o_orderstatus"])
     j = j.withColumnRenamed("d0_next", "d1").withColumnRenamed("o_orderstatus_next", "st")
-    return _once(j.select(
+    return j.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("cluster"),
         F.col("c_mktsegment").alias("seg"),
@@ -53,7 +46,7 @@ def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("d1").isNotNull().cast("int").alias("e"),
         F.when(F.col("st") == "F", 1).when(F.col("st") == "O", 2)
          .when(F.col("st") == "P", 3).otherwise(0).alias("cause"),
-    ))
+    )
 
 
 REORDER_SQL = f"""
@@ -76,12 +69,12 @@ def journey(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = split_lead(ev, ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
     j = j.withColumnRenamed("event_type_next", "next_state").withColumnRenamed("ts_next", "next_ts")
     end = F.coalesce(F.col("next_ts").cast("timestamp"), F.lit(JOURNEY_END).cast("timestamp"))
-    return _once(j.select(
+    return j.select(
         F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("state"), "next_state",
         ((F.unix_micros(end) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9).alias("t"),
         F.col("next_ts").isNotNull().cast("int").alias("e"),
         F.col("value"),
-    ))
+    )
 
 
 JOURNEY_SQL = f"""
@@ -120,6 +113,13 @@ first_purchase AS (
   FROM h WHERE h > 0)"""
 
 
+def reused(df: DataFrame, *cols: str) -> DataFrame:
+    """Project to the columns a query reuses and persist them once (a fixture read by several
+    aggregates of one query); single-use queries stay unpersisted so the scan keeps its pruning."""
+    from pyspark import StorageLevel
+    return (df.select(*cols) if cols else df).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reorder(spark, sf_dir)
     return r.select(

@@ -48,7 +48,7 @@ def concordance_q(spark, sf_dir):
 
 
 def _km_pred(spark, sf_dir, horizons):
-    df = fx.reorder(spark, sf_dir)
+    df = fx.reused(fx.reorder(spark, sf_dir), "seg", "t", "e")
     curves = risk.kaplan_meier(df, "t", "e", "seg", with_ci=False)
     return risk.km_predictions(df, curves, "seg", horizons)
 
@@ -83,7 +83,7 @@ auc AS (SELECT h AS time, sum(wc * (nc_le - nc + 0.5 * nc)) / (sum(wc) * sum(nc)
 
 @register("dynamic_auc", _AUC_SQL + "SELECT time, round(auc, 6) AS auc FROM auc")
 def dynamic_auc_q(spark, sf_dir):
-    df = fx.reorder(spark, sf_dir).select("t", "e", F.col("price").alias("risk"))
+    df = fx.reused(fx.reorder(spark, sf_dir).select("t", "e", F.col("price").alias("risk")))
     a = M.dynamic_auc(df, HZ, "risk", "t", "e")
     return a.select("time", r6(F.col("auc")).alias("auc"))
 
@@ -95,7 +95,7 @@ j AS (SELECT auc.time, auc.auc, sk.s, coalesce(lag(sk.s) OVER (ORDER BY auc.time
       FROM auc JOIN sk ON sk.h = auc.time)
 SELECT round(sum(auc * (sprev - s)) / (1 - arg_max(s, time)), 6) AS integrated_auc FROM j""")
 def integrated_auc_q(spark, sf_dir):
-    df = fx.reorder(spark, sf_dir)
+    df = fx.reused(fx.reorder(spark, sf_dir), "t", "e", "price")
     a = M.dynamic_auc(df.select("t", "e", F.col("price").alias("risk")), HZ, "risk", "t", "e")
     curve = risk.kaplan_meier(df, "t", "e", with_ci=False)
     s = {r["time"]: r["survival"] for r in risk.survival_at(curve, HZ, cols=["survival"]).collect()}
@@ -119,7 +119,7 @@ b AS (SELECT gh.h AS time, avg(CASE WHEN x.t <= gh.h AND x.e = 1 THEN coalesce(s
 tr AS (SELECT time, brier, lead(time) OVER (ORDER BY time) AS t2, lead(brier) OVER (ORDER BY time) AS b2 FROM b)
 SELECT round(sum((t2 - time) * (brier + b2) / 2) / (max(t2) - min(time)), 6) AS integrated_brier FROM tr""")
 def integrated_brier_q(spark, sf_dir):
-    df = fx.reorder(spark, sf_dir)
+    df = fx.reused(fx.reorder(spark, sf_dir), "seg", "t", "e")
     grid = M.brier_grid(df, "t", "e", _IBS_N)
     curves = risk.kaplan_meier(df, "t", "e", "seg", with_ci=False)
     pred = risk.km_predictions(df, curves, "seg", grid)

@@ -47,7 +47,7 @@ cu AS (SELECT *, sum(nc) OVER (PARTITION BY h ORDER BY r ROWS BETWEEN UNBOUNDED
 a AS (SELECT h AS time, sum(wc * (nc_le - nc + 0.5 * nc)) / (sum(wc) * sum(nc)) AS auc FROM cu GROUP BY h)
 SELECT b.time, round(b.brier, 6) AS brier, round(a.auc, 6) AS auc FROM b JOIN a ON a.time = b.time""")
 def time_dependent_view_q(spark, sf_dir):
-    df = fx.reorder(spark, sf_dir)
+    df = fx.reused(fx.reorder(spark, sf_dir), "seg", "t", "e", "price")
     curves = risk.kaplan_meier(df, "t", "e", "seg", with_ci=False)
     pred = risk.km_predictions(df, curves, "seg", HZ)
     G = M.censoring_km(df, "t", "e")

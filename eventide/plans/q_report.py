@@ -25,7 +25,7 @@ rg AS (SELECT reorder.*, CASE WHEN price <= lo THEN 'low' WHEN price >= hi THEN
 
 
 def _rg(spark, sf_dir):
-    df = fx.reorder(spark, sf_dir)
+    df = fx.reused(fx.reorder(spark, sf_dir), "id", "price", "t", "e")
     lo, hi = T.risk_thresholds(df, "price", (0.25, 0.75), "quantile")
     return T.assign_risk_group(df, "price", lo, hi)
 
@@ -177,7 +177,8 @@ def risk_heatmap_q(spark, sf_dir):
 def performance_by_period_metrics_q(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"),
                                               F.year("o_orderdate").cast("int").alias("period"))
-    df = fx.reorder(spark, sf_dir).join(o, "id").withColumn("risk", F.col("price"))
+    df = fx.reused(fx.reorder(spark, sf_dir).join(o, "id").withColumn("risk", F.col("price")),
+                   "seg", "t", "e", "risk", "period")
     curves = risk.kaplan_meier(df, "t", "e", "seg", with_ci=False)
     pred = risk.km_predictions(df, curves, "seg", [180.0])
     return T.period_metrics(pred, "period", 180.0, "S_0", "t", "e", "risk")
