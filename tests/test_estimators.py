@@ -70,3 +70,18 @@ def test_aalen_johansen_sums_to_one(spark):
     tot = out.groupBy("time").agg(F.sum("probability").alias("s")).agg(
         F.max(F.abs(F.col("s") - 1.0))).first()[0]
     assert tot < 1e-9
+
+
+def test_period_metrics_grouped_equals_per_period(spark):
+    from eventide.operators import metrics as M
+    from eventide.operators import report as T
+    df = fx.reorder(spark, SF_MID).withColumn("period", (F.col("id") % 3).cast("int")) \
+        .withColumn("risk", F.col("price"))
+    curves = risk.kaplan_meier(df, "t", "e", "seg", with_ci=False)
+    pred = risk.km_predictions(df, curves, "seg", [180.0]).persist()
+    got = {r["period"]: (r["brier"], r["auc"]) for r in T.period_metrics(pred, "period", 180.0, "S_0").collect()}
+    for pv in range(3):
+        part = pred.where(F.col("period") == pv)
+        G = M.censoring_km(part)
+        assert abs(M.brier_scores(part, [180.0], ["S_0"], "t", "e", G).first()["brier"] - got[pv][0]) < 1e-12
+        assert abs(M.dynamic_auc(part, [180.0], "risk", "t", "e", G).first()["auc"] - got[pv][1]) < 1e-12
