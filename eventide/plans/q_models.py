@@ -120,3 +120,9 @@ def multi_state_summary_q(spark, sf_dir):
     return spark.createDataFrame([(s["states"], s["transitions"], s["n"], s["events"], s["log_likelihood"],
                                    s["aic"], s["c_index"])], "states int, transitions int, n long, events double, "
                                                              "log_likelihood double, aic double, c_index double")
+
+
+@register("multi_state_survival")
+def multi_state_survival_q(spark, sf_dir):
+    df = _journey(spark, sf_dir)
+    return multi_state_fit(df, ["value"]).predict_survival(df, "id", [1.0, 6.0, 24.0])
