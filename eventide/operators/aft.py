@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.stats import Z95, two_sided_p
+from eventide.plans.scan import right_size
 
 DISTS = ("weibull", "lognormal", "loglogistic")
 _erfc = np.frompyfunc(math.erfc, 1, 1)
@@ -186,8 +187,8 @@ def aft_fit(df: DataFrame, time: str, event: str, features: Sequence[str], dist:
         raise ValueError(f"dist must be one of {DISTS}")
     feats = list(features)
     p = len(feats)
-    X = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
-                  *[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(feats)]) \
+    X = right_size(df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
+                             *[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(feats)])) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     st = X.agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("ev"), F.avg(F.log("t")).alias("m"),
                F.stddev_pop(F.log("t")).alias("s")).first()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.exprs import hash_unit
-from eventide.plans.scan import cumulative
+from eventide.plans.scan import cumulative, right_size
 from eventide.session import cut_lineage
 
 BROADCAST_TIMES = 1_000_000
@@ -75,7 +75,7 @@ def boost_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
         df.select(F.col(id_col).alias("_id"), F.col(time).cast("double").alias("t"),
                   F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(f) for f in feats]))
     cur = base.select("_id", "t", "e", "features").withColumn("f", F.lit(0.0))
-    cur = cut_lineage(cur)
+    cur = cut_lineage(right_size(cur))
     n_times = cur.select("t").distinct().count()
     model = BoostModel(feats, learning_rate)
     imp = np.zeros(len(feats))

@@ -24,7 +24,7 @@ from eventide.functions.stats import Z95, two_sided_p
 from eventide.operators.cox import CoxModel
 from eventide.operators.cox_grouped import cox_fit_grouped
 from eventide.operators.logrank import group_values
-from eventide.plans.scan import cumulative
+from eventide.plans.scan import cumulative, right_size
 
 
 # The merged baseline grid is broadcast to the prediction tasks: bound it (checked).
@@ -168,7 +168,8 @@ def fine_gray_fit(df: DataFrame, time: str, cause: str, features: Sequence[str],
                        for j, f in enumerate(feats)])
     X = base.join(F.broadcast(Gt.select(F.col("time").alias("t"), F.col("Gm").alias("gm")))
                   if Gt.count() <= 1_000_000 else Gt.select(F.col("time").alias("t"), F.col("Gm").alias("gm")),
-                  "t", "inner").persist(StorageLevel.MEMORY_AND_DISK)
+                  "t", "inner")
+    X = right_size(X, int(st["n"])).persist(StorageLevel.MEMORY_AND_DISK)
     beta = np.zeros(p)
     ll, g, info = _fg_stats(X, Gt, p, beta)
     it = 0

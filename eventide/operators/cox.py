@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.stats import Z95, chi2_sf, two_sided_p
-from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative
+from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative, right_size
 
 # Efron sums loop over l = 0..d-1 inside one row when d is at most this;
 # larger tie groups are cut into chunks of this size first.
@@ -236,7 +236,7 @@ def cox_fit(df: DataFrame, time: str, event: str, features: Sequence[str], penal
              for j, f in enumerate(feats)]
     if offset:
         cols.append(F.col(offset).cast("double").alias("off"))
-    X = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    X = right_size(df.select(*cols), n).persist(StorageLevel.MEMORY_AND_DISK)
     tinfo = X.groupBy("t").agg(F.sum("e").alias("d")).agg(F.count(F.lit(1)).alias("nt"),
                                                           F.max("d").alias("md")).first()
     n_times, max_d = int(tinfo["nt"]), int(tinfo["md"] or 0)

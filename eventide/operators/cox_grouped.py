@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.operators.cox import BROADCAST_TIMES, CoxModel, _efron_terms
-from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative
+from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative, right_size
 
 MAX_GROUPS = 1000
 
@@ -87,7 +87,8 @@ def cox_fit_grouped(df: DataFrame, group: str, time: str, event: str, features,
     X = df.where(F.col(group).isin(groups)).select(
         F.col(group).alias("g"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
         *[((F.col(f).cast("double") - float(means[j])) / float(scales[j])).alias(f"x{j}")
-          for j, f in enumerate(feats)]).persist(StorageLevel.MEMORY_AND_DISK)
+          for j, f in enumerate(feats)])
+    X = right_size(X).persist(StorageLevel.MEMORY_AND_DISK)
     ti = X.groupBy("g", "t").agg(F.sum("e").alias("d")).agg(F.count(F.lit(1)).alias("nt"),
                                                             F.max("d").alias("md")).first()
     two_level = int(ti["nt"]) > SINGLE_WINDOW_MAX_ROWS

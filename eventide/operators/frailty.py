@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.special import digamma, digamma_col, trigamma
 from eventide.operators.cox import CoxModel, cox_fit
+from eventide.plans.scan import right_size
 from eventide.session import cut_lineage
 
 
@@ -75,7 +76,7 @@ def frailty_fit(df: DataFrame, time: str, event: str, features: Sequence[str], c
     base = df.select(F.col(cluster).alias("_cl") if cluster else F.monotonically_increasing_id().alias("_cl"),
                      F.col(time).cast("double").alias(time), F.col(event).cast("int").alias(event),
                      *[F.col(f).cast("double").alias(f) for f in feats])
-    base = cut_lineage(base)  # stable cluster ids and a short lineage for the EM loop
+    base = cut_lineage(right_size(base))  # stable cluster ids and a short lineage for the EM loop
     D = base.groupBy("_cl").agg(F.sum(F.col(event).cast("double")).alias("D"))
     D = D.persist(StorageLevel.MEMORY_AND_DISK)
     K = D.count()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from eventide.functions import mlp
 from eventide.functions.exprs import hash_unit
 from eventide.operators.features import time_bins
-from eventide.plans.scan import cumulative
+from eventide.plans.scan import cumulative, right_size
 from eventide.session import cut_lineage
 
 
@@ -142,7 +142,7 @@ def neural_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id
     base = df.select(F.col(id_col).alias("_id"), F.col(time).cast("double").alias("t"),
                      F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(f) for f in feats])
     base = base.withColumn("_val", hash_unit(f"val{seed}", F.col("_id")) < val_fraction)
-    base = cut_lineage(base)
+    base = cut_lineage(right_size(base))
     train, val = base.where(~F.col("_val")), base.where(F.col("_val"))
     residual = arch == "resnet"
     model = NeuralModel(feats, hidden, loss, mlp.init(p, hidden, seed), means, scales, residual)

@@ -15,6 +15,7 @@ from eventide.operators.cox import cox_fit
 from eventide.operators.multistate import multi_state_fit
 from eventide.plans import fixtures as fx
 from eventide.plans.registry import register
+from eventide.plans.scan import right_size
 
 COVARIATES = ["price", "prio", "seg"]
 HZ = [90.0, 180.0, 365.0]
@@ -23,7 +24,8 @@ HZ = [90.0, 180.0, 365.0]
 def cox_data(spark, sf_dir):
     """Reorder fixture prepared for modelling: price (scaled to thousands) + one-hot prio, seg."""
     # the fixture feeds several fitting aggregates: compute it once
-    df = fx.reorder(spark, sf_dir).withColumn("price", F.col("price") / 1000.0).persist(StorageLevel.MEMORY_AND_DISK)
+    df = right_size(fx.reorder(spark, sf_dir).withColumn("price", F.col("price") / 1000.0)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     data, state = C.prepare(df, "t", "e", COVARIATES, keep=["id", "cause", "cluster"])
     return data, state["features"]
 

@@ -169,3 +169,16 @@ def split_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
         j = j.withColumn(c + suffix, F.when(F.col("_last") & F.coalesce(same, F.lit(False)), F.col(f"_f._fv{i}"))
                          .otherwise(F.col(c + suffix)))
     return j.drop("_pid", "_last", "_f")
+
+
+# Working tables of iterative fits are cached and re-read every step; keep about this many rows
+# per partition (tiny partitions cost a task each, a Python worker each for pandas steps).
+ROWS_PER_PARTITION = 1_000_000
+
+
+def right_size(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Coalesce (no shuffle) to max(default parallelism, rows / ROWS_PER_PARTITION) partitions
+    when the table has more partitions than that."""
+    n_rows = df.count() if n_rows is None else n_rows
+    target = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / ROWS_PER_PARTITION))
+    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
