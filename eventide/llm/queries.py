@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import packing
+from eventide.llm import fingerprints, licenses, mixing, packing, pii, quality, sharding, topk, warc
 from eventide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,67 @@ def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack(packing.tokenize(docs, with_ids=False).drop("ids"), docs.count())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_mixing")
+def op3(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op10_sharding")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    digests = docs.select("doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"),
+                          F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    digests = digests.select("doc_id", "size", "text_crc32", F.xxhash64("text").alias("text_hash"))
+    placed = sharding.shard(digests, group="text_hash", tie="doc_id", size="size")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_topk", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+               FROM embeddings
+               WHERE embedding IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""")
+def op5(spark, sf_dir):
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0), 20)
+
+
+@query("op7_license_scan")
+def op7(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_fingerprints")
+def op8(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_warc", """
+    WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT payload_digest, max(page_id) AS response, count(*) AS n FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN n > 1 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n > 1 AND page_id <> response THEN response END AS refers_to
+    FROM p LEFT JOIN g USING (payload_digest)""")
+def op6(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_quality")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_pii")
+def op9(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.printed("base"), 256).alias("base_sha256"), pii.printed("spans").alias("spans"))
