@@ -18,6 +18,8 @@ Defined cases
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,7 +33,7 @@ END_ID = 1
 #: Documents dealt to one packing group; a group leaves about one part-filled sequence.
 GROUP_DOCUMENTS = 8192
 #: Words whose ids a Python worker remembers (about 0.2 KB each).
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long, ids array<int>")
 
@@ -45,64 +47,77 @@ class WordTokenizer:
     """The ids of ``Tokenizer.encode(text, add_special_tokens=False)``, word by word from a cache.
 
     This tokenizer's splitting never crosses a blank, so a text's ids are the ids of its
-    blank-separated parts joined up.  Parts not seen before are encoded together in one call,
-    with a part of their own (U+0000) between them to find the cuts.
+    blank-separated parts joined up.  Most parts are a word of letters and perhaps some marks behind
+    it, which the tokenizer splits there; such words, already lower and in normal form, go to the
+    tokenizer's model without its normaliser, many in one call, and the cuts between them are the
+    ids that end a word.  Any other part not seen before is encoded by the whole tokenizer.
     """
 
-    MARK = "\x00"
+    WORD = re.compile(r"([^\W\d_]+)((?:[^\w\s]|_)*)")
+    CHUNK = 300
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.encode = Tokenizer.from_file(path).encode
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"),
+                                                      pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_words = bare.encode
+        self.ends_word = np.zeros(bare.get_vocab_size(), bool)
+        for token, i in bare.get_vocab(with_added_tokens=False).items():
+            self.ends_word[i] = token.endswith("</w>")
         self.limit = cache_words
         self.known: dict[str, bytes] = {"": b""}
-        self.mark = self._ids(self.MARK)
-        assert len(self.mark) == 1
-        self.tails = {c: self._ids(c).tobytes() for c in ".,"}
+        self.tails: dict[str, bytes] = {"": b""}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @staticmethod
     def _parts(text: str) -> list[str]:
-        """Blank-separated parts, ASCII letters lowered where that cannot change the ids."""
-        import unicodedata
+        """Blank-separated parts, letters lowered where that cannot change the ids."""
         if text.isascii():
             text = text.lower()
-        elif unicodedata.is_normalized("NFC", text):
-            low = text.encode().lower().decode()
+        elif unicodedata.is_normalized("NFC", text) and "\u03a3" not in text:  # capital sigma lowers by its place
+            low = text.lower()
             if unicodedata.is_normalized("NFC", low):
                 text = low
-        # the tokenizer's own special tokens hold '<|...|>' and are lower case already
+        # the tokenizer's own special tokens, '<|...|>', are lower case already
         return text.replace("\n", " ").split(" ")
 
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
         new: dict[str, bytes] = {}
         plain, ending = [], []
         for p in parts:
-            if self.MARK in p:
-                new[p] = self._ids(p).tobytes()
-            elif p[-1] in ".," and len(p) > 1 and "a" <= p[-2] <= "z":
-                ending.append(p)  # a letter, then one stop: two parts of the splitting rule
+            m = self.WORD.fullmatch(p)
+            if m and (p.isascii() or max(p) < "\u3000" and p == p.lower() and unicodedata.is_normalized("NFC", p)) \
+                    and (word := m[1]).isalpha() and (p.islower() or not p.isascii()):
+                if m[2]:
+                    ending.append((p, word, m[2]))
+                else:
+                    plain.append(word)
             else:
-                plain.append(p)
-        plain += list({p[:-1] for p in ending} - self.known.keys() - parts)
-        for a in range(0, len(plain), 20_000):
-            chunk = plain[a:a + 20_000]
-            ids = self._ids(f" {self.MARK} ".join(chunk))
-            cut = np.flatnonzero(ids == self.mark[0])
-            raw = ids.tobytes()
-            begins = np.concatenate([[0], cut + 1]) * 4
-            ends = np.concatenate([cut, [len(ids)]]) * 4
-            for p, x, y in zip(chunk, begins.tolist(), ends.tolist(), strict=True):
-                new[p] = raw[x:y]
-        for p in ending:
-            base = new.get(p[:-1])
-            new[p] = (self.known[p[:-1]] if base is None else base) + self.tails[p[-1]]
-        if len(self.known) < self.limit:
-            self.known.update(new)
+                new[p] = self._ids(p)
+        plain += {word for _, word, _ in ending if word not in self.known and word not in parts}
+        for a in range(0, len(plain), self.CHUNK):
+            chunk = plain[a:a + self.CHUNK]
+            ids = np.array(self.encode_words(" ".join(chunk), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            raw, x = ids.tobytes(), 0
+            for p, z in zip(chunk, ends.tolist(), strict=True):
+                new[p] = raw[x:z]
+                x = z
+        for p, word, tail in ending:
+            base = new.get(word)
+            t = self.tails.get(tail)
+            if t is None:
+                t = self._ids(tail)
+                if len(self.tails) < 10_000:
+                    self.tails[tail] = t
+            new[p] = (self.known[word] if base is None else base) + t
         return new
 
     def __call__(self, batch: list[str]) -> list[bytes]:
@@ -110,19 +125,20 @@ class WordTokenizer:
         seen = set()
         for p in parts:
             seen.update(p)
-        unseen = seen.difference(self.known)
-        look = self.known
-        if unseen:
-            new = self._learn(unseen)
-            if len(look) >= self.limit:
-                look = {p: look[p] if p in look else new[p] for p in seen}
-        return [b"".join(map(look.__getitem__, p)) for p in parts]
+        new = self._learn(seen.difference(self.known))
+        keep = len(self.known) < self.limit
+        self.known.update(new)
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if not keep:
+            for p in new:
+                del self.known[p]
+        return out
 
 
 _TOKENIZERS: dict[tuple, WordTokenizer] = {}
 
 
-def _batches(strings: list[str], most_chars: int = 2_000_000):
+def _batches(strings: list[str], most_chars: int = 300_000):
     a = n = 0
     for k, t in enumerate(strings):
         if n and n + len(t) > most_chars:

@@ -13,7 +13,8 @@ def reference():
 
 
 ODD = ["", None, " ", "a\tb\nc", "It's. it's, IT'S... don't", "J̌ ö Å", "x\x00y \x00 \x00\x00", "ΣΑΣ. İstanbul, KK",
-       "<|endoftext|> a<|startoftext|>b", "9,9. a.b,c. ..,", "word " * 3000, "  x\u0085y", "日本語。テスト.", "🙂🙂 z."]
+       "<|endoftext|> a<|startoftext|>b", "9,9. a.b,c. ..,", "word " * 3000, "  x\u0085y", "日本語。テスト.", "🙂🙂 z.", "Ünder, été... ñ_ a__b ab_ ab²", "word$$$ x*** y'' n' 'n", "e\u0301a a\u0301. \u01c5x Ⓐ bⒶ",
+       "a\u00a0b c\u2003 d\u200b", "Ab1 c3po, 12.5", "ﬁn. ǅ ß. \u0345a"]
 
 
 def test_ids_equal_the_tokenizer(reference):
