@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import fingerprints, licenses, mixing, packing, pii, quality, sharding, topk, warc
+import corpus_pipeline
+from eventide.llm import fingerprints, licenses, mixing, near_dedup, packing, pii, quality, sharding, topk, warc
 from eventide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,13 @@ def op2(spark, sf_dir):
 def op9(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents")).select(
         "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.printed("base"), 256).alias("base_sha256"), pii.printed("spans").alias("spans"))
+
+
+@query("op4_near_dedup")
+def op4(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

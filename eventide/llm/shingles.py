@@ -82,7 +82,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nd
                 np.not_equal(own[1:], own[:-1], out=keep[1:])
                 own = own[keep]
         elif k:
-            own = mix((words[begins[d]:ends[d]] * factors[:k]).sum(keepdims=True) + factors[size] * np.uint64(k))
+            own = mix((words[begins[d]:ends[d]] * factors[:k]).sum(keepdims=True) + factors[size:] * np.uint64(k))
         else:
             continue
         sets.append(own)
