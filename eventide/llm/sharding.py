@@ -116,29 +116,34 @@ def shard(df: DataFrame, *, group: str, tie: str, size: str, n_shards: int = N_S
         return sum(((F.col(a) > x) | ((F.col(a) == x) & (F.col(b) >= y)) if x < 1 << _BITS else F.lit(False)).cast("int")
                    for x, y in cuts) if cuts else F.lit(0)
 
-    # runs: key ranges of about rows_per_run rows, numbered side by side; a crowded range is cut by k2
+    # runs: key ranges of about rows_per_run rows, numbered side by side; where one text is most of
+    # a range, the text's rows are runs of their own, cut by k2
     n = keys.count()
     bits = min(20, max(0, math.ceil(math.log2(max(1, n / rows_per_run)))))
     head = lambda c: F.shiftright(c, _BITS - bits) if bits else F.lit(0).cast("long")
-    crowded = keys.groupBy(head("k1").alias("head")).count().where(F.col("count") > 4 * rows_per_run)
-    crowded = written(crowded.select("head", F.ceil(F.log2(F.col("count") / rows_per_run)).cast("int").alias("more")), "shard-crowded")
-    crowded = small(crowded, crowded.count())
+    crowded = keys.groupBy(head("k1").alias("head")).count().where(F.col("count") > 4 * rows_per_run).select("head")
+    crowded = small(written(crowded, "shard-crowded"), 1 << bits)
+    hot = (keys.withColumn("head", head("k1")).join(crowded, "head").groupBy("head", "k1").count().where(F.col("count") > rows_per_run)
+           .groupBy("head").agg(F.max_by("k1", "count").alias("hot"), F.max("count").alias("count")))
+    hot = written(hot.select("head", "hot", F.ceil(F.log2(F.col("count") / rows_per_run)).cast("int").alias("more")), "shard-hot")
+    hot = small(hot, hot.count())
 
     def runs(rows, a, b, names):
-        run1, run2, more = names
-        far = crowded.select(F.col("head").alias(run1), F.col("more").alias(more))
+        run1, run2, text, more = names
+        far = hot.select(F.col("head").alias(run1), F.col("hot").alias(text), F.col("more").alias(more))
         return (rows.withColumn(run1, head(a)).join(far, run1, "left")
-                .withColumn(run2, F.when(F.col(more).isNull(), F.lit(0))
-                            .otherwise(F.expr(f"shiftright(`{b}`, {_BITS} - `{more}`)"))).drop(more))
+                .withColumn(run2, F.when(F.col(text).isNull() | (F.col(a) < F.col(text)), F.lit(-1).cast("long"))
+                            .when(F.col(a) > F.col(text), F.lit(1 << 40))
+                            .otherwise(F.expr(f"shiftright(`{b}`, {_BITS} - `{more}`)"))).drop(text, more))
 
-    counts = (runs(keys.withColumn("shard", shard_of("k1", "k2")), "k1", "k2", ("run1", "run2", "more"))
+    counts = (runs(keys.withColumn("shard", shard_of("k1", "k2")), "k1", "k2", ("run1", "run2", "text", "more"))
               .groupBy("shard", "run1", "run2").count())
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("run1", "run2")
                                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = written(counts.withColumn("before", before).drop("count"), "shard-runs")
-    run1, run2, more, first = (free_name(df, f"shard_{x}") for x in ("run1", "run2", "more", "first"))
+    run1, run2, text, more, first = (free_name(df, f"shard_{x}") for x in ("run1", "run2", "text", "more", "first"))
     place = keyed.drop(*[c for c in ("shard", "slot") if c in df.columns]).withColumn("shard", shard_of(k1, k2).cast("int"))
-    place = runs(place, k1, k2, (run1, run2, more))
+    place = runs(place, k1, k2, (run1, run2, text, more))
     at = F.row_number().over(Window.partitionBy("shard", run1, run2).orderBy(k1, k2)) - 1
     starts = small(counts.select("shard", F.col("run1").alias(run1), F.col("run2").alias(run2), F.col("before").alias(first)),
                    counts.count())
