@@ -48,10 +48,10 @@ MAX_RANGES = 4096
 
 def digests(text: Column) -> Column:
     """Distinct paragraph digests of a text: 48 bits of hash, then 16 bits that check them."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), F.trim), lambda p: p != "")
     def digest(p):
         h = F.shiftrightunsigned(F.xxhash64(p), 16)
         return F.shiftleft(h, 16).bitwiseOR(_check(h))
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_sort(F.array_distinct(F.transform(parts, digest)))
 
 
@@ -133,8 +133,7 @@ def likeness(df: DataFrame, out: str, a: str, b: str) -> DataFrame:
     One step per table size; ``explode`` of a one-element array keeps a step's result from being
     computed again wherever the next one reads it.
     """
-    names = {n: free_name(df, f"{out}_{n}") for n in ("blocks",)}
-    col = names["blocks"]
+    col = free_name(df, f"{out}_blocks")
     dealt = blocks(blocks_for(F.size(a) + F.size(b)), a=F.col(a), b=F.col(b))
     # (a, b, left, right, done); a block with nothing on one side needs no peeling
     first = F.transform(dealt, lambda z: F.struct(z.a.alias("a"), z.b.alias("b"), F.size(z.a).alias("left"), F.size(z.b).alias("right"),

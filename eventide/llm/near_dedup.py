@@ -329,13 +329,13 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     if repeated; columns stay.  The table of dropped ids is broadcast only if it is small."""
     found = _labelled(docs, **options)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    key = [F.col("doc_id").alias("d"), F.col("text_hash").alias("h")]
+    hashed, d, h = (free_name(docs, f"dedup_{n}") for n in ("hash", "doc", "text"))
+    key = [F.col("doc_id").alias(d), F.col("text_hash").alias(h)]
     dropped = written(found.where(~kept).select(*key).distinct(), "dedup-dropped")
-    twice = written(found.where(kept).groupBy(*key).count().where("count > 1").select("d", "h"), "dedup-twice")
+    twice = written(found.where(kept).groupBy(*key).count().where("count > 1").select(d, h), "dedup-twice")
     n_twice = twice.count()
-    hashed = free_name(docs, "dedup_hash")
     named = docs.withColumn(hashed, F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col(hashed) == F.col("h"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(hashed).eqNullSafe(F.col(h)))
     out = named.join(small(dropped, dropped.count()), same, "left_anti")
     if n_twice:
         again = out.join(small(twice, n_twice), same, "left_semi")

@@ -220,7 +220,7 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(small(more, more.count()), [rows[key] == more[key], rows["doc_id"].cast("long").eqNullSafe(more["d"])], "left") \
         .select(*[rows[c] for c in docs.columns], more[extra])
-    marks = [f"[{k.upper()}]" for k in KINDS]
+    marks, columns = [f"[{k.upper()}]" for k in KINDS], docs.columns
 
     def clean(t, more_spans):
         spans = base_spans(t) + [(s["start"], s["kind"], s["end"]) for s in more_spans or ()]
@@ -238,6 +238,6 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
             new = [None if null else clean(t, m) for t, null, m in
                    zip(texts(column), column.is_null().to_pylist(), b.column(extra).to_pylist(), strict=True)]
             values = {"text": pa.array(new, pa.string())}
-            yield pa.RecordBatch.from_arrays([values.get(c, b.column(c)) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([values.get(c, b.column(c)) for c in columns], names=columns)
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if n_chars else out
