@@ -26,25 +26,3 @@ def hash_unit(seed, key: Column) -> Column:
 def event_from_string(c: Column) -> Column:
     s = F.lower(F.trim(c.cast("string")))
     return F.when(s.isin(*EVENT_TRUE), 1).when(s.isin(*EVENT_FALSE), 0)
-
-
-# Exact percentiles keep every distinct value of a group in one aggregation buffer; above this
-# many rows the sketch (percentile_approx, relative rank error 1/accuracy) is used instead.
-EXACT_PERCENTILE_MAX_ROWS = 20_000_000
-APPROX_ACCURACY = 100_000
-
-
-def quantile(c: Column, q, exact: bool) -> Column:
-    """percentile (exact, equals DuckDB quantile_cont) or percentile_approx at scale."""
-    if exact:
-        return F.percentile(c, q)
-    return F.percentile_approx(c, q, APPROX_ACCURACY)
-
-
-def median(c: Column, exact: bool) -> Column:
-    return F.median(c) if exact else F.percentile_approx(c, 0.5, APPROX_ACCURACY).cast("double")
-
-
-def exact_ok(df) -> bool:
-    """Row count small enough for exact percentiles (a parquet-footer count for plain scans)."""
-    return df.count() <= EXACT_PERCENTILE_MAX_ROWS

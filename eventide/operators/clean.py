@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.exprs import event_from_string
 from eventide.operators.profile import _q, is_numeric_type
+from eventide.operators.quantiles import column_quantiles
 
 MAX_ONE_HOT_LEVELS = 20
 
@@ -32,10 +33,12 @@ def fit_impute_numeric(df: DataFrame, method: str = "mean", cols: Sequence[str]
     cols = list(cols) if cols is not None else numeric_columns(df)
     if method == "zero":
         return {c: 0.0 for c in cols}
-    from eventide.functions.exprs import exact_ok, median
-    exact = method != "median" or exact_ok(df)
-    agg = {"mean": F.avg, "median": lambda c: median(c, exact)}[method]
-    row = df.agg(*[agg(F.col(_q(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    if method == "median":
+        medians = column_quantiles(df, cols, [0.5]) if cols else {}
+        return {c: v[0] for c, v in medians.items() if v[0] is not None}
+    if method != "mean":
+        raise KeyError(method)
+    row = df.agg(*[F.avg(F.col(_q(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"v{i}"] for i, c in enumerate(cols) if row[f"v{i}"] is not None}
 
 
@@ -198,13 +201,10 @@ def encode_event(df: DataFrame, event: str, out: str | None = None) -> DataFrame
         if bad:
             raise ValueError(f"cannot encode event column {event!r}")
         return df.withColumn(out, enc.cast("int"))
-    r = df.agg(F.min(event).alias("lo"), F.max(event).alias("hi"),
-               F.approx_count_distinct(event).alias("nd")).first()
+    r = df.agg(F.min(event).alias("lo"), F.max(event).alias("hi")).first()
     if r["lo"] is None:
         return df.withColumn(out, F.col(_q(event)).cast("int"))
-    exact = [x["v"] for x in df.select(F.col(_q(event)).alias("v")).distinct().limit(3).collect()
-             if x["v"] is not None]
-    if len(exact) > 2:
+    if not df.where(F.col(_q(event)).isNotNull() & ~F.col(_q(event)).isin(r["lo"], r["hi"])).isEmpty():
         raise ValueError(f"event column {event!r} has more than two values")
     return df.withColumn(out, (F.col(_q(event)) == F.lit(r["hi"])).cast("int")
                          if r["hi"] != r["lo"] else F.col(_q(event)).cast("int"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from eventide.operators.clean import numeric_columns
 from eventide.operators.profile import _q
+from eventide.operators.quantiles import column_quantiles, exact_quantiles
 
-# Fixed caps on generated features (they define the output).
+# Limits that callers may pass to get a bounded feature set; no limit is the default.
 MAX_PAIRWISE = 20
 MAX_SERIES_COLS = 10
 MAX_INTERACTION_COLS = 10
@@ -22,8 +23,8 @@ MAX_POLY_COLS = 5
 
 
 def pairwise_features(df: DataFrame, cols: Sequence[str] | None = None, exclude: Sequence[str] = (),
-                      max_features: int = MAX_PAIRWISE) -> DataFrame:
-    """X11: ft_{a}_plus_{b}, ft_{a}_times_{b}, ft_{a}_div_{b} (a < b alphabetically), at most 20."""
+                      max_features: int | None = None) -> DataFrame:
+    """X11: ft_{a}_plus_{b}, ft_{a}_times_{b}, ft_{a}_div_{b} (a < b alphabetically)."""
     cols = sorted(cols if cols is not None else numeric_columns(df, exclude))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     ops = [("plus", lambda a, b: a + b), ("times", lambda a, b: a * b),
@@ -31,7 +32,7 @@ def pairwise_features(df: DataFrame, cols: Sequence[str] | None = None, exclude:
     new = []
     for name, fn in ops:
         for a, b in pairs:
-            if len(new) >= max_features:
+            if max_features is not None and len(new) >= max_features:
                 break
             x, y = F.col(_q(a)).cast("double"), F.col(_q(b)).cast("double")
             new.append(fn(x, y).alias(f"ft_{a}_{name}_{b}"))
@@ -39,53 +40,61 @@ def pairwise_features(df: DataFrame, cols: Sequence[str] | None = None, exclude:
 
 
 def series_features(df: DataFrame, cols: Sequence[str] | None = None, exclude: Sequence[str] = (),
-                    by: str | None = None, exact: bool | None = None) -> DataFrame:
+                    by: str | None = None, max_cols: int | None = None) -> DataFrame:
     """Per column sum, median, mean, length, std, var, rms, max, abs max, min (population),
     repeated on every row (``by`` gives per-entity summaries through a join)."""
-    from eventide.functions.exprs import exact_ok, median
-    exact = exact_ok(df) if exact is None else exact
-    cols = list(cols if cols is not None else numeric_columns(df, exclude))[:MAX_SERIES_COLS]
-    aggs = []
+    cols = list(cols if cols is not None else numeric_columns(df, exclude))[:max_cols]
+    if not cols:
+        return df
+    aggs, names = [], []
     for c in cols:
         x = F.col(_q(c)).cast("double")
-        aggs += [F.sum(x).alias(f"ts_{c}_sum"), median(x, exact).alias(f"ts_{c}_median"),
+        names += [f"ts_{c}_{s}" for s in ("sum", "median", "mean", "length", "std", "var", "rms", "max", "abs_max", "min")]
+        aggs += [F.sum(x).alias(f"ts_{c}_sum"),
                  F.avg(x).alias(f"ts_{c}_mean"), F.count(x).alias(f"ts_{c}_length"),
                  F.stddev_pop(x).alias(f"ts_{c}_std"), F.var_pop(x).alias(f"ts_{c}_var"),
                  F.sqrt(F.avg(x * x)).alias(f"ts_{c}_rms"), F.max(x).alias(f"ts_{c}_max"),
                  F.max(F.abs(x)).alias(f"ts_{c}_abs_max"), F.min(x).alias(f"ts_{c}_min")]
     if by:
-        return df.join(df.groupBy(by).agg(*aggs), on=by, how="left")
-    row = df.agg(*aggs).first()  # one row of constants
-    return df.select("*", *[F.lit(row[k]).alias(k) for k in row.asDict()])
-
-
-def interaction_features(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """interaction_{a}_x_{b} over the first 10 numeric columns."""
-    cols = numeric_columns(df, exclude)[:MAX_INTERACTION_COLS]
+        medians = exact_quantiles(df, cols, [0.5], by=by)
+        stats = df.groupBy(by).agg(*aggs).join(medians, by, "left")
+        stats = stats.withColumnsRenamed({f"q{i}_0": f"ts_{c}_median" for i, c in enumerate(cols)})
+        return df.join(stats.select(by, *[_q(n) for n in names]), on=by, how="left")
+    row = df.agg(*aggs).first().asDict()  # one row of constants
+    row |= {f"ts_{c}_median": v[0] for c, v in column_quantiles(df, cols, [0.5]).items()}
+    return df.select("*", *[F.lit(row[k]).alias(k) for k in names])
+
+
+def interaction_features(df: DataFrame, exclude: Sequence[str] = (), max_cols: int | None = None) -> DataFrame:
+    """interaction_{a}_x_{b} over the numeric columns (or the first ``max_cols``)."""
+    cols = numeric_columns(df, exclude)[:max_cols]
     new = [(F.col(_q(a)).cast("double") * F.col(_q(b)).cast("double")).alias(f"interaction_{a}_x_{b}")
            for i, a in enumerate(cols) for b in cols[i + 1:]]
     return df.select("*", *new)
 
 
-def polynomial_features(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """{c}_squared for the first 5 numeric columns."""
-    cols = numeric_columns(df, exclude)[:MAX_POLY_COLS]
+def polynomial_features(df: DataFrame, exclude: Sequence[str] = (), max_cols: int | None = None) -> DataFrame:
+    """{c}_squared for the numeric columns (or the first ``max_cols``)."""
+    cols = numeric_columns(df, exclude)[:max_cols]
     return df.select("*", *[(F.col(_q(c)).cast("double") * F.col(_q(c)).cast("double"))
                             .alias(f"{c}_squared") for c in cols])
 
 
-def engineer(df: DataFrame, config: Mapping[str, bool], exclude: Sequence[str] = ()) -> DataFrame:
-    """Pairwise -> series -> interactions -> polynomial, each when enabled."""
+def engineer(df: DataFrame, config: Mapping[str, bool], exclude: Sequence[str] = (), limits: Mapping[str, int] | None = None) -> DataFrame:
+    """Pairwise -> series -> interactions -> polynomial, each when enabled.
+
+    ``limits`` bounds a step by its name, e.g. ``{"pairwise": MAX_PAIRWISE}``."""
+    limits = limits or {}
     base = numeric_columns(df, exclude)
     out = df
     if config.get("pairwise"):
-        out = pairwise_features(out, base)
+        out = pairwise_features(out, base, max_features=limits.get("pairwise"))
     if config.get("series"):
-        out = series_features(out, base)
+        out = series_features(out, base, max_cols=limits.get("series"))
     if config.get("interactions"):
-        out = interaction_features(out, exclude=[c for c in out.columns if c not in base])
+        out = interaction_features(out, exclude=[c for c in out.columns if c not in base], max_cols=limits.get("interactions"))
     if config.get("polynomial"):
-        out = polynomial_features(out.select("*"), exclude=[c for c in out.columns if c not in base])
+        out = polynomial_features(out, exclude=[c for c in out.columns if c not in base], max_cols=limits.get("polynomial"))
     return out
 
 

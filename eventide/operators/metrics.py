@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.exprs import hash_unit
+from eventide.operators.quantiles import column_quantiles
 from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative
 
 BROADCAST_TIMES = 1_000_000
@@ -137,10 +138,8 @@ def integrated_auc(auc: DataFrame, surv_at_horizons: dict[float, float]) -> floa
 
 def evaluation_times(df: DataFrame, time: str = "t", event: str = "e") -> list[float]:
     """Percentiles 10/25/50/75/90 of T; else 10 even points over event times; else 0..max."""
-    from eventide.functions.exprs import exact_ok, quantile
-    q = df.agg(quantile(F.col(time).cast("double"), [0.1, 0.25, 0.5, 0.75, 0.9], exact_ok(df))
-               .alias("q")).first()["q"]
-    if q and len(set(q)) == 5:
+    q = column_quantiles(df, [time], [0.1, 0.25, 0.5, 0.75, 0.9])[time]
+    if None not in q and len(set(q)) == 5:
         return [float(v) for v in q]
     r = df.where(F.col(event) == 1).agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
     if r["lo"] is not None and r["hi"] > r["lo"]:

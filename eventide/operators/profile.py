@@ -1,10 +1,10 @@
 """Profiling, role detection and validation of a table (P-rows).
 
 Every statistic over all columns is one ``agg`` (a single scan); the wide
-result row is unpivoted with ``stack`` into one row per column.  Exact
-distinct counts and medians are used up to ``EXACT_MAX_ROWS`` rows, the
-sketch versions (HyperLogLog++, ``percentile_approx``) above it, because the
-exact forms hold every distinct value of a column in one aggregation buffer.
+result row is unpivoted with ``stack`` into one row per column.  Medians and
+percentiles are exact at every size (``operators/quantiles``); sketches
+(HyperLogLog++, ``percentile_approx``) are used only where the caller asks
+for them with ``exact=False``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_MAX_ROWS = 20_000_000
+from eventide.operators.quantiles import column_quantiles
 
 # Name fragments used to guess column roles.
 TEMPORAL_WORDS = ("time", "date", "year", "month", "day")
@@ -45,11 +45,13 @@ def _q(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
-def column_stats(df: DataFrame, exact: bool | None = None) -> DataFrame:
-    """One row per column with type flags, missing, distinct, min/max/mean/median."""
+def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row per column with type flags, missing, distinct, min/max/mean/median.
+
+    ``exact=False`` asks for sketches of the distinct counts and medians."""
     fields = df.schema.fields
-    if exact is None:
-        exact = df.count() <= EXACT_MAX_ROWS
+    numeric = [f.name for f in fields if is_numeric_type(f.dataType)]
+    medians = column_quantiles(df, numeric, [0.5]) if exact and numeric else {}
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = F.col(_q(f.name))
@@ -58,8 +60,8 @@ def column_stats(df: DataFrame, exact: bool | None = None) -> DataFrame:
         if is_numeric_type(f.dataType):
             x = c.cast("double")
             aggs += [F.min(x).alias(f"mn_{i}"), F.max(x).alias(f"mx_{i}"), F.avg(x).alias(f"av_{i}"),
-                     (F.median(x) if exact else F.percentile_approx(x, 0.5, 10000).cast("double"))
-                     .alias(f"md_{i}")]
+                     (F.lit(medians[f.name][0]).cast("double") if exact
+                      else F.percentile_approx(x, 0.5, 10000).cast("double")).alias(f"md_{i}")]
     wide = df.agg(*aggs)
     rows_expr = []
     for i, f in enumerate(fields):
@@ -105,7 +107,7 @@ def detect_survival_columns(df: DataFrame) -> dict:
         x = F.col(_q(c)).cast("double")
         aggs += [F.bool_and(x.isNull() | x.isin(0.0, 1.0)).alias(f"b01_{i}"),
                  F.bool_and(x.isNull() | x.isin(0.0, 1.0, 2.0)).alias(f"b012_{i}"),
-                 F.approx_count_distinct(x).alias(f"nd_{i}")]
+                 F.count_distinct(x).alias(f"nd_{i}")]
     row = df.agg(*aggs).first().asDict()
     time_col = next((c for c in num if _has(c, DETECT_TIME_WORDS)), None)
     ev = [c for i, c in enumerate(num)
@@ -133,17 +135,15 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
                       F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def shape_stats(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
+def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Skewness and kurtosis (population moments) and 1.5 IQR outlier count per column."""
-    from eventide.functions.exprs import exact_ok, quantile
-    exact = exact_ok(df) if exact is None else exact
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(_q(c)).cast("double")
-        aggs += [F.skewness(x).alias(f"sk_{i}"), F.kurtosis(x).alias(f"ku_{i}"),
-                 quantile(x, 0.25, exact).cast("double").alias(f"q1_{i}"),
-                 quantile(x, 0.75, exact).cast("double").alias(f"q3_{i}")]
+        aggs += [F.skewness(x).alias(f"sk_{i}"), F.kurtosis(x).alias(f"ku_{i}")]
     q = df.agg(*aggs).first().asDict()
+    for i, (q1, q3) in enumerate(column_quantiles(df, cols, [0.25, 0.75]).values()):
+        q |= {f"q1_{i}": q1, f"q3_{i}": q3}
     out_aggs = []
     for i, c in enumerate(cols):
         x = F.col(_q(c)).cast("double")
@@ -212,17 +212,16 @@ def event_distribution(df: DataFrame, event: str = "e") -> DataFrame:
 
 
 def population_summary(df: DataFrame, time: str = "t", event: str = "e",
-                       group: str | None = None, numeric: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
-    """N, events, median follow-up, group ratio, numeric min/max/median — one aggregate."""
-    from eventide.functions.exprs import exact_ok, median
-    exact = exact_ok(df) if exact is None else exact
+                       group: str | None = None, numeric: Sequence[str] = ()) -> DataFrame:
+    """N, events, median follow-up, group ratio, numeric min/max/median."""
+    medians = column_quantiles(df, [time, *numeric], [0.5])
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("events"),
-            median(F.col(time).cast("double"), exact).alias("median_followup")]
+            F.lit(medians[time][0]).cast("double").alias("median_followup")]
     if group:
         aggs.append(F.avg(F.col(group).cast("double")).alias("group_ratio"))
     for c in numeric:
         x = F.col(_q(c)).cast("double")
-        aggs += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), median(x, exact).alias(f"{c}_median")]
+        aggs += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.lit(medians[c][0]).cast("double").alias(f"{c}_median")]
     return df.agg(*aggs)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators import risk as K
+from eventide.operators.quantiles import column_quantiles, exact_quantiles
 
 GROUP_ORDER = ("low", "medium", "high")
 
@@ -16,9 +17,7 @@ def risk_thresholds(df: DataFrame, risk: str, thresholds=(0.25, 0.75), mode: str
     """``score``: the numbers as given; ``quantile``: those percentiles of the risk column."""
     if mode == "score":
         return float(thresholds[0]), float(thresholds[1])
-    from eventide.functions.exprs import exact_ok, quantile
-    q = df.agg(quantile(F.col(risk).cast("double"), [float(thresholds[0]), float(thresholds[1])], exact_ok(df))
-               .alias("q")).first()["q"]
+    q = column_quantiles(df, [risk], [float(thresholds[0]), float(thresholds[1])])[risk]
     return float(q[0]), float(q[1])
 
 
@@ -59,15 +58,12 @@ def group_hazard_ratios(df: DataFrame, group: str, reference: str, time: str = "
                     "hr_upper", "p_value")
 
 
-def group_profile(df: DataFrame, group: str, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
+def group_profile(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """Per group mean and median of each numeric column."""
-    from eventide.functions.exprs import exact_ok, median
-    exact = exact_ok(df) if exact is None else exact
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"{c}_mean"), median(x, exact).alias(f"{c}_median")]
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    means = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in cols])
+    medians = exact_quantiles(df, cols, [0.5], by=group).withColumnRenamed(group, "_group")
+    out = means.join(medians, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return out.select(group, "n", *[x for i, c in enumerate(cols) for x in (F.col(f"{c}_mean"), F.col(f"q{i}_0").alias(f"{c}_median"))])
 
 
 def survival_by_group(df: DataFrame, group: str, horizons: Sequence[float], time: str = "t",
