@@ -39,7 +39,18 @@ def unpack(theta: np.ndarray, n_in: int, hidden: list[int]):
     return out
 
 
-def forward(theta, X, hidden, residual=False, dropout=0.0, rng=None):
+def _uniform(keys: np.ndarray, units: int, layer: int, seed: int) -> np.ndarray:
+    """rows x units draws in [0, 1) that depend only on the row's key, the layer, the unit and the seed."""
+    stream = (np.uint64(seed & 0xFFFFFFFF) << np.uint64(32)) + np.arange(units, dtype=np.uint64) + np.uint64(layer << 20)
+    x = keys.astype(np.int64).view(np.uint64)[:, None] ^ (stream * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) / 2.0**64
+
+
+def forward(theta, X, hidden, residual=False, dropout=0.0, keys=None, seed=0):
+    """Outputs and the cache that ``backward`` needs.  With ``dropout`` a row's mask follows from its
+    key and the seed, so two passes over the same row (scores, then gradients) share one mask."""
     layers = unpack(theta, X.shape[1], hidden)
     acts, masks, h = [X], [], X
     for i, (W, c) in enumerate(layers):
@@ -49,8 +60,8 @@ def forward(theta, X, hidden, residual=False, dropout=0.0, rng=None):
         a = np.maximum(z, 0.0)
         if residual and a.shape == h.shape:
             a = a + h
-        if dropout > 0 and rng is not None:
-            m = (rng.random(a.shape) >= dropout) / (1.0 - dropout)
+        if dropout > 0 and keys is not None:
+            m = (_uniform(keys, a.shape[1], i, seed) >= dropout) / (1.0 - dropout)
             a = a * m
         else:
             m = None

@@ -86,9 +86,11 @@ def _stats(X: DataFrame, theta: np.ndarray, p: int, dist: str):
     agg = part.agg(F.sum("ll").alias("ll"),
                    *[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(q)],
                    *[F.sum(F.col("H")[i]).alias(f"H{i}") for i in range(n2)]).first()
-    g = np.array([agg[f"g{i}"] for i in range(q)])
-    H = np.array([agg[f"H{i}"] for i in range(n2)]).reshape(q, q)
-    return float(agg["ll"]), g, H
+    # a step too far can overflow to NaN, which Arrow hands back as null: the worst likelihood
+    num = lambda v, other: other if v is None or not math.isfinite(v) else float(v)
+    g = np.array([num(agg[f"g{i}"], 0.0) for i in range(q)])
+    H = np.array([num(agg[f"H{i}"], 0.0) for i in range(n2)]).reshape(q, q)
+    return num(agg["ll"], -math.inf), g, H
 
 
 @dataclass

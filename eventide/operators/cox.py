@@ -123,14 +123,19 @@ class CoxModel:
 
     def predict_median(self, df: DataFrame, key: str) -> DataFrame:
         """First time with S(t|x) <= 0.5, i.e. H0(t) >= ln 2 / risk; +inf if never."""
-        from eventide.operators.lookup import step_lookup
-        r = self.predict_risk(df).select(key, "risk")
-        pts = r.select(key, (-F.lit(math.log(2.0)) / F.col("risk")).alias("nh"))
-        curve = self.baseline.select((-F.col("baseline_hazard")).alias("nh"), F.col("time").alias("mt"))
-        # several times can share one H0 value: keep the earliest
-        curve = curve.groupBy("nh").agg(F.min("mt").alias("mt"))
-        out = step_lookup(curve, pts, [], "nh", ["mt"])
-        return out.select(key, F.coalesce(F.col("mt"), F.lit(float("inf"))).alias("median_time"))
+        return median_from_baseline(self.baseline, self.predict_risk(df).select(key, "risk"), key)
+
+
+def median_from_baseline(baseline: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    """(key, median_time) for proportional hazards: the first baseline time with H0(t) * risk >= ln 2,
+    found by an as-of lookup over all baseline times; +inf if there is none."""
+    from eventide.operators.lookup import step_lookup
+    pts = scored.select(key, (-F.lit(math.log(2.0)) / F.col("risk")).alias("nh"))
+    curve = baseline.select((-F.col("baseline_hazard")).alias("nh"), F.col("time").alias("mt"))
+    # several times can share one H0 value: keep the earliest
+    curve = curve.groupBy("nh").agg(F.min("mt").alias("mt"))
+    out = step_lookup(curve, pts, [], "nh", ["mt"])
+    return out.select(key, F.coalesce(F.col("mt"), F.lit(float("inf"))).alias("median_time"))
 
 
 def _efron_terms(tt: DataFrame, p: int, ties: str, max_d: int) -> DataFrame:

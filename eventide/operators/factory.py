@@ -22,6 +22,19 @@ KINDS = ("kaplan_meier", "cox_ph", "aft", "aalen_additive", "frailty", "gradient
          "random_survival_forest", "deepsurv", "neural", "neural_discrete", "bayesian")
 
 
+#: Event times at which forests, additive and Bayesian models look for a median (a parameter:
+#: ``median_points``); all of them where there are no more, else their even quantiles.
+MEDIAN_POINTS = 200
+
+
+def event_time_points(df: DataFrame, time: str, event: str, n: int) -> list[float]:
+    times = df.where(F.col(event) > 0).select(F.col(time).cast("double").alias("t")).distinct()
+    few = sorted(r["t"] for r in times.limit(n + 1).collect())
+    if len(few) <= n:
+        return few or [0.0]
+    return sorted(set(times.approxQuantile("t", [(i + 1) / n for i in range(n)], 0.25 / n)))
+
+
 class SurvivalEstimator:
     def __init__(self, kind: str, **params):
         kind = ALIASES.get(kind, kind)
@@ -40,6 +53,9 @@ class SurvivalEstimator:
     def fit(self, df: DataFrame, time: str, event: str, features: Sequence[str], id_col: str = "id"):
         self.features, self.id_col, self.time, self.event = list(features), id_col, time, event
         p = dict(self.params)
+        n_points = int(p.pop("median_points", MEDIAN_POINTS))
+        if self.kind in ("random_survival_forest", "bayesian", "aalen_additive"):
+            self._median_times = event_time_points(df, time, event, n_points)
         k = self.kind
         if k == "kaplan_meier":
             from eventide.operators.risk import kaplan_meier
@@ -56,7 +72,7 @@ class SurvivalEstimator:
             self.model = aalen_additive_fit(df, time, event, features, p.get("coef_penalizer", 0.5))
         elif k == "frailty":
             from eventide.operators.frailty import frailty_fit
-            self.model = frailty_fit(df, time, event, features, p.get("cluster"))
+            self.model = frailty_fit(df, time, event, features, p.get("cluster"), max_em=p.get("max_em", 30))
         elif k == "gradient_boosting":
             from eventide.operators.boost import boost_fit
             self.model = boost_fit(df, time, event, features, id_col, p.get("n_estimators", 100),
@@ -118,7 +134,7 @@ class SurvivalEstimator:
         if k == "aalen_additive":
             return m.predict_cumulative_hazard(df, times, keep).select(*keep, "time", "survival")
         if k == "frailty":
-            return m.cox.predict_survival(df, times, keep)
+            return m.predict_survival(df, times, keep)
         if k == "neural_discrete":
             from eventide.operators.lookup import step_lookup
             s = m.predict_survival(df, self.id_col).select(self.id_col, "time", "survival")
@@ -140,8 +156,13 @@ class SurvivalEstimator:
             return m.predict(df).select(key, "median_time")
         if k == "neural_discrete":
             return m.predict_risk(df, key).select(key, "median_time")
-        grid = self.params.get("median_grid") or [float(x) for x in range(1, 101)]
-        s = self.predict_survival(df, grid, [key])
+        if k in ("gradient_boosting", "deepsurv", "frailty") or k == "neural" and m.loss == "cox":
+            from eventide.operators.cox import median_from_baseline
+            base = m.cox.baseline if k == "frailty" else m.baseline
+            return median_from_baseline(base, self.predict_risk(df, [key]), key)
+        if k == "neural":  # Weibull: S(t) = exp(-(t / e^f)^k)
+            return m.score(df, [key]).select(key, (F.exp("f") * math.log(2.0) ** math.exp(-m.log_shape)).alias("median_time"))
+        s = self.predict_survival(df, self._median_times, [key])
         return s.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))),
                                              F.lit(math.inf)).alias("median_time"))
 

@@ -47,11 +47,21 @@ class FrailtyModel:
 
     def predict_risk(self, df: DataFrame) -> DataFrame:
         """Partial hazard times the cluster frailty (1 for unseen clusters)."""
-        f = self.frailties.select(F.col("cluster").alias(self.cluster), "log_frailty")
-        x = df.join(f, self.cluster, "left")
+        if self.cluster in df.columns:
+            f = self.frailties.select(F.col("cluster").alias(self.cluster), "log_frailty")
+            x = df.join(f, self.cluster, "left")
+        else:  # every row is a cluster of its own, and no new row has been seen
+            x = df.withColumn("log_frailty", F.lit(0.0))
         lp = self.cox.linear_predictor(x, include_offset=False)
         return x.withColumn("risk", F.exp(lp + F.coalesce("log_frailty", F.lit(0.0))))
 
+    def predict_survival(self, df: DataFrame, times: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
+        """Long table (keep..., time, survival): exp(-H0(t) * frailty * partial hazard)."""
+        grid = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("time"), F.lit(h).alias("h0"))
+                                   for t, h in zip(times, self.cox.baseline_at(times), strict=True)]))
+        r = self.predict_risk(df).select(*keep, "risk", grid.alias("g"))
+        return r.select(*keep, F.col("g.time").alias("time"), F.exp(-F.col("g.h0") * F.col("risk")).alias("survival"))
+
 
 def _theta_update(K: int, s_log: float, s_z: float, theta: float) -> float:
     """Maximise K(v log v - lgamma v) + (v - 1) s_log - v s_z over v = 1/theta."""

@@ -53,8 +53,9 @@ class NeuralModel:
     def _x(self, pdf):
         return _design(pdf, self.features, self.means, self.scales)
 
-    def score(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """f(x) and risk (exp f for cox; -E[T] for parametric)."""
+    def score(self, df: DataFrame, keep: Sequence[str] = (), dropout: float = 0.0, seed: int = 0) -> DataFrame:
+        """f(x) and risk (exp f for cox; -E[T] for parametric).  Training passes ``dropout`` and a seed;
+        the rows' masks then come from the kept column ``_rk``."""
         theta, hidden, res, loss, k = self.theta, self.hidden, self.residual, self.loss, math.exp(self.log_shape)
         feats, means, scales = list(self.features), self.means, self.scales
         schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
@@ -62,7 +63,8 @@ class NeuralModel:
 
         def fn(it):
             for pdf in it:
-                f, _ = mlp.forward(theta, _design(pdf, feats, means, scales), hidden, res)
+                keys = pdf["_rk"].to_numpy() if dropout > 0 else None
+                f, _ = mlp.forward(theta, _design(pdf, feats, means, scales), hidden, res, dropout, keys, seed)
                 out = pdf[list(keep)].copy()
                 out["f"] = f
                 out["risk"] = np.exp(f) if loss == "cox" else -np.exp(f) * math.gamma(1 + 1 / k)
@@ -139,7 +141,7 @@ def neural_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id
     means = np.array([st[f"m{j}"] or 0.0 for j in range(p)])
     scales = np.array([st[f"s{j}"] or 1.0 for j in range(p)])
     scales = np.where(scales > 0, scales, 1.0)
-    base = df.select(F.col(id_col).alias("_id"), F.col(time).cast("double").alias("t"),
+    base = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_rk"), F.col(time).cast("double").alias("t"),
                      F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(f) for f in feats])
     base = base.withColumn("_val", hash_unit(f"val{seed}", F.col("_id")) < val_fraction)
     base = cut_lineage(right_size(base))
@@ -182,7 +184,7 @@ def _epoch_gradient(model: NeuralModel, data: DataFrame, dropout: float, seed: i
     theta, hidden, res, feats = model.theta, model.hidden, model.residual, model.features
     k = math.exp(model.log_shape)
     if model.loss == "cox":
-        scored = model.score(data.select("_id", "t", "e", *feats), ["_id", "t", "e", *feats])
+        scored = model.score(data.select("_rk", "t", "e", *feats), ["_rk", "t", "e", *feats], dropout, seed)
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         from eventide.operators.relational import maybe_broadcast
         tt = maybe_broadcast(_cox_time_table(scored).select(F.col("time").alias("_tt"), "A", "L"))
@@ -191,21 +193,20 @@ def _epoch_gradient(model: NeuralModel, data: DataFrame, dropout: float, seed: i
         j = j.withColumn("gout", -(F.col("e") - F.exp("f") * F.col("A")))
         nll_t = -float(scored.agg(F.sum(F.col("e") * F.col("f"))).first()[0] or 0.0) + \
             float(tt.agg(F.sum("L")).first()[0] or 0.0)
-        cols = ["gout", *feats]
+        cols = ["_rk", "gout", *feats]
     else:
-        j = data.select("t", "e", *feats)
-        cols = ["t", "e", *feats]
+        j = data.select("_rk", "t", "e", *feats)
+        cols = ["_rk", "t", "e", *feats]
         nll_t = 0.0
     npar = len(theta) + (1 if model.loss == "parametric" else 0)
     loss_kind, means, scales = model.loss, model.means, model.scales
 
     def fn(it):
-        rng = np.random.default_rng(seed)
         acc = np.zeros(npar)
         tot = 0.0
         for pdf in it:
             X = _design(pdf, feats, means, scales)
-            f, cache = mlp.forward(theta, X, hidden, res, dropout, rng)
+            f, cache = mlp.forward(theta, X, hidden, res, dropout, pdf["_rk"].to_numpy(), seed)
             if loss_kind == "cox":
                 gout = pdf["gout"].to_numpy()
                 gk = None

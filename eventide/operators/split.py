@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.session import cut_lineage
 from eventide.functions.exprs import hash_int, hash_unit
 
 RANK_BUCKETS = 64
@@ -87,7 +88,8 @@ def sorted_dense_rank(distinct: DataFrame, col: str, n_parts: int | None = None)
     (a table with one row per partition).
     """
     n_parts = n_parts or distinct.sparkSession.sparkContext.defaultParallelism
-    r = distinct.repartitionByRange(n_parts, col).withColumn("_pid", F.spark_partition_id())
+    # written once: a second evaluation could draw other range bounds
+    r = cut_lineage(distinct.repartitionByRange(n_parts, col).withColumn("_pid", F.spark_partition_id()))
     sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = sizes.select("_pid", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))

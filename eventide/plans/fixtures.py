@@ -95,11 +95,12 @@ def first_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("ts").alias("t0"),
         F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("tp"))
     hours = (F.unix_micros(F.col("tp").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 3.6e9
-    h = per_user.withColumn("h", hours).where(F.col("h") > 0)
+    # users who never purchase are censored at the horizon
+    h = per_user.withColumn("h", hours)
     return h.select(
         F.col("user_id").alias("id"),
         F.least(F.col("h"), F.lit(PURCHASE_HORIZON_H)).alias("t"),
-        (F.col("h") <= PURCHASE_HORIZON_H).cast("int").alias("e"))
+        F.coalesce(F.col("h") <= PURCHASE_HORIZON_H, F.lit(False)).cast("int").alias("e"))
 
 
 FIRST_PURCHASE_SQL = f"""
@@ -108,9 +109,9 @@ first_purchase AS (
     SELECT user_id, min(ts) AS t0, min(CASE WHEN event_type = 'purchase' THEN ts END) AS tp
     FROM events GROUP BY user_id),
   h AS (SELECT user_id, (epoch_us(tp) - epoch_us(t0)) / 3.6e9 AS h FROM u)
-  SELECT user_id AS id, least(h, {PURCHASE_HORIZON_H}) AS t,
-         CAST(h <= {PURCHASE_HORIZON_H} AS INTEGER) AS e
-  FROM h WHERE h > 0)"""
+  SELECT user_id AS id, CAST(least(coalesce(h, {PURCHASE_HORIZON_H}), {PURCHASE_HORIZON_H}) AS DOUBLE) AS t,
+         CAST(coalesce(h <= {PURCHASE_HORIZON_H}, false) AS INTEGER) AS e
+  FROM h)"""
 
 
 def reused(df: DataFrame, *cols: str) -> DataFrame:

@@ -9,16 +9,25 @@ were consumed, so a rerun after a failure neither loses nor repeats files.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _name(path: str) -> str:
+    """The same name for the same folder in every process."""
+    bare = path if "://" in path else os.path.abspath(path.removeprefix("file:"))
+    return hashlib.md5(bare.rstrip("/").encode()).hexdigest()
+
+
 def ingest_landed(spark: SparkSession, landing_dir: str, table_dir: str, schema: T.StructType | str,
                   fmt: str = "csv", checkpoint: str | None = None) -> int:
     """Append all not-yet-ingested landed files to ``table_dir``; returns rows in the table."""
     from eventide.session import checkpoint_dir
-    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing-{abs(hash(table_dir))}"
+    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing-{_name(table_dir)}"
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
