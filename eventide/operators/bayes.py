@@ -1,11 +1,11 @@
-"""Bayesian parametric survival by consensus Monte Carlo (M13; Scott et al. 2016).
+"""Bayesian parametric survival by Markov chains over full-data likelihoods.
 
-Rows are split into hash shards of bounded size.  Each shard runs
-random-walk Metropolis (proposal from its own Laplace approximation, scale
-tuned towards 23 % acceptance) on its likelihood times prior^(1/shards) in
-``applyInPandas``; the shard draws are combined draw by draw with precision
-(inverse covariance) weights.  WAIC comes from per-row log-likelihoods over
-the draws, summed in Spark.
+Every likelihood is a sum over all rows that Spark makes: a pass evaluates many parameter vectors
+at once and returns one partial sum per partition.  Newton steps on such sums find the posterior
+mode and its curvature; the chains are independence Metropolis samplers whose proposals come from a
+heavy-tailed normal around the mode and whose posterior values, for all proposals of all chains, are
+summed in one further pass.  The result does not depend on how rows are partitioned or on how many
+there are.  WAIC comes from per-row log-likelihoods over the draws, summed in Spark.
 
 Models (one parameterisation throughout):
   weibull      S(t|x) = exp(-lambda e^{x b} t^alpha),   theta = (log lambda, log alpha, b)
@@ -21,12 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.exprs import hash_int
+from eventide.plans.scan import right_size
 
-SHARD_ROWS = 50_000
+#: Rows that a task evaluates at a time (times the number of parameter vectors).
+CHUNK_ROWS = 500
+#: Degrees of freedom of the proposals.
+PROPOSAL_DF = 5.0
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
@@ -57,7 +61,9 @@ def loglik_rows(theta: np.ndarray, t: np.ndarray, e: np.ndarray, X: np.ndarray,
         b = th[:, 2:]
         eta = X @ b.T if b.shape[1] else np.zeros((len(t), th.shape[0]))
         z = (lt - mu - eta) / np.exp(ls)
-        out = e * (-ls - lt - 0.5 * math.log(2 * math.pi) - 0.5 * z * z) + (1 - e) * _norm_logsf(z)
+        out = e * (-ls - lt - 0.5 * math.log(2 * math.pi) - 0.5 * z * z)
+        open_ = e[:, 0] < 1
+        out[open_] += (1 - e[open_]) * _norm_logsf(z[open_])
     return out[:, 0] if np.ndim(theta) == 1 else out
 
 
@@ -65,73 +71,74 @@ def _n_base(dist):
     return 1 if dist == "exponential" else 2
 
 
-def _shard_sampler(pdf: pd.DataFrame, p: int, dist: str, prior_sigma: float, n_shards: int, draws: int,
-                   chains: int, tune: int, seed: int) -> pd.DataFrame:
-    t = pdf["t"].to_numpy(float)
-    e = pdf["e"].to_numpy(float)
-    X = np.column_stack([pdf[f"x{j}"].to_numpy(float) for j in range(p)]) if p else np.zeros((len(t), 0))
-    d = _n_base(dist) + p
-    shard = int(pdf["_shard"].iloc[0])
+def _sums(x: DataFrame, thetas: np.ndarray, p: int, dist: str) -> np.ndarray:
+    """Log-likelihood of all rows at every row of ``thetas``; one partial sum per partition is collected."""
+    shared = x.sparkSession.sparkContext.broadcast(thetas)  # parameter vectors only
 
-    def logpost(th):
-        return float(loglik_rows(th, t, e, X, dist).sum()) - 0.5 * float(th @ th) / prior_sigma ** 2 / n_shards
-
-    th = np.zeros(d)
-    if dist == "lognormal":
-        th[0] = float(np.log(t).mean())
-        th[1] = math.log(max(float(np.log(t).std()), 1e-3))
-    else:
-        th[0] = math.log(max(e.sum(), 1.0) / t.sum())
-    # Laplace approximation by damped Newton with finite differences (d is small)
-    h = 1e-4
-    for _ in range(50):
-        f0 = logpost(th)
-        g = np.zeros(d)
-        H = np.zeros((d, d))
-        for i in range(d):
-            ei = np.eye(d)[i] * h
-            fp, fm = logpost(th + ei), logpost(th - ei)
-            g[i] = (fp - fm) / (2 * h)
-            H[i, i] = (fp - 2 * f0 + fm) / h ** 2
-            for j in range(i + 1, d):
-                ej = np.eye(d)[j] * h
-                H[i, j] = H[j, i] = (logpost(th + ei + ej) - logpost(th + ei - ej) - logpost(th - ei + ej)
-                                     + logpost(th - ei - ej)) / (4 * h * h)
-        negH = -H + 1e-9 * np.eye(d)
-        try:
-            step = np.linalg.solve(negH, g)
-        except np.linalg.LinAlgError:
-            step = g * 1e-3
-        s = 1.0
-        while s > 1e-6 and not logpost(th + s * step) >= f0 - 1e-10:
-            s *= 0.5
-        th = th + s * step
-        if np.abs(s * step).max() < 1e-8:
+    def fn(it):
+        th, total = shared.value, np.zeros(len(shared.value))
+        for pdf in it:
+            t, e = pdf["t"].to_numpy(float), pdf["e"].to_numpy(float)
+            X = np.column_stack([pdf[f"x{j}"].to_numpy(float) for j in range(p)]) if p else np.zeros((len(t), 0))
+            for a in range(0, len(t), CHUNK_ROWS):
+                z = slice(a, a + CHUNK_ROWS)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    total += np.nan_to_num(loglik_rows(th, t[z], e[z], X[z], dist).sum(axis=0), nan=-1e300, neginf=-1e300)
+        yield pd.DataFrame({"s": [total.tolist()]})
+
+    parts = x.mapInPandas(fn, "s array<double>").collect()
+    return np.sum([r["s"] for r in parts], axis=0) if parts else np.zeros(len(thetas))
+
+
+def _mode(posterior, th: np.ndarray, max_iter: int = 50, h: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mode and covariance by damped Newton; derivatives by central differences, all the
+    points of a step in one pass."""
+    d = len(th)
+    unit = np.eye(d) * h
+    pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
+    for _ in range(max_iter):
+        points = [th] + [th + s * unit[i] for i in range(d) for s in (1, -1)]
+        points += [th + s * unit[i] + r * unit[j] for i, j in pairs for s in (1, -1) for r in (1, -1)]
+        f = posterior(np.array(points))
+        up, down = f[1:2 * d + 1:2], f[2:2 * d + 1:2]
+        g, H = (up - down) / (2 * h), np.diag((up - 2 * f[0] + down) / h**2)
+        for k, (i, j) in enumerate(pairs):
+            pp, pm, mp, mm = f[2 * d + 1 + 4 * k:2 * d + 5 + 4 * k]
+            H[i, j] = H[j, i] = (pp - pm - mp + mm) / (4 * h * h)
+        values, vectors = np.linalg.eigh(-H)
+        values = np.maximum(np.abs(values), 1e-9 * max(1.0, np.abs(values).max()))
+        cov = (vectors / values) @ vectors.T
+        step = cov @ g
+        tries = np.array([th + 0.5**k * step for k in range(24)])
+        better = np.flatnonzero(posterior(tries) >= f[0] - 1e-9 * abs(f[0]))
+        if not len(better):
             break
-    try:
-        cov = np.linalg.inv(negH)
-        L = np.linalg.cholesky(cov)
-    except np.linalg.LinAlgError:
-        L = np.eye(d) * 0.01
-    out = []
+        move = 0.5**better[0] * step
+        th = th + move
+        if np.abs(move).max() < 1e-6:
+            break
+    return th, cov
+
+
+def _chains(posterior, mode: np.ndarray, cov: np.ndarray, draws: int, chains: int, tune: int, seed: int) -> np.ndarray:
+    """Independence Metropolis chains (draws after ``tune`` steps), proposals from a multivariate t."""
+    d = len(mode)
+    root = np.linalg.cholesky(cov + 1e-12 * np.eye(d) * np.trace(cov) / d)
+    rng = np.random.default_rng(seed)
+    z = rng.normal(size=(chains, tune + draws, d)) * np.sqrt(PROPOSAL_DF / rng.chisquare(PROPOSAL_DF, size=(chains, tune + draws, 1)))
+    z[:, 0] = 0.0  # chains begin at the mode
+    points = mode + z @ root.T
+    density = -0.5 * (PROPOSAL_DF + d) * np.log1p((z**2).sum(axis=2) / PROPOSAL_DF)
+    weight = posterior(points.reshape(-1, d)).reshape(chains, -1) - density
+    out, u = [], np.log(rng.random((chains, tune + draws)))
     for c in range(chains):
-        rng = np.random.default_rng([seed, shard, c])
-        cur = th + L @ rng.normal(size=d) * 0.1
-        lp = logpost(cur)
-        scale = 2.38 / math.sqrt(d)
-        acc = 0
-        for it in range(tune + draws):
-            prop = cur + scale * (L @ rng.normal(size=d))
-            lq = logpost(prop)
-            if math.log(rng.random()) < lq - lp:
-                cur, lp = prop, lq
-                acc += 1
-            if it < tune and (it + 1) % 50 == 0:
-                scale *= math.exp((acc / 50.0) - 0.234)
-                acc = 0
-            if it >= tune:
-                out.append((shard, c, it - tune, cur.tolist()))
-    return pd.DataFrame(out, columns=["shard", "chain", "draw", "theta"])
+        at = 0
+        for k in range(tune + draws):
+            if u[c, k] < weight[c, k] - weight[c, at]:
+                at = k
+            if k >= tune:
+                out.append(points[c, at])
+    return np.array(out)
 
 
 @dataclass
@@ -140,7 +147,7 @@ class BayesModel:
     features: list[str]
     names: list[str]
     draws: np.ndarray  # (G, d) on the original covariate scale
-    shards: int
+    shards: int = 1  # kept for stored models
     waic: float = float("nan")
     p_waic: float = float("nan")
     max_time: float = 1.0
@@ -193,10 +200,9 @@ class BayesModel:
             return x.withColumn("risk", -F.exp(F.lit(float(mean[0])) + F.col("f")))
         return x.withColumn("risk", F.exp("f"))
 
-    def predict_survival(self, df: DataFrame, times: Sequence[float], keep: Sequence[str] = (),
-                         max_draws: int = 200) -> DataFrame:
-        """Posterior mean S(t|x) over (a thinned set of) draws at the requested times."""
-        th = self.draws[np.linspace(0, len(self.draws) - 1, min(max_draws, len(self.draws))).astype(int)]
+    def predict_survival(self, df: DataFrame, times: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
+        """Posterior mean S(t|x) over all draws at the requested times."""
+        th = self.draws
         feats, dist, keep = list(self.features), self.dist, list(keep)
         grid = np.array(times, float)
         spark = df.sparkSession
@@ -208,7 +214,8 @@ class BayesModel:
             th_ = bth.value
             for pdf in it:
                 X = np.column_stack([pdf[f].to_numpy(float) for f in feats]) if feats else np.zeros((len(pdf), 0))
-                S = _surv(th_, grid, X, dist).mean(axis=1)  # (n, T)
+                S = np.concatenate([_surv(th_, grid, X[a:a + 50], dist).mean(axis=1) for a in range(0, len(X), 50)] or
+                                   [np.zeros((0, len(grid)))])  # (n, T)
                 out = pdf[keep].loc[pdf.index.repeat(len(grid))].reset_index(drop=True)
                 out["time"] = np.tile(grid, len(pdf))
                 out["survival"] = S.reshape(-1)
@@ -233,7 +240,8 @@ def _surv(th: np.ndarray, grid: np.ndarray, X: np.ndarray, dist: str) -> np.ndar
 
 def bayes_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_col: str = "id",
               dist: str = "weibull", prior_sigma: float = 2.0, draws: int = 1000, chains: int = 2,
-              tune: int = 1000, seed: int = 42, shard_rows: int = SHARD_ROWS, with_waic: bool = True) -> BayesModel:
+              tune: int = 1000, seed: int = 42, with_waic: bool = True) -> BayesModel:
+    """Posterior draws of a parametric model; ``chains`` x ``draws`` of them after ``tune`` steps."""
     if dist not in ("weibull", "exponential", "lognormal"):
         raise ValueError("dist must be weibull, exponential or lognormal")
     feats = list(features)
@@ -241,40 +249,24 @@ def bayes_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
     st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.col(time).cast("double")).alias("mx"),
                 *[F.avg(F.col(f).cast("double")).alias(f"m{j}") for j, f in enumerate(feats)],
                 *[F.stddev_pop(F.col(f).cast("double")).alias(f"s{j}") for j, f in enumerate(feats)]).first()
-    n = int(st["n"])
     means = np.array([st[f"m{j}"] or 0.0 for j in range(p)])
     scales = np.array([st[f"s{j}"] or 1.0 for j in range(p)])
     scales = np.where(scales > 0, scales, 1.0)
-    S = max(1, math.ceil(n / shard_rows))
-    x = df.select(F.pmod(hash_int(f"shard{seed}", F.col(id_col)), F.lit(S)).cast("int").alias("_shard"),
-                  F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"),
-                  *[((F.col(f).cast("double") - float(means[j])) / float(scales[j])).alias(f"x{j}")
-                    for j, f in enumerate(feats)])
-    args = (p, dist, prior_sigma, S, draws, chains, tune, seed)
-    d = _n_base(dist) + p
-
-    def shard_task(pdf):
-        # sample, then weight this shard's draws by its own precision inside the task
-        dr = _shard_sampler(pdf, *args)
-        A = np.array(dr["theta"].tolist())
-        C = np.cov(A.T) if len(A) > 1 else np.eye(d)
-        W = np.linalg.pinv(np.atleast_2d(C))
-        WA = A @ W.T
-        g = dr["chain"].to_numpy() * draws + dr["draw"].to_numpy()
-        rows = [(int(gi), wa.tolist(), None) for gi, wa in zip(g, WA)]
-        rows.append((-1, None, W.reshape(-1).tolist()))
-        return pd.DataFrame(rows, columns=["g", "wa", "w"])
-
-    out = x.groupBy("_shard").applyInPandas(shard_task, "g int, wa array<double>, w array<double>")
-    out = out.persist()
-    # precision-weighted consensus: sum over shards per draw index (G rows) and of the precisions
-    Wsum = out.where("g = -1").agg(*[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(d * d)]).first()
-    Wsum = np.array([Wsum[f"w{i}"] for i in range(d * d)]).reshape(d, d)
-    per_g = (out.where("g >= 0").groupBy("g").agg(*[F.sum(F.col("wa")[i]).alias(f"a{i}") for i in range(d)])
-             .orderBy("g").collect())  # chains x draws rows
-    out.unpersist()
-    Winv = np.linalg.pinv(Wsum)
-    comb = np.array([Winv @ np.array([r[f"a{i}"] for i in range(d)]) for r in per_g])
+    x = right_size(df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"),
+                             *[((F.col(f).cast("double") - float(means[j])) / float(scales[j])).alias(f"x{j}")
+                               for j, f in enumerate(feats)])).persist(StorageLevel.MEMORY_AND_DISK)
+    start = np.zeros(_n_base(dist) + p)
+    first = x.agg(F.avg(F.log("t")).alias("m"), F.stddev_pop(F.log("t")).alias("s"), F.sum("e").alias("e"), F.sum("t").alias("t")).first()
+    if dist == "lognormal":
+        start[0], start[1] = first["m"], math.log(max(first["s"] or 0.0, 1e-3))
+    else:
+        start[0] = math.log(max(first["e"], 1.0) / first["t"])
+
+    def posterior(thetas):
+        return _sums(x, thetas, p, dist) - 0.5 * (thetas**2).sum(axis=1) / prior_sigma**2
+    mode, cov = _mode(posterior, start)
+    comb = _chains(posterior, mode, cov, draws, chains, tune, seed)
+    x.unpersist()
     # back to the original covariate scale
     nb = _n_base(dist)
     orig = comb.copy()
@@ -283,7 +275,7 @@ def bayes_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
         orig[:, 0] = comb[:, 0] - orig[:, nb:] @ means
     base_names = {"weibull": ["log_lambda", "log_alpha"], "exponential": ["log_lambda"],
                   "lognormal": ["mu", "log_sigma"]}[dist]
-    m = BayesModel(dist, feats, base_names + feats, orig, S, max_time=float(st["mx"]))
+    m = BayesModel(dist, feats, base_names + feats, orig, max_time=float(st["mx"]))
     if dist == "lognormal":
         med = np.exp(orig[:, 0] - (orig[:, nb:] @ means if p else 0.0))
     else:
@@ -297,9 +289,8 @@ def bayes_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
     return m
 
 
-def _waic(df, time, event, feats, draws, dist, max_draws: int = 500, chunk: int = 2000):
-    th = draws[np.linspace(0, len(draws) - 1, min(max_draws, len(draws))).astype(int)]
-    bth = df.sparkSession.sparkContext.broadcast(th)
+def _waic(df, time, event, feats, draws, dist, chunk: int = CHUNK_ROWS):
+    bth = df.sparkSession.sparkContext.broadcast(draws)
 
     def fn(it):
         th_ = bth.value

@@ -72,14 +72,14 @@ def neural_discrete_q(spark, sf_dir):
 def bayes_fit_q(spark, sf_dir):
     from eventide.operators.bayes import bayes_fit
     data, feats = cox_data(spark, sf_dir)
-    return bayes_fit(data, "t", "e", feats, "id", "weibull", draws=500, tune=500).summary_table(spark)
+    return bayes_fit(data, "t", "e", feats, "id", "weibull").summary_table(spark)
 
 
 @register("bayes_curve")
 def bayes_curve_q(spark, sf_dir):
     from eventide.operators.bayes import bayes_fit
     data, feats = cox_data(spark, sf_dir)
-    return bayes_fit(data, "t", "e", feats, "id", "lognormal", draws=500, tune=500,
+    return bayes_fit(data, "t", "e", feats, "id", "lognormal",
                      with_waic=False).curve_bands(spark)
 
 
@@ -87,8 +87,8 @@ def bayes_curve_q(spark, sf_dir):
 def bayes_predict_q(spark, sf_dir):
     from eventide.operators.bayes import bayes_fit
     data, feats = cox_data(spark, sf_dir)
-    m = bayes_fit(data, "t", "e", feats, "id", "exponential", draws=500, tune=500, with_waic=False)
-    return m.predict_survival(data, HZ, ["id"], max_draws=100)
+    m = bayes_fit(data, "t", "e", feats, "id", "exponential", with_waic=False)
+    return m.predict_survival(data, HZ, ["id"])
 
 
 @register("rsf_fit")

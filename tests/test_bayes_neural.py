@@ -1,4 +1,4 @@
-"""Consensus Monte Carlo against a 1-D numerical posterior; MLP gradients; neural fits run."""
+"""Markov chains against a 1-D numerical posterior; MLP gradients; neural fits run."""
 
 import math
 
@@ -7,7 +7,7 @@ import numpy as np
 from eventide.functions import mlp
 
 
-def test_consensus_matches_exact_posterior(spark):
+def test_chains_match_exact_posterior(spark):
     from eventide.operators.bayes import bayes_fit
     rng = np.random.default_rng(3)
     n = 1500
@@ -15,8 +15,7 @@ def test_consensus_matches_exact_posterior(spark):
     c = rng.exponential(40.0, n)
     T, E = np.minimum(t, c), (t <= c).astype(int)
     df = spark.createDataFrame([(i, float(T[i]), int(E[i])) for i in range(n)], "id int, t double, e int")
-    m = bayes_fit(df, "t", "e", [], "id", "exponential", draws=1500, tune=500, shard_rows=600)
-    assert m.shards == 3
+    m = bayes_fit(df, "t", "e", [], "id", "exponential", draws=1500, tune=500)
     g = np.linspace(-6, -1, 20001)
     lp = E.sum() * g - np.exp(g) * T.sum() - g * g / 8.0
     w = np.exp(lp - lp.max())
@@ -24,6 +23,23 @@ def test_consensus_matches_exact_posterior(spark):
     sd = math.sqrt((w * (g - mean) ** 2).sum() / w.sum())
     assert abs(m.draws[:, 0].mean() - mean) < 0.2 * sd
     assert abs(m.draws[:, 0].std() - sd) < 0.15 * sd
+    again = bayes_fit(df.repartition(7), "t", "e", [], "id", "exponential", draws=1500, tune=500, with_waic=False)
+    assert abs(again.draws[:, 0].mean() - m.draws[:, 0].mean()) < 1e-3 * sd  # partitions change nothing
+
+
+def test_posterior_does_not_hang_on_the_size(spark):
+    """Ten copies of the rows: the same mode, a tenth of the variance."""
+    from eventide.operators.bayes import bayes_fit
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=800)
+    t = 50 * rng.weibull(1.5, 800) * np.exp(-0.4 * x)
+    rows = [(i, float(a), float(b), int(i % 5 > 0)) for i, (a, b) in enumerate(zip(x, t, strict=True))]
+    df = spark.createDataFrame(rows, "id int, x double, t double, e int")
+    few = bayes_fit(df, "t", "e", ["x"], "id", with_waic=False, prior_sigma=100.0)
+    many = bayes_fit(df.crossJoin(spark.range(10).select("id").withColumnRenamed("id", "copy")), "t", "e", ["x"], "id", with_waic=False, prior_sigma=100.0)
+    sd = few.draws.std(axis=0)
+    assert np.abs(few.draws.mean(axis=0) - many.draws.mean(axis=0)).max() < 0.15 * sd.max() + 0.15 * sd.min()
+    assert np.allclose(many.draws.std(axis=0), sd / math.sqrt(10), rtol=0.15)
 
 
 def test_mlp_gradients():
