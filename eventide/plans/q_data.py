@@ -139,17 +139,17 @@ def attach_features_q(spark, sf_dir):
     return Rl.attach_features(df, feats, "id")
 
 
-@register("union_rows", R + "SELECT id, seg FROM reorder WHERE seg IN ('BUILDING', 'MACHINERY')")
+@register("union_rows", R + "SELECT id, seg FROM reorder")
 def union_rows_q(spark, sf_dir):
     df = fx.reorder(spark, sf_dir).select("id", "seg")
-    return Rl.union_rows(df.where("seg = 'BUILDING'"), df.where("seg = 'MACHINERY'"))
+    return Rl.union_rows(df.where("seg = 'BUILDING'"), df.where("seg <> 'BUILDING'"))
 
 
-@register("time_grid_union", R + "SELECT DISTINCT CAST(t AS DOUBLE) AS time FROM reorder WHERE cause IN (1, 2)")
+@register("time_grid_union", R + "SELECT DISTINCT CAST(t AS DOUBLE) AS time FROM reorder")
 def time_grid_union_q(spark, sf_dir):
     df = fx.reorder(spark, sf_dir)
     return Rl.time_grid_union(df.where("cause = 1").select(F.col("t").alias("time")),
-                              df.where("cause = 2").select(F.col("t").alias("time")))
+                              df.where("cause <> 1").select(F.col("t").alias("time")))
 
 
 @register("distinct_transitions", J + "SELECT DISTINCT state AS from_state, next_state AS to_state "
