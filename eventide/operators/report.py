@@ -193,7 +193,7 @@ def risk_heatmap(df: DataFrame, f1: str, f2: str, risk: str, bins: int = 5,
 
     def binexpr(c, lo, hi):
         if binning == "quantile":
-            cuts = df.approxQuantile(c, [i / bins for i in range(1, bins)], 0.001)
+            cuts = column_quantiles(df, [c], [i / bins for i in range(1, bins)])[c]
             e = F.lit(0)
             for cut in cuts:
                 e = e + (F.col(c) > float(cut)).cast("int")

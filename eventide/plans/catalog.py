@@ -12,3 +12,4 @@ from eventide.plans import q_more  # noqa: F401
 from eventide.plans import q_ml  # noqa: F401
 from eventide.plans import q_train  # noqa: F401
 from eventide.plans import q_models2  # noqa: F401
+from eventide.plans import q_fixed  # noqa: F401

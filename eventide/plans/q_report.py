@@ -56,13 +56,21 @@ def risk_group_hr_q(spark, sf_dir):
     return T.group_hazard_ratios(_rg(spark, sf_dir), "risk_group", "low", levels=["medium", "high"])
 
 
-@register("risk_group_logrank")
+# three groups: the statistic from the 2 x 2 covariance in closed form, and the chi-square tail at 2 df
+@register("risk_group_logrank", RG_SQL.rstrip() + """,
+tt AS (SELECT t, count(*) AS n, sum(e) AS d, count(*) FILTER (risk_group = 'high') AS n1, count(*) FILTER (risk_group = 'low') AS n2,
+              coalesce(sum(e) FILTER (risk_group = 'high'), 0) AS d1, coalesce(sum(e) FILTER (risk_group = 'low'), 0) AS d2 FROM rg GROUP BY t),
+rs AS (SELECT d, d1, d2, sum(n) OVER w AS n, sum(n1) OVER w AS n1, sum(n2) OVER w AS n2 FROM tt WINDOW w AS (ORDER BY t DESC)),
+v AS (SELECT d1 - d * n1 / n AS u1, d2 - d * n2 / n AS u2, CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0 END AS f, n1 / n AS p1, n2 / n AS p2 FROM rs),
+s AS (SELECT sum(u1) AS u1, sum(u2) AS u2, sum(f * p1 * (1 - p1)) AS v11, sum(f * p2 * (1 - p2)) AS v22, -sum(f * p1 * p2) AS v12 FROM v),
+q2 AS (SELECT (u1 * u1 * v22 - 2 * u1 * u2 * v12 + u2 * u2 * v11) / (v11 * v22 - v12 * v12) AS statistic FROM s)
+SELECT (SELECT count(*) FROM rg) AS n, round(statistic, 4) AS statistic, 2 AS df, round(exp(-statistic / 2), 6) AS p_value FROM q2""")
 def risk_group_logrank_q(spark, sf_dir):
     df = _rg(spark, sf_dir)
     r = LR.logrank(df, "risk_group")
     return df.agg(F.count(F.lit(1)).alias("n")).select(
-        "n", F.lit(r["statistic"]).alias("statistic"), F.lit(r["df"]).alias("df"),
-        F.lit(r["p_value"]).alias("p_value"))
+        "n", F.round(F.lit(r["statistic"]), 4).alias("statistic"), F.lit(r["df"]).alias("df"),
+        F.round(F.lit(r["p_value"]), 6).alias("p_value"))
 
 
 @register("risk_group_profile", RG_SQL + """
@@ -184,6 +192,13 @@ def performance_by_period_metrics_q(spark, sf_dir):
     return T.period_metrics(pred, "period", 180.0, "S_0", "t", "e", "risk")
 
 
-@register("risk_heatmap_quantile")
+@register("risk_heatmap_quantile", R.rstrip() + """,
+c AS (SELECT quantile_cont(price, [0.25, 0.5, 0.75]) AS p, quantile_cont(t, [0.25, 0.5, 0.75]) AS q FROM reorder),
+b AS (SELECT CAST(price > p[1] AS INT) + CAST(price > p[2] AS INT) + CAST(price > p[3] AS INT) AS bin_x,
+             CAST(t > q[1] AS INT) + CAST(t > q[2] AS INT) + CAST(t > q[3] AS INT) AS bin_y, e FROM reorder, c),
+m AS (SELECT bin_x, bin_y, avg(e) AS mean_risk, count(*) AS n FROM b GROUP BY ALL)
+SELECT bin_x, bin_y, round(mean_risk, 6) AS mean_risk, n, CASE WHEN mean_risk < 0.25 THEN 'low' WHEN mean_risk < 0.5 THEN 'medium_low'
+       WHEN mean_risk < 0.75 THEN 'medium_high' ELSE 'high' END AS band FROM m""")
 def risk_heatmap_quantile_q(spark, sf_dir):
-    return T.risk_heatmap(fx.reorder(spark, sf_dir), "price", "t", "e", 4, binning="quantile")
+    h = T.risk_heatmap(fx.reorder(spark, sf_dir), "price", "t", "e", 4, binning="quantile")
+    return h.select("bin_x", "bin_y", r6(F.col("mean_risk")).alias("mean_risk"), "n", "band")
