@@ -19,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.operators.cox import _penalty
 from eventide.functions.stats import Z95, two_sided_p
 from eventide.plans.scan import right_size
 
@@ -183,8 +184,9 @@ class AFTModel:
 
 def aft_fit(df: DataFrame, time: str, event: str, features: Sequence[str], dist: str = "weibull",
             penalizer: float = 0.0, max_iter: int = 50, tol: float = 1e-10,
-            with_concordance: bool = True) -> AFTModel:
-    """Maximum likelihood AFT; optional L2 penalty on the covariate coefficients."""
+            with_concordance: bool = True, l1_ratio: float = 0.0) -> AFTModel:
+    """Maximum likelihood AFT; optional elastic-net penalty on the covariate coefficients
+    (``l1_ratio`` of it as a smoothed absolute value, the rest as squares)."""
     if dist not in DISTS:
         raise ValueError(f"dist must be one of {DISTS}")
     feats = list(features)
@@ -198,15 +200,14 @@ def aft_fit(df: DataFrame, time: str, event: str, features: Sequence[str], dist:
     theta = np.zeros(p + 2)
     theta[0] = st["m"]
     theta[-1] = math.log(st["s"] or 1.0)
-    P = np.zeros((p + 2, p + 2))
-    P[1:p + 1, 1:p + 1] = np.eye(p) * penalizer * n
 
     def objective(th):
         ll, g, H = _stats(X, th, p, dist)
-        pen = 0.5 * penalizer * n * float(th[1:p + 1] @ th[1:p + 1])
-        gp = g.copy()
-        gp[1:p + 1] -= penalizer * n * th[1:p + 1]
-        return ll - pen, ll, gp, H - P
+        pen, pg, ph = _penalty(th[1:p + 1], penalizer, l1_ratio, n)
+        gp, Hp = g.copy(), H.copy()
+        gp[1:p + 1] -= pg
+        Hp[1:p + 1, 1:p + 1] -= ph
+        return ll - pen, ll, gp, Hp
 
     obj, ll, g, H = objective(theta)
     it = 0

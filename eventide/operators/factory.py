@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 ALIASES = {"cox": "cox_ph", "weibull_aft": "aft", "boosted_cox": "gradient_boosting",
            "deephit": "neural_discrete", "xgboost": "gradient_boosting", "lightgbm": "gradient_boosting"}
 KINDS = ("kaplan_meier", "cox_ph", "aft", "aalen_additive", "frailty", "gradient_boosting",
-         "random_survival_forest", "deepsurv", "neural", "neural_discrete", "bayesian")
+         "random_survival_forest", "deepsurv", "neural", "neural_discrete", "bayesian", "competing_risks", "multi_state")
 
 
 #: Event times at which forests, additive and Bayesian models look for a median (a parameter:
@@ -54,19 +54,20 @@ class SurvivalEstimator:
         self.features, self.id_col, self.time, self.event = list(features), id_col, time, event
         p = dict(self.params)
         n_points = int(p.pop("median_points", MEDIAN_POINTS))
-        if self.kind in ("random_survival_forest", "bayesian", "aalen_additive"):
+        if self.kind in ("random_survival_forest", "bayesian", "aalen_additive", "competing_risks"):
             self._median_times = event_time_points(df, time, event, n_points)
         k = self.kind
         if k == "kaplan_meier":
             from eventide.operators.risk import kaplan_meier
-            self.model = kaplan_meier(df, time, event).persist()
+            self.model = kaplan_meier(df, time, event, p.get("stratify_by")).persist()
         elif k == "cox_ph":
             from eventide.operators.cox import cox_fit
             self.model = cox_fit(df, time, event, features, penalizer=p.get("penalizer", p.get("alpha", 0.0)),
                                  l1_ratio=p.get("l1_ratio", 0.0), ties=p.get("ties", "efron"))
         elif k == "aft":
             from eventide.operators.aft import aft_fit
-            self.model = aft_fit(df, time, event, features, p.get("dist", "weibull"), p.get("penalizer", 0.0))
+            self.model = aft_fit(df, time, event, features, p.get("dist", "weibull"), p.get("penalizer", p.get("alpha", 0.0)),
+                                 l1_ratio=p.get("l1_ratio", 0.0))
         elif k == "aalen_additive":
             from eventide.operators.additive import aalen_additive_fit
             self.model = aalen_additive_fit(df, time, event, features, p.get("coef_penalizer", 0.5))
@@ -93,8 +94,25 @@ class SurvivalEstimator:
         elif k == "bayesian":
             from eventide.operators.bayes import bayes_fit
             self.model = bayes_fit(df, time, event, features, id_col, **p)
+        elif k == "competing_risks":
+            # the cause column (0: censored) carries the events; ``event`` marks the cause of interest
+            from eventide.operators import competing as C
+            self.cause, self.interest = p.get("cause", "cause"), int(p.get("cause_of_interest", 1))
+            if p.get("method", "cause_specific") == "fine_gray":
+                self.model = C.fine_gray_fit(df, time, self.cause, features, self.interest)
+            else:
+                self.model = C.cause_specific_fit(df, time, self.cause, features, penalizer=p.get("penalizer", 0.0))
+        elif k == "multi_state":
+            from eventide.operators.multistate import multi_state_fit
+            self.state = p.get("state", "state")
+            self.model = multi_state_fit(df, features, self.state, p.get("next_state", "next_state"), time,
+                                         p.get("penalizer", 0.1), p.get("risk_set", "all"))
         return self
 
+    @property
+    def _cause_specific(self) -> bool:
+        return isinstance(self.model, dict)
+
     # ---- predict ------------------------------------------------------------
     def predict_risk(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """keep..., risk (higher = earlier event)."""
@@ -103,6 +121,12 @@ class SurvivalEstimator:
             return df.select(*keep, F.lit(0.0).alias("risk"))
         if k in ("cox_ph",):
             return m.predict_risk(df).select(*keep, "risk")
+        if k == "competing_risks":  # partial (or subdistribution) hazard of the cause of interest
+            lp = m[self.interest].linear_predictor(df) if self._cause_specific else m.linear_predictor()
+            return df.withColumn("risk", F.exp(lp)).select(*keep, "risk")
+        if k == "multi_state":
+            r = m.predict(df, self.id_col, self.state).select(F.col(self.id_col).alias("_id"), "risk")
+            return df.select(*keep, F.col(self.id_col).alias("_id")).join(r, "_id").select(*keep, "risk")
         if k == "aft":
             return m.predict(df).select(*keep, "risk")
         if k == "aalen_additive":
@@ -123,6 +147,11 @@ class SurvivalEstimator:
         times = [float(t) for t in times]
         if k == "kaplan_meier":
             from eventide.operators.risk import survival_at
+            strata = self.params.get("stratify_by")
+            if strata:  # strata x times rows: joined by stratum
+                s = survival_at(m, times, strata, cols=["survival"])
+                s = s.select(F.col(strata).alias("_st"), "time", F.coalesce("survival", F.lit(1.0)).alias("survival"))
+                return df.select(*keep, F.col(strata).alias("_st")).join(s, "_st").select(*keep, "time", "survival")
             s = survival_at(m, times, cols=["survival"])
             vals = {r["time"]: r["survival"] for r in s.collect()}  # one value per requested time
             grid = F.explode(F.array(*[F.struct(F.lit(t).alias("time"), F.lit(vals[t]).alias("survival"))
@@ -133,6 +162,9 @@ class SurvivalEstimator:
             return m.predict_survival(df, times, keep)
         if k == "aalen_additive":
             return m.predict_cumulative_hazard(df, times, keep).select(*keep, "time", "survival")
+        if k in ("competing_risks", "multi_state"):
+            out = self._joint_survival(df, times).withColumnRenamed(self.id_col, "_id")
+            return df.select(*keep, F.col(self.id_col).alias("_id")).join(out, "_id").select(*keep, "time", "survival")
         if k == "frailty":
             return m.predict_survival(df, times, keep)
         if k == "neural_discrete":
@@ -144,8 +176,25 @@ class SurvivalEstimator:
             return out.select(*keep, "time", "survival")
         raise ValueError(k)
 
+    def _joint_survival(self, df: DataFrame, times: Sequence[float]) -> DataFrame:
+        """(id, time, survival): free of the cause of interest (Fine-Gray), of every cause, or still in the state."""
+        m, key = self.model, self.id_col
+        if self.kind == "multi_state":
+            s = m.predict_survival(df, key, times, self.state)
+            return s.groupBy(key, "time").agg(F.product("survival").alias("survival"))
+        if self._cause_specific:
+            from eventide.operators.competing import cause_specific_cif
+            return cause_specific_cif(m, df, times, key).select(key, "time", "survival")
+        return m.predict_cif(df, times, [key]).select(key, "time", (1.0 - F.col("cif")).alias("survival"))
+
     def predict_median(self, df: DataFrame, key: str) -> DataFrame:
         k, m = self.kind, self.model
+        if k == "multi_state":
+            return m.predict(df, key, self.state).select(key, "median_time")
+        if k == "kaplan_meier" and self.params.get("stratify_by"):
+            from eventide.operators.risk import median_survival
+            strata = self.params["stratify_by"]
+            return df.select(key, strata).join(median_survival(m, strata), strata, "left").select(key, "median_time")
         if k == "kaplan_meier":
             from eventide.operators.risk import median_survival
             med = median_survival(m).first()[0]
@@ -176,6 +225,11 @@ class SurvivalEstimator:
             return m.cox.importance(spark).select("feature", "importance")
         if k == "aft":
             return m.importance(spark).select("feature", "importance")
+        if k == "multi_state":
+            return m.importance(spark)
+        if k == "competing_risks":
+            coefs = m[self.interest].coefficients(spark) if self._cause_specific else m.coefficients(spark)
+            return coefs.select("feature", F.abs("coef").alias("importance")).orderBy(F.col("importance").desc(), "feature")
         if k in ("aalen_additive", "gradient_boosting", "random_survival_forest", "bayesian"):
             return m.importance(spark)
         if k in ("deepsurv", "neural"):

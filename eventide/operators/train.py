@@ -14,6 +14,7 @@ import math
 import traceback
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from time import perf_counter as clock
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -36,7 +37,7 @@ def _tag_job(spark, name: str) -> None:
     sc.setJobDescription(name)
 
 
-def evaluate(est, test: DataFrame, time: str, event: str, id_col: str, grid_points: int = 20) -> dict:
+def evaluate(est, test: DataFrame, time: str, event: str, id_col: str, grid_points: int = 100) -> dict:
     """c-index and integrated Brier score of a fitted estimator on a table."""
     r = est.predict_risk(test, [id_col, time, event])
     c = concordance(r, time, event, "risk")
@@ -47,8 +48,31 @@ def evaluate(est, test: DataFrame, time: str, event: str, id_col: str, grid_poin
     return {"c_index": c["c_index"], "ibs": ibs, "n": test.count()}
 
 
+def full_metrics(est, test: DataFrame, time: str, event: str, id_col: str, grid_points: int = 100, n_boot: int = 100,
+                 seed: int = 42) -> tuple[dict, DataFrame]:
+    """All metrics of a fitted estimator on a table: c-index with its bootstrap interval, integrated Brier
+    score and AUC, seconds taken; and the table (time, brier, auc) at the evaluation times."""
+    from eventide.operators.risk import kaplan_meier, survival_at
+    began = clock()
+    out = evaluate(est, test, time, event, id_col, grid_points)
+    risks = est.predict_risk(test, [id_col, time, event]).persist(StorageLevel.MEMORY_AND_DISK)
+    ci = M.bootstrap_ci(risks, id_col, time, event, "risk", n_boot, seed)
+    times = [t for t in M.evaluation_times(test, time, event) if t > 0]
+    brier = M.brier_long(est.predict_survival(test, times, [id_col]), test, id_col, time, event)
+    auc = M.dynamic_auc(risks, times, "risk", time, event)
+    at_times = test.sparkSession.createDataFrame(  # one row per evaluation time
+        sorted(tuple(r) for r in brier.join(auc, "time", "full_outer").select("time", "brier", "auc").collect()),
+        "time double, brier double, auc double")
+    km = survival_at(kaplan_meier(test, time, event, with_ci=False), times, cols=["survival"])
+    surv = {r["time"]: 1.0 if r["survival"] is None else r["survival"] for r in km.collect()}
+    out |= {"c_index_lower": ci["lower"], "c_index_upper": ci["upper"],
+            "integrated_auc": M.integrated_auc(at_times.select("time", "auc"), surv), "evaluation_seconds": clock() - began}
+    risks.unpersist()
+    return out, at_times
+
+
 def cross_validate(df: DataFrame, kind: str, params: Mapping, time: str, event: str, features: Sequence[str],
-                   id_col: str = "id", k: int = 5, seed: int = 42, grid_points: int = 20) -> DataFrame:
+                   id_col: str = "id", k: int = 5, seed: int = 42, grid_points: int = 100) -> DataFrame:
     """Per-fold metrics plus mean and population std of the c-index (fold = -1)."""
     spark = df.sparkSession
     data = kfold(df, k, id_col, seed).persist(StorageLevel.MEMORY_AND_DISK)
@@ -95,8 +119,8 @@ def sample_space(space: Mapping[str, tuple], n_trials: int, seed: int = 42) -> l
 
 
 def tune(df: DataFrame, kind: str, space: Mapping[str, tuple], time: str, event: str, features: Sequence[str],
-         id_col: str = "id", objective: str = "c_index", n_trials: int = 10, seed: int = 42,
-         base_params: Mapping | None = None, grid_points: int = 20) -> DataFrame:
+         id_col: str = "id", objective: str = "c_index", n_trials: int = 50, seed: int = 42,
+         base_params: Mapping | None = None, grid_points: int = 100) -> DataFrame:
     """Trials table (trial, params, c_index, ibs, objective, error) ordered best first.
 
     Objectives: c_index (maximise), ibs (minimise), log_likelihood (maximise, Cox-type only).
@@ -129,7 +153,7 @@ def tune(df: DataFrame, kind: str, space: Mapping[str, tuple], time: str, event:
 
 
 def fit_many(df: DataFrame, configs: Sequence[Mapping], time: str, event: str, features: Sequence[str],
-             id_col: str = "id", test: float = 0.25, seed: int = 42, grid_points: int = 20) -> DataFrame:
+             id_col: str = "id", test: float = 0.25, seed: int = 42, grid_points: int = 100) -> DataFrame:
     """Fit several configurations; failures are recorded with their error and skipped."""
     spark = df.sparkSession
     tr, te = stratified_split(df, event, id_col, test, seed)
@@ -171,30 +195,55 @@ def leaderboard(metrics: DataFrame, metric: str = "c_index", model: str = "model
     return metrics.where(F.col(metric).isNotNull()).orderBy(o, F.col(model))
 
 
+def _split(df: DataFrame, config: Mapping, event: str, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows: by the given id tables (``train_ids``, ``test_ids``; one alone leaves the
+    rest to the other), else stratified by event."""
+    ids = {k: config[k].select(F.col(id_col)).distinct() for k in ("train_ids", "test_ids") if config.get(k) is not None}
+    if not ids:
+        return stratified_split(df, event, id_col, config.get("test_size", 0.2), seed)
+    take = lambda k, other: df.join(ids[k], id_col, "left_semi") if k in ids else df.join(ids[other], id_col, "left_anti")
+    return take("train_ids", "test_ids"), take("test_ids", "train_ids")
+
+
 def train(df: DataFrame, config: Mapping, time: str, event: str, features: Sequence[str],
           id_col: str = "id") -> dict:
-    """Split -> (tune) -> fit -> evaluate -> importance.  Returns the estimator and tables."""
+    """Split -> (tune) -> (cross-validate) -> fit -> evaluate -> importance.
+
+    ``config``: kind, params, test_size or train_ids / test_ids (DataFrames of ids), cv (folds), space and
+    n_trials (tuning), grid_points, n_boot, seed.  Returns the estimator and tables: metrics, metrics at
+    the evaluation times, importance, trials, cross-validation.
+    """
     spark = df.sparkSession
     seed = config.get("seed", 42)
-    tr, te = stratified_split(df, event, id_col, config.get("test_size", 0.2), seed)
+    tr, te = _split(df, config, event, id_col, seed)
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    te = te.persist(StorageLevel.MEMORY_AND_DISK)
     params = dict(config.get("params", {}))
     trials = None
     if config.get("space"):
         trials = tune(tr, config["kind"], config["space"], time, event, features, id_col,
-                      config.get("objective", "c_index"), config.get("n_trials", 10), seed, params)
+                      config.get("objective", "c_index"), config.get("n_trials", 50), seed, params)
         best = trials.where(F.col("error").isNull()).first()
         if best is not None:
             params.update(json.loads(best["params"]))
+    folds = cross_validate(tr, config["kind"], params, time, event, features, id_col, int(config["cv"]), seed,
+                           config.get("grid_points", 100)) if config.get("cv") else None
+    began = clock()
     est = make_model(config["kind"], **params).fit(tr, time, event, features, id_col)
-    m = evaluate(est, te, time, event, id_col, config.get("grid_points", 20))
-    metrics = spark.createDataFrame([(config["kind"], float(m["c_index"]), float(m["ibs"]), int(m["n"]))],
-                                    "kind string, c_index double, ibs double, n_test long")
+    seconds = clock() - began
+    m, at_times = full_metrics(est, te, time, event, id_col, config.get("grid_points", 100), config.get("n_boot", 100), seed)
+    metrics = spark.createDataFrame(
+        [(config["kind"], *(None if m[c] is None else float(m[c]) for c in ("c_index", "c_index_lower", "c_index_upper", "ibs", "integrated_auc")),
+          int(m["n"]), seconds, m["evaluation_seconds"])],
+        "kind string, c_index double, c_index_lower double, c_index_upper double, ibs double, integrated_auc double, n_test long, "
+        "training_seconds double, evaluation_seconds double")
     try:
         imp = est.feature_importance(spark)
     except ValueError:
         imp = permutation_importance(est, te, features, id_col, seed=seed)
-    return {"model": est, "metrics": metrics, "importance": imp, "trials": trials, "params": params}
+    tr.unpersist()
+    te.unpersist()
+    return {"model": est, "metrics": metrics, "at_times": at_times, "importance": imp, "trials": trials, "folds": folds, "params": params}
 
 
 def predict_batch(est, df: DataFrame, key: str, times: Sequence[float]) -> DataFrame:
