@@ -33,7 +33,7 @@ SCALE = 64
 BLOCK_ROWS = 32_768
 QUERY_CHUNK = 1024
 #: Bits of a component that are kept as bitmaps.
-SLICES = 4
+SLICES = 6
 
 
 def quantised(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -50,7 +50,8 @@ class BlockIndex:
     """Bit slices of one block of integer vectors (rows x dimensions)."""
 
     def __init__(self, values: np.ndarray, slices: int = SLICES):
-        self.values = values
+        self.largest = float(np.abs(values.astype(np.float64)).max(initial=0))
+        self.values = values.astype(np.int16) if self.largest < 2**15 else values
         self.rows, self.dims = values.shape
         above = values.view(np.uint64) - values.min(axis=0).view(np.uint64)  # exact also where int64 would overflow
         span = int(above.max())
@@ -143,13 +144,13 @@ class BlockIndex:
     def top(self, query: np.ndarray, k: int, ids: np.ndarray, own) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows other than ``own``, ties to the smaller id."""
         rows = self.search(query, k + 1 if own is not None else k)
-        scores = exact(self.values[rows], query)
+        scores = exact(self.values[rows], query, self.largest)
         found = ids[rows]
         if own is not None:
             keep = found != own
             if keep.sum() < min(k, (ids != own).sum()):  # the query's id stands in several rows
                 rows = np.flatnonzero(ids != own)
-                scores, found = exact(self.values[rows], query), ids[rows]
+                scores, found = exact(self.values[rows], query, self.largest), ids[rows]
             else:
                 scores, found = scores[keep], found[keep]
         if scores.dtype == object:
@@ -159,11 +160,11 @@ class BlockIndex:
         return found[order], scores[order]
 
 
-def exact(values: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; big integers where 64 bits could overflow, saturated to a long."""
-    most = float(np.abs(values.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).sum())
-    if most < 2.0**62:
-        return values.astype(np.int64) @ query.astype(np.int64)
+def exact(values: np.ndarray, query: np.ndarray, largest: float) -> np.ndarray:
+    """Integer inner products of values up to ``largest``; big integers where 64 bits could overflow,
+    saturated to a long."""
+    if largest * float(np.abs(query.astype(np.float64)).sum()) < 2.0**62:
+        return values.astype(np.int64) @ query
     sums = values.astype(object) @ query.astype(object)
     return np.array([min(max(s, -2**63), 2**63 - 1) for s in sums], dtype=object)
 
