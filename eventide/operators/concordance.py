@@ -15,7 +15,8 @@ Plan (all pair counts exact):
    bucket over rows pre-aggregated to (key, risk bucket) — a key bucket made of
    one heavy time value holds only ~2 x buckets rows;
 6. pairs in the same risk bucket but different key buckets: one group per
-   risk bucket (the key-bucket index orders the pairs).
+   risk bucket over rows pre-aggregated to (key bucket, risk, event) — a risk
+   bucket made of one heavy value holds only ~2 x buckets rows.
 Steps 4-6 count 2-D dominance inside a group with a vectorised
 divide-and-conquer over key ranks (numpy sorts and searchsorted, no Python
 loop per row) in ``applyInPandas``.
@@ -151,9 +152,11 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
          .agg(F.sum(w).alias("w")).where(F.col("w") > 0))
     g = g.persist()
     n = g.count()
-    n_groups = g.select(*by).distinct().count() if by else 1
+    n_groups, largest = 1, n
+    if by:  # buckets for the largest group, not the mean one
+        n_groups, largest = g.groupBy(*by).count().agg(F.count(F.lit(1)), F.max("count")).first()
     if n_buckets is None:
-        n_buckets = int(min(MAX_BUCKETS, max(1, math.ceil(n / n_groups / ROWS_PER_GROUP))))
+        n_buckets = int(min(MAX_BUCKETS, max(1, math.ceil((largest or 0) / ROWS_PER_GROUP))))
     ks, rs = _splits2(g, ["time", "risk"], n_buckets)
     gb = _bucket(_bucket(g, "time", "kb", ks), "risk", "rb", rs).persist()
     nk, nr = len(ks) - 1, len(rs) - 1
@@ -189,8 +192,10 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
         return out
 
     same_k = cellagg.select(*cols).groupBy(*by, "kb").applyInPandas(run_d, schema)
-    # (b) same risk bucket, different time buckets: the time-bucket index orders the pairs
-    same_r = gb.select(*cols, "rb").groupBy(*by, "rb").applyInPandas(lambda p: run(p, False), schema)
+    # (b) same risk bucket, different time buckets: the time-bucket index orders the pairs, so rows are
+    #     first summed over the times of a time bucket
+    riskagg = (gb.groupBy(*by, "rb", "kb", "risk", "event").agg(F.sum("w").alias("w")).withColumn("time", F.lit(0.0)))
+    same_r = riskagg.select(*cols, "rb").groupBy(*by, "rb").applyInPandas(lambda p: run(p, False), schema)
     local = same_cell.unionByName(same_k).unionByName(same_r).groupBy(*by).agg(
         F.sum("conc").alias("c"), F.sum("disc").alias("d"), F.sum("tied").alias("t"))
     ttime = (gb.where("event = 1").groupBy(*by, "time").agg(F.sum("w").alias("d"))

@@ -88,3 +88,23 @@ def test_heavy_time_value_exact(spark):
     for nb in (2, 5, 9):
         res = concordance(df, n_buckets=nb)
         assert (res["concordant"], res["discordant"], res["tied_risk"]) == brute(t, e, r)
+
+
+def test_heavy_risk_value_is_summed_before_its_group(spark):
+    """Half the rows share one risk: no pandas group sees more than the bound, and counts stay exact."""
+    import numpy as np
+
+    from eventide.operators import concordance as C
+    rng = np.random.default_rng(11)
+    n = 3000
+    risk = np.where(rng.random(n) < 0.5, 1.0, rng.normal(size=n))
+    t, e = rng.exponential(100, n), (rng.random(n) < 0.7).astype(int)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, risk, strict=True)], "t double, e int, risk double")
+    one = C.concordance(df, n_buckets=1)
+    many = C.concordance(df, n_buckets=12)
+    assert {k: round(v, 9) for k, v in one.items()} == {k: round(v, 9) for k, v in many.items()}
+    g = df.groupBy(F.col("t").alias("time"), F.col("e").alias("event"), "risk").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    ks, rs = C._splits2(g, ["time", "risk"], 12)
+    gb = C._bucket(C._bucket(g, "time", "kb", ks), "risk", "rb", rs)
+    per = gb.groupBy("rb", "kb", "risk", "event").count().groupBy("rb").count().agg(F.max("count")).first()[0]
+    assert per <= n // 6
