@@ -3,13 +3,13 @@
 1. One pass hashes every whole text's word shingles and keeps a signature of ``COORDINATES``
    minima.  Documents with equal shingle sets form a class at once; only classes go on.
 2. Every class is posted under each coordinate value of its signature.  Two similar classes share
-   at least ``MATCHES`` of these lists, whatever else happens (a pair at the threshold misses that
-   with a chance of about 1e-7).  So a class needs that many lists with company (else it is
+   at least M of these lists (M follows from the threshold: 10 of 24 at 85 %, 8 at 80 %; a pair at
+   the threshold shares fewer with a chance below ``MISS``).  So a class needs that many lists with company (else it is
    dropped), and it need only be looked up in its rarest ones: with q such lists, in the
-   q - MATCHES + 1 shortest, since two classes that share MATCHES lists share one of those (prefix);
+   q - M + 1 shortest, since two classes that share M lists share one of those (prefix);
    the others, among them the long lists of common passages, are skipped.
-3. In a list the collisions over the whole signatures are counted and pairs at or above
-   ``MATCHES`` joined to clusters: candidates are kept as trees, never as all pairs.  A list too
+3. In a list the collisions over the whole signatures are counted and pairs with M or more
+   joined to clusters: candidates are kept as trees, never as all pairs.  A list too
    long for one task is cut into parts, whose trees are tied together.
 4. Candidates' texts are read again and links confirmed on their full shingle sets, cluster by
    cluster.  A set is compared with all others through an inverted index in memory, and only
@@ -30,6 +30,8 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ from eventide.llm.components import components
 
 SHINGLE = 5
 COORDINATES = 24
-MATCHES = 10
+#: Chance that a pair exactly at the threshold shares too few coordinates to be a candidate.
+MISS = 2e-7
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Classes of one posting list that a task compares.
@@ -85,6 +88,17 @@ def _sets(docs: DataFrame, size: int, coordinates: int, with_sets: bool) -> Data
     return rows.mapInArrow(run, f"doc_id long, text_hash long, n_shingles long, class binary, {out}")
 
 
+def matches_for(percent: int, coordinates: int, miss: float = MISS) -> int:
+    """The largest M such that a pair at the threshold shares fewer than M coordinates with a chance
+    of at most ``miss``."""
+    p, below = percent / 100, 0.0
+    for m in range(coordinates + 1):
+        below += math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)
+        if below > miss:
+            return max(1, m)
+    return coordinates
+
+
 def match_trees(sigs: np.ndarray, matches: int) -> list[tuple[int, int]]:
     """Tree edges of the graph that joins rows with ``matches`` or more equal coordinates."""
     left, edges = np.arange(len(sigs)), []
@@ -296,8 +310,9 @@ def _outside(hot: DataFrame, edges: DataFrame) -> DataFrame:
     return written(named.join(largest, "cluster").where(F.col("root") != F.col("largest")).select("class", "cluster", "weight"), "dedup-outside")
 
 
-def _labelled(docs: DataFrame, *, size: int = SHINGLE, coordinates: int = COORDINATES, matches: int = MATCHES, percent: int = PERCENT,
+def _labelled(docs: DataFrame, *, size: int = SHINGLE, coordinates: int = COORDINATES, matches: int | None = None, percent: int = PERCENT,
               part_shingles: int = PART_SHINGLES, list_part: int = LIST_PART) -> DataFrame:
+    matches = matches or matches_for(percent, coordinates)
     rows = written(_sets(docs, size, coordinates, False), "dedup-rows")
     classes = written(rows.where(F.col("class").isNotNull()).groupBy("class")
                       .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"),

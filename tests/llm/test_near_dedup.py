@@ -119,3 +119,7 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+
+
+def test_matches_follow_the_threshold():
+    assert [near_dedup.matches_for(p, 24) for p in (85, 80, 100, 1)] == [10, 8, 24, 1]
