@@ -38,7 +38,7 @@ from eventide.llm.common import free_name, texts
 #: Rows of each side that the fit sees at most.
 SAMPLE = 10_000
 BINS = 16
-EPOCHS = 250
+EPOCHS = 1500
 #: A window of words for repetition counts.
 WINDOW = 50
 
@@ -104,7 +104,7 @@ def _one_hot(bins: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, ridge: float = 1e-4, rate: float = 0.05):
+def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, ridge: float = 1e-4, rate: float = 0.1):
     """Adam on one-hot rows.  ``prior`` None: positives against unlabelled; else non-negative PU risk."""
     w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
