@@ -61,6 +61,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batch, column: str = "text", most_bytes: int = 2_000_000):
+    """Runs of rows of an Arrow batch whose ``column`` holds about ``most_bytes`` (at least one row), so
+    that only their strings are Python objects at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        before = int(ends[a - 1]) if a else 0
+        z = max(a + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def texts(column) -> list[str]:
     """The strings of an Arrow column; null is empty, bytes that are not UTF-8 are replaced."""
     try:
@@ -68,3 +82,10 @@ def texts(column) -> list[str]:
     except UnicodeDecodeError:
         import pyarrow as pa
         return ["" if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application; call it once no result that reads them is needed."""
+    root = scratch_path(spark, "x").rpartition("/")[0]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -26,14 +26,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import texts
+from eventide.llm.common import slices, texts
 
 SEQ_LEN = 2048
 END_ID = 1
 #: Documents dealt to one packing group; a group leaves about one part-filled sequence.
 GROUP_DOCUMENTS = 8192
 #: Words whose ids a Python worker remembers (about 0.2 KB each).
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 400_000
+#: Text that is tokenized at a time.
+SLICE_BYTES = 300_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long, ids array<int>")
 
@@ -53,6 +55,9 @@ class WordTokenizer:
     ids that end a word.  Any other part not seen before is encoded by the whole tokenizer.
     """
 
+    #: Lower-case Latin letters (lower and in normal form by themselves), then ASCII marks; a part per line.
+    PLAIN = re.compile(r"^([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)$", re.M)
+    #: Any letters, then marks.
     WORD = re.compile(r"([^\W\d_]+)((?:[^\w\s]|_)*)")
     CHUNK = 300
 
@@ -91,7 +96,13 @@ class WordTokenizer:
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
         new: dict[str, bytes] = {}
         plain, ending = [], []
-        for p in parts:
+        pairs = self.PLAIN.findall("\n".join(parts))
+        for word, tail in pairs:
+            if tail:
+                ending.append((word + tail, word, tail))
+            else:
+                plain.append(word)
+        for p in parts.difference([word + tail for word, tail in pairs]):
             m = self.WORD.fullmatch(p)
             if m and (p.isascii() or max(p) < "\u3000" and p == p.lower() and unicodedata.is_normalized("NFC", p)) \
                     and (word := m[1]).isalpha() and (p.islower() or not p.isascii()):
@@ -138,17 +149,6 @@ class WordTokenizer:
 _TOKENIZERS: dict[tuple, WordTokenizer] = {}
 
 
-def _batches(strings: list[str], most_chars: int = 300_000):
-    a = n = 0
-    for k, t in enumerate(strings):
-        if n and n + len(t) > most_chars:
-            yield a, k
-            a, n = k, 0
-        n += len(t)
-    if a < len(strings):
-        yield a, len(strings)
-
-
 def tokenize(docs: DataFrame, *, seq_len: int = SEQ_LEN, end_id: int = END_ID, path: str | None = None,
              with_ids: bool = True) -> DataFrame:
     """Pieces of at most ``seq_len`` ids of every document (columns of ``PIECES``).
@@ -165,10 +165,9 @@ def tokenize(docs: DataFrame, *, seq_len: int = SEQ_LEN, end_id: int = END_ID, p
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32")]
                            + [("ids", pa.list_(pa.int32()))])
         for batch in batches:
-            all_ids, strings = batch.column(0).to_pylist(), texts(batch.column(1))
-            for a, z in _batches(strings):
+            for part in slices(batch, "text", SLICE_BYTES):
                 out: list[list] = [[] for _ in range(7)]
-                for doc_id, raw in zip(all_ids[a:z], tok(strings[a:z]), strict=True):
+                for doc_id, raw in zip(part.column(0).to_pylist(), tok(texts(part.column(1))), strict=True):
                     raw += end
                     total, crc = len(raw) // 4, zlib.crc32(raw)
                     for x in range(0, len(raw), step):

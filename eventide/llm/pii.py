@@ -28,7 +28,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import discard, free_name, small, texts, written
+from eventide.llm.common import discard, free_name, slices, small, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least score and distinct identifiers of a pattern that accepts.
@@ -142,7 +142,7 @@ def _extracted(docs: DataFrame) -> DataFrame:
         base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         seen_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("shape", pa.int32()),
                                         ("pattern", pa.string()), ("name", pa.string())]))
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             base, seen = [], []
             for t in texts(b.column("text")):
                 spans = base_spans(t)
@@ -233,7 +233,7 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             column = b.column("text")
             new = [None if null else clean(t, m) for t, null, m in
                    zip(texts(column), column.is_null().to_pylist(), b.column(extra).to_pylist(), strict=True)]

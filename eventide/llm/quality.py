@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import free_name, texts
+from eventide.llm.common import free_name, slices, texts
 
 #: Rows of each side that the fit sees at most.
 SAMPLE = 10_000
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
 
     def measure(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             x = [features(t) for t in texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sides"), pa.array(x, pa.list_(pa.float64()))],
                                              names=["doc_id", "sides", "x"])
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (higher: likelier good) and predicted (1 from 0.5 on)."""
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             x = np.array([features(t) for t in texts(b.column("text"))]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(model.score(x), pa.float64())],
                                              names=["doc_id", "held_out", "score"])
@@ -201,7 +201,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model predicts to be good, with all their columns."""
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             x = np.array([features(t) for t in texts(b.column("text"))]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= 0.5))
     if "text" not in docs.columns:

@@ -32,7 +32,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm.common import partitions, scratch_path, small, texts, written
+from eventide.llm.common import partitions, scratch_path, slices, small, texts, written
 
 ROLL_BYTES = 64 << 20
 MIN_DEDUP_BYTES = 1000
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTE
         from pyspark import TaskContext
         context = TaskContext.get()
         out = _Roller(folder, context.partitionId(), f"{run}-{context.taskAttemptId()}", roll_bytes)
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "html")):
             html = texts(b.column("html"))
             cols = [b.column(n).to_pylist() for n in ("page_id", "url", "revisit", "refers_to", "digest")]
             for text, page_id, url, revisit, refers_to, digest in zip(html, *cols, strict=True):
