@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,16 +172,51 @@ def _efron_terms(tt: DataFrame, p: int, ties: str, max_d: int) -> DataFrame:
     return tt.join(sums, "time", "left").fillna(0.0, ["a", "c", "L", "q0", "q1", "q2"])
 
 
+def _sum_rows(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum of the one-row-per-batch arrays ``v``; many partitions are first summed in a few tasks."""
+    def add(it):
+        total = np.zeros(width)
+        for pdf in it:
+            if len(pdf):
+                total += np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
+        yield pd.DataFrame({"v": [total]})
+    if parts.rdd.getNumPartitions() > 64:
+        parts = parts.repartition(16).mapInPandas(add, "v array<double>")
+    rows = parts.collect()  # a bounded number of rows of ``width`` numbers
+    return np.sum([r["v"] for r in rows], axis=0) if rows else np.zeros(width)
+
+
 def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bool, max_d: int,
                 broadcast_times: bool, offset: bool):
-    # expressions are built as SQL text: one JVM call each instead of one per operator
-    eta = " + ".join([f"x{j} * {float(beta[j])!r}" for j in range(p)] or ["0.0"])
-    if offset:
-        eta += " + off"
-    X1 = X.withColumn("eta", F.expr(eta)).withColumn("w", F.exp("eta"))
-    aggs = ["sum(e) AS d", "sum(w) AS S0p", "sum(e * w) AS D0"]
-    aggs += [f"sum(w * x{j}) AS S1p{j}" for j in range(p)] + [f"sum(e * w * x{j}) AS D1{j}" for j in range(p)]
-    tt = X1.groupBy(F.col("t").alias("time")).agg(*[F.expr(a) for a in aggs])
+    """Log partial likelihood, gradient and information at ``beta``.
+
+    Sums over rows and over p x p products are made in NumPy per Arrow batch and added up by Spark, so
+    no query grows with p squared and every step runs the same compiled JVM code (the coefficients
+    travel with the tasks).
+    """
+    xs, beta = [f"x{j}" for j in range(p)], np.asarray(beta, float)
+    cols = ["t", "e", *xs] + (["off"] if offset else [])
+
+    def linear(pdf):
+        x = pdf[xs].to_numpy(float).reshape(len(pdf), p)
+        return x, x @ beta + (pdf["off"].to_numpy(float) if offset else 0.0)
+
+    names = ["d", "S0p", "D0"] + [f"S1p{j}" for j in range(p)] + [f"D1{j}" for j in range(p)]
+
+    def by_time(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x, eta = linear(pdf)
+            e, w = pdf["e"].to_numpy(float), np.exp(eta)
+            sums = np.column_stack([e, w, e * w, w[:, None] * x, (e * w)[:, None] * x])
+            t = pdf["t"].to_numpy(float)
+            order = np.argsort(t, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
+            yield pd.DataFrame(np.add.reduceat(sums[order], at, axis=0), columns=names).assign(time=t[order][at])
+
+    tt = X.select(*cols).mapInPandas(by_time, ", ".join(f"{n} double" for n in [*names, "time"]))
+    tt = tt.groupBy("time").agg(*[F.sum(n).alias(n) for n in names])
     tt = cumulative(tt, "time", [], sums={"S0": "S0p", **{f"S1{j}": f"S1p{j}" for j in range(p)}},
                     descending=True, force_two_level=two_level)
     # Efron terms for every time (zero where no event), then A(t) = running sum of a; the time
@@ -188,25 +224,36 @@ def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bo
     ev = _efron_terms(tt, p, ties, max_d)
     ev = cumulative(ev, "time", [], sums={"A": "a"}, force_two_level=two_level)
     ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
-    taggs = ["sum(L) AS L"] + [
-        f"sum(S1{j} * S1{k} * q0 - (S1{j} * D1{k} + D1{j} * S1{k}) * q1 + D1{j} * D1{k} * q2) AS M{j}_{k}"
-        for j in range(p) for k in range(j, p)]
-    trow = ev.agg(*[F.expr(a) for a in taggs]).first().asDict()
+
+    def over_times(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            S1, D1 = (pdf[[f"{k}{j}" for j in range(p)]].to_numpy(float).reshape(len(pdf), p) for k in ("S1", "D1"))
+            q0, q1, q2 = (pdf[k].to_numpy(float)[:, None] for k in ("q0", "q1", "q2"))
+            cross = (S1 * q1).T @ D1
+            M = (S1 * q0).T @ S1 - cross - cross.T + (D1 * q2).T @ D1
+            yield pd.DataFrame({"v": [np.concatenate([[pdf["L"].sum()], M.ravel()])]})
+
+    times = _sum_rows(ev.select("L", "q0", "q1", "q2", *[f"S1{j}" for j in range(p)], *[f"D1{j}" for j in range(p)])
+                      .mapInPandas(over_times, "v array<double>"), 1 + p * p)
     at = ev.select("time", "A", "c")
     at = F.broadcast(at) if broadcast_times else at
-    j = X1.join(at, X1["t"] == at["time"], "inner").withColumn("s", F.expr("w * (A - e * c)"))
-    raggs = ["sum(e * eta) AS ll1"] + [f"sum(x{a} * (e - s)) AS g{a}" for a in range(p)]
-    raggs += [f"sum(s * x{a} * x{b}) AS I{a}_{b}" for a in range(p) for b in range(a, p)]
-    rrow = j.agg(*[F.expr(a) for a in raggs]).first().asDict()
+
+    def over_rows(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x, eta = linear(pdf)
+            e = pdf["e"].to_numpy(float)
+            s = np.exp(eta) * (pdf["A"].to_numpy(float) - e * pdf["c"].to_numpy(float))
+            yield pd.DataFrame({"v": [np.concatenate([[(e * eta).sum()], x.T @ (e - s), ((x * s[:, None]).T @ x).ravel()])]})
+
+    j = X.join(at, X["t"] == at["time"], "inner").select(*cols, "A", "c")
+    rows = _sum_rows(j.mapInPandas(over_rows, "v array<double>"), 1 + p + p * p)
     ev.unpersist()
-    ll = (rrow["ll1"] or 0.0) - (trow["L"] or 0.0)
-    g = np.array([rrow[f"g{a}"] or 0.0 for a in range(p)])
-    info = np.zeros((p, p))
-    for a in range(p):
-        for b in range(a, p):
-            v = (rrow[f"I{a}_{b}"] or 0.0) - (trow[f"M{a}_{b}"] or 0.0)
-            info[a, b] = info[b, a] = v
-    return ll, g, info
+    info = rows[1 + p:].reshape(p, p) - times[1:].reshape(p, p)
+    return rows[0] - times[0], rows[1:1 + p], (info + info.T) / 2
 
 
 def _penalty(beta, lam, alpha, n):

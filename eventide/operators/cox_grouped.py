@@ -123,7 +123,10 @@ def cox_fit_grouped(df: DataFrame, group: str, time: str, event: str, features,
                     continue
             cand[k] = betas[k] + shrink[k] * steps[k]
         active -= failed
-        new = _grouped_stats(X, p, {k: cand[k] for k in cur}, ties, two_level, max_d, bc)
+        if not active:
+            break
+        rows = X if len(active) == len(cur) else X.where(F.col("g").isin(sorted(active)))  # finished groups rest
+        new = _grouped_stats(rows, p, {k: cand[k] for k in active}, ties, two_level, max_d, bc)
         for k in list(active):
             ll2, g2, info2, n, _e = new[k]
             o2 = ll2 - pen(cand[k], n)[0]
