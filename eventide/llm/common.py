@@ -65,6 +65,7 @@ def slices(batch, column: str = "text", most_bytes: int = 2_000_000):
     """Runs of rows of an Arrow batch whose ``column`` holds about ``most_bytes`` (at least one row), so
     that only their strings are Python objects at a time."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
@@ -73,6 +74,7 @@ def slices(batch, column: str = "text", most_bytes: int = 2_000_000):
         z = max(a + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
         yield batch.slice(a, z - a)
         a = z
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 def texts(column) -> list[str]:

@@ -101,7 +101,7 @@ def minhash(hashes: np.ndarray, counts: np.ndarray, coordinates: int, seed: int)
     return out
 
 
-def text_batches(column, most_bytes: int = 2_000_000):
+def text_batches(column, most_bytes: int = 500_000):
     """(first row, last row + 1, bytes, starts) over an Arrow string column; null is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -114,3 +114,4 @@ def text_batches(column, most_bytes: int = 2_000_000):
         z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most_bytes, side="right")) - 1)
         yield a, z, data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a]
         a = z
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
