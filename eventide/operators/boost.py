@@ -21,17 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.exprs import hash_unit
-from eventide.plans.scan import cumulative, right_size
+from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative, right_size
 from eventide.session import cut_lineage
 
 BROADCAST_TIMES = 1_000_000
 
 
-def _breslow_A(cur: DataFrame, score: str = "f") -> DataFrame:
+def _breslow_A(cur: DataFrame, two_level: bool, score: str = "f") -> DataFrame:
     tt = cur.groupBy(F.col("t").alias("time")).agg(F.sum(F.col("e").cast("double")).alias("d"),
                                                    F.sum(F.exp(score)).alias("S0p"))
-    tt = cumulative(tt, "time", [], sums={"S0": "S0p"}, descending=True)
-    tt = cumulative(tt.withColumn("dh", F.col("d") / F.col("S0")), "time", [], sums={"A": "dh"})
+    tt = cumulative(tt, "time", [], sums={"S0": "S0p"}, descending=True, force_two_level=two_level)
+    tt = cumulative(tt.withColumn("dh", F.col("d") / F.col("S0")), "time", [], sums={"A": "dh"}, force_two_level=two_level)
     return tt.select("time", "A")
 
 
@@ -80,7 +80,7 @@ def boost_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
     model = BoostModel(feats, learning_rate)
     imp = np.zeros(len(feats))
     for m in range(n_estimators):
-        A = _breslow_A(cur)
+        A = _breslow_A(cur, n_times > SINGLE_WINDOW_MAX_ROWS)
         A = F.broadcast(A) if n_times <= BROADCAST_TIMES else A
         res = cur.join(A, cur["t"] == A["time"], "inner").withColumn(
             "r", F.col("e") - F.exp("f") * F.col("A")).drop("time", "A")
@@ -98,6 +98,6 @@ def boost_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
         cur.unpersist()
         cur = nxt
     model.importances = imp / max(n_estimators, 1)
-    A = _breslow_A(cur)
+    A = _breslow_A(cur, n_times > SINGLE_WINDOW_MAX_ROWS)
     model.baseline = A.select("time", F.col("A").alias("baseline_hazard")).persist(StorageLevel.MEMORY_AND_DISK)
     return model

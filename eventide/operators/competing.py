@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.stats import Z95, two_sided_p
-from eventide.operators.cox import CoxModel
+from eventide.operators.cox import BROADCAST_TIMES, CoxModel, _sum_rows
 from eventide.operators.cox_grouped import cox_fit_grouped
 from eventide.operators.logrank import group_values
-from eventide.plans.scan import cumulative, right_size
+from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative, right_size
 
 
 # The merged baseline grid is broadcast to the prediction tasks: bound it (checked).
@@ -100,52 +100,72 @@ def _censoring_left(df: DataFrame, time: str, cause: str) -> DataFrame:
         .select("time", "Gm")
 
 
-def _fg_stats(X: DataFrame, Gt: DataFrame, p: int, beta: np.ndarray):
-    xs = [F.col(f"x{j}") for j in range(p)]
-    eta = F.lit(0.0)
-    for j in range(p):
-        eta = eta + xs[j] * float(beta[j])
-    X1 = X.withColumn("eta", eta).withColumn("w", F.exp("eta"))
-    e = F.col("e").cast("double")
-    cw = F.when((F.col("comp") == 1) & (F.col("gm") > 0), F.col("w") / F.col("gm")).otherwise(0.0)
-    aggs = [F.sum(e).alias("d"), F.sum("w").alias("S0p"), F.sum(cw).alias("C0p")]
-    aggs += [F.sum(F.col("w") * xs[j]).alias(f"S1p{j}") for j in range(p)]
-    aggs += [F.sum(cw * xs[j]).alias(f"C1p{j}") for j in range(p)]
-    tt = X1.groupBy(F.col("t").alias("time")).agg(*aggs).join(Gt, "time", "inner")
+def _fg_stats(X: DataFrame, Gt: DataFrame, p: int, beta: np.ndarray, two_level: bool, broadcast_times: bool):
+    """Log likelihood, gradient and information at ``beta``; sums over rows and p x p products are made
+    in NumPy batches and added up by Spark, as in the Cox steps."""
+    xs, beta = [f"x{j}" for j in range(p)], np.asarray(beta, float)
+    cols = ["t", "e", "comp", "gm", *xs]
+    names = ["d", "S0p", "C0p"] + [f"S1p{j}" for j in range(p)] + [f"C1p{j}" for j in range(p)]
+
+    def parts(pdf):
+        x = pdf[xs].to_numpy(float).reshape(len(pdf), p)
+        eta, gm = x @ beta, pdf["gm"].to_numpy(float)
+        late = (pdf["comp"].to_numpy() == 1) & (gm > 0)  # competing events stay at risk with weight G / gm
+        inv = np.divide(1.0, gm, out=np.zeros(len(pdf)), where=late)
+        return x, eta, np.exp(eta), inv, pdf["e"].to_numpy(float)
+
+    def by_time(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x, _, w, inv, e = parts(pdf)
+            cw = w * inv
+            sums = np.column_stack([e, w, cw, w[:, None] * x, cw[:, None] * x])
+            t = pdf["t"].to_numpy(float)
+            order = np.argsort(t, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
+            yield pd.DataFrame(np.add.reduceat(sums[order], at, axis=0), columns=names).assign(time=t[order][at])
+
+    tt = X.select(*cols).mapInPandas(by_time, ", ".join(f"{n} double" for n in [*names, "time"]))
+    tt = tt.groupBy("time").agg(*[F.sum(n).alias(n) for n in names]).join(Gt, "time", "inner")
     tt = cumulative(tt, "time", [], sums={"S0r": "S0p", **{f"S1r{j}": f"S1p{j}" for j in range(p)}},
-                    descending=True)
+                    descending=True, force_two_level=two_level)
     tt = cumulative(tt, "time", [], sums={"C0c": "C0p", **{f"C1c{j}": f"C1p{j}" for j in range(p)}},
-                    exclusive=True)
+                    exclusive=True, force_two_level=two_level)
     tt = tt.withColumn("S0", F.col("S0r") + F.col("Gm") * F.col("C0c"))
-    for j in range(p):
-        tt = tt.withColumn(f"S1{j}", F.col(f"S1r{j}") + F.col("Gm") * F.col(f"C1c{j}"))
+    tt = tt.withColumns({f"S1{j}": F.col(f"S1r{j}") + F.col("Gm") * F.col(f"C1c{j}") for j in range(p)})
     d = F.col("d")
     tt = (tt.withColumn("a", F.when(d > 0, d / F.col("S0")).otherwise(0.0))
           .withColumn("q0", F.when(d > 0, d / (F.col("S0") * F.col("S0"))).otherwise(0.0))
           .withColumn("L", F.when(d > 0, d * F.log("S0")).otherwise(0.0))
           .withColumn("aG", F.col("a") * F.col("Gm")))
     tt = tt.persist(StorageLevel.MEMORY_AND_DISK)
-    taggs = ["sum(L) AS L"] + [f"sum(S1{a} * S1{b} * q0) AS M{a}_{b}" for a in range(p) for b in range(a, p)]
-    trow = tt.agg(*[F.expr(x) for x in taggs]).first().asDict()
-    ab = cumulative(tt.select("time", "a", "aG"), "time", [], sums={"A": "a"})
-    ab = cumulative(ab, "time", [], sums={"B": "aG"}, descending=True, exclusive=True)
-    from eventide.operators.relational import maybe_broadcast
-    ab = maybe_broadcast(ab.select(F.col("time").alias("_t"), "A", "B"))
-    j = X1.join(ab, X1["t"] == ab["_t"], "inner")
-    s = F.col("w") * (F.col("A") + F.when((F.col("comp") == 1) & (F.col("gm") > 0),
-                                          F.col("B") / F.col("gm")).otherwise(0.0))
-    j = j.withColumn("s", s)
-    raggs = ["sum(e * eta) AS ll1"] + [f"sum(x{a} * (e - s)) AS g{a}" for a in range(p)]
-    raggs += [f"sum(s * x{a} * x{b}) AS I{a}_{b}" for a in range(p) for b in range(a, p)]
-    rrow = j.agg(*[F.expr(x) for x in raggs]).first().asDict()
+
+    def over_times(it):
+        for pdf in it:
+            if len(pdf):
+                S1 = pdf[[f"S1{j}" for j in range(p)]].to_numpy(float).reshape(len(pdf), p)
+                M = (S1 * pdf["q0"].to_numpy(float)[:, None]).T @ S1
+                yield pd.DataFrame({"v": [np.concatenate([[pdf["L"].sum()], M.ravel()])]})
+
+    times = _sum_rows(tt.select("L", "q0", *[f"S1{j}" for j in range(p)]).mapInPandas(over_times, "v array<double>"), 1 + p * p)
+    ab = cumulative(tt.select("time", "a", "aG"), "time", [], sums={"A": "a"}, force_two_level=two_level)
+    ab = cumulative(ab, "time", [], sums={"B": "aG"}, descending=True, exclusive=True, force_two_level=two_level)
+    ab = ab.select(F.col("time").alias("_t"), "A", "B")
+    ab = F.broadcast(ab) if broadcast_times else ab
+
+    def over_rows(it):
+        for pdf in it:
+            if len(pdf):
+                x, eta, w, inv, e = parts(pdf)
+                s = w * (pdf["A"].to_numpy(float) + pdf["B"].to_numpy(float) * inv)
+                yield pd.DataFrame({"v": [np.concatenate([[(e * eta).sum()], x.T @ (e - s), ((x * s[:, None]).T @ x).ravel()])]})
+
+    j = X.join(ab, X["t"] == ab["_t"], "inner").select(*cols, "A", "B")
+    rows = _sum_rows(j.mapInPandas(over_rows, "v array<double>"), 1 + p + p * p)
     tt.unpersist()
-    ll = (rrow["ll1"] or 0.0) - (trow["L"] or 0.0)
-    g = np.array([rrow[f"g{a}"] or 0.0 for a in range(p)])
-    info = np.zeros((p, p))
-    for a in range(p):
-        for b in range(a, p):
-            info[a, b] = info[b, a] = (rrow[f"I{a}_{b}"] or 0.0) - (trow[f"M{a}_{b}"] or 0.0)
-    return ll, g, info
+    info = rows[1 + p:].reshape(p, p) - times[1:].reshape(p, p)
+    return rows[0] - times[0], rows[1:1 + p], (info + info.T) / 2
 
 
 def fine_gray_fit(df: DataFrame, time: str, cause: str, features: Sequence[str], cause_of_interest: int = 1,
@@ -166,12 +186,13 @@ def fine_gray_fit(df: DataFrame, time: str, cause: str, features: Sequence[str],
                      ((F.col(cause) != 0) & (F.col(cause) != cause_of_interest)).cast("int").alias("comp"),
                      *[((F.col(f).cast("double") - float(means[j])) / float(scales[j])).alias(f"x{j}")
                        for j, f in enumerate(feats)])
-    X = base.join(F.broadcast(Gt.select(F.col("time").alias("t"), F.col("Gm").alias("gm")))
-                  if Gt.count() <= 1_000_000 else Gt.select(F.col("time").alias("t"), F.col("Gm").alias("gm")),
-                  "t", "inner")
+    n_times = Gt.count()  # decides once how times are scanned and joined
+    two_level, bc = n_times > SINGLE_WINDOW_MAX_ROWS, n_times <= BROADCAST_TIMES
+    gm = Gt.select(F.col("time").alias("t"), F.col("Gm").alias("gm"))
+    X = base.join(F.broadcast(gm) if bc else gm, "t", "inner")
     X = right_size(X, int(st["n"])).persist(StorageLevel.MEMORY_AND_DISK)
     beta = np.zeros(p)
-    ll, g, info = _fg_stats(X, Gt, p, beta)
+    ll, g, info = _fg_stats(X, Gt, p, beta, two_level, bc)
     it = 0
     for it in range(1, max_iter + 1):
         step = np.linalg.solve(info, g)
@@ -179,7 +200,7 @@ def fine_gray_fit(df: DataFrame, time: str, cause: str, features: Sequence[str],
         ok = False
         for _ in range(20):
             nb = beta + shrink * step
-            ll2, g2, info2 = _fg_stats(X, Gt, p, nb)
+            ll2, g2, info2 = _fg_stats(X, Gt, p, nb, two_level, bc)
             if ll2 >= ll - 1e-12 * abs(ll):
                 ok = True
                 break
@@ -202,10 +223,10 @@ def fine_gray_fit(df: DataFrame, time: str, cause: str, features: Sequence[str],
     cw = F.when((F.col("comp") == 1) & (F.col("gm") > 0), F.col("w") / F.col("gm")).otherwise(0.0)
     tt = X1.groupBy(F.col("t").alias("time")).agg(F.sum(F.col("e").cast("double")).alias("d"),
                                                   F.sum("w").alias("S0p"), F.sum(cw).alias("C0p")).join(Gt, "time")
-    tt = cumulative(tt, "time", [], sums={"S0r": "S0p"}, descending=True)
-    tt = cumulative(tt, "time", [], sums={"C0c": "C0p"}, exclusive=True)
+    tt = cumulative(tt, "time", [], sums={"S0r": "S0p"}, descending=True, force_two_level=two_level)
+    tt = cumulative(tt, "time", [], sums={"C0c": "C0p"}, exclusive=True, force_two_level=two_level)
     tt = tt.withColumn("dh", F.col("d") / (F.col("S0r") + F.col("Gm") * F.col("C0c")))
-    tt = cumulative(tt, "time", [], sums={"baseline_hazard": "dh"})
+    tt = cumulative(tt, "time", [], sums={"baseline_hazard": "dh"}, force_two_level=two_level)
     m.baseline = tt.select("time", "baseline_hazard").persist(StorageLevel.MEMORY_AND_DISK)
     X.unpersist()
     return m
