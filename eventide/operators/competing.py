@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.stats import Z95, two_sided_p
-from eventide.operators.cox import BROADCAST_TIMES, CoxModel, _sum_rows
+from eventide.operators.cox import BROADCAST_TIMES, CoxModel, _many, _sum_rows
 from eventide.operators.cox_grouped import cox_fit_grouped
 from eventide.operators.logrank import group_values
 from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative, right_size
@@ -148,7 +148,7 @@ def _fg_stats(X: DataFrame, Gt: DataFrame, p: int, beta: np.ndarray, two_level:
                 M = (S1 * pdf["q0"].to_numpy(float)[:, None]).T @ S1
                 yield pd.DataFrame({"v": [np.concatenate([[pdf["L"].sum()], M.ravel()])]})
 
-    times = _sum_rows(tt.select("L", "q0", *[f"S1{j}" for j in range(p)]).mapInPandas(over_times, "v array<double>"), 1 + p * p)
+    times = _sum_rows(tt.select("L", "q0", *[f"S1{j}" for j in range(p)]).mapInPandas(over_times, "v array<double>"), 1 + p * p, _many(X))
     ab = cumulative(tt.select("time", "a", "aG"), "time", [], sums={"A": "a"}, force_two_level=two_level)
     ab = cumulative(ab, "time", [], sums={"B": "aG"}, descending=True, exclusive=True, force_two_level=two_level)
     ab = ab.select(F.col("time").alias("_t"), "A", "B")
@@ -162,7 +162,7 @@ def _fg_stats(X: DataFrame, Gt: DataFrame, p: int, beta: np.ndarray, two_level:
                 yield pd.DataFrame({"v": [np.concatenate([[(e * eta).sum()], x.T @ (e - s), ((x * s[:, None]).T @ x).ravel()])]})
 
     j = X.join(ab, X["t"] == ab["_t"], "inner").select(*cols, "A", "B")
-    rows = _sum_rows(j.mapInPandas(over_rows, "v array<double>"), 1 + p + p * p)
+    rows = _sum_rows(j.mapInPandas(over_rows, "v array<double>"), 1 + p + p * p, _many(X))
     tt.unpersist()
     info = rows[1 + p:].reshape(p, p) - times[1:].reshape(p, p)
     return rows[0] - times[0], rows[1:1 + p], (info + info.T) / 2

@@ -172,15 +172,23 @@ def _efron_terms(tt: DataFrame, p: int, ties: str, max_d: int) -> DataFrame:
     return tt.join(sums, "time", "left").fillna(0.0, ["a", "c", "L", "q0", "q1", "q2"])
 
 
-def _sum_rows(parts: DataFrame, width: int) -> np.ndarray:
-    """Sum of the one-row-per-batch arrays ``v``; many partitions are first summed in a few tasks."""
+def _many(X: DataFrame) -> bool:
+    """Whether a cached table has so many partitions that their sums are first added up in a few tasks
+    (asked once per table: planning it is not free)."""
+    if not hasattr(X, "_many_partitions"):
+        X._many_partitions = X.rdd.getNumPartitions() > 64
+    return X._many_partitions
+
+
+def _sum_rows(parts: DataFrame, width: int, many: bool) -> np.ndarray:
+    """Sum of the one-row-per-batch arrays ``v``."""
     def add(it):
         total = np.zeros(width)
         for pdf in it:
             if len(pdf):
                 total += np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
         yield pd.DataFrame({"v": [total]})
-    if parts.rdd.getNumPartitions() > 64:
+    if many:
         parts = parts.repartition(16).mapInPandas(add, "v array<double>")
     rows = parts.collect()  # a bounded number of rows of ``width`` numbers
     return np.sum([r["v"] for r in rows], axis=0) if rows else np.zeros(width)
@@ -236,7 +244,7 @@ def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bo
             yield pd.DataFrame({"v": [np.concatenate([[pdf["L"].sum()], M.ravel()])]})
 
     times = _sum_rows(ev.select("L", "q0", "q1", "q2", *[f"S1{j}" for j in range(p)], *[f"D1{j}" for j in range(p)])
-                      .mapInPandas(over_times, "v array<double>"), 1 + p * p)
+                      .mapInPandas(over_times, "v array<double>"), 1 + p * p, _many(X))
     at = ev.select("time", "A", "c")
     at = F.broadcast(at) if broadcast_times else at
 
@@ -250,7 +258,7 @@ def _step_stats(X: DataFrame, p: int, beta: np.ndarray, ties: str, two_level: bo
             yield pd.DataFrame({"v": [np.concatenate([[(e * eta).sum()], x.T @ (e - s), ((x * s[:, None]).T @ x).ravel()])]})
 
     j = X.join(at, X["t"] == at["time"], "inner").select(*cols, "A", "c")
-    rows = _sum_rows(j.mapInPandas(over_rows, "v array<double>"), 1 + p + p * p)
+    rows = _sum_rows(j.mapInPandas(over_rows, "v array<double>"), 1 + p + p * p, _many(X))
     ev.unpersist()
     info = rows[1 + p:].reshape(p, p) - times[1:].reshape(p, p)
     return rows[0] - times[0], rows[1:1 + p], (info + info.T) / 2
