@@ -1,8 +1,8 @@
 """Licence scan: phrase places and ordered signature rules, in DataFrame functions only.
 
 ``scan`` counts words, finds the base phrases at word places, and runs the rules of
-``license_rules`` where their keyword occurs: first a few root words decide which texts are looked
-at, then each rule's own keyword decides whether its regex runs.  A detection is an interval of
+``license_rules`` where their words occur: first a few root words decide which texts are looked
+at, then each rule's own words, all of which its regex needs, decide whether it runs.  A detection is an interval of
 the text.  Per document the intervals are put in order (start, longest first, strongest rule
 first) and a running maximum of ends drops every interval that lies inside another, so a
 ``GPL v3`` notice does not also report ``GPL``; of two over the same place the rule with the better
@@ -42,12 +42,17 @@ def _phrase_pattern(phrase: str) -> str:
 
 def detections(docs: DataFrame, row: str, text: str, low: str, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
     """Surviving detections: row, start, end (code points), label, weight."""
-    table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-                               F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight")) for r in rules])
+    gated: dict[str, list[Rule]] = {}
+    for r in rules:
+        gated.setdefault(r.keyword, []).append(r)
+    table = F.array(*[F.struct(F.array(*[F.lit(w) for w in words.split()]).alias("words"), F.array(*[F.struct(
+        F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight"))
+        for r in group]).alias("rules")) for words, group in gated.items()])
+    open_ = F.filter(table, lambda g: F.forall(g.words, lambda w: F.contains(F.col(low), w)))
     gate = F.lit(False)
     for root in ROOTS:
         gate = gate | F.contains(F.col(low), F.lit(root))
-    ran = (docs.where(gate).select(row, text, F.explode(F.filter(table, lambda r: F.contains(F.col(low), r.keyword))).alias("r"))
+    ran = (docs.where(gate).select(row, text, F.explode(F.flatten(F.transform(open_, lambda g: g.rules))).alias("r"))
            .select(row, "r.priority", "r.label", "r.weight",
                    F.transform(F.split(F.col(text), F.col("r.pattern"), -1), F.length).alias("between"),
                    F.transform(F.regexp_extract_all(F.col(text), F.col("r.pattern"), F.lit(0)), F.length).alias("found"))

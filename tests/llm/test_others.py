@@ -198,6 +198,59 @@ def test_rules_compile_are_many_and_their_keywords_have_a_root():
         assert r.keyword == r.keyword.lower()
 
 
+def example(tree, variant, blank="\n"):
+    """A text that the parsed regex matches; ``variant`` chooses branches and optional parts."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kinds = [(str(k), v) for k, v in arg]
+            if kinds[0][0] == "NEGATE" or str(kinds[0][1]) == "CATEGORY_NOT_SPACE":
+                out += "x"
+            else:
+                spaces = [v for k, v in kinds if k == "CATEGORY"]
+                out += blank if spaces else chr(kinds[variant % len(kinds)][1] if kinds[0][0] == "LITERAL" else kinds[0][1][0])
+        elif op == "ANY":
+            out += "\n"
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            out += example(inner, variant, blank) * max(low, min(int(high), variant % 2))
+        elif op == "SUBPATTERN":
+            out += example(arg[3], variant, blank)
+        elif op == "BRANCH":
+            out += example(arg[1][variant // 2 % len(arg[1])], variant, blank)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_every_rule_finds_hard_wrapped_examples_of_itself(spark):
+    from re import _parser
+    rows = []
+    for r in license_rules.RULES:
+        tree = _parser.parse(r.pattern.replace(r"\p{L}\p{N}", r"\w"))
+        for t in {example(tree, v) for v in range(12)}:
+            assert all(w in t.lower() for w in r.keyword.split()), (r, t)
+            assert any(root in t.lower() for root in license_rules.ROOTS), (r, t)
+            rows.append((len(rows), t, r.priority))
+    df = spark.createDataFrame(rows, "row long, text string, rule int").withColumn("low", F.lower("text"))
+    got = {r.row: r for r in licenses.detections(df, "row", "text", "low").groupBy("row").agg(F.min("start").alias("a"), F.max("end").alias("z")).collect()}
+    assert len(rows) > 700
+    for i, t, _ in rows:
+        assert i in got and got[i].a == 0 and got[i].z == len(t), (i, t)
+
+
+def test_notices_wrapped_and_without_the_word_license(spark):
+    texts = ["GNU General\nPublic License version 3", "Permission is hereby\ngranted, free of charge, to any\nperson obtaining a copy",
+             "Neither the name of the owner nor the names\nof others may be used to endorse\nor promote products", "see http://mozilla.org/MPL/2.0 for terms",
+             "scripts.sil.org/OFL", "data are CC0", "Creative\nCommons Attribution 4.0", "in the public\ndomain", "all rights\nreserved"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in rows} == {0: "gpl,gpl-3.0", 1: "mit", 2: "bsd-3-clause", 3: "mpl-2.0", 4: "ofl-1.1", 5: "cc0-1.0", 6: "cc-by-4.0",
+                                                  7: "public-domain", 8: "proprietary"}
+
+
 # fingerprints
 
 def plain_digest_sets(text):
