@@ -4,14 +4,15 @@ Every text is searched for e-mail addresses, IP addresses, card numbers and phon
 base, exact and linear in the text).  These seed entities induce lexical patterns: the two words
 and the marks in front of an entity.  Things that look like identifiers but match no base rule are
 candidates, with patterns of their own.  Patterns and identifiers form a bipartite graph whose
-edges Spark counts; scores pass to and fro a few rounds:
+distinct edges Spark counts; scores pass to and fro a few rounds:
 
 * an identifier's score for a kind is 1 where it is a seed of that kind, 0 where it is a seed of
   another, else 1 minus the chance that every pattern it follows is wrong;
-* a pattern's score for a kind is the mean score of all identifiers that follow it.
+* a pattern's score for a kind is the mean score of all distinct identifiers that follow it, so
+  copies of a document change nothing.
 
 Patterns that end with a high score on enough distinct identifiers accept the candidates behind
-them whose shape fits the kind.  The text is read once; rounds work on counted edges, pre-
+them whose shape fits the kind.  The text is read once; rounds work on distinct edges, pre-
 aggregated before each shuffle; nothing is collected.
 
 Defined cases
@@ -161,16 +162,16 @@ _FITS = "getbit(shape, {}) = 1"
 
 
 def score_patterns(edges: DataFrame, *, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(pattern, kind) that accept.  ``edges``: pattern, name, seed (kind or -1), shape, n."""
+    """(pattern, kind) that accept.  ``edges``: pattern, name, seed (kind or -1), shape."""
     seeds = edges.where("seed >= 0").select("name", F.col("seed").alias("kind")).distinct().withColumn("s", F.lit(1.0))
     known = written(seeds, "pii-seeds")
     is_seed = known.select("name").distinct().withColumn("is_seed", F.lit(True))
-    flat = written(edges.groupBy("pattern", "name").agg(F.sum("n").alias("n"), F.max("shape").alias("shape")), "pii-edges")
-    totals = flat.groupBy("pattern").agg(F.sum("n").alias("total"))
+    flat = written(edges.groupBy("pattern", "name").agg(F.max("shape").alias("shape")), "pii-edges")
+    totals = flat.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     scores, patterns = known, None
     for step in range(rounds):
         held = (flat.join(scores, "name").groupBy("pattern", "kind")
-                .agg(F.sum(F.col("n") * F.col("s")).alias("mass"), F.count(F.lit(1)).alias("support")))
+                .agg(F.sum("s").alias("mass"), F.count(F.lit(1)).alias("support")))
         patterns_next = written(held.join(totals, "pattern").where(F.col("support") >= min_support)
                                 .select("pattern", "kind", (F.col("mass") / F.col("total")).alias("p")), "pii-patterns")
         if patterns is not None:
@@ -188,7 +189,7 @@ def _found(docs: DataFrame, **options) -> DataFrame:
     """Extracted rows plus ``more``: accepted spans beyond the base."""
     rows = _extracted(docs)
     seen = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
-    edges = seen.groupBy("pattern", "name", F.col("kind").alias("seed")).agg(F.count(F.lit(1)).alias("n"), F.max("shape").alias("shape"))
+    edges = seen.groupBy("pattern", "name", F.col("kind").alias("seed")).agg(F.max("shape").alias("shape"))
     accepted = written(score_patterns(written(edges, "pii-graph"), **options).withColumnRenamed("kind", "as_kind"), "pii-accepted")
     accepted = small(accepted, accepted.count())
     more = (seen.where("kind = -1").join(accepted, "pattern").where(_FITS.format("as_kind"))

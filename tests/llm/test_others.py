@@ -327,6 +327,18 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert pii.redacted(df).columns == df.columns
 
 
+def test_copies_do_not_change_the_accepted_patterns(spark):
+    good = [f"phone: +1 555 01{i:02d} {i:04d} x" for i in range(20)]
+    poor = [f"serial: +1 555 02{i:02d} {i:04d} x" for i in range(6)] + [f"serial: 700-11{i:02d}-22 x" for i in range(6)]
+    unseen = ["phone: 555-123-4567 x", "serial: 555-123-9999 x"]
+    for copied in ("phone: 555-000-0000 x", poor[0]):  # a placeholder behind the good pattern; a seed behind the poor one
+        texts = good + poor + unseen + [copied]
+        for copies in (0, 400):
+            rows = list(enumerate(texts)) + [(1000 + i, copied) for i in range(copies)]
+            got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got[len(good + poor)] == [3] and got[len(good + poor) + 1] == [] and got[len(good) + 6] == [], (copied, copies)
+
+
 def test_pii_odd_rows_and_table(spark):
     df = odd.documents(spark)
     assert pii.find(df.limit(0)).collect() == [] and pii.redacted(df.limit(0)).collect() == []
