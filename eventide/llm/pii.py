@@ -43,6 +43,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9()./\x20-]*[0-9]")
+_PART = re.compile(r"[+(]?[0-9](?:[0-9().-]*[0-9])?")
+_RUN = re.compile(r"[+(]?[0-9][0-9()./\x20-]*")
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9._-]{1,64}")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -97,9 +99,68 @@ def _shape(token: str) -> int:
     return (2 if token.count(".") == 3 and 4 <= digits <= 12 else 0) | (4 if 12 <= digits <= 19 else 0) | (8 if 7 <= digits <= 15 else 0)
 
 
+def _grouped(text: str, start: int, end: int):
+    """(start, end) of the single identifiers in a run of numbers: its parts between blanks and
+    slashes, joined until the digits make a whole phone or card number."""
+    parts = [(m.start(), m.end(), sum("0" <= c <= "9" for c in m[0])) for m in _PART.finditer(text, start, end)]
+    counts = [n for _, _, n in parts]
+    i = first = held = 0  # parts first..i-1 are joined and hold so many digits
+    while i < len(parts):
+        a, z, n = parts[i]
+        if held == 0:
+            take = _usual(text, parts, counts, i)
+            if take or n >= 7 or text.count(".", a, z) == 3:
+                i += take or 1
+                yield a, parts[i - 1][1]
+                first = i
+                continue
+        elif n >= 7 or held + n > 15 or text.count(".", a, z) == 3:  # a number by itself, unless what is before dials it
+            head = text[parts[first][0]:parts[first][1]]
+            dials = held <= 6 and (head == "1" or head[0] in "+(" or n < 10 and (head[0] == "0" or held == 3))
+            if not dials or held + n > 15 or text.count(".", a, z) == 3:
+                yield parts[first][0], parts[i - 1][1]
+                first, held = i, 0
+                continue
+        held += n
+        i += 1
+        if held >= 10:
+            yield parts[first][0], z
+            first, held = i, 0
+    if held:
+        yield parts[first][0], parts[-1][1]
+
+
+def _usual(text: str, parts: list, counts: list[int], i: int) -> int:
+    """How many parts from ``i`` on have the digit counts of a printed card or short phone number."""
+    if counts[i:i + 4] == [4, 4, 4, 4]:
+        card = "".join(c for c in text[parts[i][0]:parts[i + 3][1]] if "0" <= c <= "9")
+        return 5 if counts[i + 4:] == [3] and not _luhn(card) else 4
+    if counts[i:i + 3] == [4, 6, 5]:
+        return 3
+    return 2 if counts[i:i + 2] == [3, 4] and counts[i + 2:i + 3] != [4] and text[parts[i][0]] != "0" else 0
+
+
+def _numbers(text: str, taken: list[tuple[int, int]]):
+    """(start, end) of number-like places: runs of numbers, without base spans, as single identifiers."""
+    k = 0
+    for m in _NUMBER.finditer(text):
+        a, end = m.span()
+        if end - a < 7:
+            continue
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        j = k
+        while a < end:
+            z = min(end, max(a, taken[j][0])) if j < len(taken) else end
+            yield from _grouped(text, a, z)
+            a = max(z, taken[j][1]) if j < len(taken) else end
+            j += 1
+
+
 def _candidates(text: str, spans: list[tuple[int, int, int]]):
     """(start, end, shape) of identifier-like places that no base span touches."""
-    found = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7]
+    taken = sorted((a, z) for a, _, z in spans)
+    found = [(a, z) for a, z in _numbers(text, taken) if z - a >= 7]
     if "@" in text:
         at = 0
         while (at := text.find("@", at)) >= 0:  # bounded on both sides of each mark
@@ -109,7 +170,6 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]):
                 at = max(at, m.end() - 1)
             at += 1
     found.sort()
-    taken = sorted((a, z) for a, _, z in spans)
     k = done = 0
     for a, z in found:
         while k < len(taken) and taken[k][1] <= a:
@@ -121,12 +181,13 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]):
 
 
 def _pattern(text: str, start: int) -> str | None:
-    """The two words and the marks in front of a place; None where no word stands there."""
-    before = text[max(0, start - 60):start].rpartition("\n")[2]
+    """The two words and the marks in front of a place, on its line or lines before; None where no
+    word stands there.  Numbers among the marks (earlier members of a list) count as one mark."""
+    before = text[max(0, start - 60):start]
     words = list(_WORD.finditer(before))[-2:]
     if not words:
         return None
-    return " ".join(w[0].lower() for w in words) + "|" + before[words[-1].end():].strip()
+    return " ".join(w[0].lower() for w in words) + "|" + " ".join(_RUN.sub("# ", before[words[-1].end():]).split())
 
 
 _ROWS = ("doc_id long, text_hash long, row long, base array<struct<start:int,kind:int,end:int>>, "

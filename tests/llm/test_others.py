@@ -339,6 +339,35 @@ def test_copies_do_not_change_the_accepted_patterns(spark):
             assert got[len(good + poor)] == [3] and got[len(good + poor) + 1] == [] and got[len(good) + 6] == [], (copied, copies)
 
 
+def test_candidate_runs_are_split_into_identifiers():
+    def found(t):
+        return [t[a:z] for a, z, _ in pii._candidates(t, pii.base_spans(t))]
+    for t, want in (("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("555-123-4567 09:00", ["555-123-4567"]),
+                    ("555-123-4567/555-987-6543", ["555-123-4567", "555-987-6543"]), ("12 555-123-4567 34", ["555-123-4567"]),
+                    ("555-1234 09:00", ["555-1234"]), ("12 555-1234", ["555-1234"]), ("555 1234 555 9876", ["555 1234", "555 9876"]),
+                    ("(555) 123-4567 (555) 987-6543", ["(555) 123-4567", "(555) 987-6543"]), ("1 (555) 123-4567 2", ["1 (555) 123-4567"]),
+                    ("555 123 4567 555 987 6543", ["555 123 4567", "555 987 6543"]), ("020 7946 0958 12", ["020 7946 0958"]),
+                    ("06 12 34 56 78 06 12 34 56 79", ["06 12 34 56 78", "06 12 34 56 79"]), ("555 - 123 - 4567", ["555 - 123 - 4567"]),
+                    ("4111 1111 1111 1112 555-123-4567", ["4111 1111 1111 1112", "555-123-4567"]), ("555-123-4567 10.0.0.1", ["555-123-4567"]),
+                    ("+1 555 123 4567 555 987 6543", ["+1 555 123 4567", "555 987 6543"]), ("300.1.1.1 555-123-4567", ["300.1.1.1", "555-123-4567"]),
+                    ("5551234567", ["5551234567"]), ("1 2 3", []), ("1" * 30, [])):
+        assert found(t) == want, (t, found(t))
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choices("0123456789. +-()/a@", weights=[3] * 10 + [4, 8, 2, 4, 1, 1, 2, 1, 1], k=rng.randrange(80)))
+        got = [(a, z) for a, z, _ in pii._candidates(t, pii.base_spans(t))]
+        assert all(a < z for a, z in got) and all(z <= a for (_, z), (a, _) in zip(got, got[1:], strict=False)), t
+        assert all(z <= a or y <= x for x, _, z in pii.base_spans(t) for a, y in got), t
+    assert found("1 " * 200_000 + "x" + "9" * 200_000 + "x" + "1(" * 100_000 + "1")
+
+
+def test_identifiers_in_lists_and_under_labels(spark):
+    rows = [(i, f"phone: +1 555 01{i:02d} {i:04d}\nMobile number:\n+1 555 03{i:02d} {i:04d}, +1 555 04{i:02d} {i:04d} x") for i in range(10)]
+    rows += [(100, "phone: 555-123-4567 555-987-6543"), (101, "phone: 555-123-4567 09:00"), (102, "Mobile number:\n555-123-4567, 555-987-6543")]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100][0] == (7, 3, 19) and got[101] == [(7, 3, 19)] and got[102] == [(15, 3, 27), (29, 3, 41)]
+
+
 def test_pii_odd_rows_and_table(spark):
     df = odd.documents(spark)
     assert pii.find(df.limit(0)).collect() == [] and pii.redacted(df.limit(0)).collect() == []
