@@ -279,6 +279,22 @@ def test_fingerprints_against_plain_sets(spark):
     assert len(set(prints.values())) == len(prints)
 
 
+def test_long_lines_are_cut_by_content():
+    rng = random.Random(8)
+
+    def word(letters):
+        return "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    latin, russian = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя"
+    han = "".join(map(chr, range(0x4E00, 0x9F00)))
+    for kind in (lambda: " ".join(word(latin) for _ in range(200)), lambda: " ".join(word(russian) for _ in range(200)),
+                 lambda: "Thsh " * 400, lambda: "".join(rng.choices(han, k=900)), lambda: "".join(rng.choices(latin + latin.upper() + "0123456789+/", k=2000)),
+                 lambda: " ".join(f"{word(latin).title()} {word(latin)} {word(latin)}." for _ in range(60))):
+        t, other = kind(), kind()
+        half = len(t) // 2
+        a, b = plain_digest_sets(t), plain_digest_sets(t[:len(t) - half] + other[:half])
+        assert len(a) >= 2 and max(map(len, a)) < 800 and len(a & b) / len(a | b) > 0.15, (t[:80], len(a))
+
+
 def test_next_over_many_ranges_and_ties(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 7)
     rows = [(None, "n"), (5, "a"), (5, "b")] + [(i, f"t{i}") for i in range(10, 200)]
