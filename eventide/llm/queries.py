@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventide.llm import fingerprints, licenses, mixing, near_dedup, packing, pii, quality, sharding, topk, warc
+from eventide.llm import collocations, fingerprints, langid, licenses, mixing, near_dedup, negatives, packing, pii, quality, sharding, topk, warc
 from eventide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,56 @@ def op4(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op11_language_id")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+@query("op12_hard_negatives", """
+    WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                      [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+               FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                 CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                 row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+          FROM p JOIN s USING (anchor_id)
+          WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""")
+def op12(spark, sf_dir):
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)))
+    return negatives.mine(rows, rows.where(F.col("id") % 50 == 0))
+
+
+@query("op13_collocations", r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                    FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+    phrases AS (SELECT lang, w[i:i + k - 1] AS p FROM places, (VALUES (1), (2), (3), (4)) s(k) WHERE i + k - 1 <= len(w)),
+    f AS (SELECT lang, p, count(*) AS f FROM phrases GROUP BY lang, p HAVING count(*) >= 30),
+    cuts AS (SELECT lang, p, f AS a, k FROM f, (VALUES (1), (2), (3)) s(k) WHERE k < len(p)),
+    scored AS (SELECT c.lang, c.p, c.a, c.k, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+               FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1:len(c.p)]
+               QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, c.k) = 1),
+    subs AS (SELECT lang, f, p, m, unnest(range(1, len(p) - m + 2)) AS i FROM f, (VALUES (2), (3)) s(m) WHERE m < len(p)),
+    covers AS (SELECT lang, p[i:i + m - 1] AS p, max(f) AS cover FROM subs GROUP BY 1, 2),
+    kept AS (SELECT s.* FROM scored s LEFT JOIN covers c ON c.lang = s.lang AND c.p = s.p WHERE cover IS NULL OR 100 * cover < 80 * a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+    SELECT lang, rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

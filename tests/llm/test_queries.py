@@ -5,7 +5,7 @@ from eventide.llm.queries import ORACLE, QUERIES
 
 
 def test_one_query_per_operator():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert set(ORACLE) <= set(QUERIES) <= set(E.queries())
 
