@@ -1,6 +1,6 @@
 """Phrase collocations by SON partitioning.
 
-Documents are dealt into ``SHARDS`` shards by a hash of their content.  Every shard is mined completely
+Documents are dealt into ``SHARDS`` shards by partition, fixed by writing them once.  Every shard is mined completely
 at a local support lowered in proportion: a shard that holds a share w of a language's words asks for
 ceil(w * support) occurrences.  A phrase that is frequent over all rows reaches that in one shard at
 least, so the union of the locally frequent phrases holds every frequent one.  The union is then
@@ -21,7 +21,7 @@ Defined cases
 * null text is empty; null lang is ``und``; a text without words adds nothing;
 * very long text: read whole, cut only where pieces end, about ``SLICE`` bytes at a time;
 * ties as the ranking says: higher count, then the phrase's bytes; repeated rows count as often as they stand;
-* empty table: empty result; doc_id may be null (it only deals rows); extra columns are not read.
+* empty table: empty result; doc_id and extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import small, slices, written
+from eventide.llm.common import discard, slices, small, written
 
 SHARDS = 5
 SUPPORT = 30
@@ -40,7 +40,9 @@ LONGEST = 4
 TOP = 2000
 #: Bytes of text that are hashed at a time, and words whose phrases are counted together.
 SLICE = 1_000_000
-RUN_WORDS = 2_000_000
+RUN_WORDS = 600_000
+#: Rows of an Arrow batch that a task returns.
+BATCH_ROWS = 50_000
 #: Bits that stand for one length's candidates at most (16 MB).
 MOST_BITS = 1 << 27
 
@@ -149,30 +151,31 @@ def places(keys: DataFrame) -> Places:
 
 
 def _runs(batches, hashes: int):
-    """Whole texts' words, about ``RUN_WORDS`` at a time: (raw, starts, ends, pieces, hashes, row values per word).
+    """Whole texts' words, about ``RUN_WORDS`` at a time: (raw, starts, ends, pieces, hashes, values).
 
-    Positions count from the beginning of the joined bytes; row values are the Arrow columns besides text.
+    Positions count from the beginning of the joined bytes; ``values(column, words)`` are the row values of words.
     """
     import pyarrow as pa
     held, size = [], 0
 
     def joined():
-        raws, starts, ends, pieces, keys, values = zip(*held, strict=True)
+        raws, starts, ends, pieces, keys, rows, tables = zip(*held, strict=True)
         at = np.cumsum([0] + [len(r) for r in raws])
-        no = np.cumsum([0] + [int(p[-1]) + 1 if len(p) else 0 for p in pieces])
-        return (raws, np.concatenate([s + a for s, a in zip(starts, at, strict=False)]),
-                np.concatenate([e + a for e, a in zip(ends, at, strict=False)]),
-                np.concatenate([p + a for p, a in zip(pieces, no, strict=False)]),
-                np.concatenate(keys, axis=1), {c: np.concatenate([v[c] for v in values]) for c in values[0]})
-
-    for b in (s for batch in batches for s in slices(batch, most_bytes=4 * SLICE)):
+        no = np.cumsum([0] + [int(p[-1]) + 1 for p in pieces])
+        row_no = np.cumsum([0] + [len(next(iter(t.values()))) for t in tables])
+        add = lambda xs, by: np.concatenate([x + a for x, a in zip(xs, by, strict=False)])
+        row = add(rows, row_no)
+        return (raws, add(starts, at), add(ends, at), add(pieces, no), np.concatenate(keys, axis=1),
+                lambda c, words=slice(None): np.concatenate([t[c] for t in tables])[row[words]])
+
+    for b in (s for batch in batches for s in slices(batch, most_bytes=2 * SLICE)):
         columns = {c: np.asarray(b.column(c)) for c in b.schema.names if c != "text"}
         rows = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
         for text, begins in parts(rows):
             raw, starts, ends, pieces, keys = tokens(text, hashes)
             if len(starts):
-                of = np.array([r for r, _ in begins])[np.searchsorted([x for _, x in begins], starts, side="right") - 1]
-                held.append((raw if hashes > 1 else raw[:0], starts, ends, pieces, keys, {c: v[of] for c, v in columns.items()}))
+                row = np.array([r for r, _ in begins])[np.searchsorted([x for _, x in begins], starts, side="right") - 1]
+                held.append((raw if hashes > 1 else raw[:0], starts, ends, pieces, keys, row, columns))
                 size += len(starts)
             if size >= RUN_WORDS:
                 yield joined()
@@ -181,67 +184,69 @@ def _runs(batches, hashes: int):
         yield joined()
 
 
-def _open(keys: list[np.ndarray], n: int, words: np.ndarray, pieces: np.ndarray, salt: np.ndarray, sets) -> tuple[np.ndarray, np.ndarray]:
-    """(salted hash of n words from each word on, whether they stand in one piece and each shorter part is a candidate)."""
-    key, whole = phrase_keys(words, pieces, n)
-    key = mix(key ^ salt[:len(key)])
-    if n > 1 and sets:
-        part = sets[n - 2].holds(keys[-1])
-        whole &= part[:len(key)] & part[1:len(key) + 1]
-    return key, whole
+def _batches(columns: dict):
+    """Arrow batches of ``BATCH_ROWS`` rows at most."""
+    import pyarrow as pa
+    n = len(next(iter(columns.values())))
+    for a in range(0, n, BATCH_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a:a + BATCH_ROWS]) if not isinstance(x, pa.Array) else x.slice(a, BATCH_ROWS)
+                                          for x in columns.values()], names=list(columns))
+
+
+def mined(rows: DataFrame, n: int, sets, shards: int) -> DataFrame:
+    """key: the phrases of ``n`` words that reach the support ``need`` of a shard in that shard.
 
+    A task counts (phrase, shard) as one number, the hash with the shard in its lowest bits.
+    """
+    low = np.uint64((1 << max(1, (shards - 1).bit_length())) - 1)
 
-def mined(rows: DataFrame, n: int, sets) -> DataFrame:
-    """(shard, key, need, n): the phrases of ``n`` words in each shard that reach the shard's support ``need``."""
     def count(batches):
-        import pyarrow as pa
-        sets_ = [s.value for s in sets]
         for _, _, _, pieces, (words,), of in _runs(batches, 1):
-            salt, shard, need = of["salt"].view(np.uint64), of["shard"], of["need"]
-            keys, key, whole = [], None, None
-            for k in range(max(1, n - 1), n + 1):
-                key, whole = _open(keys, k, words, pieces, salt, sets_ if k == n else None)
-                keys.append(key)
+            key, whole = phrase_keys(words, pieces, n)
+            salt = of("salt").view(np.uint64)
+            if n > 1:  # both parts that lack one word are candidates
+                part = sets[n - 2].value.holds(mix((shorter := phrase_keys(words, pieces, n - 1)[0]) ^ salt[:len(shorter)]))
+                whole = whole & part[:len(key)] & part[1:len(key) + 1]
             at = np.flatnonzero(whole)
-            for s in np.unique(shard):
-                mine = at[shard[at] == s]
-                code, first, c = np.unique(key[mine], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), s, np.int32)), pa.array(code.view(np.int64)),
-                                                  pa.array(need[mine][first]), pa.array(c.astype(np.int64))], names=["shard", "key", "need", "n"])
-    return (rows.mapInArrow(count, "shard int, key long, need long, n long")
-            .groupBy("shard", "key").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need")))
+            code = mix(key[at] ^ salt[at]) & ~low | of("shard", at).astype(np.uint64)
+            code, first, c = np.unique(code, return_index=True, return_counts=True)
+            yield from _batches({"code": code.view(np.int64), "need": of("need", at[first]), "n": c.astype(np.int64)})
+    return (rows.mapInArrow(count, "code long, need long, n long")
+            .groupBy("code").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
+            .select(F.col("code").bitwiseAND(F.lit(int((~low).view(np.int64)))).alias("key")).distinct())
 
 
 def counted(rows: DataFrame, sets, longest: int) -> DataFrame:
     """(lang, phrase, k, f): exact counts of all candidates of 1 to ``longest`` words."""
     def count(batches):
         import pyarrow as pa
-        sets_ = [s.value for s in sets]
         for raws, starts, ends, pieces, (words, others), of in _runs(batches, 2):
             body = np.concatenate(raws).tobytes()
-            salt, lang = of["salt"].view(np.uint64), of["lang"]
-            again = mix(salt + np.uint64(1))
+            salt = of("salt").view(np.uint64)
             before = None
             for k in range(1, longest + 1):
                 key, whole = phrase_keys(words, pieces, k)
                 key = mix(key ^ salt[:len(key)])
-                member = sets_[k - 1].holds(key) & whole
+                whole &= sets[k - 1].value.holds(key)
                 if before is not None:
-                    member &= before[:len(key)] & before[1:len(key) + 1]
-                before = member
-                at = np.flatnonzero(member)
+                    whole &= before[:len(key)] & before[1:len(key) + 1]
+                before = whole
+                at = np.flatnonzero(whole)
                 # phrases are the same here if two independent hashes of 64 bits are
-                check = mix(phrase_keys(others, pieces, k)[0] ^ again[:len(key)])
-                order = np.lexsort((check[at], key[at]))
-                a, b = key[at][order], check[at][order]
-                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(at) else np.zeros(0, bool)
+                key, check = key[at], phrase_keys(others, pieces, k)[0][at] + salt[at]
+                order = np.argsort(key, kind="stable")
+                new = np.ones(len(at), bool)
+                new[1:] = key[order[1:]] != key[order[:-1]]
+                if (check[order] != check[order][np.flatnonzero(new)[np.cumsum(new) - 1]]).any():
+                    order = np.lexsort((check, key))
+                    new[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
                 begin = np.flatnonzero(new)
                 first = at[order[begin]]
-                c = np.diff(np.concatenate([begin, [len(at)]])) if len(at) else np.zeros(0, np.int64)
-                phrase = [b" ".join(body[starts[i + j]:ends[i + j]] for j in range(k)) for i in first.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(lang[first], pa.string()), pa.array(phrase, pa.binary()).view(pa.string()),
-                                                  pa.array(np.full(len(first), k, np.int32)), pa.array(c.astype(np.int64))],
-                                                 names=["lang", "phrase", "k", "f"])
+                phrase = [b" ".join([body[a:z] for a, z in zip(x, y, strict=True)]) for x, y in zip(
+                    np.stack([starts[first + j] for j in range(k)], 1).tolist(), np.stack([ends[first + j] for j in range(k)], 1).tolist(), strict=True)] \
+                    if k > 1 else [body[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                yield from _batches({"lang": pa.array(of("lang", first), pa.string()), "phrase": pa.array(phrase, pa.binary()).view(pa.string()),
+                                     "k": np.full(len(first), k, np.int32), "f": np.diff(np.append(begin, len(at))).astype(np.int64)})
     return (rows.mapInArrow(count, "lang string, phrase string, k int, f long")
             .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")))
 
@@ -250,8 +255,8 @@ def word_totals(rows: DataFrame) -> DataFrame:
     """(lang, shard, n): words of each language in each shard."""
     def count(batches):
         import pyarrow as pa
-        for _, _, _, _, _, of in _runs(batches, 1):
-            pairs = pa.table({"lang": pa.array(of["lang"], pa.string()), "shard": of["shard"]}).group_by(["lang", "shard"]).aggregate([([], "count_all")])
+        for _, _, _, _, _, of in _runs(batches, 0):
+            pairs = pa.table({"lang": pa.array(of("lang"), pa.string()), "shard": of("shard")}).group_by(["lang", "shard"]).aggregate([([], "count_all")])
             yield from pairs.rename_columns(["lang", "shard", "n"]).combine_chunks().to_batches()
     return rows.mapInArrow(count, "lang string, shard int, n long").groupBy("lang", "shard").agg(F.sum("n").alias("n"))
 
@@ -260,9 +265,10 @@ def frequent(docs: DataFrame, *, support: int = SUPPORT, shards: int = SHARDS, l
     """((lang, phrase, k, f): every phrase of 1 to ``longest`` words with f >= support; (lang, n): all words)."""
     sc = docs.sparkSession.sparkContext
     text, lang = F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    rows = docs.where(F.octet_length(text) > 0).select(
+    # rows and their shards are fixed by writing them once: a shard is every ``shards``-th partition
+    rows = written(docs.where(F.octet_length(text) > 0).select(
         text.alias("text"), lang.alias("lang"), F.xxhash64(lang).alias("salt"),
-        F.pmod(F.xxhash64(F.lit(29), "doc_id", text), F.lit(shards)).cast("int").alias("shard"))
+        F.pmod(F.spark_partition_id(), F.lit(shards)).cast("int").alias("shard")), "phrase-rows")
     totals = written(word_totals(rows.drop("salt")), "phrase-totals")
     words = totals.groupBy("lang").agg(F.sum("n").alias("n"))
     needs = (totals.join(words.withColumnRenamed("n", "all"), "lang")
@@ -271,10 +277,12 @@ def frequent(docs: DataFrame, *, support: int = SUPPORT, shards: int = SHARDS, l
     placed = rows.join(small(needs, needs.count()), ["lang", "shard"]).select("text", "salt", "shard", "need")
     sets = []
     for n in range(1, longest + 1):
-        union = written(mined(placed, n, sets).select("key").distinct(), "phrase-union")
+        union = written(mined(placed, n, sets, shards), "phrase-union")
         sets.append(sc.broadcast(places(union)))
     found = counted(rows.select("text", "lang", "salt"), sets, longest).where(F.col("f") >= support)
-    return written(found, "phrase-counts"), words
+    found = written(found, "phrase-counts")
+    discard(rows)
+    return found, words
 
 
 def collocations(docs: DataFrame, *, support: int = SUPPORT, shards: int = SHARDS, longest: int = LONGEST, top: int = TOP,
