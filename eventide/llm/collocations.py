@@ -40,7 +40,7 @@ LONGEST = 4
 TOP = 2000
 #: Bytes of text that are hashed at a time, and words whose phrases are counted together.
 SLICE = 1_000_000
-RUN_WORDS = 600_000
+RUN_WORDS = 800_000
 #: Rows of an Arrow batch that a task returns.
 BATCH_ROWS = 50_000
 #: Bits that stand for one length's candidates at most (16 MB).
@@ -84,7 +84,7 @@ def tokens(text: bytes, hashes: int = 1):
     word[1:-1] = kinds == 0
     edge = np.diff(word)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    pieces = np.searchsorted(np.flatnonzero(kinds == 2), starts)
+    pieces = np.cumsum(kinds == 2, dtype=np.int32)[starts].astype(np.int64)
     out = np.zeros((hashes, len(starts)), np.uint64)
     room = 1 << max(20, int(len(raw)).bit_length())
     for k in range(hashes):
@@ -211,7 +211,8 @@ def mined(rows: DataFrame, n: int, sets, shards: int) -> DataFrame:
             code = mix(key[at] ^ salt[at]) & ~low | of("shard", at).astype(np.uint64)
             code, first, c = np.unique(code, return_index=True, return_counts=True)
             yield from _batches({"code": code.view(np.int64), "need": of("need", at[first]), "n": c.astype(np.int64)})
-    return (rows.mapInArrow(count, "code long, need long, n long")
+    # dealt out before it is summed: most phrases of a task differ, and a second map of them would only cost memory
+    return (rows.mapInArrow(count, "code long, need long, n long").repartition("code")
             .groupBy("code").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
             .select(F.col("code").bitwiseAND(F.lit(int((~low).view(np.int64)))).alias("key")).distinct())
 
@@ -247,7 +248,7 @@ def counted(rows: DataFrame, sets, longest: int) -> DataFrame:
                     if k > 1 else [body[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
                 yield from _batches({"lang": pa.array(of("lang", first), pa.string()), "phrase": pa.array(phrase, pa.binary()).view(pa.string()),
                                      "k": np.full(len(first), k, np.int32), "f": np.diff(np.append(begin, len(at))).astype(np.int64)})
-    return (rows.mapInArrow(count, "lang string, phrase string, k int, f long")
+    return (rows.mapInArrow(count, "lang string, phrase string, k int, f long").repartition("lang", "phrase", "k")
             .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")))
 
 
