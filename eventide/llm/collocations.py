@@ -32,17 +32,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import discard, slices, small, written
+from eventide.llm.common import discard, partitions, slices, small, written
 
 SHARDS = 5
 SUPPORT = 30
 LONGEST = 4
 TOP = 2000
 #: Bytes of text that are hashed at a time, and words whose phrases are counted together.
-SLICE = 1_000_000
-RUN_WORDS = 800_000
+SLICE = 500_000
+RUN_WORDS = 500_000
 #: Rows of an Arrow batch that a task returns.
 BATCH_ROWS = 50_000
+#: Words whose phrases one task adds up.
+WORDS_PER_TASK = 400_000
 #: Bits that stand for one length's candidates at most (16 MB).
 MOST_BITS = 1 << 27
 
@@ -193,7 +195,7 @@ def _batches(columns: dict):
                                           for x in columns.values()], names=list(columns))
 
 
-def mined(rows: DataFrame, n: int, sets, shards: int) -> DataFrame:
+def mined(rows: DataFrame, n: int, sets, shards: int, tasks: int) -> DataFrame:
     """key: the phrases of ``n`` words that reach the support ``need`` of a shard in that shard.
 
     A task counts (phrase, shard) as one number, the hash with the shard in its lowest bits.
@@ -212,12 +214,12 @@ def mined(rows: DataFrame, n: int, sets, shards: int) -> DataFrame:
             code, first, c = np.unique(code, return_index=True, return_counts=True)
             yield from _batches({"code": code.view(np.int64), "need": of("need", at[first]), "n": c.astype(np.int64)})
     # dealt out before it is summed: most phrases of a task differ, and a second map of them would only cost memory
-    return (rows.mapInArrow(count, "code long, need long, n long").repartition("code")
+    return (rows.mapInArrow(count, "code long, need long, n long").repartition(tasks, "code")
             .groupBy("code").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
             .select(F.col("code").bitwiseAND(F.lit(int((~low).view(np.int64)))).alias("key")).distinct())
 
 
-def counted(rows: DataFrame, sets, longest: int) -> DataFrame:
+def counted(rows: DataFrame, sets, longest: int, tasks: int) -> DataFrame:
     """(lang, phrase, k, f): exact counts of all candidates of 1 to ``longest`` words."""
     def count(batches):
         import pyarrow as pa
@@ -248,7 +250,7 @@ def counted(rows: DataFrame, sets, longest: int) -> DataFrame:
                     if k > 1 else [body[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
                 yield from _batches({"lang": pa.array(of("lang", first), pa.string()), "phrase": pa.array(phrase, pa.binary()).view(pa.string()),
                                      "k": np.full(len(first), k, np.int32), "f": np.diff(np.append(begin, len(at))).astype(np.int64)})
-    return (rows.mapInArrow(count, "lang string, phrase string, k int, f long").repartition("lang", "phrase", "k")
+    return (rows.mapInArrow(count, "lang string, phrase string, k int, f long").repartition(tasks, "lang", "phrase", "k")
             .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")))
 
 
@@ -272,15 +274,16 @@ def frequent(docs: DataFrame, *, support: int = SUPPORT, shards: int = SHARDS, l
         F.pmod(F.spark_partition_id(), F.lit(shards)).cast("int").alias("shard")), "phrase-rows")
     totals = written(word_totals(rows.drop("salt")), "phrase-totals")
     words = totals.groupBy("lang").agg(F.sum("n").alias("n"))
+    tasks = max(partitions(docs.sparkSession), -(-(totals.agg(F.sum("n")).first()[0] or 0) // WORDS_PER_TASK))
     needs = (totals.join(words.withColumnRenamed("n", "all"), "lang")
              .select("lang", "shard", F.ceil(F.lit(support).cast("decimal(18,0)") * F.col("n") / F.col("all")).cast("long").alias("need")))
     needs = written(needs, "phrase-needs")  # the quotient is rounded before ceil, which never raises it
     placed = rows.join(small(needs, needs.count()), ["lang", "shard"]).select("text", "salt", "shard", "need")
     sets = []
     for n in range(1, longest + 1):
-        union = written(mined(placed, n, sets, shards), "phrase-union")
+        union = written(mined(placed, n, sets, shards, tasks), "phrase-union")
         sets.append(sc.broadcast(places(union)))
-    found = counted(rows.select("text", "lang", "salt"), sets, longest).where(F.col("f") >= support)
+    found = counted(rows.select("text", "lang", "salt"), sets, longest, tasks).where(F.col("f") >= support)
     found = written(found, "phrase-counts")
     discard(rows)
     return found, words

@@ -1,21 +1,24 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame functions only.
 
-A text's paragraphs are hashed to 64-bit digests (48 bits of hash, 16 bits that check them).  A
-sketch is a row of cells in blocks of three sub-tables; the digest's top bits choose the block,
-and inside it one cell of each sub-table.  A cell keeps the number of its digests and their XOR.
-Two sketches subtract cell by cell, digests that both texts hold cancel, and peeling recovers the
-rest: a cell with one digest gives it away, the digest is removed from its other cells, and so on.
-Where a block does not peel to nothing, it is built again with four times the cells and another
-hash, until it does.  Blocks are independent and hold a few digests each, so the work is linear in
-the paragraphs.
-
-``likeness`` is the Jaccard similarity of the two texts' paragraph sets that the recovered
-differences give.
-
-Paragraphs: texts are cut at line breaks and at ends of sentences; where 80 characters had neither,
-before words with some first letters; where 240 had none of these, at every blank; and in 40
-characters without a blank, after some characters (not inside a run of one repeated character).
-All are rules of the nearby content, so both versions of a text are cut alike.
+A text's paragraphs are hashed to 63-bit digests (47 bits of hash, 16 bits that check them).  A text of
+n digests is sketched in 2**r blocks, the least power of two that is n / ``PER_BLOCK`` or more; the digest's
+top bits choose the block.  A block has three sub-tables of ``SIZES[0]`` cells and a digest stands in one cell
+of each; a cell keeps the number of its digests and their XOR.  Only filled cells are kept: they are the
+fingerprint.
+
+Two fingerprints are compared cell by cell.  The finer one is folded first: 2**d neighbouring blocks become
+one by adding their cells, since a coarser sketch uses fewer top bits and the same cells.  Subtracted, the
+digests that both texts hold cancel, and peeling recovers the rest: a cell with one digest gives it away,
+the digest is removed from its other cells, and so on.  A block that does not peel to nothing is
+sketched again with the next larger ``SIZES``; where the largest fails too (digests that share all cells), or
+where a text many times as long as the other leaves more than ``MOST`` digests in a folded block, the block's
+digests are compared as sets, so the work stays linear.
+
+``likeness`` is the Jaccard similarity of the two texts' paragraph sets that the recovered differences give.
+
+Paragraphs: texts are cut at line breaks.  Parts longer than ``LONG`` characters are cut on: at ends of
+sentences; what is still longer, before words with some first letters, then with more of them; then at every blank; then, without blanks, after some characters (not inside a run of one
+repeated character).  All are rules of the part alone, so both versions of a text are cut alike, in linear time.
 
 Defined cases
 * null or empty text: no paragraphs; its fingerprint is ``0:``; two empty sets have likeness 1;
@@ -23,50 +26,53 @@ Defined cases
 * ties and repeated rows: rows in descending doc_id (null last), then by hash of the text; the
   next of repeated rows is the repeated row;
 * repeated paragraphs count once; empty table: empty result; a single row is its own next;
-* a block that no size peels (not seen; chance below 1e-9) counts all its digests as different;
+* many rows with one doc_id, or with none, are dealt out by the hash of their text;
 * extra columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.llm.common import free_name, written
 
-#: Word beginnings, and characters of scripts that write without blanks, that cut a long run.
-_BEGINS = "b-dB-D0-2" + "".join(f"{chr(c)}-{chr(c + 2)}" for c in range(0xC0, 0xE00, 16))
+#: Word beginnings that cut a long part, some letters of several scripts, then more of them.
+_SOME = "b-dB-D0-2À-Ãà-ãα-γб-дБ-Дא-גا-ت"
+_MORE = "e-mE-M3-6É-Ïé-ïδ-λе-лЕ-Лד-טث-ش"
+#: Characters of scripts that write without blanks, that end a part.
 _ENDS = "".join(f"{chr(c)}-{chr(c + 31)}" for c in range(0xE00, 0xD800, 256))
-#: In Java's and Python's regex alike: line breaks; blanks after a sentence end; where none came for
-#: 80 characters, blanks before some words; where none of these came for 240, all blanks; in 40
-#: characters without a blank, after some characters.
-BREAK = "|".join([
-    r"[\r\n]+", r"(?<=[.!?…\U00010000-\U0010FFFF])[ \t]+", r"(?<=[.!?…][\"'”’»)\]])[ \t]+", "(?<=[。！？])",
-    rf"(?<=[^ \t])[ \t]+(?=[{_BEGINS}])(?<=[^.!?…\r\n]{{80}})",
-    rf"(?<=[^ \t])[ \t]+(?<=(?:(?![ \t][{_BEGINS}])[^.!?…\r\n]){{240}})",
-    rf"(?<=[a-dA-D0-2])(?=[k-nK-N7-9])(?<=[^ \t\r\n]{{40}})",
-    rf"(?<=[\u0E00-\uD7FF])(?<=[{_ENDS}])(?![{_ENDS}])(?<=[^ \t\r\n。！？]{{40}})"]).replace(
-        r"\U00010000-\U0010FFFF", "\U00010000-\U0010FFFF").replace(r"\u0E00-\uD7FF", "\u0E00-\uD7FF")
-#: Digests that a block should hold in the mean, of both texts together.
-PER_BLOCK = 4
-#: Cells of one of a block's three sub-tables, first try and retries.
-SIZES = (4, 16, 64, 256)
-#: Peeling rounds in a block of the first size; larger tables need fewer for the same digests.
-ROUNDS = 6
+#: Cuts, alike in Java's and Python's regex: all texts by the first, parts longer than LONG characters by the next, and so on.
+CUTS = (r"[\r\n]+", r"[.!?…][\"'”’»)\]]?[ \t]+|[。！？]", rf"[ \t]+(?=[{_SOME}])", rf"[ \t]+(?=[{_MORE}])", r"[ \t]+",
+        rf"(?<=[a-dA-D0-2])(?=[k-nK-N7-9])|(?<=[{_ENDS}])(?![{_ENDS}])")
+LONG = 240
+#: Digests that a block holds at most in the mean.
+PER_BLOCK = 3
+#: Cells of one of a block's three sub-tables, powers of two: the fingerprint's, and those of retries.
+SIZES = (8, 64)
+#: Digests of both texts that a block holds at most to be peeled.
+MOST = 24
+#: Peeling rounds; a table that needs more is tried in the next size.
+ROUNDS = 8
 #: Ranges of doc_id that documents are dealt to, to look up the next one.
 ROWS_PER_RANGE = 5_000
 MAX_RANGES = 4096
 
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, trimmed and not empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), CUTS[0])
+    finer = lambda cut: lambda p: F.when(F.length(p) > LONG, F.split(p, cut)).otherwise(F.array(p))
+    for cut in CUTS[1:]:
+        parts = F.flatten(F.transform(parts, finer(cut)))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
 def digests(text: Column) -> Column:
-    """Distinct paragraph digests of a text: 48 bits of hash, then 16 bits that check them."""
+    """Distinct paragraph digests of a text, ascending: 47 bits of hash, then 16 bits that check them."""
     def digest(p):
-        h = F.shiftrightunsigned(F.xxhash64(p), 16)
-        return F.shiftleft(h, 16).bitwiseOR(_check(h))
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), lambda p: F.trim(p)), lambda p: p != "")
-    return F.array_sort(F.array_distinct(F.transform(parts, digest)))
+        return _let(F.shiftrightunsigned(F.xxhash64(p), 17), lambda h: F.shiftleft(h, 16).bitwiseOR(_check(h)))
+    return F.array_sort(F.array_distinct(F.transform(paragraphs(text), digest)))
 
 
 def _check(h: Column) -> Column:
@@ -77,108 +83,138 @@ def _sound(key: Column) -> Column:
     return key.bitwiseAND(F.lit(0xFFFF).cast("long")) == _check(F.shiftrightunsigned(key, 16))
 
 
-def _block(key: Column, n_blocks: Column) -> Column:
-    return F.pmod(F.shiftrightunsigned(key, 20), n_blocks)
-
-
-def _cell(key: Column, table: int, size: int) -> Column:
-    """Place in sub-table 0, 1 or 2 (other bits of one hash; another hash for another size)."""
-    return table * size + F.pmod(F.shiftrightunsigned(F.xxhash64(key, F.lit(size)), 20 * table), F.lit(size))
-
-
-def _hits(key: Column, cell: Column, size: int) -> Column:
-    return ((cell == _cell(key, 0, size)) | (cell == _cell(key, 1, size)) | (cell == _cell(key, 2, size)))
-
-
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def blocks_for(n: Column) -> Column:
-    return F.greatest(F.lit(1).cast("long"), F.ceil(n / PER_BLOCK).cast("long"))
+def _top(key: Column, bits: Column) -> Column:
+    """The top ``bits`` of a digest's 63."""
+    return F.call_function("shiftright", key, F.lit(63) - bits)
+
 
+def _power(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), bits)
 
-def blocks(n_blocks: Column, **keys: Column) -> Column:
-    """Digests dealt to blocks: an array of structs of digest arrays."""
-    return F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda b: F.struct(*[
-        F.filter(k, lambda x: _block(x, n_blocks) == b).alias(name) for name, k in keys.items()]))
 
+def rung(n: Column) -> Column:
+    """log2 of the number of blocks for ``n`` digests."""
+    return F.when(n <= PER_BLOCK, F.lit(0)).otherwise(F.ceil(F.log2(n / F.lit(float(PER_BLOCK)))).cast("int"))
 
-def cells(keys: Column, size: int) -> Column:
-    """One block's cells (n, x): how many of ``keys`` fall on each, and their XOR."""
-    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), *[_cell(k, t, size).cast("int").alias(f"c{t}") for t in range(3)]))
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"))
-    return _let(placed, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)), lambda i: F.aggregate(
-        F.filter(all_, lambda p: (p.c0 == i) | (p.c1 == i) | (p.c2 == i)), empty,
-        lambda acc, p: F.struct((acc.n + 1).alias("n"), acc.x.bitwiseXOR(p.k).alias("x")))))
 
+def _places(key: Column, size: int) -> Column:
+    """A digest's cells, one in each of three sub-tables (another hash for another size)."""
+    return _let(F.xxhash64(key, F.lit(size)), lambda h: F.array(*[
+        (F.shiftrightunsigned(h, 20 * t).bitwiseAND(F.lit(size - 1).cast("long")) + t * size).cast("int") for t in range(3)]))
 
-def _printed(n: Column, sketch: Column) -> Column:
-    """A sketch as text: the number of paragraphs, then every cell as count.xor in hexadecimal."""
-    body = F.transform(F.flatten(sketch), lambda c: F.when(c.n == 0, F.lit("")).otherwise(
-        F.concat(c.n.cast("string"), F.lit("."), F.hex(c.x))))
-    return F.concat(n.cast("string"), F.lit(":"), F.when(n > 0, F.array_join(body, ",")).otherwise(F.lit("")))
 
+def _entries(keys: Column, size: int, n: int = 1) -> Column:
+    """One entry (c, n, x) for each digest and each of its cells."""
+    return F.flatten(F.transform(keys, lambda k: F.transform(_places(k, size), lambda c: F.struct(c.alias("c"), F.lit(n).alias("n"), k.alias("x")))))
 
-def _peel(left: Column, right: Column, size: int) -> Column:
-    """Subtract two blocks' cells and peel: (cells left over, digests only left, only right)."""
-    start = F.zip_with(cells(left, size), cells(right, size),
-                       lambda x, y: F.struct((x.n - y.n).alias("n"), x.x.bitwiseXOR(y.x).alias("x")))
 
-    def without(c, i, pure):
-        return F.aggregate(F.filter(pure, lambda p: _hits(p.x, i, size)), c,
-                           lambda acc, p: F.struct((acc.n - p.n).alias("n"), acc.x.bitwiseXOR(p.x).alias("x")))
+def _added(entries: Column) -> Column:
+    """Entries (c, n, x) of one cell added up; cells that come to nothing are left out."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"))
+    cells = F.transform(F.array_distinct(F.transform(entries, lambda e: e.c)), lambda c: _let(F.aggregate(
+        F.filter(entries, lambda e: e.c == c), none,
+        lambda acc, e: F.struct((acc.n + e.n).alias("n"), acc.x.bitwiseXOR(e.x).alias("x"))),
+        lambda s: F.struct(c.alias("c"), s.n.alias("n"), s.x.alias("x"))))
+    return F.filter(cells, lambda z: (z.n != 0) | (z.x != 0))
 
-    def step(s, _):
-        pure = F.array_distinct(F.filter(s.cells, lambda c: (F.abs(c.n) == 1) & _sound(c.x)))
-        return _let(pure, lambda pu: F.when(F.size(pu) == 0, s).otherwise(F.struct(
-            F.transform(s.cells, lambda c, i: without(c, i, pu)).alias("cells"),
-            (s.left + F.size(F.filter(pu, lambda p: p.n == 1))).alias("left"),
-            (s.right + F.size(F.filter(pu, lambda p: p.n == -1))).alias("right"))))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)),
-                       F.struct(start.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right")), step)
+
+def sketch(keys: Column) -> Column:
+    """The blocks of ascending digests: arrays of filled cells (c, n, x) by cell.
+
+    Blocks are filled in two steps, by half of the top bits and then by the rest, so a digest is looked at
+    about 2 * sqrt(blocks) times.
+    """
+    upto = lambda bits: F.sequence(F.lit(0), _power(bits) - 1)
+
+    def filled(bits):  # both numbers of bits are computed once, not in every lambda
+        r, s = bits[0], bits[1]
+        coarse = F.transform(upto(s), lambda i: F.filter(keys, lambda k: _top(k, s) == i))
+        return F.flatten(F.transform(coarse, lambda part: F.transform(upto(r - s), lambda j: F.filter(
+            part, lambda k: F.pmod(_top(k, r), _power(r - s)) == j))))
+    blocks = _let(_let(rung(F.size(keys)), lambda r: F.array(r, (r / 2).cast("int"))), filled)
+    return F.transform(blocks, lambda block: _let(_entries(block, SIZES[0]), lambda e: F.array_sort(_added(e))))
+
+
+def printed(n: Column, blocks: Column) -> Column:
+    """A sketch as text: the number of paragraphs, then every block's cells as cell.count.xor in hexadecimal."""
+    body = F.transform(blocks, lambda b: F.array_join(F.transform(b, lambda z: F.concat_ws(
+        ".", z.c.cast("string"), z.n.cast("string"), F.hex(z.x))), ","))
+    return F.concat(n.cast("string"), F.lit(":"), F.array_join(body, ";"))
+
+
+def peeled(cells: Column, size: int) -> Column:
+    """(cells left over, digests only left, only right) of subtracted cells."""
+    def step(state, _):
+        pure = F.array_distinct(F.transform(F.filter(state.cells, lambda z: (F.abs(z.n) == 1) & _sound(z.x)),
+                                            lambda z: F.struct(z.n.alias("n"), z.x.alias("x"))))
+        pure = F.transform(pure, lambda k: F.struct(k.n.alias("n"), k.x.alias("x"), _places(k.x, size).alias("at")))
+        return F.when(F.size(state.cells) == 0, state).otherwise(_let(pure, lambda keys: F.when(F.size(keys) == 0, state).otherwise(F.struct(
+            F.filter(F.transform(state.cells, lambda z: F.aggregate(
+                F.filter(keys, lambda k: F.array_contains(k["at"], z.c)), z, lambda acc, k: F.struct(
+                    acc.c.alias("c"), (acc.n - k.n).alias("n"), acc.x.bitwiseXOR(k.x).alias("x")))),
+                lambda z: (z.n != 0) | (z.x != 0)).alias("cells"),
+            (state.left + F.size(F.filter(keys, lambda k: k.n == 1))).alias("left"),
+            (state.right + F.size(F.filter(keys, lambda k: k.n == -1))).alias("right")))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right")), step)
 
 
 def likeness(df: DataFrame, out: str, a: str, b: str) -> DataFrame:
-    """``df`` plus ``out``: Jaccard similarity of the digest arrays ``a`` and ``b`` from their
-    subtracted, peeled sketches; blocks that do not peel are tried again with larger tables.
+    """``df`` plus ``out``: Jaccard similarity of two texts from their fingerprints.
 
-    One step per table size; ``explode`` of a one-element array keeps a step's result from being
-    computed again wherever the next one reads it.
+    ``a`` and ``b`` name digest arrays, read only where a block is tried again; their sketches are the columns of
+    these names with ``_sketch`` added.  ``explode`` of a one-element array keeps a step's result from being
+    computed again wherever the next reads it.
     """
     col = free_name(df, f"{out}_blocks")
-    dealt = blocks(blocks_for(F.size(a) + F.size(b)), a=F.col(a), b=F.col(b))
-    # (a, b, left, right, done); a block with nothing on one side needs no peeling
-    first = F.transform(dealt, lambda z: F.struct(z.a.alias("a"), z.b.alias("b"), F.size(z.a).alias("left"), F.size(z.b).alias("right"),
-                                                  ((F.size(z.a) == 0) | (F.size(z.b) == 0)).alias("done")))
-    df = df.select("*", F.explode(F.array(first)).alias(col))
-    keep = [F.col(f"`{c}`") for c in df.columns if c != col]
-    for size in SIZES:
-        tried = F.transform(col, lambda z: F.struct(z.alias("z"), F.when(~z.done, _peel(z.a, z.b, size)).alias("s")))
-        df = df.select(*keep, F.explode(F.array(tried)).alias(col))
-        whole = F.transform(col, lambda t: F.struct(t.z.alias("z"), t.s.alias("s"), F.coalesce(
-            F.forall(t.s.cells, lambda c: (c.n == 0) & (c.x == 0)), F.lit(False)).alias("ok")))
-        df = df.select(*keep, whole.alias(col))
-        df = df.select(*keep, F.transform(col, lambda t: F.struct(
-            t.z.a.alias("a"), t.z.b.alias("b"), F.when(t.ok, t.s.left).otherwise(t.z.left).alias("left"),
-            F.when(t.ok, t.s.right).otherwise(t.z.right).alias("right"), (t.z.done | t.ok).alias("done"))).alias(col))
-    sums = F.aggregate(col, F.struct(F.lit(0).alias("left"), F.lit(0).alias("right")),
-                       lambda s, r: F.struct((s.left + r.left).alias("left"), (s.right + r.right).alias("right")))
-    df = df.select(*keep, sums.alias(col))
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    bits = free_name(df, f"{out}_bits")
+    common = F.col(bits)
+    once = lambda df, value: df.select(*keep, common, F.explode(F.array(value)).alias(col))
+
+    def folded(name, j):  # the cells of the blocks that make the coarser block j
+        return _let(F.call_function("shiftright", F.size(f"{name}_sketch"), common), lambda width: F.flatten(
+            F.slice(f"{name}_sketch", (j * width + 1).cast("int"), width)))
+
+    def block(name, j):  # a block's digests
+        return F.filter(name, lambda k: _top(k, common) == j)
+    minus = lambda z: F.struct(z.c.alias("c"), (-z.n).alias("n"), z.x.alias("x"))
+    df = df.select(*keep, F.explode(F.array(F.least(rung(F.size(a)), rung(F.size(b))))).alias(bits))
+    df = once(df, F.transform(F.sequence(F.lit(0), _power(common) - 1), lambda j: _let(
+        F.concat(folded(a, j), F.transform(folded(b, j), minus)), lambda e: F.struct(j.alias("j"), F.when(F.size(e) > 3 * MOST, F.struct(
+            e.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right"))).otherwise(peeled(_added(e), SIZES[0])).alias("s")))))
+
+    def again(size):  # blocks that are not at nothing yet, in a larger table
+        return lambda z: F.struct(z.j.alias("j"), F.when(
+            (F.size(z.s.cells) == 0) | (F.size(z.s.cells) > 3 * MOST), z.s).otherwise(peeled(_let(
+            F.concat(_entries(block(a, z.j), size), _entries(block(b, z.j), size, -1)), _added), size)).alias("s"))
+    for size in SIZES[1:]:
+        df = once(df, F.transform(col, again(size)))
+    whole = F.transform(col, lambda z: F.when(F.size(z.s.cells) == 0, F.struct(z.s.left.alias("left"), z.s.right.alias("right"))).otherwise(F.struct(
+        F.size(F.array_except(block(a, z.j), block(b, z.j))).alias("left"), F.size(F.array_except(block(b, z.j), block(a, z.j))).alias("right"))))
+    df = once(df, F.aggregate(whole, F.struct(F.lit(0).alias("left"), F.lit(0).alias("right")), lambda acc, z: F.struct(
+        (acc.left + z.left).alias("left"), (acc.right + z.right).alias("right"))))
     union = F.size(a) + F.col(col).right
     return df.select(*keep, F.when(union == 0, 1.0).otherwise((F.size(a) - F.col(col).left) / union).alias(out))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, keys, next_text, next_keys): every row with the next in descending doc_id.
+    """(doc_id, text, keys, next_text, next_keys): every row and its digests with the next in descending doc_id.
 
     Rows are dealt to ranges of doc_id (bounds by approximate quantiles of the ids alone), so the
     texts are shuffled once; a range's last row takes its next from the following range's first.
     """
-    n_ranges = min(MAX_RANGES, max(1, docs.count() // ROWS_PER_RANGE))
+    n_rows, n_ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    n_ranges = min(MAX_RANGES, max(1, n_ids // ROWS_PER_RANGE))
+    n_null = min(MAX_RANGES, max(1, (n_rows - n_ids) // ROWS_PER_RANGE))
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = sorted({int(b) for b in docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", probs, 0.1 / n_ranges)} if probs else set())
+    drawn = [int(b) for b in docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", probs, 0.1 / n_ranges)] if probs else []
+    bounds = sorted(set(drawn))
+    hot = {b: drawn.count(b) for b in bounds if drawn.count(b) > 1}  # ids that fill several ranges
     steps = len(bounds).bit_length()
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
     if table is None:
@@ -188,41 +224,49 @@ def with_next(docs: DataFrame) -> DataFrame:
             mid = lo + F.pow(F.lit(2), k - 1).cast("int")
             return F.when((mid <= len(bounds)) & (F.try_element_at(table, mid) <= F.col("doc_id")), mid).otherwise(lo)
         spot = F.aggregate(F.sequence(F.lit(steps), F.lit(1), F.lit(-1)), F.lit(0), halve)
-    place = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - spot).cast("int")  # 0: the largest ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("*", place.alias("place"), F.xxhash64("text").alias("tie"))
+    rows = rows.select("*", F.xxhash64("text").alias("tie"), digests(F.col("text")).alias("keys"))
+    # 0: the largest ids; inside one id, and where there is none, in the order of the text's hash
+    share = lambda parts: F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts).cast("int")
+    inside = F.lit(0)
+    for b, m in hot.items():
+        inside = F.when(F.col("doc_id") == b, F.least(share(m), F.lit(m - 1))).otherwise(inside)
+    width = 1 + max(hot.values(), default=1)
+    place = F.when(F.col("doc_id").isNull(), (len(bounds) + 1) * width + F.least(share(n_null), F.lit(n_null - 1))) \
+        .otherwise((len(bounds) - spot) * width + F.when(F.col("doc_id").isin(list(hot)), inside + 0).otherwise(0))
+    # the other ids of a hot id's range are larger than it, so they come first
+    if hot:
+        place = F.when(F.col("doc_id").isin(list(hot)), place + 1).otherwise(place)
+    rows = rows.withColumn("place", place.cast("int"))
     order = [F.desc_nulls_last("doc_id"), F.col("tie")]
     firsts = rows.groupBy("place").agg(F.min_by(F.struct("doc_id", "tie"), F.struct(
         F.col("doc_id").isNull(), -F.coalesce("doc_id", F.lit(0)), "tie")).alias("f")).select("place", "f.doc_id", "f.tie")
-    places = [r for r in firsts.orderBy("place").collect()]  # at most MAX_RANGES + 1 rows of numbers
+    places = [r for r in firsts.orderBy("place").collect()]  # at most 3 * MAX_RANGES rows of numbers
     after = {p.place: places[(i + 1) % len(places)] for i, p in enumerate(places)}
     if not after:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.select("doc_id", "text", "keys", F.col("text").alias("next_text"), F.col("keys").alias("next_keys"))
     first_rows = firsts.join(rows.withColumnsRenamed({"place": "p", "doc_id": "d", "tie": "t"}),
                              (F.col("place") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
     back = F.create_map(*[x for place_, nxt in after.items() for x in (F.lit(nxt.place), F.lit(place_))])
     first_rows = written(first_rows.dropDuplicates(["place"]).select(F.element_at(back, F.col("place")).alias("place"),
-                                                                     F.col("text").alias("first_text")), "fp-firsts")
+                                                                     F.col("text").alias("first_text"), F.col("keys").alias("first_keys")), "fp-firsts")
     w = Window.partitionBy("place").orderBy(*order)
-    led = rows.withColumn("next_text", F.lead("text").over(w))
+    led = rows.withColumns({"next_text": F.lead("text").over(w), "next_keys": F.lead("keys").over(w)})
     return (led.join(first_rows, "place", "left")
-            .select("doc_id", "text", F.coalesce("next_text", "first_text").alias("next_text")))
+            .select("doc_id", "text", "keys", F.coalesce("next_text", "first_text").alias("next_text"),
+                    F.coalesce("next_keys", "first_keys").alias("next_keys")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     pairs = with_next(docs).select(
-        "doc_id", n.cast("long").alias("n_chars"), "text", "next_text",
+        "doc_id", n.cast("long").alias("n_chars"), F.col("keys").alias("a"), F.col("next_keys").alias("b"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    # explode keeps the digests from being computed again in every lambda that reads them
-    keyed = pairs.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-                         F.explode(F.array(F.struct(digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"),
-                                                    digests(F.col("next_text")).alias("b")))).alias("k"))
-    keyed = keyed.select("doc_id", "n_chars", "edited_sha256", "k.a", "k.e", "k.b")
-    for name, k in (("fingerprint", "a"), ("edited_fingerprint", "e")):
-        dealt = blocks(blocks_for(F.size(k)), k=F.col(k))
-        keyed = keyed.select("*", F.transform(dealt, lambda z: cells(z.k, SIZES[0])).alias(name))
-        keyed = keyed.withColumn(name, _printed(F.size(k), F.col(name)))
+    once = lambda df, value, name: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  (computed once, see likeness)
+    keyed = once(pairs, digests(F.col("edited")), "e").withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).drop("edited")
+    for k in "aeb":
+        keyed = once(keyed, sketch(F.col(k)), f"{k}_sketch")
     near = likeness(likeness(keyed, "near_edited", "a", "e"), "near_next", "a", "b")
-    return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return near.select("doc_id", "n_chars", "edited_sha256", printed(F.size("a"), F.col("a_sketch")).alias("fingerprint"),
+                       printed(F.size("e"), F.col("e_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -135,17 +135,18 @@ def op12(spark, sf_dir):
     words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
     totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
     places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
-    phrases AS (SELECT lang, w[i:i + k - 1] AS p FROM places, (VALUES (1), (2), (3), (4)) s(k) WHERE i + k - 1 <= len(w)),
-    f AS (SELECT lang, p, count(*) AS f FROM phrases GROUP BY lang, p HAVING count(*) >= 30),
-    cuts AS (SELECT lang, p, f AS a, k FROM f, (VALUES (1), (2), (3)) s(k) WHERE k < len(p)),
-    scored AS (SELECT c.lang, c.p, c.a, c.k, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
-               FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1:len(c.p)]
-               QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, c.k) = 1),
-    subs AS (SELECT lang, f, p, m, unnest(range(1, len(p) - m + 2)) AS i FROM f, (VALUES (2), (3)) s(m) WHERE m < len(p)),
-    covers AS (SELECT lang, p[i:i + m - 1] AS p, max(f) AS cover FROM subs GROUP BY 1, 2),
+    phrases AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM places, (VALUES (1), (2), (3), (4)) s(k) WHERE i + k - 1 <= len(w)),
+    f AS (SELECT lang, k, p, string_split(p, ' ') AS w, f FROM (SELECT lang, k, p, count(*) AS f FROM phrases GROUP BY lang, k, p HAVING count(*) >= 30)),
+    cuts AS (SELECT lang, p, f AS a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS tail
+             FROM f, (VALUES (1), (2), (3)) s(c) WHERE c < k),
+    scored AS (SELECT c.lang, c.p, c.a, c.c, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+               FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.head JOIN f r ON r.lang = c.lang AND r.p = c.tail
+               QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, c.c) = 1),
+    subs AS (SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS i FROM f, (VALUES (2), (3)) s(m) WHERE m < k),
+    covers AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS p, max(f) AS cover FROM subs GROUP BY 1, 2),
     kept AS (SELECT s.* FROM scored s LEFT JOIN covers c ON c.lang = s.lang AND c.p = s.p WHERE cover IS NULL OR 100 * cover < 80 * a),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
-    SELECT lang, rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
+    SELECT lang, rank, p AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
 def op13(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
