@@ -343,7 +343,7 @@ def cox_fit(df: DataFrame, time: str, event: str, features: Sequence[str], penal
         cov_s = np.linalg.pinv(H)
     coef = beta / scales
     cov = cov_s / np.outer(scales, scales)
-    model = CoxModel(feats, coef, means, cov, ll, ll_null, n, events, it, ties, penalizer, l1_ratio,
+    model = CoxModel(feats, coef, means, cov, float(ll), float(ll_null), n, events, it, ties, penalizer, l1_ratio,
                      offset=offset)
     model.baseline = _breslow_baseline(X, p, beta, two_level, bool(offset))
     if with_concordance:

@@ -153,7 +153,7 @@ def cox_fit_grouped(df: DataFrame, group: str, time: str, event: str, features,
             cov_s = np.linalg.inv(info + ph)
         except np.linalg.LinAlgError:
             continue
-        m = CoxModel(feats, betas[k] / scales, means, cov_s / np.outer(scales, scales), ll, ll0[k], n, ev,
+        m = CoxModel(feats, betas[k] / scales, means, cov_s / np.outer(scales, scales), float(ll), float(ll0[k]), n, ev,
                      iters[k], ties, penalizer, 0.0)
         models[k] = m
     _attach_baselines(X, p, {k: betas[k] for k in models}, models, two_level)

@@ -95,7 +95,7 @@ def bayes_predict_q(spark, sf_dir):
 def rsf_fit_q(spark, sf_dir):
     from eventide.operators.forest import rsf_fit
     data, feats = cox_data(spark, sf_dir)
-    m = rsf_fit(data, "t", "e", feats, "id", n_estimators=20, max_depth=4, min_samples_leaf=5)
+    m = rsf_fit(data, "t", "e", feats, "id", min_samples_leaf=5)
     return m.score(data, ["id"])
 
 
@@ -103,12 +103,12 @@ def rsf_fit_q(spark, sf_dir):
 def rsf_importance_q(spark, sf_dir):
     from eventide.operators.forest import rsf_fit
     data, feats = cox_data(spark, sf_dir)
-    return rsf_fit(data, "t", "e", feats, "id", n_estimators=10, max_depth=3).importance(spark)
+    return rsf_fit(data, "t", "e", feats, "id", min_samples_leaf=5).importance(spark)
 
 
 @register("rsf_survival")
 def rsf_survival_q(spark, sf_dir):
     from eventide.operators.forest import rsf_fit
     data, feats = cox_data(spark, sf_dir)
-    m = rsf_fit(data, "t", "e", feats, "id", n_estimators=10, max_depth=3)
+    m = rsf_fit(data, "t", "e", feats, "id", min_samples_leaf=5)
     return m.predict_survival(data, HZ, ["id"])
