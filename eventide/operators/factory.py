@@ -22,7 +22,7 @@ KINDS = ("kaplan_meier", "cox_ph", "aft", "aalen_additive", "frailty", "gradient
          "random_survival_forest", "deepsurv", "neural", "neural_discrete", "bayesian", "competing_risks", "multi_state")
 
 
-#: Event times at which forests, additive and Bayesian models look for a median (a parameter:
+#: Event times at which forests, Bayesian and competing-risks models look for a median (a parameter:
 #: ``median_points``); all of them where there are no more, else their even quantiles.
 MEDIAN_POINTS = 200
 
@@ -54,7 +54,7 @@ class SurvivalEstimator:
         self.features, self.id_col, self.time, self.event = list(features), id_col, time, event
         p = dict(self.params)
         n_points = int(p.pop("median_points", MEDIAN_POINTS))
-        if self.kind in ("random_survival_forest", "bayesian", "aalen_additive", "competing_risks"):
+        if self.kind in ("random_survival_forest", "bayesian", "competing_risks"):
             self._median_times = event_time_points(df, time, event, n_points)
         k = self.kind
         if k == "kaplan_meier":
@@ -209,6 +209,9 @@ class SurvivalEstimator:
             from eventide.operators.cox import median_from_baseline
             base = m.cox.baseline if k == "frailty" else m.baseline
             return median_from_baseline(base, self.predict_risk(df, [key]), key)
+        if k == "aalen_additive":
+            from eventide.operators.additive import additive_risk
+            return additive_risk(m, df, [key], never=math.inf).select(key, "median_time")
         if k == "neural":  # Weibull: S(t) = exp(-(t / e^f)^k)
             return m.score(df, [key]).select(key, (F.exp("f") * math.log(2.0) ** math.exp(-m.log_shape)).alias("median_time"))
         s = self.predict_survival(df, self._median_times, [key])
