@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import slices
+from eventide.llm.common import slices, small, written
 
 #: Longest context in bytes.
 ORDER = 4
@@ -142,11 +142,13 @@ def sampled(docs: DataFrame, sample: int, seed: int) -> DataFrame:
             .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~held_out(F.col("doc_id"))))
     # a hash threshold leaves about twice the sample, so no window ever gets a whole language
     ids = rows.select("lang", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
-    shares = ids.groupBy("lang").agg(F.count("*").alias("rows"))
-    drawn = ids.join(shares, "lang").where(
+    shares = written(ids.groupBy("lang").agg(F.count("*").alias("rows")), "lang-shares")
+    drawn = ids.join(small(shares, shares.count()), "lang").where(
         (F.col("rows") <= 2 * sample) | (F.pmod("draw", F.lit(1 << 30)) < F.lit(float(2 * sample << 30)) / F.col("rows"))).drop("rows")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = drawn.distinct().withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "doc_id")
+    chosen = written(chosen, "lang-sample")
+    chosen = small(chosen, chosen.count())
     # repeated rows of one id: one of them
     return (rows.join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text"))
 
