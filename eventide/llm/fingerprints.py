@@ -1,21 +1,23 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame functions only.
+"""Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
 A text's paragraphs are hashed to 63-bit digests (47 bits of hash, 16 bits that check them).  A text of
 n digests is sketched in 2**r blocks, the least power of two that is n / ``PER_BLOCK`` or more; the digest's
-top bits choose the block.  A block has three sub-tables of ``SIZES[0]`` cells and a digest stands in one cell
+top bits choose the block.  A block has three sub-tables of ``CELLS`` cells and a digest stands in one cell
 of each; a cell keeps the number of its digests and their XOR.  Only filled cells are kept: they are the
 fingerprint.
 
 Two fingerprints are compared cell by cell.  The finer one is folded first: 2**d neighbouring blocks become
 one by adding their cells, since a coarser sketch uses fewer top bits and the same cells.  Subtracted, the
 digests that both texts hold cancel, and peeling recovers the rest: a cell with one digest gives it away,
-the digest is removed from its other cells, and so on.  A block that does not peel to nothing is
-sketched again with the next larger ``SIZES``; where the largest fails too (digests that share all cells), or
-where a text many times as long as the other leaves more than ``MOST`` digests in a folded block, the block's
-digests are compared as sets, so the work stays linear.
+the digest is removed from its other cells, and so on.  A block that does not peel to nothing is sketched
+again from its digests in a table of twice the cells, then twice again, until it peels.  Only digests that
+share all cells even in tables of ``AMPLE`` cells each are compared as sets.
 
 ``likeness`` is the Jaccard similarity of the two texts' paragraph sets that the recovered differences give.
 
+Spark deals the rows to ranges of doc_id and finds each row's next; cutting, sketching and peeling are small
+helpers on one or two texts, linear in their length, inside ``mapInArrow``.
+
 Paragraphs: texts are cut at line breaks.  Parts longer than ``LONG`` characters are cut on: at ends of
 sentences; what is still longer, before words with some first letters, then with more of them; then at every blank; then, without blanks, after some characters (not inside a run of one
 repeated character).  All are rules of the part alone, so both versions of a text are cut alike, in linear time.
@@ -32,178 +34,170 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import free_name, written
+from eventide.llm.common import slices, texts, written
 
 #: Word beginnings that cut a long part, some letters of several scripts, then more of them.
 _SOME = "b-dB-D0-2À-Ãà-ãα-γб-дБ-Дא-גا-ت"
 _MORE = "e-mE-M3-6É-Ïé-ïδ-λе-лЕ-Лד-טث-ش"
 #: Characters of scripts that write without blanks, that end a part.
 _ENDS = "".join(f"{chr(c)}-{chr(c + 31)}" for c in range(0xE00, 0xD800, 256))
-#: Cuts, alike in Java's and Python's regex: all texts by the first, parts longer than LONG characters by the next, and so on.
+#: Cuts: all texts by the first, parts longer than LONG characters by the next, and so on.
 CUTS = (r"[\r\n]+", r"[.!?…][\"'”’»)\]]?[ \t]+|[。！？]", rf"[ \t]+(?=[{_SOME}])", rf"[ \t]+(?=[{_MORE}])", r"[ \t]+",
         rf"(?<=[a-dA-D0-2])(?=[k-nK-N7-9])|(?<=[{_ENDS}])(?![{_ENDS}])")
 LONG = 240
 #: Digests that a block holds at most in the mean.
 PER_BLOCK = 3
-#: Cells of one of a block's three sub-tables, powers of two: the fingerprint's, and those of retries.
-SIZES = (8, 64)
-#: Digests of both texts that a block holds at most to be peeled.
-MOST = 24
-#: Peeling rounds; a table that needs more is tried in the next size.
-ROUNDS = 8
+#: Cells of one of a block's three sub-tables, a power of two; a retry doubles them.
+CELLS = 8
+#: Cells a digest at which a table that still does not peel is given up.
+AMPLE = 8
 #: Ranges of doc_id that documents are dealt to, to look up the next one.
 ROWS_PER_RANGE = 5_000
 MAX_RANGES = 4096
 
 
-def paragraphs(text: Column) -> Column:
-    """The paragraphs of a text, trimmed and not empty."""
-    parts = F.split(F.coalesce(text, F.lit("")), CUTS[0])
-    finer = lambda cut: lambda p: F.when(F.length(p) > LONG, F.split(p, cut)).otherwise(F.array(p))
-    for cut in CUTS[1:]:
-        parts = F.flatten(F.transform(parts, finer(cut)))
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
-
-
-def digests(text: Column) -> Column:
-    """Distinct paragraph digests of a text, ascending: 47 bits of hash, then 16 bits that check them."""
-    def digest(p):
-        return _let(F.shiftrightunsigned(F.xxhash64(p), 17), lambda h: F.shiftleft(h, 16).bitwiseOR(_check(h)))
-    return F.array_sort(F.array_distinct(F.transform(paragraphs(text), digest)))
-
-
-def _check(h: Column) -> Column:
-    return F.xxhash64(h, F.lit(5)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-
+_CUTS = [re.compile(cut) for cut in CUTS]
+_WORD = (1 << 64) - 1
 
-def _sound(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(0xFFFF).cast("long")) == _check(F.shiftrightunsigned(key, 16))
+Cells = dict[int, tuple[int, int]]
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+def paragraphs(text: str) -> set[str]:
+    """The distinct paragraphs of a text, trimmed and not empty."""
+    parts = _CUTS[0].split(text)
+    for cut in _CUTS[1:]:
+        if max(map(len, parts)) <= LONG:
+            break
+        parts = [x for p in parts for x in (cut.split(p) if len(p) > LONG else (p,))]
+    out = {p.strip(" ") for p in parts}
+    out.discard("")
+    return out
 
 
-def _top(key: Column, bits: Column) -> Column:
-    """The top ``bits`` of a digest's 63."""
-    return F.call_function("shiftright", key, F.lit(63) - bits)
+def _check(h: int) -> int:
+    return ((h ^ h >> 21) * 0x9E3779B97F4A7C15 & _WORD) >> 48
 
 
-def _power(bits: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1), bits)
+def digests(text: str) -> set[int]:
+    """Distinct paragraph digests of a text: 47 bits of hash, then 16 bits that check them."""
+    from xxhash import xxh64_intdigest
+    hashes = (xxh64_intdigest(p.encode("utf-8", "replace")) >> 17 for p in paragraphs(text))
+    return {h << 16 | _check(h) for h in hashes}
 
 
-def rung(n: Column) -> Column:
+def rung(n: int) -> int:
     """log2 of the number of blocks for ``n`` digests."""
-    return F.when(n <= PER_BLOCK, F.lit(0)).otherwise(F.ceil(F.log2(n / F.lit(float(PER_BLOCK)))).cast("int"))
+    return (max(1, -(-n // PER_BLOCK)) - 1).bit_length()
 
 
-def _places(key: Column, size: int) -> Column:
-    """A digest's cells, one in each of three sub-tables (another hash for another size)."""
-    return _let(F.xxhash64(key, F.lit(size)), lambda h: F.array(*[
-        (F.shiftrightunsigned(h, 20 * t).bitwiseAND(F.lit(size - 1).cast("long")) + t * size).cast("int") for t in range(3)]))
+def spots(key: int, size: int) -> tuple[int, int, int]:
+    """A digest's cells, one in each of three sub-tables (others for another size)."""
+    h = (key ^ size) * 0xD6E8FEB86659FD93 & _WORD
+    h = (h ^ h >> 32) * 0xBF58476D1CE4E5B9 & _WORD
+    h ^= h >> 29
+    return h & size - 1, (h >> 20 & size - 1) + size, (h >> 40 & size - 1) + 2 * size
 
 
-def _entries(keys: Column, size: int, n: int = 1) -> Column:
-    """One entry (c, n, x) for each digest and each of its cells."""
-    return F.flatten(F.transform(keys, lambda k: F.transform(_places(k, size), lambda c: F.struct(c.alias("c"), F.lit(n).alias("n"), k.alias("x")))))
+def put(cells: Cells, at: tuple[int, int, int], key: int, n: int = 1) -> None:
+    """Add a digest ``n`` times to its cells; a cell that comes to nothing goes."""
+    for c in at:
+        m, x = cells.get(c, (0, 0))
+        if m + n or x != key:
+            cells[c] = m + n, x ^ key
+        else:
+            del cells[c]
 
 
-def _added(entries: Column) -> Column:
-    """Entries (c, n, x) of one cell added up; cells that come to nothing are left out."""
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"))
-    cells = F.transform(F.array_distinct(F.transform(entries, lambda e: e.c)), lambda c: _let(F.aggregate(
-        F.filter(entries, lambda e: e.c == c), none,
-        lambda acc, e: F.struct((acc.n + e.n).alias("n"), acc.x.bitwiseXOR(e.x).alias("x"))),
-        lambda s: F.struct(c.alias("c"), s.n.alias("n"), s.x.alias("x"))))
-    return F.filter(cells, lambda z: (z.n != 0) | (z.x != 0))
+def sketch(keys: set[int], size: int = CELLS) -> list[Cells]:
+    """The blocks of a set of digests, each a table of its filled cells: cell -> (count, XOR)."""
+    bits = rung(len(keys))
+    blocks: list[Cells] = [{} for _ in range(1 << bits)]
+    for k in keys:
+        put(blocks[k >> 63 - bits], spots(k, size), k)
+    return blocks
 
 
-def sketch(keys: Column) -> Column:
-    """The blocks of ascending digests: arrays of filled cells (c, n, x) by cell.
-
-    Blocks are filled in two steps, by half of the top bits and then by the rest, so a digest is looked at
-    about 2 * sqrt(blocks) times.
-    """
-    upto = lambda bits: F.sequence(F.lit(0), _power(bits) - 1)
-
-    def filled(bits):  # both numbers of bits are computed once, not in every lambda
-        r, s = bits[0], bits[1]
-        coarse = F.transform(upto(s), lambda i: F.filter(keys, lambda k: _top(k, s) == i))
-        return F.flatten(F.transform(coarse, lambda part: F.transform(upto(r - s), lambda j: F.filter(
-            part, lambda k: F.pmod(_top(k, r), _power(r - s)) == j))))
-    blocks = _let(_let(rung(F.size(keys)), lambda r: F.array(r, (r / 2).cast("int"))), filled)
-    return F.transform(blocks, lambda block: _let(_entries(block, SIZES[0]), lambda e: F.array_sort(_added(e))))
-
-
-def printed(n: Column, blocks: Column) -> Column:
+def printed(n: int, blocks: list[Cells]) -> str:
     """A sketch as text: the number of paragraphs, then every block's cells as cell.count.xor in hexadecimal."""
-    body = F.transform(blocks, lambda b: F.array_join(F.transform(b, lambda z: F.concat_ws(
-        ".", z.c.cast("string"), z.n.cast("string"), F.hex(z.x))), ","))
-    return F.concat(n.cast("string"), F.lit(":"), F.array_join(body, ";"))
-
-
-def peeled(cells: Column, size: int) -> Column:
-    """(cells left over, digests only left, only right) of subtracted cells."""
-    def step(state, _):
-        pure = F.array_distinct(F.transform(F.filter(state.cells, lambda z: (F.abs(z.n) == 1) & _sound(z.x)),
-                                            lambda z: F.struct(z.n.alias("n"), z.x.alias("x"))))
-        pure = F.transform(pure, lambda k: F.struct(k.n.alias("n"), k.x.alias("x"), _places(k.x, size).alias("at")))
-        return F.when(F.size(state.cells) == 0, state).otherwise(_let(pure, lambda keys: F.when(F.size(keys) == 0, state).otherwise(F.struct(
-            F.filter(F.transform(state.cells, lambda z: F.aggregate(
-                F.filter(keys, lambda k: F.array_contains(k["at"], z.c)), z, lambda acc, k: F.struct(
-                    acc.c.alias("c"), (acc.n - k.n).alias("n"), acc.x.bitwiseXOR(k.x).alias("x")))),
-                lambda z: (z.n != 0) | (z.x != 0)).alias("cells"),
-            (state.left + F.size(F.filter(keys, lambda k: k.n == 1))).alias("left"),
-            (state.right + F.size(F.filter(keys, lambda k: k.n == -1))).alias("right")))))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right")), step)
-
-
-def likeness(df: DataFrame, out: str, a: str, b: str) -> DataFrame:
-    """``df`` plus ``out``: Jaccard similarity of two texts from their fingerprints.
-
-    ``a`` and ``b`` name digest arrays, read only where a block is tried again; their sketches are the columns of
-    these names with ``_sketch`` added.  ``explode`` of a one-element array keeps a step's result from being
-    computed again wherever the next reads it.
-    """
-    col = free_name(df, f"{out}_blocks")
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    bits = free_name(df, f"{out}_bits")
-    common = F.col(bits)
-    once = lambda df, value: df.select(*keep, common, F.explode(F.array(value)).alias(col))
-
-    def folded(name, j):  # the cells of the blocks that make the coarser block j
-        return _let(F.call_function("shiftright", F.size(f"{name}_sketch"), common), lambda width: F.flatten(
-            F.slice(f"{name}_sketch", (j * width + 1).cast("int"), width)))
-
-    def block(name, j):  # a block's digests
-        return F.filter(name, lambda k: _top(k, common) == j)
-    minus = lambda z: F.struct(z.c.alias("c"), (-z.n).alias("n"), z.x.alias("x"))
-    df = df.select(*keep, F.explode(F.array(F.least(rung(F.size(a)), rung(F.size(b))))).alias(bits))
-    df = once(df, F.transform(F.sequence(F.lit(0), _power(common) - 1), lambda j: _let(
-        F.concat(folded(a, j), F.transform(folded(b, j), minus)), lambda e: F.struct(j.alias("j"), F.when(F.size(e) > 3 * MOST, F.struct(
-            e.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right"))).otherwise(peeled(_added(e), SIZES[0])).alias("s")))))
-
-    def again(size):  # blocks that are not at nothing yet, in a larger table
-        return lambda z: F.struct(z.j.alias("j"), F.when(
-            (F.size(z.s.cells) == 0) | (F.size(z.s.cells) > 3 * MOST), z.s).otherwise(peeled(_let(
-            F.concat(_entries(block(a, z.j), size), _entries(block(b, z.j), size, -1)), _added), size)).alias("s"))
-    for size in SIZES[1:]:
-        df = once(df, F.transform(col, again(size)))
-    whole = F.transform(col, lambda z: F.when(F.size(z.s.cells) == 0, F.struct(z.s.left.alias("left"), z.s.right.alias("right"))).otherwise(F.struct(
-        F.size(F.array_except(block(a, z.j), block(b, z.j))).alias("left"), F.size(F.array_except(block(b, z.j), block(a, z.j))).alias("right"))))
-    df = once(df, F.aggregate(whole, F.struct(F.lit(0).alias("left"), F.lit(0).alias("right")), lambda acc, z: F.struct(
-        (acc.left + z.left).alias("left"), (acc.right + z.right).alias("right"))))
-    union = F.size(a) + F.col(col).right
-    return df.select(*keep, F.when(union == 0, 1.0).otherwise((F.size(a) - F.col(col).left) / union).alias(out))
+    return f"{n}:" + ";".join(",".join(f"{c}.{m}.{x:X}" for c, (m, x) in sorted(b.items())) for b in blocks)
+
+
+def subtracted(a: list[Cells], b: list[Cells]) -> list[Cells]:
+    """Cells of ``a`` less those of ``b`` in the blocks of the coarser one; the finer one's are folded."""
+    common = min(len(a), len(b))
+    out: list[Cells] = [{} for _ in range(common)]
+    for blocks, sign in ((a, 1), (b, -1)):
+        width = len(blocks) // common
+        for i, block in enumerate(blocks):
+            into = out[i // width]
+            for c, (n, x) in block.items():
+                m, y = into.get(c, (0, 0))
+                into[c] = m + sign * n, x ^ y
+    return [{c: z for c, z in block.items() if z != (0, 0)} for block in out]
+
+
+def peeled(cells: Cells, size: int) -> tuple[int, int] | None:
+    """How many digests only the left and only the right side holds; None if cells are left over."""
+    found = [0, 0]
+    waiting = list(cells)
+    while waiting:
+        c = waiting.pop()
+        n, x = cells.get(c, (0, 0))
+        if n in (1, -1) and x & 0xFFFF == _check(x >> 16) and c in (at := spots(x, size)):
+            found[n < 0] += 1
+            if sum(found) > 3 * size:  # more than the cells can tell apart: a false digest went round
+                return None
+            put(cells, at, x, -n)
+            waiting += at
+    return None if cells else (found[0], found[1])
+
+
+def differences(a: set[int], a_sketch: list[Cells], b: set[int], b_sketch: list[Cells], size: int = CELLS,
+                ample: int = AMPLE) -> tuple[int, int]:
+    """How many digests only ``a`` and only ``b`` holds, from their sketches; the digests are read again only
+    for blocks that do not peel."""
+    left = right = 0
+    blocks = subtracted(a_sketch, b_sketch)
+    shift = 63 - (len(blocks).bit_length() - 1)
+    held: list[list[list[int]]] | None = None
+    for j, cells in enumerate(blocks):
+        got, cells_now = (peeled(cells, size) if cells else (0, 0)), size
+        if got is None:
+            if held is None:
+                held = [[[], []] for _ in blocks]
+                for side, keys in enumerate((a, b)):
+                    for k in keys:
+                        held[k >> shift][side].append(k)
+            mine, other = held[j]
+            while got is None and cells_now < ample * (len(mine) + len(other)):
+                cells_now *= 2
+                again: Cells = {}
+                for k in mine:
+                    put(again, spots(k, cells_now), k)
+                for k in other:
+                    put(again, spots(k, cells_now), k, -1)
+                got = peeled(again, cells_now)
+            if got is None:
+                got = len(set(mine).difference(other)), len(set(other).difference(mine))
+        left, right = left + got[0], right + got[1]
+    return left, right
+
+
+def likeness(a: set[int], a_sketch: list[Cells], b: set[int], b_sketch: list[Cells], **options) -> float:
+    """Jaccard similarity of two texts from their fingerprints."""
+    left, right = differences(a, a_sketch, b, b_sketch, **options)
+    union = len(a) + right
+    return (len(a) - left) / union if union else 1.0
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, keys, next_text, next_keys): every row and its digests with the next in descending doc_id.
+    """(doc_id, text, next_text): every row with the next in descending doc_id, in that order inside a partition.
 
     Rows are dealt to ranges of doc_id (bounds by approximate quantiles of the ids alone), so the
     texts are shuffled once; a range's last row takes its next from the following range's first.
@@ -225,7 +219,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             return F.when((mid <= len(bounds)) & (F.try_element_at(table, mid) <= F.col("doc_id")), mid).otherwise(lo)
         spot = F.aggregate(F.sequence(F.lit(steps), F.lit(1), F.lit(-1)), F.lit(0), halve)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("*", F.xxhash64("text").alias("tie"), digests(F.col("text")).alias("keys"))
+    rows = rows.select("*", F.xxhash64("text").alias("tie"))
     # 0: the largest ids; inside one id, and where there is none, in the order of the text's hash
     share = lambda parts: F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts).cast("int")
     inside = F.lit(0)
@@ -244,29 +238,43 @@ def with_next(docs: DataFrame) -> DataFrame:
     places = [r for r in firsts.orderBy("place").collect()]  # at most 3 * MAX_RANGES rows of numbers
     after = {p.place: places[(i + 1) % len(places)] for i, p in enumerate(places)}
     if not after:
-        return rows.select("doc_id", "text", "keys", F.col("text").alias("next_text"), F.col("keys").alias("next_keys"))
+        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
     first_rows = firsts.join(rows.withColumnsRenamed({"place": "p", "doc_id": "d", "tie": "t"}),
                              (F.col("place") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
     back = F.create_map(*[x for place_, nxt in after.items() for x in (F.lit(nxt.place), F.lit(place_))])
     first_rows = written(first_rows.dropDuplicates(["place"]).select(F.element_at(back, F.col("place")).alias("place"),
-                                                                     F.col("text").alias("first_text"), F.col("keys").alias("first_keys")), "fp-firsts")
+                                                                     F.col("text").alias("first_text")), "fp-firsts")
     w = Window.partitionBy("place").orderBy(*order)
-    led = rows.withColumns({"next_text": F.lead("text").over(w), "next_keys": F.lead("keys").over(w)})
+    led = rows.withColumn("next_text", F.lead("text").over(w))
     return (led.join(first_rows, "place", "left")
-            .select("doc_id", "text", "keys", F.coalesce("next_text", "first_text").alias("next_text"),
-                    F.coalesce("next_keys", "first_keys").alias("next_keys")))
+            .select("doc_id", "text", F.coalesce("next_text", "first_text").alias("next_text")))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, *, cells: int = CELLS, ample: int = AMPLE) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
-    pairs = with_next(docs).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.col("keys").alias("a"), F.col("next_keys").alias("b"),
-        F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    once = lambda df, value, name: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  (computed once, see likeness)
-    keyed = once(pairs, digests(F.col("edited")), "e").withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).drop("edited")
-    for k in "aeb":
-        keyed = once(keyed, sketch(F.col(k)), f"{k}_sketch")
-    near = likeness(likeness(keyed, "near_edited", "a", "e"), "near_next", "a", "b")
-    return near.select("doc_id", "n_chars", "edited_sha256", printed(F.size("a"), F.col("a_sketch")).alias("fingerprint"),
-                       printed(F.size("e"), F.col("e_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+    def run(batches):
+        import pyarrow as pa
+        known, of_known = None, (set(), [])
+
+        def sketched(text):
+            keys = digests(text)
+            return keys, sketch(keys, cells)
+        for b in (s for batch in batches for s in slices(batch)):
+            out: list[list] = [[] for _ in range(6)]
+            for t, after in zip(texts(b.column("text")), texts(b.column("next_text")), strict=True):
+                half = len(t) // 2
+                edited = t[:len(t) - half] + after[:half]
+                mine = of_known if t == known else sketched(t)
+                known, of_known = after, mine if after == t else sketched(after)  # mostly the next row's text
+                other = mine if edited == t else sketched(edited)
+                for column, value in zip(out, (
+                        len(t), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), printed(len(mine[0]), mine[1]),
+                        printed(len(other[0]), other[1]), likeness(*mine, *other, size=cells, ample=ample),
+                        likeness(*mine, *of_known, size=cells, ample=ample)), strict=True):
+                    column.append(value)
+            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))],
+                                             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                                                    "near_edited", "near_next"])
+    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+                                           "edited_fingerprint string, near_edited double, near_next double")

@@ -299,17 +299,29 @@ def test_fingerprints_of_the_table_subtract(spark):
             assert plain_cells(f)[0] == len(b) and plain_subtracted(r.fingerprint, f) == (near == 1.0)
 
 
-def test_blocks_that_do_not_peel_are_tried_again_and_then_compared_as_sets(spark, monkeypatch):
+def test_blocks_that_do_not_peel_are_tried_again_and_then_compared_as_sets(spark):
     text = "\n".join(f"line {i}" for i in range(40))
     df = spark.createDataFrame([(2, text), (1, text.replace("line 7\n", "other\n"))], "doc_id long, text string")
-    for rounds, sizes in ((8, (8, 64)), (0, (8, 64)), (1, (2, 4, 8)), (8, (1, 1))):
-        monkeypatch.setattr(fingerprints, "ROUNDS", max(rounds, 1))
-        monkeypatch.setattr(fingerprints, "SIZES", sizes)
-        monkeypatch.setattr(fingerprints, "MOST", 1 if not rounds else 24)
-        got = {r.doc_id: r.near_next for r in fingerprints.fingerprints(df).collect()}
+    for cells, ample in ((8, 8), (1, 8), (2, 1), (1, 0)):
+        got = {r.doc_id: r.near_next for r in fingerprints.fingerprints(df, cells=cells, ample=ample).collect()}
         assert all(abs(x - 39 / 41) < 1e-9 for x in got.values())
 
 
+def test_peeling_recovers_the_differing_digests():
+    rng = random.Random(4)
+    for _ in range(400):
+        pool = list(fingerprints.digests("\n".join(f"{rng.random()}" for _ in range(rng.randrange(1, 300)))))
+        a, b = (set(rng.sample(pool, rng.randrange(len(pool) + 1))) for _ in "ab")
+        cells = rng.choice([1, 4, 8])
+        got = fingerprints.differences(a, fingerprints.sketch(a, cells), b, fingerprints.sketch(b, cells), size=cells)
+        assert got == (len(a - b), len(b - a))
+    # a block of many digests against an empty one: peeled in a larger table, without the sets
+    many = fingerprints.digests("\n".join(map(str, range(5000))))
+    assert fingerprints.differences(many, fingerprints.sketch(many), set(), fingerprints.sketch(set()), ample=8) == (5000, 0)
+    # digests with a false check are never taken for single ones
+    assert fingerprints.peeled({0: (1, 12345)}, 8) is None
+
+
 def test_hot_ids_and_missing_ids_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 10)
     rows = [(None, f"n{i}") for i in range(60)] + [(50, f"h{i}") for i in range(80)] + [(i, f"t{i}") for i in range(100)]
