@@ -13,6 +13,7 @@ Defined cases
 * very long texts: scanned whole; places and detections are rows, never one long nested loop;
 * ties: equal intervals keep the strongest rule; repeated rows are scanned once each;
 * null doc_id and extra columns do not matter (rows go by their own number, extras are not read);
+* rows in any order or partitions: numbered once, in the pass that finds base places and detections;
 * empty table: empty result.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.llm.common import written
 from eventide.llm.license_rules import ROOTS, RULES, Rule
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -40,8 +42,9 @@ def _phrase_pattern(phrase: str) -> str:
     return f"(?i)(?<!{WORD})" + f"{GAP}+".join(phrase.split()) + f"(?!{WORD})"
 
 
-def detections(docs: DataFrame, row: str, text: str, low: str, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    """Surviving detections: row, start, end (code points), label, weight."""
+def _searched(docs: DataFrame, keep: Sequence[str], text: str, low: str, rules: Sequence[Rule]) -> DataFrame:
+    """``keep`` of every row, and of every rule whose words occur: place i among them, priority, label, weight,
+    lengths found and between.  A row without such a rule stays once (i null); a rule that finds nothing only as the first."""
     gated: dict[str, list[Rule]] = {}
     for r in rules:
         gated.setdefault(r.keyword, []).append(r)
@@ -52,11 +55,16 @@ def detections(docs: DataFrame, row: str, text: str, low: str, rules: Sequence[R
     gate = F.lit(False)
     for root in ROOTS:
         gate = gate | F.contains(F.col(low), F.lit(root))
-    ran = (docs.where(gate).select(row, text, F.explode(F.flatten(F.transform(open_, lambda g: g.rules))).alias("r"))
-           .select(row, "r.priority", "r.label", "r.weight",
-                   F.transform(F.split(F.col(text), F.col("r.pattern"), -1), F.length).alias("between"),
-                   F.transform(F.regexp_extract_all(F.col(text), F.col("r.pattern"), F.lit(0)), F.length).alias("found"))
-           .where(F.size("found") > 0)
+    opened = F.when(gate, F.flatten(F.transform(open_, lambda g: g.rules)))
+    return (docs.select(*keep, text, F.posexplode_outer(opened).alias("i", "r"))
+            .select(*keep, "i", "r.priority", "r.label", "r.weight",
+                    F.transform(F.split(F.col(text), F.col("r.pattern"), -1), F.length).alias("between"),
+                    F.transform(F.regexp_extract_all(F.col(text), F.col("r.pattern"), F.lit(0)), F.length).alias("found"))
+            .where(F.col("i").isNull() | (F.col("i") == 0) | (F.size("found") > 0)))
+
+
+def _surviving(searched: DataFrame, row: str) -> DataFrame:
+    ran = (searched.where(F.size("found") > 0)
            .select(row, "priority", "label", "weight", F.posexplode(F.arrays_zip("between", "found")).alias("k", "z"))
            .where(F.col("z.found").isNotNull()))
     along = Window.partitionBy(row, "priority").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -68,6 +76,11 @@ def detections(docs: DataFrame, row: str, text: str, low: str, rules: Sequence[R
             .select(row, "start", "end", "label", "weight"))
 
 
+def detections(docs: DataFrame, row: str, text: str, low: str, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
+    """Surviving detections: row, start, end (code points), label, weight."""
+    return _surviving(_searched(docs, [row], text, low, rules), row)
+
+
 def scan(docs: DataFrame, *, phrases: Sequence[tuple[str, str]] = PHRASES, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -88,11 +101,13 @@ def scan(docs: DataFrame, *, phrases: Sequence[tuple[str, str]] = PHRASES, rules
     most = (lambda cs: F.greatest(*cs) if len(cs) > 1 else cs[0])
     labels = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c > 0, F.lit(label)) for c, (_, label) in zip(count, phrases, strict=True)]),
                                                     lambda x: x.isNotNull())))
+    said = ["doc_id", "row", "n_words", "n_base", "first_word", "last_word", "base"]
     base = base.select("doc_id", "row", "n_words", sum(count[1:], count[0]).alias("n_base"), least(first).alias("first_word"),
-                       most(last).alias("last_word"), labels.alias("base"))
-    found = (detections(rows, "row", "text", "low", rules).groupBy("row")
-             .agg(F.collect_set("label").alias("more"), F.max("weight").alias("weight")))
-    return base.join(found, "row", "left").select(
+                       most(last).alias("last_word"), labels.alias("base"), "text", "low")
+    # row numbers hold only within one reading of the texts, so base and detections are written together
+    searched = written(_searched(base, said, "text", "low", rules), "license-rows")
+    found = _surviving(searched, "row").groupBy("row").agg(F.collect_set("label").alias("more"), F.max("weight").alias("weight"))
+    return searched.where(F.col("i").isNull() | (F.col("i") == 0)).select(said).join(found, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.greatest(F.coalesce("weight", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.85).otherwise(0.0)).alias("score"))

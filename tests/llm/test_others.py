@@ -183,6 +183,15 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_labels_do_not_depend_on_how_the_rows_come(spark):
+    texts = LICENSED + ["no notice at all", "", "the mit license, or else", None] * 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {r.doc_id: r for r in licenses.scan(df.coalesce(1)).collect()}
+    assert len(want) == len(texts) and len({r.labels for r in want.values()}) > 5
+    for other in (df.repartition(8), df.orderBy(F.rand(3)), df.groupBy("doc_id").agg(F.max("text").alias("text")), df.repartition(5, "text")):
+        assert {r.doc_id: r for r in licenses.scan(other).collect()} == want
+
+
 def test_containment_and_priority(spark):
     rules = [license_rules.Rule("long", 0, "alpha", "alpha beta gamma", 0.9), license_rules.Rule("inner", 1, "beta", "beta", 0.5),
              license_rules.Rule("same", 2, "alpha", "alpha beta gamma", 0.7), license_rules.Rule("over", 3, "gamma", "gamma delta", 0.6)]
