@@ -65,7 +65,8 @@ def features(text: str) -> list[float]:
     tally: dict[bytes, int] = {}
     for w in words:
         tally[w] = tally.get(w, 0) + 1
-    shares = [len(set(words[i:i + WINDOW])) / min(WINDOW, n - i) for i in range(0, max(1, n - WINDOW // 2), WINDOW)]
+    ends_at = [*range(WINDOW, n - WINDOW // 2, WINDOW), n]  # the last window takes what is left
+    shares = [len(set(words[a:z])) / (z - a) for a, z in zip([0, *ends_at], ends_at, strict=False)]
     stutter = sum(map(bytes.__eq__, words, words[1:]))
     ends = sum(1 for w in words if not (w[-1] > 127 or 48 <= w[-1] <= 57 or 65 <= w[-1] <= 90 or 97 <= w[-1] <= 122))
     return [float(np.log1p(n)), solid / n, counts[65:91].sum() / solid, counts[48:58].sum() / solid, sentence / solid,
