@@ -146,9 +146,6 @@ class WordTokenizer:
         return out
 
 
-_TOKENIZERS: dict[tuple, WordTokenizer] = {}
-
-
 def tokenize(docs: DataFrame, *, seq_len: int = SEQ_LEN, end_id: int = END_ID, path: str | None = None,
              with_ids: bool = True) -> DataFrame:
     """Pieces of at most ``seq_len`` ids of every document (columns of ``PIECES``).
@@ -159,7 +156,7 @@ def tokenize(docs: DataFrame, *, seq_len: int = SEQ_LEN, end_id: int = END_ID, p
 
     def run(batches):
         import pyarrow as pa
-        tok = _TOKENIZERS.get((path,)) or _TOKENIZERS.setdefault((path,), WordTokenizer(path))
+        tok = WordTokenizer(path)  # workers outlive tasks; the tokenizer and its words go with this one
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * seq_len
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32")]
