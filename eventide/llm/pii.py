@@ -1,13 +1,16 @@
 """Personal data: fixed patterns as seeds, and contextual extraction bootstrapped from them.
 
 Every text is searched for e-mail addresses, IP addresses, card numbers and phone numbers (the
-base, exact and linear in the text).  These seed entities induce lexical patterns: the two words
-and the marks in front of an entity.  Things that look like identifiers but match no base rule are
-candidates, with patterns of their own.  Patterns and identifiers form a bipartite graph whose
+base, exact and linear in the text).  Long tokens of mixed letters and digits are a kind of their own;
+those that a label word such as ``token`` or ``password`` stands right in front of are its seeds, and spans.
+The seed entities induce lexical patterns at four levels: two words and the marks in front of an entity, one
+word and the marks, the marks alone where they say something (``="``), the marks and the word behind.  Things
+that look like identifiers but match no base rule are candidates, with patterns of their own.  Patterns and identifiers form a bipartite graph whose
 distinct edges Spark counts; scores pass to and fro a few rounds:
 
 * an identifier's score for a kind is 1 where it is a seed of that kind, 0 where it is a seed of
-  another, else 1 minus the chance that every pattern it follows is wrong;
+  another, else 1 minus the chance that every pattern it goes by is wrong (at each place the finest
+  one that enough identifiers follow, so a coarse pattern never overrules a poor fine one);
 * a pattern's score for a kind is the mean score of all distinct identifiers that follow it, so
   copies of a document change nothing.
 
@@ -24,14 +27,22 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import discard, free_name, slices, small, texts, written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "token")
+#: Kinds of the base rules.
+BASE = 4
+TOKEN = 4
+#: Words that stand in front of a secret.  Fixed values.
+SECRET_LABELS = frozenset("token tokens key keys secret secrets password passwd pwd passphrase auth authorization bearer credential credentials apikey".split())
 #: Rounds of scoring, least score and distinct identifiers of a pattern that accepts.
 ROUNDS = 3
 MIN_SCORE = 0.8
@@ -47,6 +58,13 @@ _PART = re.compile(r"[+(]?[0-9](?:[0-9().-]*[0-9])?")
 _RUN = re.compile(r"[+(]?[0-9][0-9()./\x20-]*")
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9._-]{1,64}")
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_MIXED = re.compile(r"[A-Za-z]+[0-9]")
+#: Characters of the longest token (longer runs are data), its changes from letters to digits, its bits a character.
+MOST_TOKEN = 512
+LEAST_CHANGES = 2
+LEAST_BITS = 3.0
+_TELLING = re.compile(r"[:=\"'<(\[{|]")
 
 
 def _luhn(digits: str) -> bool:
@@ -157,10 +175,41 @@ def _numbers(text: str, taken: list[tuple[int, int]]):
             j += 1
 
 
-def _candidates(text: str, spans: list[tuple[int, int, int]]):
-    """(start, end, shape) of identifier-like places that no base span touches."""
-    taken = sorted((a, z) for a, _, z in spans)
-    found = [(a, z) for a, z in _numbers(text, taken) if z - a >= 7]
+def _tokens(text: str, spans: list[tuple[int, int, int]]):
+    """(start, end) of long runs of mixed letters and digits that no base span reaches out of."""
+    k = 0
+    for m in _TOKEN.finditer(text):
+        a, z = m.span()
+        token = m[0]
+        if z - a > MOST_TOKEN or len(_MIXED.findall(token)) < LEAST_CHANGES:
+            continue
+        counts = Counter(token).values()
+        if sum(n * math.log2((z - a) / n) for n in counts) < LEAST_BITS * (z - a):
+            continue
+        while k < len(spans) and spans[k][2] <= a:
+            k += 1
+        j, inside = k, True
+        while j < len(spans) and spans[j][0] < z:
+            inside &= spans[j][2] <= a or a <= spans[j][0] and spans[j][2] <= z
+            j += 1
+        if inside:
+            yield a, z
+
+
+def _labelled(text: str, start: int) -> bool:
+    """Whether a label of secrets and only marks stand right in front of a place, on its line."""
+    before = text[max(0, start - 40):start]
+    word = None
+    for word in _WORD.finditer(before):  # the last one
+        pass
+    return word is not None and word[0].lower() in SECRET_LABELS and not any(c.isalnum() or c == "\n" for c in before[word.end():])
+
+
+def _candidates(text: str, spans: list[tuple[int, int, int]], tokens: Sequence[tuple[int, int]] = ()):
+    """(start, end, shape) of identifier-like places that no base span or token touches; numbers inside a word are none."""
+    taken = sorted([(a, z) for a, _, z in spans] + list(tokens))
+    found = [(a, z) for a, z in _numbers(text, taken) if z - a >= 7
+             and not (a and text[a - 1].isalpha()) and not (z < len(text) and text[z].isalpha())]
     if "@" in text:
         at = 0
         while (at := text.find("@", at)) >= 0:  # bounded on both sides of each mark
@@ -180,22 +229,30 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]):
             done = z
 
 
-def _pattern(text: str, start: int) -> str | None:
-    """The two words and the marks in front of a place, on its line or lines before; None where no
-    word stands there.  Numbers among the marks (earlier members of a list) count as one mark."""
+def _patterns(text: str, start: int, end: int) -> list[str]:
+    """What a place follows, from its line or lines before, at three levels, and what stands behind it.  Numbers
+    among the marks (earlier members of a list) count as one mark."""
+    out = []
     before = text[max(0, start - 60):start]
     words = list(_WORD.finditer(before))[-2:]
-    if not words:
-        return None
-    return " ".join(w[0].lower() for w in words) + "|" + " ".join(_RUN.sub("# ", before[words[-1].end():]).split())
+    if words:
+        marks = " ".join(_RUN.sub("# ", before[words[-1].end():]).split())
+        names = [w[0].lower() for w in words]
+        out += [f"{' '.join(names)}|{marks}"] + [f"{names[-1]}|{marks}"] * (len(names) - 1)
+        if _TELLING.search(marks):
+            out.append(f"|{marks}")
+    behind = text[end:end + 40]
+    if (word := _WORD.search(behind)) and word.start():
+        out.append(f"{' '.join(_RUN.sub('# ', behind[:word.start()]).split())}|{word[0].lower()}|behind")
+    return out
 
 
 _ROWS = ("doc_id long, text_hash long, row long, base array<struct<start:int,kind:int,end:int>>, "
-         "seen array<struct<start:int,end:int,kind:int,shape:int,pattern:string,name:string>>")
+         "seen array<struct<start:int,end:int,kind:int,shape:int,patterns:array<string>,name:string>>")
 
 
 def _extracted(docs: DataFrame) -> DataFrame:
-    """Base spans of every row, and what the graph needs: seeds (kind 0-3) and candidates (kind -1)."""
+    """Base spans of every row, and what the graph needs: seeds (kinds 0 to 4) and candidates (kind -1)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
                        F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
 
@@ -203,15 +260,17 @@ def _extracted(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         seen_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("shape", pa.int32()),
-                                        ("pattern", pa.string()), ("name", pa.string())]))
+                                        ("patterns", pa.list_(pa.string())), ("name", pa.string())]))
         for b in (s for batch in batches for s in slices(batch)):
             base, seen = [], []
             for t in texts(b.column("text")):
                 spans = base_spans(t)
-                marks = [(a, z, kind, 1 << kind) for a, kind, z in spans] + [(a, z, -1, s) for a, z, s in _candidates(t, spans)]
+                tokens = list(_tokens(t, spans))
+                marks = [(a, z, kind, 1 << kind) for a, kind, z in spans] + [(a, z, -1, s) for a, z, s in _candidates(t, spans, tokens)]
+                marks += [(a, z, TOKEN if _labelled(t, a) else -1, 1 << TOKEN) for a, z in tokens]
                 base.append([{"start": a, "kind": k, "end": z} for a, k, z in spans])
-                seen.append([{"start": a, "end": z, "kind": k, "shape": s, "pattern": p, "name": t[a:min(z, a + 80)].lower()}
-                             for a, z, k, s in marks if (p := _pattern(t, a))])
+                seen.append([{"start": a, "end": z, "kind": k, "shape": s, "patterns": p, "name": t[a:min(z, a + 80)].lower()}
+                             for a, z, k, s in marks if (p := _patterns(t, a, z))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("row"),
                                               pa.array(base, base_type), pa.array(seen, seen_type)],
                                              names=["doc_id", "text_hash", "row", "base", "seen"])
@@ -222,12 +281,14 @@ def _extracted(docs: DataFrame) -> DataFrame:
 _FITS = "getbit(shape, {}) = 1"
 
 
-def score_patterns(edges: DataFrame, *, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(pattern, kind) that accept.  ``edges``: pattern, name, seed (kind or -1), shape."""
+def score_patterns(edges: DataFrame, deciding: DataFrame | None = None, *, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(pattern, kind) that accept.  ``edges``: pattern, name, seed (kind or -1), shape; patterns are scored
+    over them.  ``deciding``: those (pattern, name, shape) along which unseen names are scored; all if not given."""
     seeds = edges.where("seed >= 0").select("name", F.col("seed").alias("kind")).distinct().withColumn("s", F.lit(1.0))
     known = written(seeds, "pii-seeds")
     is_seed = known.select("name").distinct().withColumn("is_seed", F.lit(True))
     flat = written(edges.groupBy("pattern", "name").agg(F.max("shape").alias("shape")), "pii-edges")
+    back = flat if deciding is None else deciding
     totals = flat.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     scores, patterns = known, None
     for step in range(rounds):
@@ -239,7 +300,7 @@ def score_patterns(edges: DataFrame, *, rounds: int = ROUNDS, min_score: float =
             discard(patterns)
         patterns = patterns_next
         if step + 1 < rounds:
-            unseen = (flat.join(patterns.where(F.col("p") >= 0.5), "pattern").where(_FITS.format("kind"))
+            unseen = (back.join(small(patterns.where(F.col("p") >= 0.5), patterns.count()), "pattern").where(_FITS.format("kind"))
                       .groupBy("name", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("s"))
                       .join(is_seed, "name", "left").where(F.col("is_seed").isNull()).select("name", "kind", "s"))
             scores = written(known.unionByName(unseen), "pii-names")
@@ -249,12 +310,20 @@ def score_patterns(edges: DataFrame, *, rounds: int = ROUNDS, min_score: float =
 def _found(docs: DataFrame, **options) -> DataFrame:
     """Extracted rows plus ``more``: accepted spans beyond the base."""
     rows = _extracted(docs)
-    seen = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
-    edges = seen.groupBy("pattern", "name", F.col("kind").alias("seed")).agg(F.max("shape").alias("shape"))
-    accepted = written(score_patterns(written(edges, "pii-graph"), **options).withColumnRenamed("kind", "as_kind"), "pii-accepted")
+    places = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
+    seen = places.select("*", F.posexplode("patterns").alias("level", "pattern"))
+    edges = written(seen.groupBy("pattern", "name", F.col("kind").alias("seed")).agg(F.max("shape").alias("shape")), "pii-graph")
+    # a candidate goes by its finest pattern that enough identifiers follow
+    known = written(edges.groupBy("pattern").agg(F.count_distinct("name").alias("n"))
+                    .where(F.col("n") >= options.get("min_support", MIN_SUPPORT)).select("pattern"), "pii-known")
+    seen = written(seen.where("kind = -1").join(small(known, known.count()), "pattern").groupBy("row", "start", "end", "name", "shape")
+                   .agg(F.min_by("pattern", "level").alias("pattern")), "pii-candidates")
+    deciding = written(seen.groupBy("pattern", "name").agg(F.max("shape").alias("shape")), "pii-deciding")
+    accepted = written(score_patterns(edges, deciding, **options).withColumnRenamed("kind", "as_kind"), "pii-accepted")
     accepted = small(accepted, accepted.count())
-    more = (seen.where("kind = -1").join(accepted, "pattern").where(_FITS.format("as_kind"))
-            .groupBy("row", "start", "end").agg(F.min("as_kind").alias("kind"))
+    secrets = places.where(F.col("kind") == TOKEN).select("row", "start", "end", F.col("kind").alias("as_kind"))
+    more = (seen.join(accepted, "pattern").where(_FITS.format("as_kind")).select("row", "start", "end", "as_kind")
+            .unionByName(secrets).groupBy("row", "start", "end").agg(F.min("as_kind").alias("kind"))
             .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return rows.join(more, "row", "left").withColumn("more", F.coalesce("more", none))
@@ -263,7 +332,7 @@ def _found(docs: DataFrame, **options) -> DataFrame:
 def find(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, text_hash, counts of the base spans, base and all spans as sorted arrays."""
     found = _found(docs, **options)
-    count = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) AS long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    count = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) AS long)").alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])]
     return found.select("doc_id", "text_hash", *count, "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 

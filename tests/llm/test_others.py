@@ -475,6 +475,67 @@ def test_identifiers_in_lists_and_under_labels(spark):
     assert got[100][0] == (7, 3, 19) and got[101] == [(7, 3, 19)] and got[102] == [(15, 3, 27), (29, 3, 41)]
 
 
+def test_tokens_by_label_and_by_learned_patterns(spark):
+    rng = random.Random(6)
+    secret = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    rows = [(i, f'some text api_key = "{secret()}" and more') for i in range(8)] + [(20, f"please set session <{secret()}> now")]
+    rows += [(30 + i, f"my token: {secret()}; set session <{secret()}> now") for i in range(1)]
+    rows += [(40, "token = \"" + "a" * 40 + "\""), (41, f"commit {secret()} by hand"), (42, "key: an-ordinary-name-of-a-long-file"), (43, "token: " + secret() * 20),
+             (44, "passwords are AbstractSingletonFactoryBean2 here"), (45, f"no label\nkey\n{secret()}")]
+    rows += [(100 + i, f"note {i}: handle with id [{secret()}] ok") for i in range(3)]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i in range(8):
+        assert got[i] == [(text[i].index('"') + 1, 4, text[i].rindex('"'))]
+    assert got[30][0] == (10, 4, 50) and all(not got[i] for i in (40, 41, 42, 43, 44, 45, 100, 101, 102))
+    # marks alone carry a kind over to other labels
+    rows = [(i, f'x key = "{secret()}" y') for i in range(8)] + [(50, f'handle = "{secret()}" y')]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == [4]
+    clean = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[50] == 'handle = "[TOKEN]" y' and clean[0] == 'x key = "[TOKEN]" y'
+
+
+def plain_scores(edges, rounds, min_score, min_support):
+    seeds = {(name, kind): 1.0 for _, name, kind, _ in edges if kind >= 0}
+    known, shapes = {name for name, _ in seeds}, {}
+    for p, name, _, shape in edges:
+        shapes[p, name] = max(shape, shapes.get((p, name), 0))
+    scores = dict(seeds)
+    for _ in range(rounds):
+        patterns = {}
+        for p in {p for p, _ in shapes}:
+            names = [n for q, n in shapes if q == p]
+            for kind in range(5):
+                s = [scores[n, kind] for n in names if (n, kind) in scores]
+                if len(s) >= min_support:
+                    patterns[p, kind] = sum(s) / len(names)
+        scores, wrong = dict(seeds), {}
+        for (p, name), shape in shapes.items():
+            for kind in range(5):
+                if patterns.get((p, kind), 0) >= 0.5 and shape >> kind & 1 and name not in known:
+                    wrong[name, kind] = wrong.get((name, kind), 1.0) * max(1 - patterns[p, kind], 1e-9)
+        scores.update({key: 1 - w for key, w in wrong.items()})
+    return {key for key, s in patterns.items() if s >= min_score}
+
+
+def test_graph_scores_equal_plain_python(spark):
+    rng, found = random.Random(2), 0
+    for _ in range(4):
+        kinds = {f"n{i}": rng.choice([-1, 0, 1, 3, 4]) for i in range(60)}
+        edges = []
+        for _ in range(400):
+            name = rng.choice(list(kinds))
+            kind = kinds[name]
+            p = f"p{kind if kind >= 0 and rng.random() < 0.8 else rng.randrange(6)}"
+            edges.append((p, name, kind, 1 << kind if kind >= 0 else rng.randrange(1, 32)))
+        df = spark.createDataFrame(edges, "pattern string, name string, seed int, shape int")
+        got = {tuple(r) for r in pii.score_patterns(df, min_score=0.5, min_support=3).collect()}
+        assert got == plain_scores(edges, 3, 0.5, 3)
+        found += len(got)
+    assert found
+
+
 def test_pii_odd_rows_and_table(spark):
     df = odd.documents(spark)
     assert pii.find(df.limit(0)).collect() == [] and pii.redacted(df.limit(0)).collect() == []
@@ -484,4 +545,5 @@ def test_pii_odd_rows_and_table(spark):
         want = plain_spans(texts[r.doc_id])
         said = ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in want)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(filter(None, said.split(","))) <= set(r.spans.split(","))
+        assert r.n_spans == len(list(filter(None, r.spans.split(","))))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
