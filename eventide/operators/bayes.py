@@ -224,6 +224,22 @@ class BayesModel:
         return df.select(*keep, *[f for f in feats if f not in keep]).mapInPandas(fn, schema)
 
 
+    def survival_at(self, df: DataFrame, times: str, keep: Sequence[str]) -> DataFrame:
+        """keep..., _s: posterior mean S at each row's own times, an array column (rows of one batch need not agree)."""
+        feats, dist, keep = list(self.features), self.dist, list(keep)
+        shared = df.sparkSession.sparkContext.broadcast(self.draws)
+        schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+        def fn(it):
+            th = shared.value
+            for pdf in it:
+                X = pdf[feats].to_numpy(float).reshape(len(pdf), len(feats))
+                pdf = pdf.assign(_s=[_surv(th, np.asarray(t, float), X[i:i + 1], dist)[0].mean(axis=0) for i, t in enumerate(pdf[times])])
+                yield pdf[[*keep, "_s"]]
+
+        return df.select(*keep, times, *[f for f in feats if f not in keep]).mapInPandas(fn, f"{schema}, _s array<double>")
+
+
 def _surv(th: np.ndarray, grid: np.ndarray, X: np.ndarray, dist: str) -> np.ndarray:
     """S for rows x draws x times -> (n, G, T)."""
     nb = _n_base(dist)

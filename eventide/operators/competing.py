@@ -17,18 +17,22 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.stats import Z95, two_sided_p
+from eventide.operators.additive import _time_buckets
 from eventide.operators.cox import BROADCAST_TIMES, CoxModel, _many, _sum_rows
 from eventide.operators.cox_grouped import cox_fit_grouped
 from eventide.operators.logrank import group_values
 from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative, right_size
+from eventide.session import cut_lineage
 
 
-# The merged baseline grid is broadcast to the prediction tasks: bound it (checked).
-MAX_CIF_GRID = 2_000_000
+#: Baseline steps of one segment, distinct predictors of one piece, and numbers of one matrix in a task.
+CIF_STEPS = 50_000
+CIF_ROWS = 50_000
+CIF_CELLS = 2_000_000
 
 
 def cause_specific_fit(df: DataFrame, time: str, cause: str, features: Sequence[str],
@@ -232,63 +236,155 @@ def fine_gray_fit(df: DataFrame, time: str, cause: str, features: Sequence[str],
     return m
 
 
-def cause_specific_cif(models: dict, df: DataFrame, times: Sequence[float], key: str) -> DataFrame:
+def _segments(models: dict, last: float | None, steps_each: int) -> tuple[DataFrame, list]:
+    """(table, ends): every cause's baseline by time (null where a cause has no step) with its segment ``_bucket``;
+    and one row a segment, in order: its first time and each cause's highest hazard in it (null: no step)."""
+    base = None
+    for k in sorted(models):
+        b = models[k].baseline.select(F.col("time").cast("double").alias("time"), F.col("baseline_hazard").alias(f"H{k}"))
+        base = b if base is None else base.join(b, "time", "full_outer")
+    table, _ = _time_buckets(base if last is None else base.where(F.col("time") <= last), steps_each)
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    ends = table.groupBy("_bucket").agg(F.min("time").alias("first"), *[F.max(f"H{k}").alias(f"H{k}") for k in sorted(models)])
+    return table, ends.orderBy("_bucket").collect()
+
+
+def _segment_steps(causes: list, ends: list):
+    """A function of one segment's rows of the table: its times and, for each cause, the hazard increments."""
+    before, reached = {}, [0.0] * len(causes)
+    for r in ends:
+        before[r["_bucket"]] = list(reached)
+        reached = [max(h, r[f"H{k}"] or 0.0) for h, k in zip(reached, causes)]
+
+    def steps(pdf):
+        pdf = pdf.sort_values("time")
+        start = np.array(before[int(pdf["_bucket"].iloc[0])])[:, None]
+        H = np.nan_to_num(np.stack([pdf[f"H{k}"].to_numpy(float) for k in causes]), nan=0.0)
+        H = np.maximum.accumulate(np.concatenate([start, H], axis=1), axis=1)  # a hazard never falls
+        return pdf["time"].to_numpy(float), np.diff(H, axis=1)
+    return steps
+
+
+def _predictors(models: dict, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list]:
+    """Rows with their linear predictors (null: NaN), the distinct predictors dealt into pieces, and their names."""
+    lps = [f"lp{k}" for k in sorted(models)]
+    x = df.select(F.col(key), *[F.coalesce(models[k].linear_predictor(df), F.lit(float("nan"))).alias(f"lp{k}") for k in sorted(models)])
+    distinct = cut_lineage(x.select(*lps).distinct())
+    pieces = max(1, -(-distinct.count() // CIF_ROWS))
+    return x, distinct.withColumn("_piece", F.pmod(F.xxhash64(*lps), F.lit(pieces)).cast("int")), lps
+
+
+def _on_segments(dealt: DataFrame, table: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(predictors, steps)`` for each piece of ``dealt`` (..., _piece, _bucket) and the segment that it names."""
+    pieces = (dealt.agg(F.max("_piece")).first()[0] or 0) + 1
+    copies = table.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    got = dealt.groupBy("_bucket", "_piece").cogroup(copies.groupBy("_bucket", "_piece")).applyInPandas(fn, schema)
+    return got.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in dealt.columns if c.startswith("lp")})  # pandas made NaN null
+
+
+def _inside(causes: list, pdf: pd.DataFrame, dH: np.ndarray):
+    """Chunks (rows, hazard ratios, survival from the segment's start after 0, 1, ... steps) of bounded size."""
+    each = max(1, CIF_CELLS // (dH.shape[1] + 1))
+    for a in range(0, len(pdf), each):
+        part = pdf.iloc[a:a + each]
+        r = np.exp(np.stack([part[f"lp{k}"].to_numpy(float) for k in causes], axis=1))
+        # product-limit all-cause survival, so S + sum_k CIF_k = 1 exactly
+        yield part, r, np.cumprod(np.concatenate([np.ones((len(part), 1)), np.clip(1.0 - r @ dH, 0.0, None)], axis=1), axis=1)
+
+
+def cause_specific_cif(models: dict, df: DataFrame, times: Sequence[float], key: str, steps_each: int | None = None) -> DataFrame:
     """M16/M17 for cause-specific models: per row and requested time, CIF of every
-    cause and the all-cause survival S = exp(-sum_k H_k).
+    cause and the all-cause survival.
 
     CIF_k(t|x) = sum_{u<=t} S(u-|x) dH_k(u|x) with S(u|x) = prod_{v<=u} (1 - sum_k dH_k(v|x))
-    needs every baseline step up to t;
-    the merged baseline grid (bounded by the number of distinct event times) is
-    broadcast and each Arrow batch of rows is evaluated with numpy.
+    needs every baseline step up to t, so time is cut into segments of about ``steps_each`` steps.  A
+    (segment, piece of the distinct linear predictors) is one group of a cogroup: it gives the segment's
+    survival factor and its integrals, whole and up to each requested time in it.  What the segments
+    before have left (a running product and running sums per predictor) is joined on afterwards, and
+    the answers go back to the rows by their predictors.  The baseline stays a table at every size.
+    Rows with a null covariate have survival and CIFs null or NaN; before the first step they are 1 and 0.
     """
+    causes, times = sorted(models), [float(t) for t in times]
+    table, ends = _segments(models, max(times), steps_each or CIF_STEPS)
+    x, dealt, lps = _predictors(models, df, key)
+    answer = [key, "time", "survival", *[f"cif_{k}" for k in causes]]
+    if not ends:  # no step up to the last requested time
+        at = F.explode(F.array(*[F.lit(t) for t in times])).alias("time")
+        return x.select(key, at, F.lit(1.0).alias("survival"), *[F.lit(0.0).alias(f"cif_{k}") for k in causes])
+    steps = _segment_steps(causes, ends)
+    firsts = [r["first"] for r in ends]
+    asked = {r["_bucket"]: [] for r in ends}
+    for t in times:  # each time is answered by the last segment that starts before it
+        asked[ends[max(0, int(np.searchsorted(firsts, t, side="right")) - 1)]["_bucket"]].append(t)
+
+    def segment(left, right):
+        if left.empty:
+            return pd.DataFrame({c: [] for c in [*lps, "_bucket", "p", *cs, "ts", "ps", *ins]})
+        at, dH = steps(right)
+        bucket = int(right["_bucket"].iloc[0])
+        ts = np.array(asked[bucket])
+        pos = np.searchsorted(at, ts, side="right")
+        out = []
+        for part, r, S in _inside(causes, left, dH):
+            got = part[lps].assign(_bucket=bucket, p=S[:, -1], ts=[ts] * len(part), ps=list(S[:, pos]))
+            for i, k in enumerate(causes):
+                cif = np.concatenate([np.zeros((len(part), 1)), np.cumsum(S[:, :-1] * (r[:, [i]] * dH[i][None, :]), axis=1)], axis=1)
+                got[f"c{k}"], got[f"in{k}"] = cif[:, -1], list(cif[:, pos])
+            out.append(got)
+        return pd.concat(out)
+
+    cs, ins = [f"c{k}" for k in causes], [f"in{k}" for k in causes]
+    schema = ", ".join([f"{c} double" for c in [*lps, "p", *cs]] + [f"{c} array<double>" for c in ["ts", "ps", *ins]] + ["_bucket int"])
+    where = F.explode(F.array(*[F.lit(int(r["_bucket"])) for r in ends])) if len(ends) > 1 else F.lit(int(ends[0]["_bucket"]))
+    got = _on_segments(dealt.withColumn("_bucket", where), table, segment, schema)
+    if len(ends) > 1:
+        earlier = Window.partitionBy(*lps).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        got = got.withColumn("s0", F.coalesce(F.product("p").over(earlier), F.lit(1.0)))
+        got = got.withColumns({f"c0_{k}": F.coalesce(F.sum(F.col("s0") * F.col(f"c{k}")).over(earlier), F.lit(0.0)) for k in causes})
+    else:
+        got = got.withColumns({"s0": F.lit(1.0), **{f"c0_{k}": F.lit(0.0) for k in causes}})
+    each = F.transform(F.arrays_zip("ts", "ps", *ins), lambda v: F.struct(
+        v["ts"].alias("time"), (F.col("s0") * v["ps"]).alias("survival"),
+        *[(F.col(f"c0_{k}") + F.col("s0") * v[f"in{k}"]).alias(f"cif_{k}") for k in causes]))
+    got = got.where(F.size("ts") > 0).select(*lps, each.alias("_a"))
+    return x.join(got, lps).select(key, F.explode("_a").alias("_a")).select(key, "_a.*").select(*answer)
+
+
+def cause_specific_median(models: dict, df: DataFrame, key: str, steps_each: int | None = None) -> DataFrame:
+    """(key, median_time): the first step of any cause with all-cause S <= 0.5, +inf if none, null if a predictor is
+    null.  The segments' factors say in which segment S crosses; only that one is looked through step by step."""
     causes = sorted(models)
-    spark = df.sparkSession
-    base = None
-    for k in causes:
-        b = models[k].baseline.select("time", F.col("baseline_hazard").alias(f"H{k}"))
-        base = b if base is None else base.join(b, "time", "full_outer")
-    # only steps up to the last requested time matter; one row per distinct event time
-    rows = (base.where(F.col("time") <= max(float(t) for t in times)).orderBy("time")
-            .limit(MAX_CIF_GRID + 1).collect())
-    if len(rows) > MAX_CIF_GRID:
-        raise ValueError(f"{len(rows)} baseline steps before the last requested time; "
-                         f"round the time column (at most {MAX_CIF_GRID} distinct event times)")
-    grid = np.array([r["time"] for r in rows], dtype=float)
-    H = np.zeros((len(causes), len(grid)))
-    for i, k in enumerate(causes):
-        col = np.array([np.nan if r[f"H{k}"] is None else r[f"H{k}"] for r in rows], dtype=float)
-        H[i] = pd.Series(col).ffill().fillna(0.0).to_numpy()
-    bgrid = spark.sparkContext.broadcast((grid, H))
-    lp_cols = []
-    for k in causes:
-        lp_cols.append(models[k].linear_predictor(df).alias(f"lp{k}"))
-    x = df.select(F.col(key), *lp_cols)
-    times = [float(t) for t in times]
-    idx = np.searchsorted(grid, times, side="right") - 1
-    out_schema = f"{key} {df.schema[key].dataType.simpleString()}, time double, survival double, " + \
-        ", ".join(f"cif_{k} double" for k in causes)
-
-    def fn(it):
-        g, Hm = bgrid.value
-        dH = np.diff(np.concatenate([np.zeros((Hm.shape[0], 1)), Hm], axis=1), axis=1)
-        rows_per_chunk = max(1, 4_000_000 // max(len(g), 1))  # bound the rows x grid matrices
-        sel = np.clip(idx, 0, None)
-        valid = idx >= 0
-        for whole in it:
-            for start in range(0, len(whole), rows_per_chunk):
-                pdf = whole.iloc[start:start + rows_per_chunk]
-                r = np.exp(np.stack([pdf[f"lp{k}"].to_numpy() for k in causes], axis=1))  # n x K
-                # product-limit all-cause survival, so S + sum_k CIF_k = 1 exactly
-                S = np.cumprod(np.clip(1.0 - r @ dH, 0.0, None), axis=1)
-                Sprev = np.concatenate([np.ones((len(pdf), 1)), S[:, :-1]], axis=1)
-                out = {key: np.repeat(pdf[key].to_numpy(), len(times)), "time": np.tile(times, len(pdf)),
-                       "survival": np.where(valid, S[:, sel], 1.0).reshape(-1)}
-                for i, k in enumerate(causes):
-                    cif = np.cumsum(Sprev * (r[:, [i]] * dH[i][None, :]), axis=1)
-                    out[f"cif_{k}"] = np.where(valid, cif[:, sel], 0.0).reshape(-1)
-                yield pd.DataFrame(out)
-
-    return x.mapInPandas(fn, out_schema)
+    table, ends = _segments(models, None, steps_each or CIF_STEPS)
+    x, dealt, lps = _predictors(models, df, key)
+    if not ends:
+        return x.select(key, F.lit(math.inf).alias("median_time"))
+    steps = _segment_steps(causes, ends)
+
+    def factor(left, right):
+        if left.empty:
+            return pd.DataFrame({c: [] for c in [*lps, "_piece", "_bucket", "p"]})
+        _, dH = steps(right)
+        return pd.concat([part[[*lps, "_piece", "_bucket"]].assign(p=S[:, -1]) for part, _, S in _inside(causes, left, dH)])
+
+    def crossing(left, right):
+        if left.empty:
+            return pd.DataFrame({c: [] for c in [*lps, "median_time"]})
+        at, dH = steps(right)
+        out = []
+        for part, _, S in _inside(causes, left, dH):
+            low = part["s0"].to_numpy(float)[:, None] * S[:, 1:] <= 0.5
+            out.append(part[lps].assign(median_time=at[low.argmax(axis=1)]))
+        return pd.concat(out)
+
+    predictors = ", ".join(f"{c} double" for c in lps)
+    where = F.explode(F.array(*[F.lit(int(r["_bucket"])) for r in ends]))
+    got = _on_segments(dealt.withColumn("_bucket", where), table, factor, f"{predictors}, _piece int, _bucket int, p double")
+    earlier = Window.partitionBy(*lps).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.withColumn("s0", F.coalesce(F.product("p").over(earlier), F.lit(1.0)))
+    got = cut_lineage(got.where((F.col("s0") > 0.5) & (F.col("s0") * F.col("p") <= 0.5)))
+    found = _on_segments(got, table, crossing, f"{predictors}, median_time double")
+    unknown = F.isnan(sum((F.col(c) for c in lps), F.lit(0.0)))
+    return x.join(found, lps, "left").select(key, F.when(~unknown, F.coalesce("median_time", F.lit(math.inf))).alias("median_time"))
 
 
 def competing_importance(models: dict, spark) -> DataFrame:

@@ -16,25 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.operators.medians import event_times, first_at_level
+
 ALIASES = {"cox": "cox_ph", "weibull_aft": "aft", "boosted_cox": "gradient_boosting",
            "deephit": "neural_discrete", "xgboost": "gradient_boosting", "lightgbm": "gradient_boosting"}
 KINDS = ("kaplan_meier", "cox_ph", "aft", "aalen_additive", "frailty", "gradient_boosting",
          "random_survival_forest", "deepsurv", "neural", "neural_discrete", "bayesian", "competing_risks", "multi_state")
 
 
-#: Event times at which forests, Bayesian and competing-risks models look for a median (a parameter:
-#: ``median_points``); all of them where there are no more, else their even quantiles.
-MEDIAN_POINTS = 200
-
-
-def event_time_points(df: DataFrame, time: str, event: str, n: int) -> list[float]:
-    times = df.where(F.col(event) > 0).select(F.col(time).cast("double").alias("t")).distinct()
-    few = sorted(r["t"] for r in times.limit(n + 1).collect())
-    if len(few) <= n:
-        return few or [0.0]
-    return sorted(set(times.approxQuantile("t", [(i + 1) / n for i in range(n)], 0.25 / n)))
-
-
 class SurvivalEstimator:
     def __init__(self, kind: str, **params):
         kind = ALIASES.get(kind, kind)
@@ -53,9 +42,8 @@ class SurvivalEstimator:
     def fit(self, df: DataFrame, time: str, event: str, features: Sequence[str], id_col: str = "id"):
         self.features, self.id_col, self.time, self.event = list(features), id_col, time, event
         p = dict(self.params)
-        n_points = int(p.pop("median_points", MEDIAN_POINTS))
-        if self.kind in ("random_survival_forest", "bayesian", "competing_risks"):
-            self._median_times = event_time_points(df, time, event, n_points)
+        if self.kind in ("random_survival_forest", "bayesian"):
+            self._event_times = event_times(df, time, event).persist()
         k = self.kind
         if k == "kaplan_meier":
             from eventide.operators.risk import kaplan_meier
@@ -214,9 +202,14 @@ class SurvivalEstimator:
             return additive_risk(m, df, [key], never=math.inf).select(key, "median_time")
         if k == "neural":  # Weibull: S(t) = exp(-(t / e^f)^k)
             return m.score(df, [key]).select(key, (F.exp("f") * math.log(2.0) ** math.exp(-m.log_shape)).alias("median_time"))
-        s = self.predict_survival(df, self._median_times, [key])
-        return s.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))),
-                                             F.lit(math.inf)).alias("median_time"))
+        if k == "competing_risks" and self._cause_specific:
+            from eventide.operators.competing import cause_specific_median
+            return cause_specific_median(m, df, key)
+        if k == "competing_risks":  # 1 - CIF = exp(-H0 exp(lp))
+            from eventide.operators.cox import median_from_baseline
+            return median_from_baseline(m.baseline, self.predict_risk(df, [key]), key)
+        x = df.select(key, *[f for f in self.features if f != key])
+        return first_at_level(x, key, self._event_times, m.survival_at)
 
     def feature_importance(self, spark) -> DataFrame:
         k, m = self.kind, self.model
