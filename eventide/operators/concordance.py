@@ -9,7 +9,9 @@ Plan (all pair counts exact):
 2. cut time into key buckets and risk into risk buckets (quantiles; a value
    heavy enough to be a cut gets its own bucket);
 3. pairs in different key *and* different risk buckets come from the
-   (bucket x bucket) count matrix — bounded by buckets^2 numbers;
+   (bucket x bucket) count matrix; a large one is summed over blocks of buckets first, and the pairs
+   inside a block are counted by the same three kinds of groups as below (``_cross_tree``).  The number of
+   buckets grows with the rows, without a cap;
 4. pairs in the same key bucket and the same risk bucket: one group per cell;
 5. pairs in the same key bucket but different risk buckets: one group per key
    bucket over rows pre-aggregated to (key, risk bucket) — a key bucket made of
@@ -33,9 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_GROUP = 20_000
-MAX_BUCKETS = 4096
-# (groups x buckets^2) cell matrices up to this size are summed with numpy on the driver;
-# larger ones are prefix-summed in Spark on a dense grid.
+# (groups x buckets^2) cell matrices up to this size are summed with numpy on the driver; of larger ones
+# only the matrix of blocks of buckets is (``_cross_tree``).
 DRIVER_CELLS = 1_000_000
 
 
@@ -156,7 +157,7 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
     if by:  # buckets for the largest group, not the mean one
         n_groups, largest = g.groupBy(*by).count().agg(F.count(F.lit(1)), F.max("count")).first()
     if n_buckets is None:
-        n_buckets = int(min(MAX_BUCKETS, max(1, math.ceil((largest or 0) / ROWS_PER_GROUP))))
+        n_buckets = max(1, math.ceil((largest or 0) / ROWS_PER_GROUP))
     ks, rs = _splits2(g, ["time", "risk"], n_buckets)
     gb = _bucket(_bucket(g, "time", "kb", ks), "risk", "rb", rs).persist()
     nk, nr = len(ks) - 1, len(rs) - 1
@@ -167,7 +168,7 @@ def concordance_by(df: DataFrame, by: list[str], time: str = "t", event: str = "
     if n_groups * nk * nr <= DRIVER_CELLS:
         cross = _cross_driver(cells, by, nk, nr)
     else:
-        cross = _cross_spark(cells, by, nk, nr)
+        cross = _cross_tree(cells.persist(), by, nk, nr, max(2, math.isqrt(DRIVER_CELLS // n_groups)))
     schema_by = ", ".join(f"{b} {g.schema[b].dataType.simpleString()}" for b in by)
     schema = (schema_by + ", " if by else "") + "conc double, disc double, tied double"
     cols = [*by, "time", "event", "risk", "w", "kb"]
@@ -234,23 +235,41 @@ def _cross_driver(cells: DataFrame, by: list[str], nk: int, nr: int) -> dict:
     return cross
 
 
-def _cross_spark(cells: DataFrame, by: list[str], nk: int, nr: int) -> dict:
-    """Same sums as ``_cross_driver`` with windows over a dense (group, kb, rb) grid."""
-    from pyspark.sql import Window
-    grid = (cells.select(*by).distinct()
-            .withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(nk - 1))))
-            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))))
-    g = grid.join(cells, [*by, "kb", "rb"], "left").fillna(0.0, ["n_all", "n_ev"])
-    wk = Window.partitionBy(*by, "rb").orderBy(F.col("kb").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_gsum", F.coalesce(F.sum("n_all").over(wk), F.lit(0.0)))
-    wr = Window.partitionBy(*by, "kb").orderBy("rb")
-    g = (g.withColumn("below", F.coalesce(F.sum("_gsum").over(wr.rowsBetween(Window.unboundedPreceding, -1)),
-                                          F.lit(0.0)))
-          .withColumn("above", F.coalesce(F.sum("_gsum").over(wr.rowsBetween(1, Window.unboundedFollowing)),
-                                          F.lit(0.0))))
-    out = g.groupBy(*by).agg(F.sum(F.col("n_ev") * F.col("below")).alias("c"),
-                             F.sum(F.col("n_ev") * F.col("above")).alias("d"))
-    return {tuple(r[b] for b in by): (float(r["c"]), float(r["d"])) for r in out.collect()}
+def _strict_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of cells (kb, rb, n_all, n_ev) that differ in both buckets."""
+    kb, rb = pdf["kb"].to_numpy(), pdf["rb"].to_numpy()
+    _, rank = np.unique(-kb, return_inverse=True)  # a larger time bucket contributes
+    _, risk_rank = np.unique(rb, return_inverse=True)
+    c, d, _ = dominance_counts(rank.astype(np.int64), risk_rank.astype(np.int64), pdf["n_all"].to_numpy(float), pdf["n_ev"].to_numpy(float))
+    return pd.DataFrame({"c": [c], "d": [d]})
+
+
+def _cross_tree(cells: DataFrame, by: list[str], nk: int, nr: int, side: int) -> dict:
+    """Same sums as ``_cross_driver`` for any number of buckets: both kinds are joined to at most ``side``
+    blocks.  Pairs of different time blocks and risk blocks come from the (block x block) matrix; of the
+    rest, pairs inside one cell of blocks, in one time block (over rows summed to its buckets x risk
+    blocks) and in one risk block (time blocks x its buckets) are one group each, so a group holds at
+    most about ``side`` x buckets / ``side`` cells."""
+    n = ["n_all", "n_ev"]
+    x = cells.withColumns({"K": F.floor(F.col("kb") / -(-nk // side)).cast("int"), "R": F.floor(F.col("rb") / -(-nr // side)).cast("int")})
+    total = _cross_driver(x.groupBy(*by, F.col("K").alias("kb"), F.col("R").alias("rb")).agg(*[F.sum(c).alias(c) for c in n]), by, side, side)
+    schema = "".join(f"{b} {cells.schema[b].dataType.simpleString()}, " for b in by) + "c double, d double"
+
+    def run(pdf):
+        out = _strict_counts(pdf)
+        for b in by:
+            out[b] = pdf[b].iloc[0]
+        return out[[*by, "c", "d"]]
+
+    inside = x.select(*by, "K", "R", "kb", "rb", *n).groupBy(*by, "K", "R").applyInPandas(run, schema)
+    same_k = x.groupBy(*by, "K", "kb", F.col("R").alias("rb")).agg(*[F.sum(c).alias(c) for c in n]).groupBy(*by, "K").applyInPandas(run, schema)
+    same_r = x.groupBy(*by, "R", F.col("K").alias("kb"), "rb").agg(*[F.sum(c).alias(c) for c in n]).groupBy(*by, "R").applyInPandas(run, schema)
+    rest = inside.unionByName(same_k).unionByName(same_r).groupBy(*by).agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    for r in rest.collect():
+        k = tuple(r[b] for b in by)
+        c, d = total.get(k, (0.0, 0.0))
+        total[k] = c + r["c"], d + r["d"]
+    return total
 
 
 def concordance_table(df: DataFrame, time: str = "t", event: str = "e", risk: str = "risk",

@@ -108,3 +108,22 @@ def test_heavy_risk_value_is_summed_before_its_group(spark):
     gb = C._bucket(C._bucket(g, "time", "kb", ks), "risk", "rb", rs)
     per = gb.groupBy("rb", "kb", "risk", "event").count().groupBy("rb").count().agg(F.max("count")).first()[0]
     assert per <= n // 6
+
+
+def test_many_buckets_of_few_rows_exact(spark, monkeypatch):
+    """Groups of about 100 rows and blocks of buckets: no cap, the same counts; a tied third and weights too."""
+    from eventide.operators import concordance as C
+    rng = np.random.default_rng(11)
+    n = 3000
+    t = np.where(rng.random(n) < 0.3, 50, rng.integers(1, 900, n)).astype(float)
+    e, r = rng.integers(0, 2, n), np.where(rng.random(n) < 0.3, 7, rng.integers(0, 700, n)).astype(float)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, r)], "t double, e int, risk double")
+    want = concordance(df, n_buckets=1)
+    monkeypatch.setattr(C, "ROWS_PER_GROUP", 100)
+    monkeypatch.setattr(C, "DRIVER_CELLS", 25)  # 5 x 5 blocks
+    seen = []
+    original = C._cross_tree
+    monkeypatch.setattr(C, "_cross_tree", lambda cells, by, nk, nr, side: seen.append((nk, side)) or original(cells, by, nk, nr, side))
+    got = concordance(df)
+    assert seen and seen[0][0] > 25 and seen[0][1] == 5
+    assert {k: got[k] for k in want} == pytest.approx(want)
