@@ -1,7 +1,9 @@
 """Profiling, role detection and validation of a table (P-rows).
 
 Every statistic over all columns is one ``agg`` (a single scan); the wide
-result row is unpivoted with ``stack`` into one row per column.  Medians and
+result row is unpivoted with ``stack`` into one row per column.  Distinct counts and medians of
+``column_stats`` come from one pass of value counts (column, value) with a map-side
+combine (``value_counts``).  Medians and
 percentiles are exact at every size (``operators/quantiles``); sketches
 (HyperLogLog++, ``percentile_approx``) are used only where the caller asks
 for them with ``exact=False``.
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.operators.quantiles import column_quantiles
+from eventide.operators.quantiles import column_quantiles, counts_quantiles
 
 # Name fragments used to guess column roles.
 TEMPORAL_WORDS = ("time", "date", "year", "month", "day")
@@ -45,22 +47,59 @@ def _q(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
+def value_counts(df: DataFrame) -> DataFrame:
+    """(_col, _value, _text, _n): each non-null value of each column (by its number) and how often it occurs.
+
+    Numbers are in ``_value``; a type that doubles do not hold exactly has its text in ``_text`` as well."""
+    values = []
+    for i, f in enumerate(df.schema.fields):
+        c, t = F.col(_q(f.name)), f.dataType
+        number = F.nanvl(c.cast("double"), F.lit(float("nan"))) + 0.0 if is_numeric_type(t) else F.lit(None).cast("double")
+        if isinstance(t, (T.LongType, T.DecimalType)) or isinstance(t, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            text = c.cast("string")
+        elif is_numeric_type(t):
+            text = F.lit(None).cast("string")
+        elif isinstance(t, T.BinaryType):
+            text = F.hex(c)
+        else:
+            text = F.to_json(F.struct(c.alias("v"))) if isinstance(t, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")
+        values.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("c"), number.alias("v"), text.alias("s"))))
+    x = df.select(F.explode(F.filter(F.array(*values), lambda v: v.isNotNull())).alias("x"))
+    return x.groupBy(F.col("x.c").alias("_col"), F.col("x.v").alias("_value"), F.col("x.s").alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _distinct_and_medians(df: DataFrame, numeric: Sequence[str]) -> tuple[dict, dict]:
+    """Exact distinct counts of all columns and medians of the numeric ones, from one pass of value counts."""
+    names = df.columns
+    counts = value_counts(df).persist()
+    found = {r["_col"]: r["n"] for r in counts.groupBy("_col").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+    row = None
+    if numeric:
+        at = [names.index(c) for c in numeric]
+        place = F.element_at(F.create_map(*[F.lit(v) for pair in zip(at, range(len(at)), strict=True) for v in pair]), F.col("_col"))
+        numbers = counts.where(F.col("_col").isin(at)).groupBy(place.alias("_col"), "_value").agg(F.sum("_n").alias("_n"))
+        row = counts_quantiles(numbers, len(at), [0.5]).first()
+    counts.unpersist()
+    medians = {c: row[f"q{i}_0"] if row else None for i, c in enumerate(numeric)}
+    return {c: found.get(i, 0) for i, c in enumerate(names)}, medians
+
+
 def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column with type flags, missing, distinct, min/max/mean/median.
 
     ``exact=False`` asks for sketches of the distinct counts and medians."""
     fields = df.schema.fields
     numeric = [f.name for f in fields if is_numeric_type(f.dataType)]
-    medians = column_quantiles(df, numeric, [0.5]) if exact and numeric else {}
+    distinct, medians = _distinct_and_medians(df, numeric) if exact and fields else ({}, {})
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = F.col(_q(f.name))
         aggs.append(F.count(c).alias(f"nn_{i}"))
-        aggs.append((F.countDistinct(c) if exact else F.approx_count_distinct(c)).alias(f"nd_{i}"))
+        aggs.append((F.lit(distinct[f.name]) if exact else F.approx_count_distinct(c)).alias(f"nd_{i}"))
         if is_numeric_type(f.dataType):
             x = c.cast("double")
             aggs += [F.min(x).alias(f"mn_{i}"), F.max(x).alias(f"mx_{i}"), F.avg(x).alias(f"av_{i}"),
-                     (F.lit(medians[f.name][0]).cast("double") if exact
+                     (F.lit(medians[f.name]).cast("double") if exact
                       else F.percentile_approx(x, 0.5, 10000).cast("double")).alias(f"md_{i}")]
     wide = df.agg(*aggs)
     rows_expr = []
@@ -78,7 +117,7 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     stack = f"stack({len(fields)}, " + ", ".join(rows_expr) + ") AS (column_name, dtype, is_numeric, " \
         "is_temporal, is_time_to_event, is_event_indicator, missing, n_distinct, min, max, mean, median)"
     out = wide.selectExpr("_rows", stack)
-    cat = (~F.col("is_numeric")) & (F.col("n_distinct") / F.col("_rows") < CATEGORICAL_RATIO)
+    cat = (~F.col("is_numeric")) & (F.try_divide(F.col("n_distinct"), F.col("_rows")) < CATEGORICAL_RATIO)
     return out.select("column_name", "dtype", "is_numeric", F.coalesce(cat, F.lit(False)).alias(
         "is_categorical"), "is_temporal", "is_time_to_event", "is_event_indicator",
         F.col("missing").cast("long").alias("missing"), F.col("n_distinct").cast("long").alias("n_distinct"),

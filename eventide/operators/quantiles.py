@@ -33,6 +33,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                                  for i, c in enumerate(cols)])).alias("_x")
     counts = (df.select(*key, values).select(*names, F.col("_x.i").alias("_col"), F.col("_x.v").alias("_value"))
               .where(F.col("_value").isNotNull()).groupBy(*names, "_col", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    out = counts_quantiles(counts, len(cols), probs, names, force_two_level)
+    return out.withColumnRenamed("_by", by) if by else out
+
+
+def counts_quantiles(counts: DataFrame, n_cols: int, probs: Sequence[float], names: Sequence[str] = (),
+                     force_two_level: bool | None = None) -> DataFrame:
+    """The quantiles ``q{i}_{j}`` from value counts (names..., _col, _value, _n), _col from 0 to ``n_cols`` - 1."""
+    names = list(names)
     upto = cumulative(counts, "_value", [*names, "_col"], sums={"_upto": "_n"}, force_two_level=force_two_level)
     total = counts.groupBy(*names, "_col").agg(F.sum("_n").alias("_total"))
     total = total.select(*[F.col(n).alias(f"{n}_t") for n in [*names, "_col"]], "_total")
@@ -41,7 +49,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         same = same & F.col(n).eqNullSafe(F.col(f"{n}_t"))
     ranked = upto.join(total, same).withColumn("_before", F.col("_upto") - F.col("_n"))
     aggs = []
-    for i in range(len(cols)):
+    for i in range(n_cols):
         for j, p in enumerate(probs):
             at = F.lit(float(p)) * (F.col("_total") - 1)
             for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
@@ -49,8 +57,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 aggs.append(F.max(F.when(here, F.col("_value"))).alias(f"{side}{i}_{j}"))
             aggs.append(F.max(F.when(F.col("_col") == i, at - F.floor(at))).alias(f"part{i}_{j}"))
     wide = ranked.groupBy(*names).agg(*aggs)
-    out = [F.col("_by").alias(by)] if by else []
-    for i in range(len(cols)):
+    out = [F.col(n) for n in names]
+    for i in range(n_cols):
         for j in range(len(probs)):
             lo, hi, part = (F.col(f"{s}{i}_{j}") for s in ("lo", "hi", "part"))
             out.append(F.when((part == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * part).alias(f"q{i}_{j}"))
