@@ -388,43 +388,58 @@ def cox_partial_loglik(df: DataFrame, time: str, event: str, features: Sequence[
 
 def robust_variance(model: CoxModel, df: DataFrame, time: str, event: str,
                     cluster: str | None = None) -> np.ndarray:
-    """M04 ``robust``: sandwich variance I^-1 (sum U U') I^-1 from Breslow-form score residuals.
-
-    U_i = E_i (x_i - xbar(T_i)) - w_i (x_i A(T_i) - B(T_i)), A = sum d/S0, B = sum d S1/S0^2,
-    summed per cluster first when ``cluster`` is given.  One time table, one join, one p x p aggregate.
+    """M04 ``robust``: sandwich variance I^-1 (sum U U') I^-1 from score residuals, with the model's way of ties.
+
+    At a time with d events the l-th (l = 0 .. d - 1) has f = l / d, z = S0 - f D0 and mean (S1 - f D1) / z, where D0
+    and D1 sum over the events; Breslow has f = 0.  A row at risk contributes -w (x - mean) / z of each, a row with
+    its event there only the share 1 - f, and x less the average mean.  So with running sums over time
+        U_i = E_i (x_i - xbar) - w_i (x_i A(T_i) - B(T_i)) + E_i w_i (x_i c - b'),
+    a = sum 1/z, b = sum mean/z, c = sum f/z, b' = sum f mean/z, and A, B the sums of a, b up to T_i.
+    U is summed per cluster first when ``cluster`` is given.  One time table, one join, p x p products in NumPy batches.
     """
     feats = model.features
     p = len(feats)
+    off = model.offset
     xs = [(F.col(f).cast("double") - float(model.means[j])).alias(f"x{j}") for j, f in enumerate(feats)]
     X = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"),
-                  *([F.col(cluster).alias("_cl")] if cluster else []), *xs)
-    eta = F.lit(0.0)
+                  *([F.col(cluster).alias("_cl")] if cluster else []), *([F.col(off).cast("double").alias("_off")] if off else []), *xs)
+    eta = F.col("_off") if off else F.lit(0.0)
     for j in range(p):
         eta = eta + F.col(f"x{j}") * float(model.coef[j])
     X = X.withColumn("w", F.exp(eta))
-    tt = X.groupBy(F.col("t").alias("time")).agg(F.sum("e").alias("d"), F.sum("w").alias("S0p"),
-                                                 *[F.sum(F.col("w") * F.col(f"x{j}")).alias(f"S1p{j}")
-                                                   for j in range(p)])
+    e, w = F.col("e"), F.col("w")
+    tt = X.groupBy(F.col("t").alias("time")).agg(
+        F.sum("e").alias("d"), F.sum("w").alias("S0p"), F.sum(e * w).alias("D0"),
+        *[F.sum(w * F.col(f"x{j}")).alias(f"S1p{j}") for j in range(p)], *[F.sum(e * w * F.col(f"x{j}")).alias(f"D1{j}") for j in range(p)])
     tt = cumulative(tt, "time", [], sums={"S0": "S0p", **{f"S1{j}": f"S1p{j}" for j in range(p)}},
-                    descending=True)
-    tt = tt.withColumn("a", F.col("d") / F.col("S0"))
+                    descending=True).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = tt
+    n_times, most = tt.agg(F.count(F.lit(1)), F.max("d")).first()
+    # times without an event add nothing to any sum
+    zero = {c: F.when(F.col("d") > 0, F.col(c)).otherwise(0.0) for c in ("a", "c", "q0", "q1", "q2")}
+    tt = _efron_terms(tt, p, model.ties, int(most or 0)).withColumns(zero)
     for j in range(p):
-        tt = tt.withColumn(f"b{j}", F.col("d") * F.col(f"S1{j}") / (F.col("S0") * F.col("S0")))
-        tt = tt.withColumn(f"xb{j}", F.col(f"S1{j}") / F.col("S0"))
+        s1, d1 = F.col(f"S1{j}"), F.col(f"D1{j}")
+        tt = tt.withColumns({f"b{j}": s1 * F.col("q0") - d1 * F.col("q1"), f"bp{j}": s1 * F.col("q1") - d1 * F.col("q2"),
+                             f"xb{j}": F.when(F.col("d") > 0, (s1 * F.col("a") - d1 * F.col("c")) / F.col("d")).otherwise(0.0)})
     tt = cumulative(tt, "time", [], sums={"A": "a", **{f"B{j}": f"b{j}" for j in range(p)}})
-    tt = tt.select(F.col("time").alias("_t"), "A", *[f"B{j}" for j in range(p)], *[f"xb{j}" for j in range(p)])
-    j_ = X.join(F.broadcast(tt) if tt.count() <= BROADCAST_TIMES else tt, X["t"] == tt["_t"])
-    U = [(F.col("e") * (F.col(f"x{j}") - F.col(f"xb{j}"))
-          - F.col("w") * (F.col(f"x{j}") * F.col("A") - F.col(f"B{j}"))).alias(f"u{j}") for j in range(p)]
+    tt = tt.select(F.col("time").alias("_t"), "A", "c", *[f"{n}{j}" for n in ("B", "bp", "xb") for j in range(p)])
+    j_ = X.join(F.broadcast(tt) if n_times <= BROADCAST_TIMES else tt, X["t"] == tt["_t"])
+    U = [(e * (F.col(f"x{j}") - F.col(f"xb{j}")) - w * (F.col(f"x{j}") * F.col("A") - F.col(f"B{j}"))
+          + e * w * (F.col(f"x{j}") * F.col("c") - F.col(f"bp{j}"))).alias(f"u{j}") for j in range(p)]
     u = j_.select(*([F.col("_cl")] if cluster else []), *U)
     if cluster:
         u = u.groupBy("_cl").agg(*[F.sum(f"u{j}").alias(f"u{j}") for j in range(p)])
-    row = u.agg(*[F.sum(F.col(f"u{a}") * F.col(f"u{b}")).alias(f"m{a}_{b}")
-                  for a in range(p) for b in range(a, p)]).first()
-    meat = np.zeros((p, p))
-    for a in range(p):
-        for b in range(a, p):
-            meat[a, b] = meat[b, a] = row[f"m{a}_{b}"] or 0.0
+    us = [f"u{j}" for j in range(p)]
+
+    def products(it):
+        for pdf in it:
+            if len(pdf):
+                m = np.nan_to_num(pdf[us].to_numpy(float))
+                yield pd.DataFrame({"v": [(m.T @ m).ravel()]})
+
+    meat = _sum_rows(u.select(*us).mapInPandas(products, "v array<double>"), p * p, True).reshape(p, p)
+    sums.unpersist()
     bread = model.variance
     return bread @ meat @ bread
 
