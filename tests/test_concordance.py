@@ -127,3 +127,50 @@ def test_many_buckets_of_few_rows_exact(spark, monkeypatch):
     got = concordance(df)
     assert seen and seen[0][0] > 25 and seen[0][1] == 5
     assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n_buckets", [1, 4, 9])
+def test_replicate_counts_equal_weighted_concordance(spark, n_buckets):
+    """All replicates in one pass equal a weighted concordance of each, heavy times and risks and their cell too."""
+    from eventide.operators.concordance import replicate_counts
+    rng = np.random.default_rng(4)
+    n, n_boot = 600, 5
+    t = np.where(rng.random(n) < 0.5, 20.0, rng.integers(1, 60, n)).astype(float)
+    e, r = rng.integers(0, 2, n), np.where(rng.random(n) < 0.5, 3.0, rng.normal(size=n).round(1))
+    w = rng.integers(0, 4, (n, n_boot)).astype(np.uint8)
+    df = spark.createDataFrame([(i, float(a), int(b), float(c)) for i, (a, b, c) in enumerate(zip(t, e, r))], "id long, t double, e int, risk double")
+    got = {x["rep"]: x for x in replicate_counts(df, n_boot, lambda ids: w[[int(i) for i in ids]], n_buckets=n_buckets)}
+    assert sorted(got) == list(range(n_boot))
+    for k in range(n_boot):
+        weighted = df.withColumn("w", F.element_at(F.lit([int(v) for v in w[:, k]]), F.col("id").cast("int") + 1))
+        want = concordance(weighted, weight="w", n_buckets=1)
+        assert (got[k]["conc"], got[k]["disc"], got[k]["tied"]) == (want["concordant"], want["discordant"], want["tied_risk"])
+        assert got[k]["weight"] == w[:, k].sum()
+
+
+def test_groups_grow_with_buckets_not_cells(spark, monkeypatch):
+    """One group per risk bucket and per time bucket: with a group per cell there were buckets squared."""
+    from eventide.operators import concordance as C
+    rng = np.random.default_rng(6)
+    n = 900
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(rng.random(n), rng.integers(0, 2, n), rng.normal(size=n))],
+                               "t double, e int, risk double")
+    want = concordance(df, n_buckets=1)
+    groups = spark.sparkContext.accumulator(0)
+    original = C._group_counts
+
+    def counted(pdf, by_key_rank):
+        groups.add(1)
+        return original(pdf, by_key_rank)
+    monkeypatch.setattr(C, "_group_counts", counted)
+    got = concordance(df, n_buckets=10)
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    assert groups.value <= 4 * 10
+
+
+def test_missing_times_and_risks_in_many_buckets(spark):
+    """Missing values stopped the bucketed count (index out of bounds); now as in one bucket."""
+    rows = [(float(i % 37), i % 2, float(i * 7 % 41)) for i in range(400)] + [(None, 1, 3.0), (12.0, 1, None)]
+    df = spark.createDataFrame(rows, "t double, e int, risk double")
+    one, many = concordance(df, n_buckets=1), concordance(df, n_buckets=5)
+    assert {k: many[k] for k in one} == pytest.approx(one)
