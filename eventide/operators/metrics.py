@@ -8,14 +8,16 @@ aggregate (one column per horizon) instead of exploding rows per horizon.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.exprs import hash_unit
+from eventide.functions.exprs import TWO_32
 from eventide.operators.quantiles import column_quantiles
 from eventide.plans.scan import SINGLE_WINDOW_MAX_ROWS, cumulative
 
@@ -163,19 +165,35 @@ def poisson_weight(u: F.Column) -> F.Column:
     return expr
 
 
+def poisson_weights(ids: Sequence[str | None], n_boot: int, seed: int) -> np.ndarray:
+    """``poisson_weight`` of md5(seed:rep:id), ids x replicates; a missing id leaves seed:rep."""
+    tails = [b"" if i is None else b":" + i.encode() for i in ids]
+    out = np.empty((len(tails), n_boot), np.uint8)
+    for rep in range(n_boot):
+        start = hashlib.md5(f"{seed}:{rep}".encode())
+        drawn = bytearray()
+        for tail in tails:
+            h = start.copy()
+            h.update(tail)
+            drawn += h.digest()[:4]
+        out[:, rep] = np.searchsorted(_POIS_CDF, np.frombuffer(drawn, ">u4") / TWO_32, side="right")
+    return out
+
+
 def bootstrap_ci(df: DataFrame, id_col: str = "id", time: str = "t", event: str = "e",
                  risk: str = "risk", n_boot: int = 100, seed: int = 42, level: float = 0.95) -> dict:
     """Percentile interval of the c-index over Poisson(1)-weighted replicates.
 
     Replicate weights are md5(seed:rep:id) draws, so each replicate differs and
-    the whole set is reproducible; all replicates are scored in one grouped job.
+    the whole set is reproducible.  Rows carry all their weights and are not copied once a replicate.
     """
-    from eventide.operators.concordance import concordance_by
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    x = df.select(id_col, time, event, risk, reps)
-    u = hash_unit(seed, F.concat_ws(":", F.col("rep").cast("string"), F.col(id_col).cast("string")))
-    x = x.withColumn("bw", poisson_weight(u))
-    per = concordance_by(x, ["rep"], time, event, risk, weight="bw")
+    from eventide.operators.concordance import replicate_counts
+    rows = []
+    for r in replicate_counts(df, n_boot, lambda ids: poisson_weights(ids, n_boot, seed), id_col, time, event, risk):
+        pairs = r["conc"] + r["disc"] + r["tied"]
+        if r["weight"] > 0:  # a replicate that drew no row has no index
+            rows.append(((r["conc"] + 0.5 * r["tied"]) / pairs if pairs > 0 else float("nan"),))
+    per = df.sparkSession.createDataFrame(rows, "c_index double")
     a = (1 - level) / 2
     q = per.agg(F.percentile("c_index", [a, 1 - a]).alias("q"), F.avg("c_index").alias("m")).first()
     return {"lower": q["q"][0], "upper": q["q"][1], "mean": q["m"], "replicates": n_boot}
