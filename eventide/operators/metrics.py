@@ -216,10 +216,27 @@ def brier_long(pred: DataFrame, rows: DataFrame, id_col: str, time: str = "t", e
     """E02 on long predictions (id, time = horizon, survival): one group per horizon."""
     G = G if G is not None else censoring_km(rows, time, event)
     horizons = [r["time"] for r in pred.select("time").distinct().collect()]  # the requested grid
+    return _brier_means(pred.join(with_outcome(rows, id_col, time, event, G), id_col, "inner"), horizons, G)
+
+
+def with_outcome(rows: DataFrame, id_col: str, time: str, event: str, G: DataFrame) -> DataFrame:
+    """(id, _T, _E, _G_T): what a Brier score needs of each row."""
+    return _with_gt(rows.select(id_col, F.col(time).alias("_T"), F.col(event).alias("_E")), G, "_T")
+
+
+def brier_of(est, rows: DataFrame, horizons: Sequence[float], id_col: str, time: str = "t", event: str = "e") -> DataFrame:
+    """E02 of a fitted estimator: outcomes are joined to the rows, not to their predictions (rows x horizons),
+    which are averaged where they are made."""
+    G = censoring_km(rows, time, event)
+    outcome = with_outcome(rows, id_col, time, event, G)
+    pred = est.predict_survival(rows.join(outcome, id_col, "inner"), horizons, [id_col, "_T", "_E", "_G_T"])
+    return _brier_means(pred, sorted(set(horizons)), G)
+
+
+def _brier_means(j: DataFrame, horizons: Sequence[float], G: DataFrame) -> DataFrame:
     gh = g_at(G, horizons)
     ghm = F.create_map(*[x for h, g in zip(horizons, gh) for x in (F.lit(float(h)), F.lit(float(g)))])
-    base = _with_gt(rows.select(id_col, F.col(time).alias("_T"), F.col(event).alias("_E")), G, "_T")
-    j = pred.join(base, id_col, "inner").withColumn("_gh", F.element_at(ghm, F.col("time")))
+    j = j.withColumn("_gh", F.element_at(ghm, F.col("time")))
     S = F.col("survival")
     case = F.when((F.col("_T") <= F.col("time")) & (F.col("_E") == 1),
                   F.coalesce(F.try_divide(S * S, F.col("_G_T")), F.lit(0.0)))

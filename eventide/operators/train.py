@@ -42,8 +42,7 @@ def evaluate(est, test: DataFrame, time: str, event: str, id_col: str, grid_poin
     r = est.predict_risk(test, [id_col, time, event])
     c = concordance(r, time, event, "risk")
     grid = M.brier_grid(test, time, event, grid_points)
-    pred = est.predict_survival(test, grid, [id_col])
-    b = M.brier_long(pred, test, id_col, time, event).collect()
+    b = M.brier_of(est, test, grid, id_col, time, event).collect()
     ibs = M.integrate([(x["time"], x["brier"]) for x in b])
     return {"c_index": c["c_index"], "ibs": ibs, "n": test.count()}
 
@@ -58,7 +57,7 @@ def full_metrics(est, test: DataFrame, time: str, event: str, id_col: str, grid_
     risks = est.predict_risk(test, [id_col, time, event]).persist(StorageLevel.MEMORY_AND_DISK)
     ci = M.bootstrap_ci(risks, id_col, time, event, "risk", n_boot, seed)
     times = [t for t in M.evaluation_times(test, time, event) if t > 0]
-    brier = M.brier_long(est.predict_survival(test, times, [id_col]), test, id_col, time, event)
+    brier = M.brier_of(est, test, times, id_col, time, event)
     auc = M.dynamic_auc(risks, times, "risk", time, event)
     at_times = test.sparkSession.createDataFrame(  # one row per evaluation time
         sorted(tuple(r) for r in brier.join(auc, "time", "full_outer").select("time", "brier", "auc").collect()),

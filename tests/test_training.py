@@ -57,3 +57,20 @@ def test_aft_l1_shrinks_to_zero(rows):
     ridge = aft_fit(x, "t", "e", ["x", "noise"], penalizer=0.2, l1_ratio=0.0, with_concordance=False)
     assert abs(lasso.coef[1]) < 1e-2 < abs(plain.coef[0]) and abs(lasso.coef[0]) < abs(plain.coef[0]) and abs(ridge.coef[0]) < abs(plain.coef[0])
     assert math.isfinite(lasso.loglik)
+
+
+def test_brier_of_joins_outcomes_before_predictions(spark):
+    """Same scores as over the long predictions, and the outcomes are joined to the rows: the plan has no
+    join above the explode (rows x horizons were shuffled or broadcast before)."""
+    from eventide.operators import metrics as M
+    from eventide.operators.factory import make_model
+    from eventide.plans.q_models import cox_data
+    from tests.conftest import SF_SMALL
+    data, feats = cox_data(spark, SF_SMALL)
+    est = make_model("cox_ph").fit(data, "t", "e", feats)
+    grid = M.brier_grid(data, "t", "e", 20)
+    got = M.brier_of(est, data, grid, "id")
+    want = {r["time"]: r["brier"] for r in M.brier_long(est.predict_survival(data, grid, ["id"]), data, "id").collect()}
+    assert len(want) == 20 and all(abs(r["brier"] - want[r["time"]]) < 1e-12 for r in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
