@@ -128,3 +128,24 @@ def test_additive_matches_direct_solve(spark):
         dN = ((t[R] == u) & (e[R] == 1)).astype(float)
         B = B + np.linalg.solve(Xr.T @ Xr + 0.5 * np.eye(2), Xr.T @ dN)
         assert np.allclose(got[u], B, atol=1e-10)
+
+
+def test_grouped_two_level_scans_read_computed_tables(spark, monkeypatch):
+    """Many times: the scans' tables are computed once a step (four times a scan, and one scan is on the other, before),
+    with the same models."""
+    from eventide.operators import cox_grouped as G
+    from eventide.plans import fixtures as fx
+    from tests.conftest import SF_SMALL
+    df = fx.journey(spark, SF_SMALL).where("state IN ('click', 'view')").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    fit = lambda: G.cox_fit_grouped(df, "state", "t", "e", ["value"], penalizer=0.1)
+    plain = fit()
+    original, seen = G.cumulative, []
+    monkeypatch.setattr(G, "cumulative", lambda table, *a, **kw: seen.append(table.is_cached) or original(table, *a, **kw))
+    monkeypatch.setattr(G, "SINGLE_WINDOW_MAX_ROWS", 0)
+    two = fit()
+    assert seen and all(seen)
+    assert plain.keys() == two.keys() and plain
+    for k in plain:
+        assert abs(plain[k].coef[0] - two[k].coef[0]) < 1e-9
+        a, b = ({r["time"]: r["baseline_hazard"] for r in m.baseline.collect()} for m in (plain[k], two[k]))
+        assert a.keys() == b.keys() and all(abs(a[t] - b[t]) < 1e-9 for t in a)
