@@ -25,17 +25,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.functions.special import erfc
 from eventide.plans.scan import right_size
 
 #: Rows that a task evaluates at a time (times the number of parameter vectors).
 CHUNK_ROWS = 500
 #: Degrees of freedom of the proposals.
 PROPOSAL_DF = 5.0
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+#: Numbers of one matrix (rows x parameter vectors) in a task, so that it stays in the processor's cache.
+CHUNK_CELLS = 32_768
 
 
 def _norm_logsf(z):
-    return np.log(np.maximum(np.asarray(_erfc(z / math.sqrt(2.0)), dtype=float) / 2.0, 1e-300))
+    return np.log(np.maximum(erfc(np.asarray(z, float) / math.sqrt(2.0)) / 2.0, 1e-300))
 
 
 def loglik_rows(theta: np.ndarray, t: np.ndarray, e: np.ndarray, X: np.ndarray, dist: str) -> np.ndarray:
@@ -53,8 +55,11 @@ def loglik_rows(theta: np.ndarray, t: np.ndarray, e: np.ndarray, X: np.ndarray,
             b = th[:, 1:]
         eta = X @ b.T if b.shape[1] else np.zeros((len(t), th.shape[0]))
         alpha = np.exp(a)
-        H = np.exp(la + eta + alpha * lt)
-        out = e * (la + a + (alpha - 1) * lt + eta) - H
+        out = la + eta + alpha * lt  # log of the cumulative hazard
+        H = np.exp(out)
+        out += a - lt
+        out *= e
+        out -= H
     else:
         mu = th[:, 0][None, :]
         ls = th[:, 1][None, :]
@@ -71,6 +76,37 @@ def _n_base(dist):
     return 1 if dist == "exponential" else 2
 
 
+def loglik_sums(theta: np.ndarray, t: np.ndarray, e: np.ndarray, X: np.ndarray, dist: str) -> np.ndarray:
+    """Column sums of ``loglik_rows`` for theta (G, d) -> (G,).
+
+    The events' share is linear (proportional hazards) or quadratic (log-normal) in a row's (1, log t, x), so it comes
+    from the sums of those; only the cumulative hazards, or the censored rows' tails, need rows x parameter vectors.
+    """
+    V = np.column_stack([np.ones(len(t)), np.log(t), X])
+    nb = _n_base(dist)
+    b = theta[:, nb:].T
+    if dist == "lognormal":
+        ls = theta[:, 1]
+        U = np.concatenate([-theta[:, :1].T, np.ones((1, len(theta))), -b]) / np.exp(ls)  # z = V U
+        Q = (V * e[:, None]).T @ V
+        out = -Q[0, 0] * (ls + 0.5 * math.log(2 * math.pi)) - Q[0, 1] - 0.5 * (U * (Q @ U)).sum(axis=0)
+        rows = e < 1
+        V, weight = V[rows], 1.0 - e[rows]
+    else:
+        la, a = theta[:, 0], theta[:, 1] if dist == "weibull" else np.zeros(len(theta))
+        alpha = np.exp(a)
+        out = (e @ V) @ np.concatenate([[la + a, alpha - 1.0], b])
+        U = np.concatenate([[la, alpha], b])  # log of the cumulative hazard = V U
+    each = max(1, CHUNK_CELLS // max(1, len(V)))
+    for k in range(0, len(theta) if len(V) else 0, each):
+        z = V @ U[:, k:k + each]
+        if dist == "lognormal":
+            out[k:k + each] += weight @ _norm_logsf(z)
+        else:
+            out[k:k + each] -= np.exp(z, out=z).sum(axis=0)
+    return out
+
+
 def _sums(x: DataFrame, thetas: np.ndarray, p: int, dist: str) -> np.ndarray:
     """Log-likelihood of all rows at every row of ``thetas``; one partial sum per partition is collected."""
     shared = x.sparkSession.sparkContext.broadcast(thetas)  # parameter vectors only
@@ -83,7 +119,7 @@ def _sums(x: DataFrame, thetas: np.ndarray, p: int, dist: str) -> np.ndarray:
             for a in range(0, len(t), CHUNK_ROWS):
                 z = slice(a, a + CHUNK_ROWS)
                 with np.errstate(over="ignore", invalid="ignore"):
-                    total += np.nan_to_num(loglik_rows(th, t[z], e[z], X[z], dist).sum(axis=0), nan=-1e300, neginf=-1e300)
+                    total += np.nan_to_num(loglik_sums(th, t[z], e[z], X[z], dist), nan=-1e300, neginf=-1e300)
         yield pd.DataFrame({"s": [total.tolist()]})
 
     parts = x.mapInPandas(fn, "s array<double>").collect()
@@ -305,7 +341,8 @@ def bayes_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_
     return m
 
 
-def _waic(df, time, event, feats, draws, dist, chunk: int = CHUNK_ROWS):
+def _waic(df, time, event, feats, draws, dist, chunk: int | None = None):
+    chunk = chunk or max(1, CHUNK_CELLS // len(draws))
     bth = df.sparkSession.sparkContext.broadcast(draws)
 
     def fn(it):
