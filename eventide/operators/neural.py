@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from eventide.functions import mlp
 from eventide.functions.exprs import hash_unit
+from eventide.functions.sums import KeyedSums, columns
 from eventide.operators.features import time_bins
-from eventide.plans.scan import cumulative, right_size
+from eventide.plans.scan import BROADCAST_MAX_ROWS, ROWS_PER_BUCKET, SINGLE_WINDOW_MAX_ROWS, cumulative, right_size
 from eventide.session import cut_lineage
 
 
@@ -117,13 +119,58 @@ def _design(pdf, feats, means, scales):
     return (np.column_stack([pdf[f].to_numpy(dtype=float) for f in feats]) - means) / scales
 
 
-def _cox_time_table(scored: DataFrame) -> DataFrame:
-    tt = scored.groupBy(F.col("t").alias("time")).agg(F.sum(F.col("e").cast("double")).alias("d"),
-                                                      F.sum(F.exp("f")).alias("S0p"))
-    tt = cumulative(tt, "time", [], sums={"S0": "S0p"}, descending=True)
+def _scored_by_time(model: NeuralModel, data: DataFrame, dropout: float = 0.0, seed: int = 0) -> DataFrame:
+    """(_val, time, d, S0p, ef): events, sum of e^f and sum of E f per time and fold at the model's parameters, added up
+    in the tasks.  ``dropout`` applies to the training fold alone, with the rows' masks from ``_rk`` and the seed."""
+    theta, hidden, res, feats = model.theta, model.hidden, model.residual, list(model.features)
+    means, scales = model.means, model.scales
+    names = ["_val", "time", "d", "S0p", "ef"]
+
+    def packed(got):
+        keys, sums = got
+        time = pa.array(keys[1], from_pandas=True)  # a missing time stays missing
+        return pa.RecordBatch.from_arrays([pa.array(keys[0] == 1.0), time, *[pa.array(v) for v in sums]], names)
+
+    def fn(it):
+        total = KeyedSums()
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            val, t, e, *x = columns(batch, ["_val", "t", "e", *feats])
+            X = (np.column_stack(x) - means) / scales
+            f = np.empty(len(t))
+            keys = batch.column("_rk").to_numpy(zero_copy_only=False)
+            for fold, rate in ((0.0, dropout), (1.0, 0.0)):
+                rows = val == fold
+                if rows.any():
+                    f[rows], _ = mlp.forward(theta, X[rows], hidden, res, rate, keys[rows] if rate > 0 else None, seed)
+            e, w, ef = (np.where(np.isnan(v), 0.0, v) for v in (e, np.exp(f), e * f))
+            got = total.add(np.stack([val, t]), np.stack([e, w, ef]))
+            if got is not None:
+                yield packed(got)
+        got = total.rest()
+        if got is not None:
+            yield packed(got)
+
+    parts = data.select("_rk", F.col("_val").cast("double").alias("_val"), "t", "e", *feats) \
+        .mapInArrow(fn, "_val boolean, time double, d double, S0p double, ef double")
+    return parts.groupBy("_val", "time").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
+def _cox_time_table(by_time: DataFrame, n_times: int | None = None) -> tuple[DataFrame, int]:
+    """Breslow sums A and log-likelihood terms L over the times of each fold, and the number of (fold, time) rows
+    (counted unless given)."""
+    if n_times is None:
+        by_time = by_time.persist(StorageLevel.MEMORY_AND_DISK)
+        n_times = by_time.count()
+    two_level = n_times > SINGLE_WINDOW_MAX_ROWS
+    how = {"force_two_level": two_level, "n_buckets": max(2, math.ceil(n_times / ROWS_PER_BUCKET))}
+    if two_level:
+        by_time = by_time.persist(StorageLevel.MEMORY_AND_DISK)
+    tt = cumulative(by_time, "time", ["_val"], sums={"S0": "S0p"}, descending=True, **how)
     tt = tt.withColumn("dh", F.col("d") / F.col("S0")).withColumn(
         "L", F.when(F.col("d") > 0, F.col("d") * F.log("S0")).otherwise(0.0))
-    return cumulative(tt, "time", [], sums={"A": "dh"})
+    return cumulative(tt, "time", ["_val"], sums={"A": "dh"}, **how), n_times
 
 
 def neural_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id_col: str,
@@ -144,7 +191,8 @@ def neural_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id
     base = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_rk"), F.col(time).cast("double").alias("t"),
                      F.col(event).cast("int").alias("e"), *[F.col(f).cast("double").alias(f) for f in feats])
     base = base.withColumn("_val", hash_unit(f"val{seed}", F.col("_id")) < val_fraction)
-    base = cut_lineage(right_size(base))
+    # read twice an epoch: held in columns beside the checkpoint
+    base = cut_lineage(right_size(base)).drop("_id").persist(StorageLevel.MEMORY_AND_DISK)
     train, val = base.where(~F.col("_val")), base.where(F.col("_val"))
     residual = arch == "resnet"
     model = NeuralModel(feats, hidden, loss, mlp.init(p, hidden, seed), means, scales, residual)
@@ -153,9 +201,24 @@ def neural_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id
         model.theta[-1] = float(base.agg(F.avg(F.log("t"))).first()[0])
     opt = mlp.Adam(learning_rate)
     best, best_theta, best_k, bad = math.inf, model.theta.copy(), model.log_shape, 0
-    n_train = train.count()
+    n_train, n_val = train.count(), val.count()
+    n_times = None
+
+    def scores(fold, seed):
+        """The Cox time table at the current parameters and, for training (False) and validation (True), the loss."""
+        nonlocal n_times
+        tt, n_times = _cox_time_table(_scored_by_time(model, fold, dropout, seed), n_times)
+        tt = tt.persist(StorageLevel.MEMORY_AND_DISK)
+        sums = tt.groupBy("_val").agg(F.sum("ef").alias("ef"), F.sum("L").alias("L")).collect()
+        return tt, {r["_val"]: -float(r["ef"] or 0.0) + float(r["L"] or 0.0) for r in sums}
+
+    if loss == "cox" and epochs:
+        tt, losses = scores(base, seed)
     for ep in range(epochs):
-        g, loss_tr = _epoch_gradient(model, train, dropout, seed + ep)
+        if loss == "cox":
+            g, loss_tr = _cox_gradient(model, train, tt, n_times, dropout, seed + ep), losses.get(False, 0.0)
+        else:
+            g, loss_tr = _epoch_gradient(model, train, dropout, seed + ep)
         g = g / max(n_train, 1)
         if loss == "parametric":
             g[:-1] += l2 * model.theta
@@ -163,7 +226,12 @@ def neural_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id
             model.theta, model.log_shape = both[:-1], float(both[-1])
         else:
             model.theta = opt.step(model.theta, g + l2 * model.theta)
-        vloss = _loss_only(model, val)
+        if loss == "cox":  # one pass gives this epoch's validation loss and the next one's training sums
+            tt.unpersist()
+            tt, losses = scores(base if ep + 1 < epochs else val, seed + ep + 1)
+            vloss = losses.get(True, 0.0) / max(n_val, 1)
+        else:
+            vloss = _loss_only(model, val)
         model.history.append((ep, loss_tr / max(n_train, 1), vloss))
         model.epochs = ep + 1
         if vloss < best - 1e-9:
@@ -174,32 +242,40 @@ def neural_fit(df: DataFrame, time: str, event: str, features: Sequence[str], id
                 break
     model.theta, model.log_shape = best_theta, best_k
     if loss == "cox":
-        sc = model.score(base.select("t", "e", *feats), ["t", "e"])
-        tt = _cox_time_table(sc)
+        tt, _ = _cox_time_table(_scored_by_time(model, base.withColumn("_val", F.lit(False))))
         model.baseline = tt.select("time", F.col("A").alias("baseline_hazard")).persist(StorageLevel.MEMORY_AND_DISK)
     return model
 
 
+def _cox_gradient(model: NeuralModel, data: DataFrame, tt: DataFrame, n_times: int, dropout: float, seed: int) -> np.ndarray:
+    """Gradient of the training rows' negative partial log-likelihood; d(-loglik)/df_i = -(E_i - e^{f_i} A(T_i))."""
+    theta, hidden, res, feats = model.theta, model.hidden, model.residual, list(model.features)
+    means, scales = model.means, model.scales
+    at = tt.where(~F.col("_val")).select(F.col("time").alias("_tt"), F.col("A").alias("_A"))
+    at = F.broadcast(at) if n_times <= BROADCAST_MAX_ROWS else at
+    j = data.join(at, data["t"] == at["_tt"], "inner").select("_rk", "e", "_A", *feats)
+
+    def fn(it):
+        acc = np.zeros(len(theta))
+        for batch in it:
+            if batch.num_rows:
+                e, A, *x = columns(batch, ["e", "_A", *feats])
+                X = (np.column_stack(x) - means) / scales
+                keys = batch.column("_rk").to_numpy(zero_copy_only=False)
+                f, cache = mlp.forward(theta, X, hidden, res, dropout, keys, seed)
+                acc += mlp.backward(theta, X, hidden, cache, -(e - np.exp(f) * A), res)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([acc.tolist()], pa.list_(pa.float64()))], ["g"])
+
+    parts = j.mapInArrow(fn, "g array<double>").collect()  # one row per partition: bounded by the partition count
+    return np.sum([np.array(r["g"]) for r in parts], axis=0) if parts else np.zeros(len(theta))
+
+
 def _epoch_gradient(model: NeuralModel, data: DataFrame, dropout: float, seed: int):
+    """Gradient and loss of the Weibull likelihood (network parameters, then log shape)."""
     theta, hidden, res, feats = model.theta, model.hidden, model.residual, model.features
     k = math.exp(model.log_shape)
-    if model.loss == "cox":
-        scored = model.score(data.select("_rk", "t", "e", *feats), ["_rk", "t", "e", *feats], dropout, seed)
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-        from eventide.operators.relational import maybe_broadcast
-        tt = maybe_broadcast(_cox_time_table(scored).select(F.col("time").alias("_tt"), "A", "L"))
-        j = scored.join(tt, scored["t"] == tt["_tt"], "inner")
-        # d(-loglik)/df_i = -(E_i - e^{f_i} A(T_i))
-        j = j.withColumn("gout", -(F.col("e") - F.exp("f") * F.col("A")))
-        nll_t = -float(scored.agg(F.sum(F.col("e") * F.col("f"))).first()[0] or 0.0) + \
-            float(tt.agg(F.sum("L")).first()[0] or 0.0)
-        cols = ["_rk", "gout", *feats]
-    else:
-        j = data.select("_rk", "t", "e", *feats)
-        cols = ["_rk", "t", "e", *feats]
-        nll_t = 0.0
-    npar = len(theta) + (1 if model.loss == "parametric" else 0)
-    loss_kind, means, scales = model.loss, model.means, model.scales
+    npar = len(theta) + 1
+    means, scales = model.means, model.scales
 
     def fn(it):
         acc = np.zeros(npar)
@@ -207,42 +283,27 @@ def _epoch_gradient(model: NeuralModel, data: DataFrame, dropout: float, seed: i
         for pdf in it:
             X = _design(pdf, feats, means, scales)
             f, cache = mlp.forward(theta, X, hidden, res, dropout, pdf["_rk"].to_numpy(), seed)
-            if loss_kind == "cox":
-                gout = pdf["gout"].to_numpy()
-                gk = None
-            else:
-                t = pdf["t"].to_numpy()
-                e = pdf["e"].to_numpy().astype(float)
-                z = np.exp(k * (np.log(t) - f))  # (t / lambda)^k
-                tot += float(-(e * (math.log(k) - k * f + (k - 1) * np.log(t)) - z).sum())
-                gout = e * k - k * z                       # d(-ll)/df
-                gk = float((-(e * (1 + k * (np.log(t) - f))) + z * k * (np.log(t) - f)).sum())
+            t = pdf["t"].to_numpy()
+            e = pdf["e"].to_numpy().astype(float)
+            z = np.exp(k * (np.log(t) - f))  # (t / lambda)^k
+            tot += float(-(e * (math.log(k) - k * f + (k - 1) * np.log(t)) - z).sum())
+            gout = e * k - k * z                       # d(-ll)/df
+            gk = float((-(e * (1 + k * (np.log(t) - f))) + z * k * (np.log(t) - f)).sum())
             gp, _ = mlp.backward(theta, X, hidden, cache, gout, res)
-            if gk is None:
-                acc += gp
-            else:
-                acc[:-1] += gp
-                acc[-1] += gk
+            acc[:-1] += gp
+            acc[-1] += gk
         yield pd.DataFrame({"g": [acc.tolist()], "l": [tot]})
 
-    part = j.select(*cols).mapInPandas(fn, "g array<double>, l double")
+    part = data.select("_rk", "t", "e", *feats).mapInPandas(fn, "g array<double>, l double")
     parts = part.collect()  # one row per partition: bounded by the partition count
     g = np.sum([np.array(r["g"]) for r in parts], axis=0) if parts else np.zeros(npar)
-    loss_total = nll_t if model.loss == "cox" else float(sum(r["l"] for r in parts))
-    if model.loss == "cox":
-        scored.unpersist()
-    return g, loss_total
+    return g, float(sum(r["l"] for r in parts))
 
 
 def _loss_only(model: NeuralModel, data: DataFrame) -> float:
     feats = model.features
     sc = model.score(data.select("t", "e", *feats), ["t", "e"])
     n = max(data.count(), 1)
-    if model.loss == "cox":
-        tt = _cox_time_table(sc)
-        a = sc.agg(F.sum(F.col("e") * F.col("f"))).first()[0] or 0.0
-        b = tt.agg(F.sum("L")).first()[0] or 0.0
-        return (-(a) + b) / n
     k = math.exp(model.log_shape)
     z = F.exp(k * (F.log("t") - F.col("f")))
     ll = F.col("e") * (math.log(k) - k * F.col("f") + (k - 1) * F.log("t")) - z
