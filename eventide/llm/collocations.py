@@ -3,8 +3,8 @@
 Documents are dealt into ``SHARDS`` shards by partition, fixed by writing them once.  Every shard is mined completely
 at a local support lowered in proportion: a shard that holds a share w of a language's words asks for
 ceil(w * support) occurrences.  A phrase that is frequent over all rows reaches that in one shard at
-least, so the union of the locally frequent phrases holds every frequent one.  The union is then
-counted over all rows, exactly and by the phrases' own words, and scored.
+least, so the union of the locally frequent phrases holds every frequent one.  Of these the union keeps those whose
+shards' counts add up to the support.  It is then counted over all rows, exactly and by the phrases' own words, and scored.
 
 Mining goes by length: words, then pairs of which both words are in the union, then triples of which
 both pairs are, then phrases of four.  While mining, a phrase is a 64-bit hash; two phrases that share
@@ -40,12 +40,13 @@ LONGEST = 4
 TOP = 2000
 #: Bytes of text that are hashed at a time, and words whose phrases are counted together.
 SLICE = 500_000
-RUN_WORDS = 500_000
+RUN_WORDS = 1_000_000
 #: Rows of an Arrow batch that a task returns.
 BATCH_ROWS = 50_000
 #: Words whose phrases one task adds up.
 WORDS_PER_TASK = 400_000
-#: Bits that stand for one length's candidates at most (16 MB).
+#: Bits that stand for one length's candidates: so many a candidate, at most MOST_BITS (16 MB).
+BITS_A_KEY = 64
 MOST_BITS = 1 << 27
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -127,6 +128,21 @@ def phrase_keys(words: np.ndarray, pieces: np.ndarray, n: int) -> tuple[np.ndarr
     return key, pieces[:m] == pieces[n - 1:m + n - 1]
 
 
+def keys_at(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each of the places ``at`` on, as ``phrase_keys`` has them."""
+    key = words[at]
+    for k in range(1, n):
+        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + words[at + k])
+    return key
+
+
+def _places_of(pieces: np.ndarray, n: int, part: np.ndarray | None = None) -> np.ndarray:
+    """Where ``n`` words stand in one piece and, given ``part``, both phrases of one word less are marked in it."""
+    m = max(0, len(pieces) - n + 1)
+    whole = pieces[:m] == pieces[n - 1:m + n - 1]
+    return np.flatnonzero(whole if part is None else whole & part[:m] & part[1:m + 1])
+
+
 class Places:
     """A set of hashes as bits: never misses a member, may hold others."""
 
@@ -142,7 +158,7 @@ class Places:
 def places(keys: DataFrame) -> Places:
     """The bits of a table of hashes; their number follows the table's, up to ``MOST_BITS``."""
     n_bits = 1 << 16
-    while n_bits < min(MOST_BITS, 16 * keys.count()):
+    while n_bits < min(MOST_BITS, BITS_A_KEY * keys.count()):
         n_bits *= 2
     out = Places(n_bits)
     place = f"shiftrightunsigned(key, {int(out.shift)})"
@@ -195,28 +211,47 @@ def _batches(columns: dict):
                                           for x in columns.values()], names=list(columns))
 
 
-def mined(rows: DataFrame, n: int, sets, shards: int, tasks: int) -> DataFrame:
-    """key: the phrases of ``n`` words that reach the support ``need`` of a shard in that shard.
+def _grouped(key: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begin): equal keys, of equal checks, stand together in ``key[order]``; a group starts at each ``begin``."""
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    if check is not None and (check[order] != check[order][np.flatnonzero(new)[np.cumsum(new) - 1]]).any():
+        order = np.lexsort((check, key))
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    return order, np.flatnonzero(new)
+
+
+def mined(rows: DataFrame, n: int, sets, shards: int, tasks: int, support: int) -> DataFrame:
+    """key: the phrases of ``n`` words that reach the support ``need`` of a shard in that shard and ``support`` in all.
 
-    A task counts (phrase, shard) as one number, the hash with the shard in its lowest bits.
+    A task counts (phrase, shard) as one number, the hash with the shard in its lowest bits.  Every shard's
+    counts of a phrase meet in one task, so their sum is known there: at least the phrase's count, since phrases
+    that share a hash add to it.  A phrase that is frequent in a shard alone is dropped before it is counted by its words.
     """
     low = np.uint64((1 << max(1, (shards - 1).bit_length())) - 1)
 
     def count(batches):
         for _, _, _, pieces, (words,), of in _runs(batches, 1):
-            key, whole = phrase_keys(words, pieces, n)
             salt = of("salt").view(np.uint64)
+            part = None
             if n > 1:  # both parts that lack one word are candidates
-                part = sets[n - 2].value.holds(mix((shorter := phrase_keys(words, pieces, n - 1)[0]) ^ salt[:len(shorter)]))
-                whole = whole & part[:len(key)] & part[1:len(key) + 1]
-            at = np.flatnonzero(whole)
-            code = mix(key[at] ^ salt[at]) & ~low | of("shard", at).astype(np.uint64)
-            code, first, c = np.unique(code, return_index=True, return_counts=True)
-            yield from _batches({"code": code.view(np.int64), "need": of("need", at[first]), "n": c.astype(np.int64)})
-    # dealt out before it is summed: most phrases of a task differ, and a second map of them would only cost memory
-    return (rows.mapInArrow(count, "code long, need long, n long").repartition(tasks, "code")
-            .groupBy("code").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
-            .select(F.col("code").bitwiseAND(F.lit(int((~low).view(np.int64)))).alias("key")).distinct())
+                shorter = phrase_keys(words, pieces, n - 1)[0]
+                part = sets[n - 2].value.holds(mix(shorter ^ salt[:len(shorter)]))
+            at = _places_of(pieces, n, part)
+            code = mix(keys_at(words, at, n) ^ salt[at]) & ~low | of("shard", at).astype(np.uint64)
+            order, begin = _grouped(code)
+            first = order[begin]
+            yield from _batches({"code": code[first].view(np.int64), "needed": of("need", at[first]) << 32 | np.diff(np.append(begin, len(at)))})
+    key = F.col("code").bitwiseAND(F.lit(int((~low).view(np.int64))))
+    # dealt out before it is summed: most phrases of a task differ, and a second map of them would only cost memory;
+    # two numbers a row, since the shuffle of pairs is the largest there is
+    return (rows.mapInArrow(count, "code long, needed long").repartition(tasks, key)
+            .select(key.alias("key"), "code", F.shiftright("needed", 32).alias("need"),
+                    F.col("needed").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("n"))
+            .groupBy("key", "code").agg(F.max("need").alias("need"), F.sum("n").alias("n"))
+            .groupBy("key").agg(F.sum("n").alias("n"), F.max(F.col("n") >= F.col("need")).alias("frequent"))
+            .where(F.col("frequent") & (F.col("n") >= support)).select("key"))
 
 
 def counted(rows: DataFrame, sets, longest: int, tasks: int) -> DataFrame:
@@ -228,30 +263,23 @@ def counted(rows: DataFrame, sets, longest: int, tasks: int) -> DataFrame:
             salt = of("salt").view(np.uint64)
             before = None
             for k in range(1, longest + 1):
-                key, whole = phrase_keys(words, pieces, k)
-                key = mix(key ^ salt[:len(key)])
-                whole &= sets[k - 1].value.holds(key)
-                if before is not None:
-                    whole &= before[:len(key)] & before[1:len(key) + 1]
-                before = whole
-                at = np.flatnonzero(whole)
+                at = _places_of(pieces, k, before)
+                key = mix(keys_at(words, at, k) ^ salt[at])
+                held = sets[k - 1].value.holds(key)
+                at, key = at[held], key[held]
+                before = np.zeros(len(words), bool)
+                before[at] = True
                 # phrases are the same here if two independent hashes of 64 bits are
-                key, check = key[at], phrase_keys(others, pieces, k)[0][at] + salt[at]
-                order = np.argsort(key, kind="stable")
-                new = np.ones(len(at), bool)
-                new[1:] = key[order[1:]] != key[order[:-1]]
-                if (check[order] != check[order][np.flatnonzero(new)[np.cumsum(new) - 1]]).any():
-                    order = np.lexsort((check, key))
-                    new[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
-                begin = np.flatnonzero(new)
+                order, begin = _grouped(key, keys_at(others, at, k) + salt[at])
                 first = at[order[begin]]
                 phrase = [b" ".join([body[a:z] for a, z in zip(x, y, strict=True)]) for x, y in zip(
                     np.stack([starts[first + j] for j in range(k)], 1).tolist(), np.stack([ends[first + j] for j in range(k)], 1).tolist(), strict=True)] \
                     if k > 1 else [body[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
                 yield from _batches({"lang": pa.array(of("lang", first), pa.string()), "phrase": pa.array(phrase, pa.binary()).view(pa.string()),
-                                     "k": np.full(len(first), k, np.int32), "f": np.diff(np.append(begin, len(at))).astype(np.int64)})
-    return (rows.mapInArrow(count, "lang string, phrase string, k int, f long").repartition(tasks, "lang", "phrase", "k")
-            .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")))
+                                     "f": np.diff(np.append(begin, len(at))).astype(np.int64)})
+    blanks = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))  # words hold none
+    return (rows.mapInArrow(count, "lang string, phrase string, f long").repartition(tasks, "lang", "phrase")
+            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).select("lang", "phrase", (blanks + 1).alias("k"), "f"))
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
@@ -281,7 +309,7 @@ def frequent(docs: DataFrame, *, support: int = SUPPORT, shards: int = SHARDS, l
     placed = rows.join(small(needs, needs.count()), ["lang", "shard"]).select("text", "salt", "shard", "need")
     sets = []
     for n in range(1, longest + 1):
-        union = written(mined(placed, n, sets, shards, tasks), "phrase-union")
+        union = written(mined(placed, n, sets, shards, tasks, support), "phrase-union")
         sets.append(sc.broadcast(places(union)))
     found = counted(rows.select("text", "lang", "salt"), sets, longest, tasks).where(F.col("f") >= support)
     found = written(found, "phrase-counts")

@@ -215,3 +215,31 @@ def test_most_bits_bound_the_places(spark, monkeypatch):
     found = collocations.places(keys)
     assert len(found.bits) == 1024
     assert found.holds(np.array([r.key for r in keys.collect()], np.int64).view(np.uint64)).all()
+
+
+def test_union_keeps_only_phrases_whose_shards_add_up_to_the_support(spark, monkeypatch):
+    unions, real = [], collocations.written
+
+    def written(df, tag):
+        out = real(df, tag)
+        if tag == "phrase-union":
+            unions.append(out.count())
+        return out
+    monkeypatch.setattr(collocations, "written", written)
+    # "a b" is often enough for the first shard alone, "c d" in all: eight times in two shards of ten texts
+    first, second = ["a b c d"] * 4 + ["a b"] * 2 + ["x", "y", "z", "w"], ["c d"] * 4 + [f"w{i} v{i} u{i}" for i in range(6)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(t, "en") for t in first + second], 2), "text string, lang string")
+    found, _ = collocations.frequent(docs, support=8, shards=2, longest=2)
+    assert sorted((r.phrase, r.f) for r in found.collect()) == [("c", 8), ("c d", 8), ("d", 8)]
+    assert unions == [2, 1]
+
+
+def test_hashes_at_places_are_those_of_all_places():
+    words = np.random.default_rng(2).integers(0, 2**63, 50).astype(np.uint64)
+    pieces = np.repeat([0, 1, 2], [20, 3, 27])
+    for n in (1, 2, 3, 4):
+        keys, whole = collocations.phrase_keys(words, pieces, n)
+        at = collocations._places_of(pieces, n)
+        assert at.tolist() == np.flatnonzero(whole).tolist() and (collocations.keys_at(words, at, n) == keys[at]).all()
+    order, begin = collocations._grouped(np.array([5, 3, 5, 5], np.uint64), np.array([1, 2, 9, 1], np.uint64))
+    assert np.diff(np.append(begin, 4)).tolist() == [1, 2, 1] and order[0] == 1
