@@ -52,3 +52,22 @@ def test_competing_predict_gives_risks_and_medians(spark, steps_each):
             assert r["all_cause_survival"] == pytest.approx(math.prod(s_k.values()))
             assert r["survival"] + r["cif_1"] + r["cif_2"] == pytest.approx(1.0)
     assert len({r["median_1"] for r in got}) > 3 and math.inf in {r["median_2"] for r in got}
+
+
+def test_frailty_predict_runs_all_rounds(spark, monkeypatch):
+    """frailty_predict stopped after 5 EM rounds (default 30)."""
+    from eventide.plans import q_models2 as Q
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def fit(*args, **options):
+        asked.update(options)
+        raise Stop
+
+    monkeypatch.setattr(Q, "cox_data", lambda *a: (None, []))
+    monkeypatch.setattr(Q, "frailty_fit", fit)
+    with pytest.raises(Stop):
+        Q.frailty_predict_q(spark, "")
+    assert asked == {"cluster": "cluster"}
