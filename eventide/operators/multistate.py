@@ -3,7 +3,8 @@
 Default risk set: every row in the origin state is at risk for each exit of
 that state; moves to another destination count as censored for this one.
 ``risk_set="taken_only"`` keeps only rows that took the transition.  All
-transitions are fitted together by ``cox_fit_grouped``.
+transitions are fitted together over rows sorted once (``cox_sorted``): the exits of a
+state share its rows, so rows are not copied once an exit and no table of times is made.
 """
 
 from __future__ import annotations
@@ -12,14 +13,19 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.operators.cox_grouped import _beta_map, cox_fit_grouped
+from eventide.operators.cox import CoxModel
+from eventide.operators.cox_grouped import MAX_GROUPS, _beta_map
+from eventide.operators.cox_sorted import newton, sorted_rows
 from eventide.operators.lookup import step_lookup
-from eventide.operators.relational import distinct_states, distinct_transitions
 
 SEP = "->"
+#: Event times of all transitions together whose hazards may go to every task at prediction (two numbers each).
+CURVE_STEPS = 4_000_000
 
 
 @dataclass
@@ -27,6 +33,7 @@ class MultiStateModel:
     features: list[str]
     models: dict = field(default_factory=dict)  # "from->to" -> CoxModel
     states: list = field(default_factory=list)
+    _rows = None  # (sorted rows, standardised coefficients, transitions) of the fit; not a field, so it is not saved
 
     def transitions(self) -> list[tuple[str, str]]:
         return [tuple(k.split(SEP, 1)) for k in self.models]
@@ -92,6 +99,8 @@ class MultiStateModel:
         lp = F.lit(0.0)
         for j, f in enumerate(self.features):
             lp = lp + (F.col(f).cast("double") - mvec[j]) * bvec[j]
+        if self._rows is not None and sum(m.events for m in self.models.values()) <= CURVE_STEPS:
+            return self._predict_held(df, key, state)
         edges = F.broadcast(self._edges(spark))  # bounded: one row per transition
         x = df.select(key, F.col(state).alias("state"), *self.features).join(edges, "state", "inner") \
             .withColumn("risk", F.exp(lp))
@@ -108,18 +117,64 @@ class MultiStateModel:
         return med.groupBy(key).agg(F.max("risk").alias("risk"),
                                     F.coalesce(F.min("mt"), F.lit(float("nan"))).alias("median_time"))
 
+    def _predict_held(self, df: DataFrame, key: str, state: str) -> DataFrame:
+        """``predict`` with the hazards at all event times sent to every task: a row answers for all its exits where it is."""
+        import pyarrow as pa
+        rows, betas, names = self._rows
+        curves, feats, exits = rows.curves(betas), [f"_x{j}" for j in range(len(self.features))], {}
+        for m, (a, d) in enumerate(names):
+            if m in betas:
+                model = self.models[f"{a}{SEP}{d}"]
+                exits.setdefault(a, []).append((np.asarray(model.means, float), np.asarray(model.coef, float), *curves[m]))
+        held = df.sparkSession.sparkContext.broadcast(exits)
+
+        def answer(batches):
+            for b in batches:
+                states = b.column("_state").dictionary_encode()
+                code, called = states.indices.fill_null(-1).to_numpy(), states.dictionary.to_pylist()
+                x = [b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in feats]
+                known = np.ones(b.num_rows, bool)
+                for c in feats:
+                    known &= np.asarray(b.column(c).is_valid())
+                risk, median, has = np.full(b.num_rows, -np.inf), np.full(b.num_rows, np.inf), np.zeros(b.num_rows, bool)
+                for i, s in enumerate(called):
+                    at = np.flatnonzero(code == i)
+                    for means, coef, times, hazard in held.value.get(s, []):
+                        has[at] = True
+                        lp = np.zeros(len(at))
+                        for v, mean, c in zip(x, means, coef, strict=True):
+                            lp += (v[at] - mean) * c
+                        r = np.exp(lp)
+                        risk[at] = np.maximum(risk[at], r)
+                        place = np.searchsorted(hazard, math.log(2.0) / r, side="left")
+                        median[at] = np.minimum(median[at], np.append(times, np.inf)[place])
+                some = np.flatnonzero(has)
+                never = ~known | ~np.isfinite(median)
+                yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(some)), pa.array(risk[some], mask=~known[some]),
+                                                  pa.array(median[some], mask=never[some])], names=["_key", "risk", "mt"])
+
+        x = df.select(F.col(key).alias("_key"), F.col(state).cast("string").alias("_state"),
+                      *[F.col(f).cast("double").alias(c) for f, c in zip(self.features, feats)])
+        med = x.mapInArrow(answer, f"_key {x.schema['_key'].dataType.simpleString()}, risk double, mt double")
+        return med.groupBy(F.col("_key").alias(key)).agg(F.max("risk").alias("risk"), F.coalesce(F.min("mt"), F.lit(float("nan"))).alias("median_time"))
+
     def predict_survival(self, df: DataFrame, key: str, times: Sequence[float], state: str = "state") -> DataFrame:
         """S per exit transition of the current state at the requested times, in one pass:
         rows join their exits (broadcast edge list), coefficients come from a map literal and
         H0(t) of every transition from one aggregate over the baselines."""
         spark = df.sparkSession
         p = len(self.features)
-        base = None
-        for k, m in self.models.items():
-            b = m.baseline.select(F.lit(k).alias("tr"), "time", "baseline_hazard")
-            base = b if base is None else base.unionByName(b)
-        h0 = base.groupBy("tr").agg(*[F.max(F.when(F.col("time") <= float(t), F.col("baseline_hazard")))
-                                      .alias(f"h{i}") for i, t in enumerate(times)])
+        if self._rows is not None:
+            rows, betas, names = self._rows
+            reached = [(f"{names[m][0]}{SEP}{names[m][1]}", *h) for m, h in rows.hazard_at(betas, times).items()]
+            h0 = spark.createDataFrame(reached, ", ".join(["tr string", *[f"h{i} double" for i in range(len(times))]]))
+        else:
+            base = None
+            for k, m in self.models.items():
+                b = m.baseline.select(F.lit(k).alias("tr"), "time", "baseline_hazard")
+                base = b if base is None else base.unionByName(b)
+            h0 = base.groupBy("tr").agg(*[F.max(F.when(F.col("time") <= float(t), F.col("baseline_hazard")))
+                                          .alias(f"h{i}") for i, t in enumerate(times)])
         h0 = F.broadcast(h0)  # one row per transition (bounded by the fitted models)
         betas = {k: m.coef for k, m in self.models.items()}
         means = {k: m.means for k, m in self.models.items()}
@@ -143,16 +198,60 @@ def multi_state_fit(df: DataFrame, features: Sequence[str], state: str = "state"
                     risk_set: str = "all", ties: str = "efron") -> MultiStateModel:
     """Fit one Cox per transition; transitions whose fit fails are skipped."""
     feats = list(features)
-    edges = distinct_transitions(df, state, next_state).withColumnRenamed("from_state", "_s") \
-        .withColumnRenamed("to_state", "_d")
-    n_edges = edges.count()
-    edges = F.broadcast(edges) if n_edges <= 100_000 else edges
-    rows = df.select(F.col(state).alias("_s"), F.col(next_state).alias("_n"), time, *feats)
-    x = rows.join(edges, "_s", "inner")
-    if risk_set == "taken_only":
-        x = x.where(F.col("_n") == F.col("_d"))
-    x = x.withColumn("_tr", F.concat_ws(SEP, "_s", "_d")) \
-        .withColumn("_ev", (F.coalesce(F.col("_n") == F.col("_d"), F.lit(False))).cast("int"))
-    models = cox_fit_grouped(x, "_tr", time, "_ev", feats, penalizer=penalizer, ties=ties)
-    states = sorted(r["state"] for r in distinct_states(df, state, next_state).collect())
-    return MultiStateModel(feats, dict(models), states)
+    p, xs = len(feats), [f"x{j}" for j in range(len(feats))]
+    rows = df.select(F.col(state).cast("string").alias("_s"), F.col(next_state).cast("string").alias("_n"), F.col(time).cast("double").alias("t"),
+                     *[F.col(f).cast("double").alias(x) for f, x in zip(feats, xs)]).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = rows.groupBy("_s", "_n").agg(F.count(F.lit(1)).alias("rows"), *[f(x).alias(f"{c}_{x}") for x in xs for c, f in (
+        ("n", F.count), ("m", F.avg), ("v", F.var_pop))]).collect()  # one row a pair of states
+    edges = sorted({(r["_s"], r["_n"]) for r in pairs if r["_s"] is not None and r["_n"] is not None})
+    if len(edges) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    taken = risk_set == "taken_only"
+    strata = edges if taken else sorted({s for s, _ in edges})
+    exits = {s: sum(a == s for a, _ in edges) for s, _ in edges}
+    # means and deviations over the rows at risk of every exit: a row counts once an exit
+    counts = [(r, (1 if taken else exits[r["_s"]])) for r in pairs if r["_s"] in exits and (not taken or r["_n"] is not None)]
+    means, scales = np.zeros(p), np.ones(p)
+    for j, x in enumerate(xs):
+        some = [(k * r[f"n_{x}"], r[f"m_{x}"], r[f"v_{x}"]) for r, k in counts if r[f"n_{x}"]]
+        if some:
+            n, m, v = np.array(some, float).T
+            means[j] = n @ m / n.sum()
+            scales[j] = math.sqrt(n @ (v + (m - means[j]) ** 2) / n.sum()) or 1.0
+    place = {s: i for i, s in enumerate(strata)}
+    label = {d: i for i, d in enumerate(sorted({d for _, d in edges}))}
+
+    def numbered(column, of: dict):
+        return F.element_at(F.create_map(*[F.lit(v) for pair in of.items() for v in pair]), column)
+
+    models: dict = {}
+    out = MultiStateModel(feats, models, sorted({s for r in pairs for s in (r["_s"], r["_n"]) if s is not None}))
+    if not edges:
+        rows.unpersist()
+        return out
+    lab = F.coalesce(numbered(F.col("_n"), label), F.lit(-1))
+    s = numbered(F.concat_ws(SEP, "_s", "_n"), {f"{a}{SEP}{d}": place[a, d] for a, d in edges}) if taken else numbered(F.col("_s"), place)
+    known = F.col("_s").isNotNull() & F.col("_n").isNotNull() if taken else F.col("_s").isNotNull()
+    x = rows.where(known).select(s.alias("s"), "t", lab.alias("lab"), *[((F.col(c) - float(m)) / float(v)).alias(c)
+                                                                        for c, m, v in zip(xs, means, scales, strict=True)]).where("s IS NOT NULL")
+    sorted_ = sorted_rows(x, p, sum(r["rows"] for r, _ in counts), [(place[(a, d) if taken else a], label[d], ties == "efron") for a, d in edges])
+    rows.unpersist()
+    fits = newton(sorted_.stats, range(len(edges)), p,
+                  lambda m, b, n: (0.5 * n * penalizer * float(b @ b), n * penalizer * b, n * penalizer * np.eye(p)))
+    betas, names = {}, {}
+    for m, (beta, ll, null, info, n, events, steps) in fits.items():
+        try:
+            cov = np.linalg.inv(info)
+        except np.linalg.LinAlgError:
+            continue
+        names[m] = f"{edges[m][0]}{SEP}{edges[m][1]}"
+        betas[m] = beta
+        models[names[m]] = CoxModel(feats, beta / scales, means, cov / np.outer(scales, scales), float(ll), float(null), n, events, steps, ties,
+                                    penalizer, 0.0)
+    if models:
+        out._rows = (sorted_, betas, edges)
+        # made when a baseline is first read
+        base = sorted_.hazard_table(betas, names)
+        for m, k in names.items():
+            models[k].baseline = base.where(F.col("g") == F.lit(k)).drop("g")
+    return out
