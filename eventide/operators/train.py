@@ -4,7 +4,8 @@ importance (M23, M24).
 
 Folds and trials are independent Spark jobs over one cached training table;
 they are submitted from a small driver thread pool so the cluster runs them
-side by side.  Every random choice is a hash of (seed, ...).
+side by side.  Trials of a Cox model share every pass over the rows (``_cox_trials``).
+Every random choice is a hash of (seed, ...).
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from time import perf_counter as clock
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.exprs import hash_int
 from eventide.operators import metrics as M
-from eventide.operators.concordance import concordance
-from eventide.operators.factory import make_model
+from eventide.operators.concordance import concordance, concordance_by
+from eventide.operators.factory import ALIASES, make_model
 from eventide.operators.split import kfold, stratified_split, uniform_rank
 
 POOL = 4
@@ -117,6 +119,76 @@ def sample_space(space: Mapping[str, tuple], n_trials: int, seed: int = 42) -> l
     return out
 
 
+def _cox_trials(tr: DataFrame, va: DataFrame, cfgs: Mapping[int, Mapping], time: str, event: str, features: Sequence[str], id_col: str,
+                grid_points: int) -> dict:
+    """{trial: (c_index, ibs, log likelihood)} of Cox models that differ in penalty and ties: Newton steps over rows sorted once,
+    one concordance job and one Brier job for all.  Trials with other parameters, and all if a value is missing, are left out."""
+    from eventide.operators.cox import _penalty, _standardised
+    from eventide.operators.cox_sorted import newton, sorted_rows
+    cfgs = {t: c for t, c in cfgs.items() if c.keys() <= {"penalizer", "alpha", "l1_ratio", "ties"} and c.get("ties", "efron") in ("efron", "breslow")}
+    feats, spark, p = list(features), tr.sparkSession, len(features)
+    usable = F.col(event).cast("int").isin(0, 1)
+    for c in [time, *feats]:
+        usable = usable & F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    if not cfgs or tr.where(~F.coalesce(usable, F.lit(False))).limit(1).count() or va.where(~F.coalesce(usable, F.lit(False))).limit(1).count():
+        return {}
+    rows = _standardised(tr, time, event, feats)
+    x = rows.table.select(F.lit(0).alias("s"), "t", (F.col("e") - 1).alias("lab"), *[f"x{j}" for j in range(p)])  # label 0: the event
+    trials = list(cfgs)
+    sorted_ = sorted_rows(x, p, rows.n, [(0, 0, cfgs[t].get("ties", "efron") == "efron") for t in trials])
+    lam = [float(cfgs[t].get("penalizer", cfgs[t].get("alpha", 0.0))) for t in trials]
+    fits = newton(sorted_.stats, range(len(trials)), p, lambda m, b, n: _penalty(b, lam[m], cfgs[trials[m]].get("l1_ratio", 0.0), n) if lam[m] else
+                  (0.0, np.zeros(p), np.zeros((p, p))), singular="pinv")
+    grid = sorted(set(M.brier_grid(va, time, event, grid_points)))
+    hazards = sorted_.hazard_at({m: f[0] for m, f in fits.items()}, grid)
+    models = [(m, f[0] / rows.scales, np.array(hazards[m])) for m, f in fits.items()]
+    means, names = rows.means, [f"_x{j}" for j in range(p)]
+    numbers = [F.col(f).cast("double").alias(c) for f, c in zip(feats, names)]
+    G = M.censoring_km(va, time, event)
+    gh, at = np.array(M.g_at(G, grid)), np.array(grid)
+
+    def risks(batch):
+        """(model, hazard at the grid, risk of each row), summed in one order: equal rows get equal risks."""
+        x = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        for m, coef, hazard in models:
+            lp = np.zeros(batch.num_rows)
+            for v, mean, c in zip(x, means, coef, strict=True):
+                lp += (v - mean) * c
+            yield m, hazard, np.exp(lp)
+
+    def scored(batches):
+        import pyarrow as pa
+        for b in batches:
+            for m, _, r in risks(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), m, np.int32)), b.column("_T"), b.column("_E"), pa.array(r)],
+                                                 names=["m", "_T", "_E", "risk"])
+
+    def errors(batches):
+        import pyarrow as pa
+        total, n = np.zeros((len(models), len(at))), 0
+        for b in batches:
+            T, E = (b.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("_T", "_E"))
+            g = b.column("_G_T").to_numpy(zero_copy_only=False).astype(float)
+            past, n = (T <= at) & (E == 1), n + b.num_rows
+            with np.errstate(divide="ignore", invalid="ignore"):
+                case = np.where(g > 0, 1.0 / g, 0.0)[:, None] * past
+                late = np.where(gh > 0, 1.0 / gh, 0.0) * (T > at)
+            for i, (_, hazard, r) in enumerate(risks(b)):
+                S = np.exp(-r[:, None] * hazard)
+                total[i] += (S * S * case + (1.0 - S) ** 2 * late).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "v"])
+
+    outcome = [F.col(time).cast("double").alias("_T"), F.col(event).cast("int").alias("_E")]
+    long = va.select(*outcome, *numbers).mapInArrow(scored, "m int, _T double, _E int, risk double")
+    c_index = {r["m"]: r["c_index"] for r in concordance_by(long, ["m"], "_T", "_E", "risk").collect()}
+    joined = va.join(M.with_outcome(va, id_col, time, event, G), id_col, "inner")  # as in ``brier_of``
+    found = joined.select(F.col("_T").cast("double").alias("_T"), F.col("_E").cast("int").alias("_E"), "_G_T", *numbers).mapInArrow(
+        errors, "n double, v array<double>").collect()  # one row a task
+    brier = sum(np.array(r["v"]).reshape(len(models), -1) for r in found) / sum(r["n"] for r in found)
+    return {trials[m]: (float(c_index[m]), float(M.integrate(list(zip(grid, brier[i].tolist(), strict=True)))), float(fits[m][1]))
+            for i, (m, _, _) in enumerate(models)}
+
+
 def tune(df: DataFrame, kind: str, space: Mapping[str, tuple], time: str, event: str, features: Sequence[str],
          id_col: str = "id", objective: str = "c_index", n_trials: int = 50, seed: int = 42,
          base_params: Mapping | None = None, grid_points: int = 100) -> DataFrame:
@@ -143,8 +215,15 @@ def tune(df: DataFrame, kind: str, space: Mapping[str, tuple], time: str, event:
         except Exception as ex:  # noqa: BLE001 — a failed trial is recorded, not fatal
             return (t, json.dumps(cfgs[t]), None, None, None, f"{type(ex).__name__}: {ex}"[:500])
 
+    together = {}
+    if ALIASES.get(kind, kind) == "cox_ph":
+        try:
+            together = _cox_trials(tr, va, {t: {**(base_params or {}), **c} for t, c in enumerate(cfgs)}, time, event, features, id_col, grid_points)
+        except Exception:  # noqa: BLE001 — a trial that fails is found, and recorded, by itself
+            together = {}
+    rows = [(t, json.dumps(cfgs[t]), c, ibs, {"c_index": c, "ibs": ibs, "log_likelihood": ll}[objective], None) for t, (c, ibs, ll) in together.items()]
     with ThreadPoolExecutor(POOL) as ex:
-        rows = list(ex.map(run, range(n_trials)))
+        rows = sorted([*rows, *ex.map(run, [t for t in range(n_trials) if t not in together])])
     out = spark.createDataFrame(rows, "trial int, params string, c_index double, ibs double, "
                                       "objective double, error string")
     order = F.col("objective").asc_nulls_last() if objective == "ibs" else F.col("objective").desc_nulls_last()

@@ -69,7 +69,7 @@ def fit_many_q(spark, sf_dir):
 def tune_q(spark, sf_dir):
     data, feats = cox_data(spark, sf_dir)
     space = {"penalizer": ("float", 1e-4, 1.0, "log"), "ties": ("categorical", ["efron", "breslow"])}
-    return TR.tune(data, "cox_ph", space, "t", "e", feats, objective="c_index", n_trials=4)
+    return TR.tune(data, "cox_ph", space, "t", "e", feats, objective="c_index")
 
 
 @register("train")

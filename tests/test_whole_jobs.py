@@ -71,3 +71,33 @@ def test_frailty_predict_runs_all_rounds(spark, monkeypatch):
     with pytest.raises(Stop):
         Q.frailty_predict_q(spark, "")
     assert asked == {"cluster": "cluster"}
+
+
+def test_tune_runs_all_trials_together(spark, monkeypatch):
+    """tune stopped after 4 trials (default 50); Cox trials share their passes over the rows and give what single fits give."""
+    from eventide.operators import train as TR
+    from eventide.plans import q_train as Q
+    asked = {}
+    with monkeypatch.context() as patched:
+        patched.setattr(Q, "cox_data", lambda *a: (None, []))
+        patched.setattr(Q.TR, "tune", lambda *a, **options: asked.update(options))
+        Q.tune_q(spark, "")
+    assert asked == {"objective": "c_index"}
+    rng = np.random.default_rng(5)
+    n = 260
+    x = rng.normal(size=(n, 2)).round(1)
+    t = np.ceil(rng.exponential(9 * np.exp(-0.7 * x[:, 0])))
+    df = spark.createDataFrame([(i, float(t[i]), int(rng.random() < 0.7), *map(float, x[i])) for i in range(n)], "id long, t double, e int, a double, b double").persist()
+    space = {"penalizer": ("float", 1e-4, 1.0, "log"), "ties": ("categorical", ["efron", "breslow", "none"]), "l1_ratio": ("categorical", [0.0, 0.5])}
+    run = lambda: {r["trial"]: r for r in TR.tune(df, "cox", space, "t", "e", ["a", "b"], objective="ibs", n_trials=6, grid_points=9).collect()}
+    single, made = TR.make_model, []
+    with monkeypatch.context() as patched:
+        patched.setattr(TR, "make_model", lambda kind, **c: made.append(c["ties"]) or single(kind, **c))
+        together = run()
+    wrong = [i for i, c in enumerate(TR.sample_space(space, 6)) if c["ties"] == "none"]
+    assert made == ["none"] * len(wrong) and 0 < len(wrong) < 5
+    monkeypatch.setattr(TR, "_cox_trials", lambda *a: {})
+    for i, r in run().items():
+        got = together[i]
+        assert got["params"] == r["params"] and (got["error"] or "")[:10] == (r["error"] or "")[:10] and (got["error"] is not None) == (i in wrong)
+        assert i in wrong or np.allclose([got["c_index"], got["ibs"], got["objective"]], [r["c_index"], r["ibs"], r["objective"]], rtol=1e-6)
