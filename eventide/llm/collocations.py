@@ -41,10 +41,15 @@ TOP = 2000
 #: Bytes of text that are hashed at a time, and words whose phrases are counted together.
 SLICE = 500_000
 RUN_WORDS = 1_000_000
+#: As many when phrases are counted by their words: these are Python strings.
+COUNTED_WORDS = 500_000
 #: Rows of an Arrow batch that a task returns.
 BATCH_ROWS = 50_000
 #: Words whose phrases one task adds up.
 WORDS_PER_TASK = 400_000
+#: Bits of a hash that mining goes by (31 to 48, a few of them for the shard), and ranges of hashes that one task adds up.
+CODE_BITS = 48
+BUCKETS_A_TASK = 4
 #: Bits that stand for one length's candidates: so many a candidate, at most MOST_BITS (16 MB).
 BITS_A_KEY = 64
 MOST_BITS = 1 << 27
@@ -168,8 +173,8 @@ def places(keys: DataFrame) -> Places:
     return out
 
 
-def _runs(batches, hashes: int):
-    """Whole texts' words, about ``RUN_WORDS`` at a time: (raw, starts, ends, pieces, hashes, values).
+def _runs(batches, hashes: int, most: int | None = None):
+    """Whole texts' words, about ``most`` (``RUN_WORDS``) at a time: (raw, starts, ends, pieces, hashes, values).
 
     Positions count from the beginning of the joined bytes; ``values(column, words)`` are the row values of words.
     """
@@ -195,7 +200,7 @@ def _runs(batches, hashes: int):
                 row = np.array([r for r, _ in begins])[np.searchsorted([x for _, x in begins], starts, side="right") - 1]
                 held.append((raw if hashes > 1 else raw[:0], starts, ends, pieces, keys, row, columns))
                 size += len(starts)
-            if size >= RUN_WORDS:
+            if size >= (most or RUN_WORDS):
                 yield joined()
                 held, size = [], 0
     if held:
@@ -222,14 +227,37 @@ def _grouped(key: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarr
     return order, np.flatnonzero(new)
 
 
+def _bodies(code: np.ndarray, n: np.ndarray, need: np.ndarray, buckets: int):
+    """A batch (bucket, body): sorted codes and their numbers as bytes, cut by the codes' first bits."""
+    import pyarrow as pa
+    code = code >> np.uint64(64 - CODE_BITS)
+    of = (code >> np.uint64(CODE_BITS - 31)).astype(np.int64) * buckets >> 31
+    ends = np.searchsorted(of, np.arange(buckets), side="right")
+    got = [(k, a, z) for k, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if a < z]
+    high, low = (code >> np.uint64(16)).astype(np.uint32), code.astype(np.uint16)
+    n, need = n.astype(np.uint32), need.astype(np.uint32)
+    body = [b"".join(v[a:z].tobytes() for v in (high, n, need, low)) for _, a, z in got]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in got], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
+
+
+def _read_bodies(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, numbers, needs) of what ``_bodies`` packed."""
+    size = [len(x) // 14 for x in bodies]
+    part = lambda kind, at: np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(bodies, size, strict=True)])
+    code = part(np.uint32, 0).astype(np.uint64) << np.uint64(16) | part(np.uint16, 12)
+    return code, part(np.uint32, 4).astype(np.int64), part(np.uint32, 8).astype(np.int64)
+
+
 def mined(rows: DataFrame, n: int, sets, shards: int, tasks: int, support: int) -> DataFrame:
     """key: the phrases of ``n`` words that reach the support ``need`` of a shard in that shard and ``support`` in all.
 
-    A task counts (phrase, shard) as one number, the hash with the shard in its lowest bits.  Every shard's
-    counts of a phrase meet in one task, so their sum is known there: at least the phrase's count, since phrases
+    A task counts (phrase, shard) as one number, the hash's first ``CODE_BITS`` bits with the shard in the lowest of them.  What
+    a task has found goes on sorted and packed, a row for each range of codes; whole ranges are added up in NumPy.  Every shard's
+    counts of a phrase meet there, so their sum is known: at least the phrase's count, since phrases
     that share a hash add to it.  A phrase that is frequent in a shard alone is dropped before it is counted by its words.
     """
-    low = np.uint64((1 << max(1, (shards - 1).bit_length())) - 1)
+    width = max(1, (shards - 1).bit_length())
+    low = np.uint64((1 << width) - 1)
 
     def count(batches):
         for _, _, _, pieces, (words,), of in _runs(batches, 1):
@@ -239,26 +267,40 @@ def mined(rows: DataFrame, n: int, sets, shards: int, tasks: int, support: int)
                 shorter = phrase_keys(words, pieces, n - 1)[0]
                 part = sets[n - 2].value.holds(mix(shorter ^ salt[:len(shorter)]))
             at = _places_of(pieces, n, part)
-            code = mix(keys_at(words, at, n) ^ salt[at]) & ~low | of("shard", at).astype(np.uint64)
+            if not len(at):
+                continue
+            rest = np.uint64(64 - CODE_BITS)
+            code = ((mix(keys_at(words, at, n) ^ salt[at]) >> rest) & ~low | of("shard", at).astype(np.uint64)) << rest
             order, begin = _grouped(code)
             first = order[begin]
-            yield from _batches({"code": code[first].view(np.int64), "needed": of("need", at[first]) << 32 | np.diff(np.append(begin, len(at)))})
-    key = F.col("code").bitwiseAND(F.lit(int((~low).view(np.int64))))
-    # dealt out before it is summed: most phrases of a task differ, and a second map of them would only cost memory;
-    # two numbers a row, since the shuffle of pairs is the largest there is
-    return (rows.mapInArrow(count, "code long, needed long").repartition(tasks, key)
-            .select(key.alias("key"), "code", F.shiftright("needed", 32).alias("need"),
-                    F.col("needed").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("n"))
-            .groupBy("key", "code").agg(F.max("need").alias("need"), F.sum("n").alias("n"))
-            .groupBy("key").agg(F.sum("n").alias("n"), F.max(F.col("n") >= F.col("need")).alias("frequent"))
-            .where(F.col("frequent") & (F.col("n") >= support)).select("key"))
+            yield from _bodies(code[first], np.diff(np.append(begin, len(at))), of("need", at[first]), tasks)
+
+    def add(batches):
+        import pyarrow as pa
+        bodies = [x for b in batches for x in b.column("body").to_pylist()]
+        if not bodies:
+            return
+        code, number, need = _read_bodies(bodies)
+        del bodies
+        order = np.argsort(code)
+        code, number, need = code[order], number[order], need[order]
+        at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        code, number, need = code[at], np.add.reduceat(number, at), np.maximum.reduceat(need, at)
+        key, enough = code >> np.uint64(width), number >= need
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        kept = np.logical_or.reduceat(enough, at) & (np.add.reduceat(number, at) >= support)
+        found = (code[at[kept]] & ~low) << np.uint64(64 - CODE_BITS)
+        yield from _batches({"key": found.view(np.int64)})
+
+    packed = rows.mapInArrow(count, "bucket int, body binary")
+    return packed.repartition(max(partitions(rows.sparkSession), -(-tasks // BUCKETS_A_TASK)), "bucket").mapInArrow(add, "key long")
 
 
 def counted(rows: DataFrame, sets, longest: int, tasks: int) -> DataFrame:
     """(lang, phrase, k, f): exact counts of all candidates of 1 to ``longest`` words."""
     def count(batches):
         import pyarrow as pa
-        for raws, starts, ends, pieces, (words, others), of in _runs(batches, 2):
+        for raws, starts, ends, pieces, (words, others), of in _runs(batches, 2, min(RUN_WORDS, COUNTED_WORDS)):
             body = np.concatenate(raws).tobytes()
             salt = of("salt").view(np.uint64)
             before = None
