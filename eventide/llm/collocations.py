@@ -10,8 +10,8 @@ Mining goes by length: words, then pairs of which both words are in the union, t
 both pairs are, then phrases of four.  While mining, a phrase is a 64-bit hash; two phrases that share
 one only add a candidate.  Tasks hold the union of one length as bits at hashed places (``MOST_BITS`` at
 most, sent to every task): a wrong bit costs work and changes nothing, since counts decide.  All
-counting is summed in the task before it is shuffled, so hot phrases, copies and languages cost a row a
-task.  Text becomes word hashes in NumPy, a slice at a time.
+counting is summed in the task before it is shuffled, so hot phrases, copies and languages cost a number a
+task; what is shuffled is packed, a row for each range of hashes.  Text becomes word hashes in NumPy, a slice at a time.
 
 Cuts of a candidate look up its parts in the same table of counts (a part is at least as frequent as
 the whole), products are decimals of 38 digits, and a rank limit that every task applies first
@@ -297,13 +297,16 @@ def mined(rows: DataFrame, n: int, sets, shards: int, tasks: int, support: int)
 
 
 def counted(rows: DataFrame, sets, longest: int, tasks: int) -> DataFrame:
-    """(lang, phrase, k, f): exact counts of all candidates of 1 to ``longest`` words."""
+    """(lang, phrase, k, f): exact counts of all candidates of 1 to ``longest`` words.
+
+    What a run of words holds goes on packed, a row for each language and range of hashes: its phrases by line (no word
+    holds a line break) and their numbers.  Whole ranges are added up by the phrases themselves."""
     def count(batches):
         import pyarrow as pa
         for raws, starts, ends, pieces, (words, others), of in _runs(batches, 2, min(RUN_WORDS, COUNTED_WORDS)):
             body = np.concatenate(raws).tobytes()
             salt = of("salt").view(np.uint64)
-            before = None
+            before, phrases, found = None, [], []
             for k in range(1, longest + 1):
                 at = _places_of(pieces, k, before)
                 key = mix(keys_at(words, at, k) ^ salt[at])
@@ -314,14 +317,45 @@ def counted(rows: DataFrame, sets, longest: int, tasks: int) -> DataFrame:
                 # phrases are the same here if two independent hashes of 64 bits are
                 order, begin = _grouped(key, keys_at(others, at, k) + salt[at])
                 first = at[order[begin]]
-                phrase = [b" ".join([body[a:z] for a, z in zip(x, y, strict=True)]) for x, y in zip(
+                phrases += [b" ".join([body[a:z] for a, z in zip(x, y, strict=True)]) for x, y in zip(
                     np.stack([starts[first + j] for j in range(k)], 1).tolist(), np.stack([ends[first + j] for j in range(k)], 1).tolist(), strict=True)] \
                     if k > 1 else [body[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                yield from _batches({"lang": pa.array(of("lang", first), pa.string()), "phrase": pa.array(phrase, pa.binary()).view(pa.string()),
-                                     "f": np.diff(np.append(begin, len(at))).astype(np.int64)})
+                bucket = (key[order[begin]] >> np.uint64(33)).astype(np.int64) * tasks >> 31
+                found.append((bucket, salt[first], first, np.diff(np.append(begin, len(at))).astype(np.uint32)))
+            if not phrases:
+                continue
+            bucket, lang, first, n = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((lang, bucket))
+            bucket, lang, first, n = bucket[order], lang[order], first[order], n[order]
+            ordered = [phrases[i] for i in order.tolist()]
+            cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])]))
+            spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)], strict=True))
+            yield from _batches({"bucket": bucket[cuts].astype(np.int32), "lang": pa.array(of("lang", first[cuts]), pa.string()),
+                                 "phrases": pa.array([b"\n".join(ordered[a:z]) for a, z in spans], pa.binary()),
+                                 "n": pa.array([n[a:z].tobytes() for a, z in spans], pa.binary())})
+
+    def add(batches):
+        import pyarrow as pa
+        held = {}
+        for b in batches:
+            for lang, phrases, n in zip(b.column("lang").to_pylist(), b.column("phrases").to_pylist(), b.column("n").to_pylist(), strict=True):
+                held.setdefault(lang, []).append((phrases, n))
+        while held:
+            lang, bodies = held.popitem()
+            text = np.frombuffer(b"".join(x + b"\n" for x, _ in bodies), np.uint8)
+            ends = np.flatnonzero(text == 10)
+            offsets = np.append(0, ends - np.arange(len(ends))).astype(np.int64)
+            phrase = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(text[text != 10])])
+            number = np.frombuffer(b"".join(n for _, n in bodies), np.uint32).astype(np.int64)
+            del bodies, text
+            sums = pa.table({"phrase": phrase, "f": number}).group_by("phrase").aggregate([("f", "sum")]).combine_chunks()
+            phrase, number = (sums.column(c).combine_chunks() for c in ("phrase", "f_sum"))
+            yield from _batches({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": phrase.cast(pa.binary()).view(pa.string()), "f": number})
+
+    packed = rows.mapInArrow(count, "bucket int, lang string, phrases binary, n binary")
     blanks = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))  # words hold none
-    return (rows.mapInArrow(count, "lang string, phrase string, f long").repartition(tasks, "lang", "phrase")
-            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).select("lang", "phrase", (blanks + 1).alias("k"), "f"))
+    return (packed.repartition(max(partitions(rows.sparkSession), -(-tasks // BUCKETS_A_TASK)), "bucket").mapInArrow(add, "lang string, phrase string, f long")
+            .select("lang", "phrase", (blanks + 1).alias("k"), "f"))
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
